@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import exact_dedup
+from loomgraph.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
