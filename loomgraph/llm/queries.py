@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup
+from loomgraph.llm import bpe, exact_dedup, packing
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
