@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, packing
+from loomgraph.llm import bpe, exact_dedup, minhash, packing
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_minhash": minhash.op3_minhash,
     "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op3_minhash": minhash.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
