@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, minhash, packing
+from loomgraph.llm import bpe, exact_dedup, langid, minhash, packing
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
+    "op4_langid": langid.op4_langid,
     "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
