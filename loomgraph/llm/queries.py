@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, langid, minhash, packing
+from loomgraph.llm import bpe, exact_dedup, langid, minhash, packing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
     "op4_langid": langid.op4_langid,
