@@ -13,7 +13,6 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from loomgraph.llm.common import table
 #: Words of more symbols than this are merged with a heap instead of repeated scans.
 SCAN_SYMBOLS = 256
 #: Entries each worker keeps of words and of white-space-separated chunks.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 #: Rows in one Arrow batch that goes back to Spark.
 BATCH_ROWS = 256
 _NONE = 1 << 30
@@ -72,11 +71,12 @@ class WordBpe:
         letters = _byte_letters()
         self._inner = [vocab[c] for c in letters]
         self._last = [vocab[c + suffix] for c in letters]
-        self._ranks: dict[int, int] = {}
+        self._ranks: dict[tuple[int, int], int] = {}
         self._merged: list[int] = []
         for rank, (left, right) in enumerate(model["merges"]):
-            self._ranks[vocab[left] << 20 | vocab[right]] = rank
+            self._ranks[vocab[left], vocab[right]] = rank
             self._merged.append(vocab[left + right])
+        self._raw = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self._words = _Filled(self._encode_word, cache_entries)
         self._chunks = _Filled(self._encode_chunk, cache_entries)
 
@@ -88,7 +88,7 @@ class WordBpe:
         if len(parts) > SCAN_SYMBOLS:
             return self._merge_long(parts)
         rank_of, merged = self._ranks.get, self._merged
-        ranks = [rank_of(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        ranks = [rank_of(pair, _NONE) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
             if least == _NONE:
@@ -97,39 +97,44 @@ class WordBpe:
             parts[i] = merged[least]
             del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank_of(parts[i - 1] << 20 | parts[i], _NONE)
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), _NONE)
             if i < len(ranks):
-                ranks[i] = rank_of(parts[i] << 20 | parts[i + 1], _NONE)
+                ranks[i] = rank_of((parts[i], parts[i + 1]), _NONE)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same merges in the same order for very long words, n log n instead of n squared."""
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i in range(n - 1) if (r := self._ranks.get(parts[i] << 20 | parts[i + 1])) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self._ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i] if parts[i] >= 0 else -1
-            if j < 0 or self._ranks.get(parts[i] << 20 | parts[j]) != rank:
+            if j < 0 or self._ranks.get((parts[i], parts[j])) != rank:
                 continue
             parts[i], parts[j] = self._merged[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self._ranks.get(parts[a] << 20 | parts[b])) is not None:
+                if a >= 0 and b >= 0 and (r := self._ranks.get((parts[a], parts[b]))) is not None:
                     heapq.heappush(heap, (r, a))
         return [p for p in parts if p >= 0]
 
     def _encode_word(self, word: str) -> bytes:
-        return np.array(self.merge(word), dtype="<u4").tobytes()
+        return b"".join(map(self._raw.__getitem__, self.merge(word)))
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Ids of what stands between white space."""
-        chunk = unicodedata.normalize("NFC", chunk)
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk)
         # One character at a time where the lower case depends on its neighbours.
         low = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
+        if low.isalpha():  # one run of letters is one piece
+            return self._words[low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self._words[low[:-1]] + self._words[low[-1]]
         return b"".join(map(self._words.__getitem__, self._pieces.findall(low)))
 
     def _encode_plain(self, text: str) -> bytes:
