@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, exact_dedup, langid, minhash, packing, pii
+from loomgraph.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, packing, pii, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op10_cover_tree": embedding_dedup.op10_cover_tree,
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
     "op4_langid": langid.op4_langid,
     "op6_packing": packing.op6_packing,
+    "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op10_cover_tree": embedding_dedup.ORACLE,
     "op3_minhash": minhash.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
