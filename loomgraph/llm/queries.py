@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, packing, pii, substring_dedup
+from loomgraph.llm import bpe, embedding_dedup, exact_dedup, langid, lm_score, minhash, packing, pii, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op10_cover_tree": embedding_dedup.op10_cover_tree,
+    "op9_lm_score": lm_score.op9_lm_score,
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
     "op4_langid": langid.op4_langid,
