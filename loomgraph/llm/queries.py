@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, embedding_dedup, exact_dedup, langid, lm_score, minhash, packing, pii, substring_dedup
+from loomgraph.llm import bpe, embedding_dedup, exact_dedup, html_text, langid, lm_score, minhash, packing, pii, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_minhash": minhash.op3_minhash,
     "op4_langid": langid.op4_langid,
+    "op5_html": html_text.op5_html,
     "op6_packing": packing.op6_packing,
     "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
