@@ -19,10 +19,12 @@ def exact_dedup(
     text_col: str = "text",
     salts: int = SALTS,
     digest_bits: int = 256,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Group rows whose texts are identical after lower-casing A-Z; the largest id of a group stays.
 
-    Returns one row per input row: id_col, keep_id, group_size, kept, text_sha256.
+    Returns one row per input row: id_col, keep_id, group_size, kept, text_sha256, and the
+    columns named in keep, which must not clash with these.
 
     Three combining steps compare (digest, whole normalised text), never the digest alone:
     the map-side aggregate deduplicates inside each input partition, the first shuffle merges
@@ -35,7 +37,9 @@ def exact_dedup(
     carry the winner's mark and each counts in group_size; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
+    extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep or [])]
     base = docs.select(
+        *extra,
         F.col(id_col).alias("doc_id"),
         F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).alias("norm"),
     ).withColumn("text_sha256", F.sha2("norm", 256))
@@ -60,9 +64,10 @@ def exact_dedup(
     )
     winners = written(winners, "exact-winners")
 
-    out = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    more = [f"kept_{i}" for i in range(len(extra))]
+    out = ["doc_id", "keep_id", "group_size", "text_sha256", *more]
     lone = winners.filter("n_texts = 1").select("digest", "keep_id", "group_size")
-    result = base.select("doc_id", "digest", "text_sha256").join(lone, "digest").select(*out)
+    result = base.select("doc_id", "digest", "text_sha256", *more).join(lone, "digest").select(*out)
     shared = winners.filter("n_texts > 1")
     if not shared.isEmpty():
         # Different texts under one digest: fetch each winner's text and compare whole texts.
@@ -82,6 +87,7 @@ def exact_dedup(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
+        *(F.col(m).alias(c) for m, c in zip(more, keep or [])),
     )
 
 

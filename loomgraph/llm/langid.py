@@ -183,7 +183,9 @@ def _calibrated(model: KneserNey, lang: np.ndarray, entropy: np.ndarray, length:
     likely = [np.mean(-s * gap[np.arange(len(lang)), lang] - np.log(np.exp(-s * gap).sum(axis=1))) for s in grid]
     own = entropy.min(axis=1)
     spread = 4.0  # nats over the root of the length: short texts vary more
-    return Identifier(model, float(grid[int(np.argmax(likely))]), float(np.quantile(own - spread / np.sqrt(length), 0.999)) + 0.5, spread)
+    margin = 0.5 + 10 / np.sqrt(len(own))  # wider where few texts calibrate
+    bound = float(np.quantile(own - spread / np.sqrt(length), 0.999) + margin)
+    return Identifier(model, float(grid[int(np.argmax(likely))]), bound, spread)
 
 
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, order: int = ORDER) -> Identifier | None:
