@@ -133,7 +133,7 @@ class WordBpe:
         low = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()
         if low.isalpha():  # one run of letters is one piece
             return self._words[low]
-        if low[-1] in ".," and low[:-1].isalpha():
+        if low[-1:] in ".," and low[:-1].isalpha():
             return self._words[low[:-1]] + self._words[low[-1]]
         return b"".join(map(self._words.__getitem__, self._pieces.findall(low)))
 
