@@ -119,9 +119,9 @@ def help_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settings_search(spark: SparkSession, d: str) -> DataFrame:
-    """Part types as groups, the nations' sizes as items."""
+    """Ten parts to a settings group, so that a group's items are few."""
     item = F.struct(F.col("p_name").alias("key"), F.col("p_brand").alias("label"), F.lit(None).cast("string").alias("description"))
-    groups = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_type", "p_size").alias("title")).agg(F.collect_list(item).alias("items")).withColumn("description", F.lit(None).cast("string"))
+    groups = table(spark, d, "part").groupBy(F.concat_ws(" ", F.lit("group"), F.floor(F.col("p_partkey") / 10).cast("string")).alias("title")).agg(F.collect_list(item).alias("items")).withColumn("description", F.lit(None).cast("string"))
     return S.settings_search(groups, "red").select("title", F.size("items").cast("long").alias("n"))
 
 
@@ -184,7 +184,7 @@ CATALOG = {
       WHEN contains(lower(p_type), 'red') THEN 0.4 WHEN contains(lower(p_brand), 'red') THEN 0.3 ELSE z.score END AS s FROM part p JOIN z ON z.id = p.p_partkey WHERE p_size > 3) WHERE s > 0.3"""),
     "fuzzy_search": (fuzzy_search, f"WITH {_FUZZY.format(q='rdg')} SELECT id, round(score, 6) AS score FROM z"),
     "help_search": (help_search, "SELECT p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_type), 'brand#1') OR contains(lower(p_brand), 'brand#1')"),
-    "settings_search": (settings_search, "SELECT p_type || ' ' || p_size AS title, count(*) AS n FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_type || ' ' || p_size), 'red') GROUP BY 1"),
+    "settings_search": (settings_search, "SELECT 'group ' || p_partkey // 10 AS title, count(*) AS n FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') GROUP BY 1"),
     "category_groups": (category_groups, "SELECT p_type AS category, CASE WHEN p_type <> 'ECONOMY' THEN min(p_size) ELSE 0 END AS priority, count(*) AS n, min(p_name) AS first_title FROM part GROUP BY p_type"),
     "category_filter": (category_filter, "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_type = 'SMALL'"),
     "rbac_features": (rbac_features, """SELECT c_name AS pubkey, concat_ws(',', CASE WHEN c_mktsegment = 'BUILDING' THEN 'perplexity' END, CASE WHEN c_custkey % 2 = 0 THEN 'openai' END,
