@@ -31,9 +31,9 @@ def prefix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
 
 
 def common_prefix(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and at b, at most `most`."""
+    """Length of the common prefix of the suffixes at a and at b, at most `most` (three times the deepest level)."""
     n, length = len(data), np.zeros(len(a), np.int64)
-    for d, rank in reversed(levels):
+    for d, rank in [levels[-1], levels[-1], *reversed(levels)]:
         x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
         length += np.where((rank[x] == rank[y]) & (length < most), d, 0)
     for _ in range(7):
@@ -75,6 +75,17 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> np.ndarray
     return np.array(found, dtype=np.int64).reshape(-1, 3)
 
 
+def _order(level: tuple[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Order of the suffixes at `at` by three times the level's bytes; only they are sorted that deep."""
+    d, rank = level
+    padded = np.concatenate((rank, np.zeros(2 * d, np.uint32))).astype(np.uint64)
+    key = padded[at] << np.uint64(32) | padded[at + d]
+    order = np.argsort(key)
+    deeper = np.empty(len(at), np.uint64)
+    deeper[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1]))) if len(at) else 0
+    return np.argsort(deeper << np.uint64(32) | padded[at + 2 * d])
+
+
 def repeats_in(texts: list[bytes], starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal repeats among the first starts[i] suffixes of each text.
 
@@ -83,11 +94,11 @@ def repeats_in(texts: list[bytes], starts: np.ndarray, least: int) -> tuple[np.n
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     base = np.concatenate(([0], np.cumsum(sizes)))
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    levels = prefix_ranks(data, int(sizes.max()))
+    levels = prefix_ranks(data, -(-int(sizes.max()) // 3))
     of = np.repeat(np.arange(len(texts)), starts)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = base[of] + inside
-    order = np.argsort(levels[-1][1][at], kind="stable")
+    order = _order(levels[-1], at)
     at, of, inside = at[order], of[order], inside[order]
     room = base[of + 1] - at
     lcp = np.zeros(len(at), np.int64)
