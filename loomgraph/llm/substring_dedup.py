@@ -19,7 +19,7 @@ LENGTH = 100
 #: Bytes of an anchor: of the anchors in each LENGTH-byte string, the one with the least hash names its task.
 ANCHOR = 20
 #: Different fragments of one anchor that one suffix array takes; beyond it each LENGTH-byte string is matched by hash.
-GROUP = 8192
+GROUP = 2048
 #: Fragments gathered before a suffix array is built.
 GATHER = 8192
 _STRIDE = 1 << 20
@@ -115,12 +115,15 @@ def _fragment_texts(wanted: DataFrame, length: int) -> DataFrame:
                     else:
                         sums, unit = _hash_sums(np.frombuffer(part, np.uint8))
                         h = mix((sums[length:] - sums[:-length]) * unit[: len(part) - length + 1]).view(np.int64)
-                        hot += [(int(g), key, x["at"] + j, 1, b"", True) for j, g in enumerate(h)]
-                for rows in (out, hot):
-                    if rows:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names
-                        )
+                        hot.append((h, x["at"] + np.arange(len(h))))
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                if hot:
+                    h, at = (np.concatenate(c) for c in zip(*hot))
+                    n = len(h)
+                    filled = [np.full(n, key), at, np.ones(n, np.int64), pa.array([b""] * n, pa.binary()), np.ones(n, bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *filled)], names)
 
     return wanted.mapInArrow(run, _TEXTS)
 
