@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import small_batches, table
 
 #: Words of more symbols than this are merged with a heap instead of repeated scans.
 SCAN_SYMBOLS = 256
@@ -184,7 +184,7 @@ def _by_row(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> Dat
                     [*(part.column(i) for i in rest), pa.array(values, arrow)], [*(batch.schema.names[i] for i in rest), out]
                 )
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -46,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches kept to a few megabytes.
+
+    A task holds a batch in the JVM, in flight and in Python; the default of 64 MB each would let
+    long texts fill an executor that is small.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder; Spark's cleaner removes it once unused."""
     context = df.sparkSession.sparkContext

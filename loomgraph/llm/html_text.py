@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import small_batches, table
 
 # Element categories of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -392,7 +392,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
                 texts = pa.array([extract(x) for x in part.column(at).to_pylist()], pa.large_string())
                 yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != at), texts], schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return small_batches(pages).mapInArrow(run, schema)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

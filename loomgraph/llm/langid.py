@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import small_batches, table
 from loomgraph.llm.shingles import mix, powers
 
 ORDER = 5
@@ -195,7 +195,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, order: int = ORDER) -
     models, one fifth calibrates. n-grams are counted by Spark; tables bounded by the sample
     come to the driver. None if no labelled text has a letter.
     """
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("key"))
+    rows = small_batches(labelled).filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("key"))
     shares = [(r["lang"], min(1.0, (2.0 * train_rows + 100) / r["n"])) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
     if not shares:
         return None
@@ -249,7 +249,9 @@ def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_
     """
     model = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the training sample
     names = [id_col, *(keep or [])]
-    source = docs.select(*names, F.col(text_col).alias("_text"))
+    again = text_col not in names  # the text travels once
+    source = small_batches(docs).select(*names, *([F.col(text_col).alias("_text")] if again else []))
+    text_at = len(names) if again else names.index(text_col)
     schema = T.StructType(
         [docs.schema[c] for c in names]
         + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -260,10 +262,10 @@ def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(len(names)).to_pylist()
+                texts = part.column(text_at).to_pylist()
                 rows = list(found.predict(texts)) if found else [(UNKNOWN, 0.0, None, True)] * len(texts)
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *columns], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import small_batches, table, written
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import SHINGLE_WORDS, mix, shingle_sets
 
@@ -62,7 +62,7 @@ def _features(docs: DataFrame, words: int, side: int, half: int) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "halves"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -75,7 +75,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(offsets) - 1), values], ["doc_id", "sh"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from loomgraph.llm.bpe import public_path, tokenizer
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import small_batches, table, written
 
 CAPACITY = 4096
 #: Width in tokens of a length class: 128 classes, so histogram, patterns and linear program are bounded.
@@ -127,7 +127,7 @@ def _cut(docs: DataFrame, text_col: str, path: str, capacity: int, width: int, f
                 columns = [pa.array(c, f) for c, f in zip(zip(*out), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.large_binary()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), *columns], schema.names)
 
-    return docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _places(pieces: DataFrame, patterns: list[tuple[dict[int, int], int]], width: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _places(pieces: DataFrame, patterns: list[tuple[dict[int, int], int]], width
                 slot[at] = (rank[at] - lo[k]) % each[k] - int(c) * 8192  # large classes first
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(slot)], schema.names)
 
-    return pieces.mapInArrow(run, schema)
+    return small_batches(pieces).mapInArrow(run, schema)
 
 
 def pack(

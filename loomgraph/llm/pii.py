@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.boosting import BoostedTrees
-from loomgraph.llm.common import table
+from loomgraph.llm.common import small_batches, table
 
 BASE = ["email", "ip", "card", "phone"]
 #: Kinds that only the classifier adds: keys and passwords; account and identity numbers; other ways to reach somebody.
@@ -315,7 +315,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
                 rows = [[{"kind": k, "start": a, "end": b, "score": float(q)} for k, a, b, q in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, _ARROW_SPANS)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import table, written
+from loomgraph.llm.common import small_batches, table, written
 from loomgraph.llm.shingles import _BASE, _LETTER, _UNBASE, mix, powers, text_parts
 from loomgraph.llm.suffix import repeats_in
 
@@ -95,7 +95,7 @@ def _fragment_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                     n = np.where(again, -n, n)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), f.view(np.int64), key, at, n)], ["h", "f", "key", "at", "n"])
 
-    return docs.mapInArrow(run, _FRAGMENTS)
+    return small_batches(docs).mapInArrow(run, _FRAGMENTS)
 
 
 def _fragment_texts(wanted: DataFrame, length: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _fragment_texts(wanted: DataFrame, length: int) -> DataFrame:
                     filled = [np.full(n, key), at, np.ones(n, np.int64), pa.array([b""] * n, pa.binary()), np.ones(n, bool)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *filled)], names)
 
-    return wanted.mapInArrow(run, _TEXTS)
+    return small_batches(wanted).mapInArrow(run, _TEXTS)
 
 
 def _groups(texts: list[bytes], key: np.ndarray, at: np.ndarray, n: np.ndarray, length: int):
