@@ -132,8 +132,8 @@ def near_dedup(
 
     Documents with equal sets are one representative. Half keys that occur once are dropped
     before they are combined, without loss, so only documents with a shared half key in both
-    collections make table keys. In each bucket all members are first compared with the least
-    one; whole sets decide. What then still lies in one bucket but in different components is
+    collections make table keys. In each bucket all members are first compared with the one
+    that shares the most half keys; whole sets decide. What then still lies in one bucket but in different components is
     compared completely by a prefix-filtered join, so no bucket is capped or listed pair by pair.
 
     Defined cases: words are runs of non-white-space, A-Z lowered; null, empty or blank texts have
@@ -151,20 +151,23 @@ def near_dedup(
     halves = reps.select("rep", F.posexplode("halves").alias("j", "half"))
     shared = halves.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("half"))).filter("n > 1")
     sides = shared.groupBy("rep").agg(
+        F.sum("n").alias("weight"),
         F.collect_list(F.when(F.col("j") < side, F.col("half"))).alias("one"),
         F.collect_list(F.when(F.col("j") >= side, F.col("half"))).alias("two"),
     )  # at most 2 * side entries each
-    keys = sides.select("rep", F.explode("one").alias("h1"), "two").select("rep", "h1", F.explode("two").alias("h2"))
-    keys = keys.select("rep", F.xxhash64("h1", "h2").alias("key"))
+    keys = sides.select("rep", "weight", F.explode("one").alias("h1"), "two").select("rep", "weight", "h1", F.explode("two").alias("h2"))
+    keys = keys.select("rep", "weight", F.xxhash64("h1", "h2").alias("key"))
     buckets = W.partitionBy("key")
-    members = keys.select("rep", "key", F.min("rep").over(buckets).alias("least"), F.max("rep").over(buckets).alias("most"))
-    members = written(members.filter("least != most").drop("most"), "near-members")
+    # The hub shares the most half keys: of copies with edits it is the one nearest to all others.
+    hub = F.max(F.struct("weight", "rep")).over(buckets)["rep"]
+    members = keys.select("rep", "key", hub.alias("hub"), F.min("rep").over(buckets).alias("lo"), F.max("rep").over(buckets).alias("hi"))
+    members = written(members.filter("lo != hi").drop("lo", "hi"), "near-members")
 
     found = members.select("rep").distinct()
     sets = written(_sets(docs.join(found, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text"), words), "near-sets")
     if sets.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         sets = sets.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sh")))).alias("sh"))
-    stars = members.filter("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(_confirmed(stars, sets, percent), "near-links")
     joined = components(links)
 
