@@ -6,6 +6,8 @@ import numpy as np
 
 #: Slack of the pruning bounds against rounding; links themselves are decided by the cosine.
 _SLACK = 1e-6
+#: Node pairs of at most so many row pairs are decided at once instead of descending further.
+_DIRECT = 1 << 14
 
 
 class CoverTree:
@@ -21,6 +23,7 @@ class CoverTree:
         everyone = np.arange(len(vectors))
         self.root = self._node(everyone, self._distances(everyone, 0)) if len(vectors) else -1
         self.radii = np.array(self.radius)
+        self.sizes = np.array([len(m) for m in self.members], dtype=np.int64)
         self.centers = np.array(self.center, dtype=np.int64)
 
     def _distances(self, rows: np.ndarray, center: int) -> np.ndarray:
@@ -35,15 +38,24 @@ class CoverTree:
             rows, half = self.members[node], self.radius[node] / 2
             if len(rows) == 1 or self.radius[node] < _SLACK:
                 continue
-            while len(rows):
-                near = far <= half
-                near[0] = True
-                child = self._add(rows[near], far[near])
+            own, open_, first = self.x[rows], np.ones(len(rows), bool), 0
+            while True:
+                near = open_ & (far <= half)
+                near[first] = True
+                found = np.flatnonzero(near)
+                child = self._add(rows[found], far[found])
                 self.children[node].append(child)
-                todo.append((child, far[near]))
-                rows = rows[~near]
-                if len(rows):
-                    far = self._distances(rows, rows[0])
+                if len(found) > 1:
+                    todo.append((child, far[found]))
+                open_[found] = False
+                left = np.count_nonzero(open_)
+                if not left:
+                    break
+                if 2 * left < len(rows):  # copy what is left only when it has halved
+                    rows, own = rows[open_], own[open_]
+                    open_ = np.ones(left, bool)
+                first = int(np.argmax(open_))
+                far = np.sqrt(np.maximum(2 - 2 * (own @ own[first]), 0))
         return top
 
     def _add(self, rows: np.ndarray, far: np.ndarray) -> int:
@@ -79,8 +91,7 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_b: np.ndarray)
         hit = near & single & (g >= cosine)
         if hit.any():
             ra, rb = a.centers[ca], b.centers[cb]
-            many = np.array([len(b.members[k]) for k in cb]) > 1  # identical vectors in one leaf
-            if many.any() or any(len(a.members[k]) > 1 for k in ca):
+            if (a.sizes[ca] > 1).any() or (b.sizes[cb] > 1).any():  # identical vectors in one leaf
                 for i, j in np.argwhere(hit):
                     _all(links, edges, a.members[ca[i]], b.members[cb[j]], weight_b)
             else:
@@ -91,10 +102,10 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_b: np.ndarray)
         for i, j in np.argwhere(inside):
             _all(links, edges, a.members[ca[i]], b.members[cb[j]], weight_b)
         for i, j in np.argwhere(near & ~single & ~inside):
-            if a.children[ca[i]] or b.children[cb[j]]:
+            ma, mb = a.members[ca[i]], b.members[cb[j]]
+            if len(ma) * len(mb) > _DIRECT and (a.children[ca[i]] or b.children[cb[j]]):
                 todo.append((ca[i], cb[j]))
-            else:  # leaves of (nearly) identical vectors: every pair is decided
-                ma, mb = a.members[ca[i]], b.members[cb[j]]
+            else:  # few rows, or leaves of (nearly) identical vectors: every pair is decided
                 exact = a.x[ma] @ b.x[mb].T >= cosine
                 links[ma] += exact @ weight_b[mb]
                 k, m = np.nonzero(exact)
