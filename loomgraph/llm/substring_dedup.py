@@ -19,7 +19,7 @@ LENGTH = 100
 #: Bytes of an anchor: of the anchors in each LENGTH-byte string, the one with the least hash names its task.
 ANCHOR = 20
 #: Different fragments of one anchor that one suffix array takes; beyond it each LENGTH-byte string is matched by hash.
-GROUP = 2048
+GROUP = 8192
 #: Fragments gathered before a suffix array is built.
 GATHER = 8192
 _STRIDE = 1 << 20
@@ -258,7 +258,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least = crowded.groupBy("h").agg(F.min(F.struct("key", "at")).alias("least"))
         later = crowded.join(least, "h").filter(F.struct("key", "at") != F.col("least"))
         marks = marks.unionByName(later.select("key", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
-    marks = written(marks, "repeat-marks")
     lists = marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("list"))  # of one text
     joined = keyed.join(lists, "key", "left").select("id", "text", "list")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
