@@ -87,20 +87,22 @@ def _order(level: tuple[int, np.ndarray], at: np.ndarray) -> np.ndarray:
 
 
 def repeats_in(texts: list[bytes], starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats among the first starts[i] suffixes of each text.
+    """Maximal repeats among the first starts[i] suffixes of each text (UTF-8, in which no byte is 255).
 
+    A byte 255 ends each text, so that suffixes are ordered by their own text alone: by what follows it in the
+    array, a text that ends early could stand between two that agree for longer, and hide their repeat.
     Returns data, base (offset of each text), suffixes in order, their texts and (length, first, last) rows.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    base = np.concatenate(([0], np.cumsum(sizes)))
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    levels = prefix_ranks(data, -(-int(sizes.max()) // 3))
+    base = np.concatenate(([0], np.cumsum(sizes + 1)))
+    data = np.frombuffer(b"".join(t + b"\xff" for t in texts), dtype=np.uint8)
+    levels = prefix_ranks(data, -(-int(sizes.max() + 1) // 3))
     of = np.repeat(np.arange(len(texts)), starts)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
     at = base[of] + inside
     order = _order(levels[-1], at)
     at, of, inside = at[order], of[order], inside[order]
-    room = base[of + 1] - at
+    room = base[of + 1] - 1 - at
     lcp = np.zeros(len(at), np.int64)
     lcp[1:] = common_prefix(data, levels, at[:-1], at[1:], np.minimum(room[:-1], room[1:]))
     left = np.where(inside > 0, data[at - 1].astype(np.int64), -1)

@@ -64,6 +64,31 @@ def test_crowded_anchors_and_strips(spark, monkeypatch):
     compare(spark, made(3), 30, 8)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_documents_that_end_inside_a_repeat(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(40):
+        passage = "".join(rng.choice("abcdefgh") for _ in range(70))
+        for _ in range(6):
+            cut = passage[: rng.randint(31, 70)]
+            rows.append(cut if rng.random() < 0.6 else cut + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))))
+    rng.shuffle(rows)
+    compare(spark, list(enumerate(rows)), 30, 8)
+
+
+def test_a_text_that_ends_hides_no_longer_repeat():
+    """b ends after 49 of the 50 bytes that a and c share; the next text continues b between a and c."""
+    import numpy as np
+
+    from loomgraph.llm.suffix import repeats_in
+
+    shared = "".join(random.Random(8).choice("cdefgh") for _ in range(49))
+    texts = [(shared + "ma").encode(), (shared + "mz").encode(), shared.encode(), b"mm" + b"q" * 40]
+    found = repeats_in(texts, np.array([len(t) - 29 for t in texts]), 30)[4]
+    assert 50 in found[:, 0]
+
+
 def test_null_and_repeated_ids(spark):
     rows = made(4, 20)
     compare(spark, rows + [(None, rows[3][1]), (None, "q" * 70), (6, rows[5][1]), (6, rows[5][1])], 30, 8)
