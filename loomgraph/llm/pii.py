@@ -91,10 +91,17 @@ def base_spans(text: str, zones: list[re.Match]) -> list[Span]:
 
 
 # Candidate generators: generous, overlapping, without validation.
-_KEYED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}(\S{4,200})")
+_KEYED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}(\S{4,})")
 _SPELT = re.compile(r"(?i)([A-Za-z0-9._%+-]{1,64})\s{0,3}(?:\[at\]|\(at\)|\{at\}| at )\s{0,3}([A-Za-z0-9-]{1,63}(?:\s{0,3}(?:\[dot\]|\(dot\)|\{dot\}| dot )\s{0,3}[A-Za-z0-9-]{1,63}){1,5})")
 _KEY_WORDS = re.compile(r"(?i)pass|pwd|secret|token|key")
-_LONG_TOKEN = 200
+#: A run of digits, blanks and dashes beyond this length is a list; its numbers are candidates of their own.
+_LONG_ZONE = 60
+#: Numbers as they are usually grouped, else a word with its own dashes and dots.
+_PIECE = re.compile(
+    r"(?:\(|(?<![0-9]))[0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|00[0-9]{2} [0-9]{3} [0-9]{7}"
+    r"|0[0-9]{3} [0-9]{3} [0-9]{4}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4})(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])|[0-9][0-9.()-]*"
+)
+_WORD = re.compile(r"\S*")
 #: Words before a span that tell what it may be; fixed values.
 _CUES = [
     ("call", "phone", "tel", "mobile", "fax", "contact", "whatsapp"),
@@ -106,24 +113,41 @@ _CUES = [
 _GENERATORS = {"zone": 0, "token": 1, "keyed": 2, "spelt": 3}
 
 
+def _numbers(zone: str) -> Iterator[tuple[int, int]]:
+    """The number-shaped pieces of a zone: all of it, or those of a long list; words of few digits in between join."""
+    if len(zone.rstrip(" ().-+")) <= _LONG_ZONE:
+        yield 0, len(zone)
+        return
+    short: list[tuple[int, int, int]] = []  # words of under 7 digits since the last piece
+    for m in _PIECE.finditer(zone):
+        digits = len(_DIGITS.findall(m.group()))
+        if digits >= 7:
+            yield m.span()
+            short = []
+            continue
+        short.append((m.start(), m.end(), digits))
+        if sum(n for *_, n in short) >= 7:
+            yield short[0][0], m.end()
+            short = []
+
+
 def candidates(text: str, zones: list[re.Match]) -> list[tuple[str, str, int, int]]:
     """(generator, kind if accepted, start, end)."""
     out, ends = [], -1
     for m in zones:
-        trimmed = m.group().rstrip(" ().-+")
-        if len(_DIGITS.findall(trimmed)) >= 7 and len(trimmed) <= 60:
-            kind = "account" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9 -]{16,}", trimmed) else "contact"
-            out.append(("zone", kind, m.start(), m.start() + len(trimmed)))
+        for x, y in _numbers(m.group()):
+            trimmed = m.group()[x:y].rstrip(" ().-+")
+            if len(_DIGITS.findall(trimmed)) >= 7:
+                kind = "account" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9 -]{16,}", trimmed) else "contact"
+                out.append(("zone", kind, m.start() + x, m.start() + x + len(trimmed)))
         if m.start() < ends:
             continue
-        a, b = m.start(), m.start() + 1
-        while a and m.start() - a < _LONG_TOKEN and not text[a - 1].isspace():
+        a, b = m.start(), _WORD.match(text, m.start()).end()
+        while a and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and b - a < _LONG_TOKEN and not text[b].isspace():
-            b += 1
         ends = b
         word = text[a:b].rstrip(".,;:!?)\"'")
-        if len(word) >= 12 and len(word) < _LONG_TOKEN and any(c.isalpha() for c in word):
+        if len(word) >= 12 and any(c.isalpha() for c in word):
             grouped = re.match(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", text[a : a + 45])
             if grouped:
                 out.append(("token", "account", a, a + grouped.end()))
@@ -139,7 +163,7 @@ def candidates(text: str, zones: list[re.Match]) -> list[tuple[str, str, int, in
 
 def _mod97(s: str) -> bool:
     s = re.sub(r"[^A-Za-z0-9]", "", s).upper()
-    return len(s) > 14 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 14 < len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def features(text: str, generator: str, start: int, end: int) -> list[float]:

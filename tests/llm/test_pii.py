@@ -66,3 +66,24 @@ def test_frame_cases(spark):
     with pytest.raises(ValueError):
         pii.find_pii(frame, spans_col="spans")
     assert pii.find_pii(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [150, 400, 3000])
+def test_long_secrets_are_taken_whole(size):
+    import random
+
+    rng = random.Random(size)
+    value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(size))
+    for lead in ("api token=", "secret: "):
+        text = f"some words {lead}{value} and more"
+        assert value[-20:] not in pii.redacted(text, pii.model().spans(text))
+    free = f"see ghp_{value} there"
+    assert ("token", "secret", 4, 8 + size) in pii.candidates(free, list(pii._ZONE.finditer(free)))
+
+
+@pytest.mark.parametrize("one", ["555-{}-4567", "({}) 555-4567", "{}-45-6789", "0{} 555 4567"])
+def test_each_number_of_a_long_line_is_a_candidate(one):
+    numbers = [one.format(200 + 37 * k) for k in range(8)]
+    line = "call " + " ".join(numbers) + " now"
+    got = {line[a:b] for g, _, a, b in pii.candidates(line, list(pii._ZONE.finditer(line))) if g == "zone"}
+    assert {n.lstrip("(") for n in numbers} <= {n.lstrip("(") for n in got}
