@@ -99,6 +99,8 @@ def parse(source: str) -> Node:
 
     def text(value: str) -> None:
         if value:
+            if stack[-1].tag == "head" and value.strip(" \t\n\r\f"):
+                pop_to(len(stack) - 1)  # text implies the body
             stack[-1].children.append(html.unescape(value) if "&" in value else value)
 
     while at < n:

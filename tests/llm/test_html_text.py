@@ -17,6 +17,8 @@ CASES = {
     "a < b and <3": "a < b and <3",
     "unclosed <a href='": "unclosed",
     "<p>a<table><tr><td>1</table>b": "a\n\n1\n\nb",
+    "<head><title>T</title>Hello <b>you</b>": "Hello you",
+    "<html><head> <title>T</title>\n<style>x</style> Hello<style>y</style> all": "Hello all",
     "": "",
 }
 
