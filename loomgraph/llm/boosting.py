@@ -8,7 +8,7 @@ import numpy as np
 class BoostedTrees:
     """Logistic boosting over quantile bins; every tree is a full binary tree of fixed depth."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, leaf_rows: float = 4.0):
+    def __init__(self, rounds: int = 120, depth: int = 4, rate: float = 0.2, bins: int = 32, leaf_rows: float = 4.0):
         self.rounds, self.depth, self.rate, self.bins, self.leaf_rows = rounds, depth, rate, bins, leaf_rows
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
@@ -24,34 +24,30 @@ class BoostedTrees:
         return self
 
     def _grow(self, binned: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> tuple[list, np.ndarray]:
-        node, tree = np.zeros(len(binned), np.int64), []
+        """One tree; a level's histograms over all nodes, features and bins are one bincount each."""
+        rows, n_features = binned.shape
+        width = max(map(len, self.cuts)) + 1
+        place = binned + np.arange(n_features) * width
+        each = [np.repeat(v, n_features) for v in (gradient, hessian)]
+        node, tree = np.zeros(rows, np.int64), []
         for level in range(self.depth):
-            feature, cut = np.zeros(1 << level, np.int64), np.full(1 << level, np.inf)
-            for n in range(1 << level):
-                rows = np.flatnonzero(node == n)
-                best = 1e-6
-                for f, cuts in enumerate(self.cuts):
-                    g = np.cumsum(np.bincount(binned[rows, f], gradient[rows], len(cuts) + 1))
-                    h = np.cumsum(np.bincount(binned[rows, f], hessian[rows], len(cuts) + 1))
-                    if not len(cuts):
-                        continue
-                    gain = g[:-1] ** 2 / (h[:-1] + 1) + (g[-1] - g[:-1]) ** 2 / (h[-1] - h[:-1] + 1) - g[-1] ** 2 / (h[-1] + 1)
-                    count = np.cumsum(np.bincount(binned[rows, f], minlength=len(cuts) + 1))
-                    gain[(count[:-1] < self.leaf_rows) | (count[-1] - count[:-1] < self.leaf_rows)] = 0
-                    k = int(np.argmax(gain))
-                    if gain[k] > best:
-                        best, feature[n], cut[n] = gain[k], f, cuts[k]
-            place = np.array([self._at(f, v) for f, v in zip(feature, cut)])
-            node = 2 * node + (binned[np.arange(len(binned)), feature[node]] > place[node])
+            nodes = 1 << level
+            at = (node[:, None] * (n_features * width) + place).ravel()
+            g, h, count = (np.bincount(at, w, nodes * n_features * width).reshape(nodes, n_features, width).cumsum(axis=2) for w in (*each, None))
+            gain = g[..., :-1] ** 2 / (h[..., :-1] + 1) + (g[..., -1:] - g[..., :-1]) ** 2 / (h[..., -1:] - h[..., :-1] + 1) - g[..., -1:] ** 2 / (h[..., -1:] + 1)
+            gain[(count[..., :-1] < self.leaf_rows) | (count[..., -1:] - count[..., :-1] < self.leaf_rows)] = 0
+            best = gain.reshape(nodes, -1).argmax(axis=1)
+            feature, k = best // (width - 1), best % (width - 1)
+            split = gain.reshape(nodes, -1)[np.arange(nodes), best] > 1e-6
+            k = np.where(split, k, width)
+            cut = np.array([self.cuts[f][i] if s else np.inf for f, i, s in zip(feature, k, split)])
+            node = 2 * node + (binned[np.arange(rows), feature[node]] > k[node])
             tree.append((feature, cut))
         g, h = np.bincount(node, gradient, 1 << self.depth), np.bincount(node, hessian, 1 << self.depth)
         leaves = -self.rate * g / (h + 1)
         tree.append(leaves)
         return tree, leaves[node]
 
-    def _at(self, feature: int, cut: float) -> int:
-        return len(self.cuts[feature]) + 1 if np.isinf(cut) else int(np.searchsorted(self.cuts[feature], cut))
-
     def probability(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.start)
         for *levels, leaves in self.trees:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +20,8 @@ BASE = ["email", "ip", "card", "phone"]
 #: Kinds that only the classifier adds: keys and passwords; account and identity numbers; other ways to reach somebody.
 ADDED = ["secret", "account", "contact"]
 #: Generated spans the trees are fitted on, and the precision thresholds are calibrated to.
-TRAIN_SPANS = 9000
-PRECISION = 0.995
+TRAIN_SPANS = 12000
+PRECISION = 0.99
 _ROWS = 256
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -90,34 +90,51 @@ def base_spans(text: str, zones: list[re.Match]) -> list[Span]:
     return [s for k in BASE for s in found[k]]
 
 
-# Candidate generators: generous, overlapping, without validation.
-_KEYED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}(\S{4,})")
-_SPELT = re.compile(r"(?i)([A-Za-z0-9._%+-]{1,64})\s{0,3}(?:\[at\]|\(at\)|\{at\}| at )\s{0,3}([A-Za-z0-9-]{1,63}(?:\s{0,3}(?:\[dot\]|\(dot\)|\{dot\}| dot )\s{0,3}[A-Za-z0-9-]{1,63}){1,5})")
-_KEY_WORDS = re.compile(r"(?i)pass|pwd|secret|token|key")
-#: A run of digits, blanks and dashes beyond this length is a list; its numbers are candidates of their own.
+# Candidate generators: generous, overlapping, without validation and without a longest length.
+_KEYED = re.compile(
+    r"(?i)(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|pin|(?:api|access|private|auth|session)[_ -]?(?:key|token|id))"
+    r"(?:[_-][A-Za-z]{1,12})?[\"']?(?:\s{0,3}(?:=>|:=|==?|:)\s{0,3}|\s{1,3}(?:is|was)\s{1,3}|(?<=bearer)\s{1,3})"
+    r"(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|(?P<bare>\S{3,}))"
+)
+_KEY_STEMS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "pin", "id")
+_BLOCK, _BLOCK_END = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_SPELT = re.compile(
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\s{0,3}(?:[\[({<]\s?at\s?[\])}>]|\sat\s)\s{0,3}[A-Za-z0-9-]+(?:\s{0,3}(?:[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s|\.)\s{0,3}[A-Za-z0-9-]+)+"
+)
+_SPELT_HINT = re.compile(r"[\[({<]\s?(?:at|dot|\.)\s?[\])}>]|\sdot\s")
+_GROUPED = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
+#: What makes a word more than plain prose: digits, inner capitals, joints or great length.
+_ODD = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]|[_+/=-]|\S{24,}")
+_WORD = re.compile(r"\S*")
+_RUN = re.compile(r"[A-Za-z0-9_+/.~-]{12,}=*")
+_OPEN, _CLOSE = "\"'([{<`", ".,;:!?)\"']}>`"
+#: A run of digits, blanks and dashes beyond this length is a list, not one number.
 _LONG_ZONE = 60
 #: Numbers as they are usually grouped, else a word with its own dashes and dots.
 _PIECE = re.compile(
     r"(?:\(|(?<![0-9]))[0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|00[0-9]{2} [0-9]{3} [0-9]{7}"
     r"|0[0-9]{3} [0-9]{3} [0-9]{4}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4})(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])|[0-9][0-9.()-]*"
 )
-_WORD = re.compile(r"\S*")
-#: Words before a span that tell what it may be; fixed values.
+#: Words around a span that tell what it may be; fixed values.
 _CUES = [
-    ("call", "phone", "tel", "mobile", "fax", "contact", "whatsapp"),
-    ("password", "passwd", "pwd", "secret", "token", "key", "credential"),
-    ("account", "iban", "ssn", "passport", "security", "tax", "id"),
-    ("version", "page", "chapter", "figure", "license", "section", "room"),
-    ("order", "invoice", "ref", "isbn", "item", "serial", "price", "total"),
+    ("call", "phone", "tel", "mobile", "fax", "contact", "whatsapp", "reach", "text", "dial"),
+    ("password", "passwd", "pwd", "secret", "token", "key", "credential", "login", "bearer"),
+    ("account", "iban", "ssn", "passport", "security", "tax", "id", "social", "bank"),
+    ("version", "page", "chapter", "figure", "license", "section", "room", "release", "commit", "hash"),
+    ("order", "invoice", "ref", "isbn", "item", "serial", "price", "total", "pages"),
 ]
-_GENERATORS = {"zone": 0, "token": 1, "keyed": 2, "spelt": 3}
+#: Values that stand for no value; fixed values.
+_NO_VALUE = frozenset("none null nil true false required optional enter empty yes no string hidden missing invalid incorrect wrong reset expired changed valid the a an see your".split())
+_GENERATORS = {"zone": 0, "token": 1, "keyed": 2, "spelt": 3, "block": 4}
+
+#: (generator, kind if accepted, start, end, start of the value inside, its end)
+Candidate = tuple[str, str, int, int, int, int]
 
 
 def _numbers(zone: str) -> Iterator[tuple[int, int]]:
-    """The number-shaped pieces of a zone: all of it, or those of a long list; words of few digits in between join."""
+    """A zone as one number unless it is a long list, and its number-shaped pieces; words of few digits in between join."""
     if len(zone.rstrip(" ().-+")) <= _LONG_ZONE:
         yield 0, len(zone)
-        return
     short: list[tuple[int, int, int]] = []  # words of under 7 digits since the last piece
     for m in _PIECE.finditer(zone):
         digits = len(_DIGITS.findall(m.group()))
@@ -131,68 +148,115 @@ def _numbers(zone: str) -> Iterator[tuple[int, int]]:
             short = []
 
 
-def candidates(text: str, zones: list[re.Match]) -> list[tuple[str, str, int, int]]:
-    """(generator, kind if accepted, start, end)."""
-    out, ends = [], -1
+def _tokens(text: str) -> Iterator[Candidate]:
+    """Words with digits, inner capitals or joints, without their quotes, and the runs of key characters inside."""
+    end = 0
+    for m in _ODD.finditer(text):
+        a = m.start()
+        if a < end:
+            continue
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        end = _WORD.match(text, m.start()).end()
+        if end - a < 8:
+            continue
+        word = text[a:end].lstrip(_OPEN)
+        a, word = end - len(word), word.rstrip(_CLOSE)
+        if len(word) >= 8 and any(c.isalpha() for c in word):
+            yield "token", "secret", a, a + len(word), a, a + len(word)
+            for r in _RUN.finditer(word):
+                if len(r.group()) < len(word):
+                    yield "token", "secret", a + r.start(), a + r.end(), a + r.start(), a + r.end()
+
+
+def candidates(text: str, zones: list[re.Match]) -> list[Candidate]:
+    """The spans that all generators propose."""
+    out: list[Candidate] = []
     for m in zones:
-        for x, y in _numbers(m.group()):
+        if len(m.group()) < 7:
+            continue
+        for x, y in dict.fromkeys(_numbers(m.group())):
             trimmed = m.group()[x:y].rstrip(" ().-+")
             if len(_DIGITS.findall(trimmed)) >= 7:
                 kind = "account" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9 -]{16,}", trimmed) else "contact"
-                out.append(("zone", kind, m.start() + x, m.start() + x + len(trimmed)))
-        if m.start() < ends:
-            continue
-        a, b = m.start(), _WORD.match(text, m.start()).end()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        ends = b
-        word = text[a:b].rstrip(".,;:!?)\"'")
-        if len(word) >= 12 and any(c.isalpha() for c in word):
-            grouped = re.match(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", text[a : a + 45])
-            if grouped:
-                out.append(("token", "account", a, a + grouped.end()))
-            out.append(("token", "secret", a, a + len(word)))
-        elif (grouped := re.match(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?", text[a : a + 45])):
-            out.append(("token", "account", a, a + grouped.end()))
-    if ("=" in text or ":" in text) and _KEY_WORDS.search(text):
-        out += [("keyed", "secret", m.start(), m.end(1) - (m.group(1)[-1] in ".,;")) for m in _KEYED.finditer(text)]
-    if any(x in text for x in ("[at]", "(at)", "{at}", "(AT)", "[AT]")) or " dot " in text:
-        out += [("spelt", "contact", m.start(), m.end()) for m in _SPELT.finditer(text)]
+                a = m.start() + x
+                out.append(("zone", kind, a, a + len(trimmed), a, a + len(trimmed)))
+    out += _tokens(text)
+    out += [("token", "account", *m.span(), *m.span()) for m in _GROUPED.finditer(text)]
+    low = text.lower()
+    if any(sign in low for sign in "=:>") or " is " in low or " was " in low or "bearer" in low:
+        keyed = any(stem in low for stem in _KEY_STEMS)
+    else:
+        keyed = False
+    if keyed:
+        for m in _KEYED.finditer(text):
+            a, b = next(m.span(g) for g in ("double", "single", "bare") if m.group(g) is not None)
+            bare = m.group("bare") is not None
+            end = b if bare else m.end()
+            if bare and text[b - 1] in ".,;" and b - a > 3:
+                b, end = b - 1, end - 1
+            out.append(("keyed", "secret", m.start(), end, a, b))
+    if "-----BEGIN" in text:
+        at = 0
+        while (m := _BLOCK.search(text, at)) and (e := _BLOCK_END.search(text, m.end())):
+            out.append(("block", "secret", m.start(), e.end(), m.end(), e.start()))
+            at = e.end()
+    if any(sign in low for sign in ("at]", "at)", "at}", "at>", "dot")) and _SPELT_HINT.search(low):
+        out += [("spelt", "contact", *m.span(), *m.span()) for m in _SPELT.finditer(text)]
     return out
 
 
 def _mod97(s: str) -> bool:
     s = re.sub(r"[^A-Za-z0-9]", "", s).upper()
-    return 14 < len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return 14 < len(s) <= 34 and s.isascii() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][01]?[0-9][-./ ](?:19|20)[0-9]{2}")
+_LINK = re.compile(r"(?:https?:|www\.|/|\w+\.(?:com|org|net)/)")
+_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+_PREFIXED = re.compile(r"[A-Za-z]{2,6}[_-][A-Za-z0-9_-]{12,}|eyJ[A-Za-z0-9_-]{12,}|AIza[A-Za-z0-9_-]{12,}|A[KS]IA[A-Z0-9]{12,}")
+#: Counts are told apart up to this size, so that longer spans are judged alike.
+_MOST = 64
 
-def features(text: str, generator: str, start: int, end: int) -> list[float]:
-    """Format of the span and context before it, as numbers."""
-    s = text[start:end]
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
-    n = len(s)
-    digits, upper, lower = kinds.count("d"), kinds.count("u"), kinds.count("l")
+
+def features(text: str, candidate: Candidate) -> list[float]:
+    """Format of the value and context on both sides, as numbers."""
+    generator, _, start, end, a, b = candidate
+    s = text[a:b]
+    n = len(s) or 1
+    digits, upper, lower = len(_DIGITS.findall(s)), sum(map(str.isupper, s)), sum(map(str.islower, s))
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
+    words = [len(g) for g in re.findall(r"[^\W\d_]+", s)] or [0]
     letters = [c for c in s.lower() if c.isalpha()]
-    counts = np.unique(list(s), return_counts=True)[1] / n
-    before = text[max(0, start - 40) : start].lower()
-    words = re.findall(r"[a-z]+", before)[-3:]
-    inside = s.lower()
-    plain = re.sub(r"[^0-9]", "", s)
+    joints = len(re.findall(r"[a-z][A-Z0-9]|[A-Z][0-9]|[0-9][A-Za-z]", s))
+    counts = np.fromiter(Counter(s).values(), float) / n
+    vowels = sum(c in "aeiou" for c in letters)
+    alternating = sum((x in "aeiou") != (y in "aeiou") for x, y in zip(letters, letters[1:]))
+    before = re.findall(r"[a-z]+", text[max(0, start - 40) : start].lower())[-3:]
+    after = re.findall(r"[a-z]+", text[end : end + 40].lower())[:3]
+    joint = text[start:a].rstrip("\"' ")
+    plain = re.sub(r"[^0-9]", "", s) if n <= 40 else ""
+    inside = s.lower() if n <= 40 else ""
+    no_value, quoted = inside.strip(".,;:!?") in _NO_VALUE, a > 0 and text[a - 1] in "\"'"
+    set_by_sign = generator == "keyed" and not no_value and (joint.endswith("=") or quoted)
+    most = lambda v: float(min(v, _MOST))
     return [
-        n, digits, upper, lower, n - digits - upper - lower,
+        most(n), most(digits), most(upper), most(lower), most(n - digits - upper - lower),
         digits / n, upper / n, lower / n,
-        len(groups), max(groups), min(groups), groups[-1],
-        float(-(counts * np.log2(counts)).sum()),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
-        sum(c in "aeiou" for c in letters) / (len(letters) or 1),
-        s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count(":"), s.count("_"),
-        float("(" in s), float(s[0] == "+"), float("=" in s), float("@" in s),
+        most(len(groups)), most(max(groups)), most(min(groups)), most(groups[-1]),
+        most(len(words)), most(max(words)),
+        float(-(counts * np.log2(counts)).sum()), len(counts) / n, joints / n,
+        vowels / (len(letters) or 1), alternating / max(1, len(letters) - 1),
+        most(s.count("-")), most(s.count(".")), most(s.count(" ")), most(s.count("/")), most(s.count(":")), most(s.count("_")),
+        float("(" in s), float(s[:1] == "+"), float("=" in s), float("@" in s),
         float(13 <= len(plain) <= 19 and luhn(plain)), float(_mod97(s)),
-        float(bool(re.match(r"(?:19|20)[0-9]{2}[-./ ][01]?[0-9][-./ ][0-3]?[0-9]|[0-3]?[0-9][-./ ][01]?[0-9][-./ ](?:19|20)[0-9]{2}", s))),
-        float(bool(re.match(r"(?:https?:|www\.|/|\w+\.(?:com|org|net)/)", s))),
-        *(float(any(w in cue for w in words)) for cue in _CUES),
-        *(float(any(w in inside for w in cue)) for cue in _CUES[:2]),
+        float(bool(_DATE.match(s))), float(bool(_LINK.match(s))), float(bool(_UUID.fullmatch(s))), float(bool(_PREFIXED.match(s))),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", s))), float(bool(re.search(r"\.[a-z]{2,5}$", s))),
+        *(float(any(w in cue for w in before)) for cue in _CUES),
+        *(float(any(w in cue for w in after)) for cue in _CUES),
+        float(no_value), float(inside.isalpha()), float(set_by_sign), float(generator == "keyed" and not no_value and not s.isalpha()),
+        float("_" in joint or "-" in joint), float(joint.endswith("=")), float(joint.endswith((":", ">"))), float(quoted),
+        float(text[start - 1 : start] in ("=", ":", "?", "&") if start else 0), float(text[end : end + 1] == "("),
         *(float(generator == g) for g in _GENERATORS),
     ]
 
@@ -204,6 +268,14 @@ def _generated(rng: np.random.Generator, rows: int) -> Iterator[tuple[str, int,
     chars = lambda pool, n: "".join(pool[i] for i in rng.integers(0, len(pool), n))
     low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     word = lambda: chars("eeeaaaiiooutnshrdlcm" + low, int(rng.integers(2, 9)))
+    size = lambda least: int(least * float(np.exp(rng.exponential(0.8))))
+    key = lambda: pick("password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "auth-token", "PASSWORD", "Token", "client_secret", "db_password")
+
+    def value() -> str:
+        return pick(
+            chars(low + num + up + "!#$%", size(6)), chars(low + num + up + 4 * "!#$%&*+/-_@?", size(6)), f"{word()}@{word()}.{pick('com', 'org')}{pick('!', '#', '')}{d(2)}", chars(low, size(5)), chars(low + num, size(5)), chars("abcdef" + num, size(12)), chars(num, size(4)),
+            word() + d(int(rng.integers(1, 5))), word().capitalize() + word() + d(2) + pick("", "!", "?", "x"), chars(low + up + num + "+/", size(16)) + pick("", "=", "=="),
+        )
 
     def iban() -> str:
         body = d(18)
@@ -211,15 +283,26 @@ def _generated(rng: np.random.Generator, rows: int) -> Iterator[tuple[str, int,
         s = f"DE{check:02d}{body}"
         return s if rng.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    def free() -> str:
+        return pick("ghp_", "sk-", "xoxb-", "glpat-", "pk_live_", "AIza", "eyJ") + chars(pick(low + up, low + up + num, low + up + num + "_"), size(20))
+
     private = [
-        lambda: (pick("call", "phone", "tel", "mobile", ""), pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}", f"0{d(3)} {d(3)} {d(4)}")),
+        lambda: (pick("call", "phone", "tel", "mobile", "", "reach me on"), pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(7)}", f"0{d(3)} {d(3)} {d(4)}")),
         lambda: (pick("ssn", "security", "id", "tax", ""), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (pick("iban", "account", ""), iban()),
-        lambda: ("", f"{pick('password', 'passwd', 'pwd', 'secret', 'token', 'api_key')}{pick('=', ': ', ' = ')}{chars(low + num + up + '!#$%', int(rng.integers(8, 30)))}"),
-        lambda: ("", f"password={chars('abcdef' + num, 18)}"),
-        lambda: (pick("key", "", ""), pick("AKIA", "ASIA") + chars(up + num, 16)),
-        lambda: (pick("token", "", ""), pick("ghp_", "sk-", "xoxb-", "glpat-") + chars(low + up + num, int(rng.integers(20, 41)))),
-        lambda: (pick("write", "mail", ""), f"{word()}{pick('', '.' + word())} {pick('(at)', '[at]')} {word()} {pick('(dot)', '[dot]')} {pick('com', 'org', 'net')}"),
+        lambda: ("", f"{key()}{pick('=', ' = ', ': ', ':', ' := ')}{value()}"),
+        lambda: ("", f"{key()}{pick('=', ' = ', ': ')}{pick(chr(34), chr(39))}{value()}"),
+        lambda: ("", f'{key()}": "{value()}'),
+        lambda: ("", f"{key()}={chars(pick(low, low + num + up), int(rng.integers(4, 12)))}"),
+        lambda: ("", f"{key()}{pick('=', ' = ')}{chars(low + num + up, int(rng.integers(4, 8)))}"),
+        lambda: ("", f"{pick('api_key', 'access_key', 'client_secret', 'db_password', 'auth-token')}{pick(': ', '=', ':')}{chars(pick(low, low + num + up), int(rng.integers(4, 16)))}"),
+        lambda: (pick("my", "the", "your"), f"{pick('password', 'pwd', 'pin', 'passcode')} {pick('is', 'was')} {pick(word() + d(2), chars(low + num + up, size(6)), d(4), word().capitalize() + d(3))}{pick('', '!')}"),
+        lambda: (pick("key", "", "", "token", "bearer"), pick("AKIA", "ASIA") + chars(up + num, 16)),
+        lambda: (pick("token", "", "", "key"), free()),
+        lambda: (f"https://{word()}.com/{word()}?", f"{pick('token', 'secret', 'access_token')}={chars(low + up + num, size(16))}"),
+        lambda: (pick("the token", "our secret", "login key", "password was"), chars(low + up + num, size(14))),
+        lambda: (pick("write", "mail", ""), f"{word()}{pick('', '.' + word())} {pick('(at)', '[at]', '{at}', 'at')} {word()} {pick('(dot)', '[dot]', 'dot')} {pick('com', 'org', 'net')}"),
+        lambda: ("", f"-----BEGIN {pick('RSA ', '', 'EC ')}PRIVATE KEY-----\n{chars(low + up + num + '+/', size(4))}\n-----END {pick('RSA ', '', 'EC ')}PRIVATE KEY-----"),
     ]
     public = [
         lambda: (pick("on", "since", "", "the"), pick(f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{rng.integers(1900, 2100)}", f"{rng.integers(1900, 2100)}-{rng.integers(1900, 2100)}")),
@@ -228,63 +311,100 @@ def _generated(rng: np.random.Generator, rows: int) -> Iterator[tuple[str, int,
         lambda: (pick("isbn", ""), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
         lambda: ("", " ".join(d(int(rng.integers(1, 4))) for _ in range(int(rng.integers(4, 9))))),
         lambda: (pick("total", "price", ""), f"{d(3)}.{d(3)}.{d(3)}.{d(2)}"),
-        lambda: ("", f"https://{word()}.{pick('com', 'org')}/{word()}/{d(4)}?{word()}={d(3)}"),
-        lambda: ("", f"{word()}{d(int(rng.integers(1, 4)))}.{word()}_{word()}.{pick('pdf', 'txt', 'html')}"),
-        lambda: ("", f"{word()}-{word()}-{word()}{d(1)}"),
+        lambda: ("", f"https://{word()}.{pick('com', 'org')}/{word()}/{pick(d(4), word() + '-' + word(), word().upper())}?{word()}={pick(d(3), word())}"),
+        lambda: ("", f"{word()}{d(int(rng.integers(1, 4)))}.{word()}_{word()}.{pick('pdf', 'txt', 'html', 'py')}"),
+        lambda: ("", "-".join(word() for _ in range(int(rng.integers(2, 7)))) + pick("", d(1))),
+        lambda: ("", "_".join(word() for _ in range(int(rng.integers(2, 5))))),
+        lambda: ("", f"{word()}/{word()}/{word()}-{word()}"),
         lambda: ("", f"{word().capitalize()}{word()}{word()}{d(int(rng.integers(1, 5)))}"),
+        lambda: ("", "".join(word().capitalize() for _ in range(int(rng.integers(2, 5)))) + pick("", "(", ".")),
+        lambda: ("", "".join(word() for _ in range(int(rng.integers(4, 9))))),
+        lambda: ("", f"{word()}.{word()}.{word()}.{word()}()"),
         lambda: (pick("commit", "hash", "", "sha"), chars("abcdef" + num, pick(32, 40, 64))),
         lambda: ("", "-".join(chars("abcdef" + num, n) for n in (8, 4, 4, 4, 12))),
-        lambda: ("", f"{pick('key', 'token', 'secret', 'password')}: {pick('the', 'see', 'optional', 'required', 'none', 'enter')}"),
+        lambda: ("", f"{pick('key', 'token', 'secret', 'password', 'pin', 'Password')}{pick(': ', ' is ', ' = ', '=')}{pick(*sorted(_NO_VALUE))}"),
+        lambda: ("", f"{pick('token', 'secret', 'password', 'credential')}{pick(': ', ' is ', ' was ')}{word()}"),
+        lambda: ("", f"{word()} {pick('token', 'secret', 'password')} {word()} {word()}-{word()}"),
         lambda: ("", f"{d(int(rng.integers(2, 4)))}%&*{word()}###{word()}{d(2)}$$$"),
+        lambda: ("", "".join(pick("!!!", "###", "$$$", "%&*", word(), d(2)) for _ in range(int(rng.integers(5, 12))))),
+        lambda: ("", f"{word()}{pick('=', ':')}{word()}{pick(',', ';', '&')}{word()}{pick('=', ':')}{d(2)}"),
+        lambda: ("", pick("=", "-", "*", "_") * int(rng.integers(8, 60)) + pick("", word())),
     ]
     for _ in range(rows):
         yes = bool(rng.random() < 0.5)
         cue, span = pick(*(private if yes else public))()
         lead = " ".join([word() for _ in range(int(rng.integers(0, 6)))] + [cue] * bool(cue))
-        lead += " " if lead else ""
-        yield lead + span + pick("", ".", ",", " ") + " " + word(), len(lead), len(lead) + len(span), yes
+        lead += pick(" ", " ", " ", ": ", " \"", " (") if lead and not cue.endswith("?") else ""
+        close = {'"': '"', "(": ")"}.get(lead[-1:], "")
+        if yes and (quote := re.search("[\"']", span)) and not span.endswith(quote.group()):
+            span += quote.group()
+        yield lead + span + close + pick("", ".", ",", " ") + " " + " ".join(word() for _ in range(int(rng.integers(0, 4)))), len(lead), len(lead) + len(span), yes
 
 
 class PiiModel:
-    """Boosted trees over candidates with one calibrated threshold per added kind."""
+    """Boosted trees over candidates with one calibrated threshold per generator and added kind."""
 
     def __init__(self, spans: int = TRAIN_SPANS, precision: float = PRECISION, seed: int = 11):
         rng = np.random.default_rng(seed)
         x, y, kinds = [], [], []
         for text, start, end, private in _generated(rng, spans):
-            for generator, kind, a, b in candidates(text, list(_ZONE.finditer(text))):
-                x.append(features(text, generator, a, b))
-                y.append(private and a < end and b > start and min(b, end) - max(a, start) >= 0.8 * (end - start))
-                kinds.append(kind)
-        x, y, kinds = np.array(x), np.array(y, float), np.array(kinds)
+            for c in candidates(text, list(_ZONE.finditer(text))):
+                x.append(features(text, c))
+                y.append(private and c[2] < end and c[3] > start and min(c[3], end) - max(c[2], start) >= 0.6 * (end - start))
+                kinds.append(c[:2])
+        x, y = np.array(x), np.array(y, float)
         cut = 2 * len(y) // 3
         self.trees = BoostedTrees().fit(x[:cut], y[:cut])
         p = self.trees.probability(x[cut:])
         self.thresholds = {}
-        for kind in ADDED:
-            own, truth = p[kinds[cut:] == kind], y[cut:][kinds[cut:] == kind]
+        for kind in set(kinds):
+            mine = np.array([k == kind for k in kinds[cut:]])
+            own, truth = p[mine], y[cut:][mine]
             order = np.argsort(-own)
             right = np.cumsum(truth[order]) / np.arange(1, len(own) + 1)
             good = np.flatnonzero(right >= precision)
-            self.thresholds[kind] = max(0.5, float(own[order][good[-1]])) if len(good) else 2.0
+            least = 0.2 if kind[0] == "keyed" else 0.5  # a key name announces its value
+            reached = least if len(good) == len(own) else float(own[order][good[-1]]) if len(good) else 2.0
+            self.thresholds[kind] = max(least, reached)
 
     def spans(self, text: str) -> list[Span]:
-        """Base spans by kind and start, then the added ones, which overlap none of them."""
-        zones = list(_ZONE.finditer(text))
-        base = base_spans(text, zones)
-        found = candidates(text, zones)
-        if not found:
-            return base
-        p = self.trees.probability(np.array([features(text, g, a, b) for g, _, a, b in found]))
-        chosen = sorted((-q, a, b, kind) for q, (_, kind, a, b) in zip(p, found) if q >= self.thresholds[kind])
-        taken = [(a, b) for _, a, b, _ in base]
-        added: list[Span] = []
-        for q, a, b, kind in chosen:  # the likeliest of overlapping spans stays
-            if all(b <= c or a >= e for c, e in taken):
-                taken.append((a, b))
-                added.append((kind, a, b, -q))
-        added.sort(key=lambda s: (ADDED.index(s[0]), s[1]))
-        return base + added
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str | None]) -> list[list[Span]]:
+        """Of each text the base spans by kind and start, then the added ones."""
+        zones = [list(_ZONE.finditer(t or "")) for t in texts]
+        base = [base_spans(t, z) if t else [] for t, z in zip(texts, zones)]
+        found = [candidates(t, z) if t else [] for t, z in zip(texts, zones)]
+        rows = [features(t, c) for t, own in zip(texts, found) for c in own]
+        p = iter(self.trees.probability(np.array(rows)).tolist() if rows else ())
+        return [b + self._added(b, [(c, next(p)) for c in own]) for b, own in zip(base, found)]
+
+    def _added(self, base: list[Span], scored: list[tuple[Candidate, float]]) -> list[Span]:
+        """Accepted candidates; those that overlap become their common hull, so none is left in part.
+
+        Inside base spans nothing is added; a secret that reaches beyond one is.
+        """
+        chosen = sorted((c[2], c[3], q, c[1]) for c, q in scored if q >= self.thresholds.get(c[:2], 2.0))
+        taken, first = sorted((a, b) for _, a, b, _ in base), 0
+        hulls: list[list] = []
+        for a, b, q, kind in chosen:
+            while first < len(taken) and taken[first][1] <= a:
+                first += 1
+            beyond = first
+            while beyond < len(taken) and taken[beyond][0] < b:
+                beyond += 1
+            near = taken[first:beyond]
+            if any(e > a for _, e in near) and (kind != "secret" or any(s <= a and b <= e for s, e in near)):
+                continue
+            if hulls and a < hulls[-1][1]:
+                last = hulls[-1]
+                last[1] = max(last[1], b)
+                if q > last[2]:
+                    last[2:] = [q, kind]
+            else:
+                hulls.append([a, b, q, kind])
+        added = [(kind, a, b, q) for a, b, q, kind in hulls]
+        return sorted(added, key=lambda s: (ADDED.index(s[0]), s[1]))
 
 
 @lru_cache(maxsize=1)
@@ -312,12 +432,13 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     """Add spans_col: array of (kind, start, end, score), in code points, end exclusive.
 
     Base kinds (email, ip, card, phone) follow fixed patterns and have score 1; secret, account and
-    contact spans are candidates whose calibrated probability reaches their kind's threshold.
-    Spans are ordered by kind, then start. With redact the text is replaced by its redaction.
+    contact spans are candidates whose probability reaches the calibrated threshold of their generator and kind, overlapping
+    ones as their hull. Candidates and spans have no longest length. Spans are ordered by kind,
+    then start. With redact the text is replaced by its redaction.
 
     Defined cases: null text has no spans and stays null; texts of any length are read whole, in
     linear time; rows that repeat are treated alike; of equally likely overlapping candidates
-    the earlier stays; an empty table gives an empty result; all columns stay, and spans_col
+    the earlier names the kind; an empty table gives an empty result; all columns stay, and spans_col
     must not name one of them.
     """
     if spans_col in docs.columns:
@@ -327,12 +448,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = fitted.value.spans
+        find = fitted.value.spans_of
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(lo, _ROWS)
                 texts = part.column(at).to_pylist()
-                spans = [find(t) if t else [] for t in texts]
+                spans = find(texts)
                 columns = part.columns
                 if redact:
                     columns[at] = pa.array([redacted(t, s) if s else t for t, s in zip(texts, spans)], batch.schema.field(at).type)
@@ -351,5 +472,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans")
-    )
+        "doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"),
+        *(count(k).alias(f"n_{k}") for k in ADDED), F.size("pii_spans").cast("long").alias("n_spans"),
+    )
