@@ -66,17 +66,30 @@ class CoverTree:
         return len(self.center) - 1
 
 
-def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(links, edges): the weight of b's rows linked with each row of a, and row pairs (a, b) that span the links.
+def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray, weight_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of a, links of b, edges): the weight of the other tree's rows linked with each row, and row pairs (a, b) that span the links.
 
     Node pairs further apart than threshold and covering radii allow are pruned; pairs that lie
-    wholly within the threshold count at once and give spanning edges only. a and b may hold the same vectors;
-    then a row's link with itself is among its links.
+    wholly within the threshold count at once and give spanning edges only. a and b may be one tree;
+    then both counts are the same, and a row's link with itself is among its links.
     """
-    links = np.zeros(len(a.x))
+    links_a, links_b = np.zeros(len(a.x)), np.zeros(len(b.x))
     edges: list[np.ndarray] = []
+
+    def whole(ma: np.ndarray, mb: np.ndarray) -> None:
+        links_a[ma] += weight_b[mb].sum()
+        links_b[mb] += weight_a[ma].sum()
+        edges.append(np.column_stack((ma, np.full(len(ma), mb[0]))))
+        edges.append(np.column_stack((np.full(len(mb), ma[0]), mb)))
+
+    def some(ma: np.ndarray, mb: np.ndarray, exact: np.ndarray) -> None:
+        links_a[ma] += exact @ weight_b[mb]
+        links_b[mb] += weight_a[ma] @ exact
+        k, m = np.nonzero(exact)
+        edges.append(np.column_stack((ma[k], mb[m])))
+
     if a.root < 0 or b.root < 0:
-        return links, np.zeros((0, 2), np.int64)
+        return links_a, links_b, np.zeros((0, 2), np.int64)
     reach = float(np.sqrt(2 - 2 * cosine))
     todo = [(a.root, b.root)]
     while todo:
@@ -90,33 +103,21 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_b: np.ndarray)
         single = both == 0
         hit = near & single & (g >= cosine)
         if hit.any():
-            ra, rb = a.centers[ca], b.centers[cb]
             if (a.sizes[ca] > 1).any() or (b.sizes[cb] > 1).any():  # identical vectors in one leaf
                 for i, j in np.argwhere(hit):
-                    _all(links, edges, a.members[ca[i]], b.members[cb[j]], weight_b)
+                    whole(a.members[ca[i]], b.members[cb[j]])
             else:
-                links[ra] += hit @ weight_b[rb]
-                i, j = np.nonzero(hit)
-                edges.append(np.column_stack((ra[i], rb[j])))
+                some(a.centers[ca], b.centers[cb], hit)
         inside = near & ~single & (d + both <= reach - _SLACK)
         for i, j in np.argwhere(inside):
-            _all(links, edges, a.members[ca[i]], b.members[cb[j]], weight_b)
+            whole(a.members[ca[i]], b.members[cb[j]])
         for i, j in np.argwhere(near & ~single & ~inside):
             ma, mb = a.members[ca[i]], b.members[cb[j]]
             if len(ma) * len(mb) > _DIRECT and (a.children[ca[i]] or b.children[cb[j]]):
                 todo.append((ca[i], cb[j]))
             else:  # few rows, or leaves of (nearly) identical vectors: every pair is decided
-                exact = a.x[ma] @ b.x[mb].T >= cosine
-                links[ma] += exact @ weight_b[mb]
-                k, m = np.nonzero(exact)
-                edges.append(np.column_stack((ma[k], mb[m])))
-    return links, (np.concatenate(edges) if edges else np.zeros((0, 2), np.int64))
-
-
-def _all(links: np.ndarray, edges: list, ma: np.ndarray, mb: np.ndarray, weight_b: np.ndarray) -> None:
-    links[ma] += weight_b[mb].sum()
-    edges.append(np.column_stack((ma, np.full(len(ma), mb[0]))))
-    edges.append(np.column_stack((np.full(len(mb), ma[0]), mb)))
+                some(ma, mb, a.x[ma] @ b.x[mb].T >= cosine)
+    return links_a, links_b, (np.concatenate(edges) if edges else np.zeros((0, 2), np.int64))
 
 
 def least_reachable(n: int, edges: np.ndarray, names: np.ndarray) -> np.ndarray:

@@ -56,9 +56,12 @@ def test_dual_traversal(monkeypatch, direct):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = np.concatenate((x, x[:5]))
     w = np.arange(1.0, len(x) + 1)
-    links, edges = dual_links(CoverTree(x), CoverTree(x), 0.98, w)
+    tree = CoverTree(x)
     truth = x @ x.T >= 0.98
+    links, _, edges = dual_links(tree, tree, 0.98, w, w)
     assert np.allclose(links, truth @ w)
+    left, right, _ = dual_links(CoverTree(x[:80]), CoverTree(x[80:]), 0.98, w[:80], w[80:])
+    assert np.allclose(left, truth[:80, 80:] @ w[80:]) and np.allclose(right, w[:80] @ truth[:80, 80:])
     assert truth[edges[:, 0], edges[:, 1]].all()
 
 
@@ -77,3 +80,28 @@ def test_tree_invariants():
             at = x[[tree.center[c] for c in children]]
             apart = np.sqrt(np.maximum(2 - 2 * at @ at.T, 0)) + 9 * np.eye(len(children))
             assert apart.min() > tree.radius[node] / 2
+
+
+def test_block_pairs_are_groups_of_the_shuffle(spark):
+    """With broadcasts off, the plan still deals a crowded cell by its pairs of blocks, not by the cell."""
+    from loomgraph.llm import embedding_dedup
+
+    plans, written = [], embedding_dedup.written
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(embedding_dedup, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, name))[1])
+            frame = spark.createDataFrame(made(4, 120), "vec_id long, embedding array<double>, label int")
+            assert near_embeddings(frame, block=16, pivots=8).count() == 120
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    traversal = next(p for p in plans if "FlatMapGroupsInArrow" in p)
+    after = traversal[traversal.index("FlatMapGroupsInArrow") :]
+    first = after[after.index("Exchange") :].split("\n")[0]
+    assert all(f"{c}#" in first for c in ("label", "cell", "a", "b"))
+
+
+def test_other_ids_are_refused(spark):
+    with pytest.raises(ValueError):
+        near_embeddings(spark.createDataFrame([("x", [1.0], 1)], "vec_id string, embedding array<double>, label int"))
