@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -65,3 +66,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: A key with at least this share of all rows is joined by broadcast; there can't be more such keys than this.
+HOT_KEYS = 1000
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: Column, size: str, fields: list[str], spread: Column) -> DataFrame:
+    """rows (left join) with the fields of values, one row per key in its column "key", by the key column of rows.
+
+    size is the column of values that tells how many rows have the key. Keys with at least one row in HOT_KEYS
+    are at most HOT_KEYS and come by broadcast; their rows, and rows whose key is null, take part in the shuffle
+    for the other keys under spread, a value of the key's type that meets no key and differs between rows.
+    """
+    total = values.agg(F.sum(size)).first()[0] or 0
+    busy = F.col(size) * HOT_KEYS >= total
+    one = lambda df, name: df.select(F.col("key").alias(f"_{name}_key"), F.struct(*fields).alias(f"_{name}"))
+    hot, rest = one(values.filter(busy), "hot"), one(values.filter(~busy), "rest")
+    rows = rows.withColumn("_key", key)
+    seen = rows.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left").drop("_hot_key")
+    dealt = F.when(F.col("_hot").isNotNull() | F.col("_key").isNull(), spread).otherwise(F.col("_key"))
+    found = seen.withColumn("_key", dealt).join(rest, F.col("_key") == F.col("_rest_key"), "left")
+    return found.select(*(c for c in rows.columns if c != "_key"), *(F.coalesce(F.col("_hot")[f], F.col("_rest")[f]).alias(f) for f in fields))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import LOWER, UPPER, table, written
+from loomgraph.llm.common import LOWER, UPPER, looked_up, table, written
 
 #: Salts a digest's rows may take in the first merge, so a digest with a third of all rows
 #: is merged by this many tasks and the last merge sees at most this many rows of it.
@@ -29,7 +29,7 @@ def exact_dedup(
     Three combining steps compare (digest, whole normalised text), never the digest alone:
     the map-side aggregate deduplicates inside each input partition, the first shuffle merges
     the groups of a digest under a salt, the second merges the salt winners. Only text-free
-    rows are joined back. Digests that carry several different texts are resolved by joining
+    rows are joined back, those of the few digests with a thousandth of all rows or more by broadcast. Digests that carry several different texts are resolved by joining
     the winners' texts; digest_bits shortens the grouping digest so that tests can force this.
 
     Defined cases: null text equals the empty text; a null id loses against any other id, and
@@ -37,6 +37,8 @@ def exact_dedup(
     carry the winner's mark and each counts in group_size; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
+    if taken := {id_col, "keep_id", "group_size", "kept", "text_sha256"} & set(keep or []):
+        raise ValueError(f"{sorted(taken)} are columns of the result")
     extra = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep or [])]
     base = docs.select(
         *extra,
@@ -66,8 +68,10 @@ def exact_dedup(
 
     more = [f"kept_{i}" for i in range(len(extra))]
     out = ["doc_id", "keep_id", "group_size", "text_sha256", *more]
-    lone = winners.filter("n_texts = 1").select("digest", "keep_id", "group_size")
-    result = base.select("doc_id", "digest", "text_sha256", *more).join(lone, "digest").select(*out)
+    lone = winners.filter("n_texts = 1").select(F.col("digest").alias("key"), "keep_id", "group_size")
+    spread = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    rows = base.select("doc_id", "digest", "text_sha256", *more)
+    result = looked_up(rows, lone, F.col("digest"), "group_size", ["keep_id", "group_size"], spread).filter("group_size IS NOT NULL").select(*out)
     shared = winners.filter("n_texts > 1")
     if not shared.isEmpty():
         # Different texts under one digest: fetch each winner's text and compare whole texts.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import small_batches, table, written
+from loomgraph.llm.common import looked_up, small_batches, table, written
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import SHINGLE_WORDS, mix, shingle_sets
 
@@ -132,7 +132,8 @@ def near_dedup(
 
     Documents with equal sets are one representative. Half keys that occur once are dropped
     before they are combined, without loss, so only documents with a shared half key in both
-    collections make table keys. In each bucket all members are first compared with the one
+    collections make table keys. Counts and hubs of half keys and buckets combine before the shuffle and are joined back, so that a
+    crowded one can be split. In each bucket all members are first compared with the one
     that shares the most half keys; whole sets decide. What then still lies in one bucket but in different components is
     compared completely by a prefix-filtered join, so no bucket is capped or listed pair by pair.
 
@@ -145,23 +146,23 @@ def near_dedup(
     features = written(_features(docs, words, side, half), "near-features")
     usable = features.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(
-        usable.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves")), "near-reps"
+        usable.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("rows")), "near-reps"
     )
 
     halves = reps.select("rep", F.posexplode("halves").alias("j", "half"))
-    shared = halves.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("half"))).filter("n > 1")
+    shared = halves.join(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "half")
     sides = shared.groupBy("rep").agg(
         F.sum("n").alias("weight"),
         F.collect_list(F.when(F.col("j") < side, F.col("half"))).alias("one"),
         F.collect_list(F.when(F.col("j") >= side, F.col("half"))).alias("two"),
     )  # at most 2 * side entries each
+    sides = written(sides.filter("size(one) > 0 AND size(two) > 0"), "near-sides")
     keys = sides.select("rep", "weight", F.explode("one").alias("h1"), "two").select("rep", "weight", "h1", F.explode("two").alias("h2"))
     keys = keys.select("rep", "weight", F.xxhash64("h1", "h2").alias("key"))
-    buckets = W.partitionBy("key")
     # The hub shares the most half keys: of copies with edits it is the one nearest to all others.
-    hub = F.max(F.struct("weight", "rep")).over(buckets)["rep"]
-    members = keys.select("rep", "key", hub.alias("hub"), F.min("rep").over(buckets).alias("lo"), F.max("rep").over(buckets).alias("hi"))
-    members = written(members.filter("lo != hi").drop("lo", "hi"), "near-members")
+    buckets = keys.groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("hub"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    members = keys.select("rep", "key").join(buckets.filter("lo != hi").select("key", "hub"), "key")
+    members = written(members.select("rep", "key", "hub"), "near-members")
 
     found = members.select("rep").distinct()
     sets = written(_sets(docs.join(found, F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", "text"), words), "near-sets")
@@ -181,12 +182,11 @@ def near_dedup(
     lifted = joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(lifted)
 
-    rep_of = reps.join(final, F.col("rep") == F.col("id"), "left").select(
-        F.col("n_shingles").alias("n"), F.col("set_key").alias("s"), F.coalesce("component", "rep").alias("component_id")
-    )
-    out = features.select("doc_id", "n_shingles", "set_key").join(
-        rep_of, (F.col("n_shingles") == F.col("n")) & (F.col("set_key") == F.col("s")) & F.col("doc_id").isNotNull(), "left"
-    )
+    named = F.struct(F.col("n_shingles").alias("n"), F.col("set_key").alias("s"))
+    rep_of = reps.join(final, F.col("rep") == F.col("id"), "left").select(named.alias("key"), F.coalesce("component", "rep").alias("component_id"), "rows")
+    own = F.struct(F.lit(-1).cast("long").alias("n"), F.array(F.monotonically_increasing_id()).alias("s"))  # no set's key
+    key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), named)
+    out = looked_up(features.select("doc_id", "n_shingles", "set_key"), rep_of, key, "rows", ["component_id"], own)
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

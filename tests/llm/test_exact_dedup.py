@@ -38,3 +38,8 @@ def test_kept_columns_and_empty_table(spark):
     got = {r["doc_id"]: (r["digest"], r["text"], r["kept"]) for r in exact_dedup(frame, keep=["digest", "text"]).collect()}
     assert got == {1: ("x", "A", False), 2: ("y", "a", True)}
     assert exact_dedup(frame.limit(0)).count() == 0
+
+
+def test_kept_columns_must_not_clash(spark):
+    with pytest.raises(ValueError):
+        exact_dedup(spark.createDataFrame([(1, "a", True)], "doc_id long, text string, kept boolean"), keep=["kept"])
