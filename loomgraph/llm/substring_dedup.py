@@ -18,15 +18,16 @@ from loomgraph.llm.suffix import repeats_in
 LENGTH = 100
 #: Bytes of an anchor: of the anchors in each LENGTH-byte string, the one with the least hash names its task.
 ANCHOR = 20
-#: Different fragments of one anchor that one suffix array takes; beyond it each LENGTH-byte string is matched by hash.
-GROUP = 8192
+#: Different fragments of one anchor that one suffix array takes; those of a more crowded anchor are dealt anew by deeper anchors.
+GROUP = 2048
 #: Fragments gathered before a suffix array is built.
-GATHER = 8192
+GATHER = 4096
 _STRIDE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
 _FRAGMENTS = "h long, f long, key long, at long, n long"
-_TEXTS = "h long, key long, at long, n long, text binary, hot boolean"
+_TEXTS = "h long, f long, key long, at long, n long, root long, text binary"
+_TEXT_NAMES = ["h", "f", "key", "at", "n", "root", "text"]
 _MARKS = "key long, a long, b long"
 
 
@@ -78,8 +79,8 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -
     return h[anchors[first]], f, row[begin], begin - offsets[row[begin]], count
 
 
-def _fragment_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Fragments (n > 0), and fragments that follow an equal one of the same batch (n < 0, h arbitrary)."""
+def _fragment_rows(docs: DataFrame, length: int, anchor: int, combine: bool) -> DataFrame:
+    """Fragments (n > 0); with combine those that follow an equal one of the same batch have n < 0 and an h of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,46 +89,51 @@ def _fragment_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 for _, skip, part, bounds in _strips(data, offsets, length):
                     h, f, row, at, n = fragments(part, bounds, length, anchor)
                     key, at = keys[first + row], at + skip
-                    order = np.lexsort((at, key, f, h))
-                    h, f, key, at, n = h[order], f[order], key[order], at[order], n[order]
-                    again = np.concatenate(([False], (h[1:] == h[:-1]) & (f[1:] == f[:-1]))) if len(h) else np.zeros(0, bool)
-                    h = np.where(again, mix(f + at.astype(np.uint64)), h)
-                    n = np.where(again, -n, n)
+                    if combine and len(h):
+                        order = np.lexsort((at, key, f, h))
+                        h, f, key, at, n = h[order], f[order], key[order], at[order], n[order]
+                        again = np.concatenate(([False], (h[1:] == h[:-1]) & (f[1:] == f[:-1])))
+                        h = np.where(again, mix(f + at.astype(np.uint64)), h)
+                        n = np.where(again, -n, n)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), f.view(np.int64), key, at, n)], ["h", "f", "key", "at", "n"])
 
     return small_batches(docs).mapInArrow(run, _FRAGMENTS)
 
 
 def _fragment_texts(wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted fragments; those of crowded anchors become their single strings, by hash."""
+    """The bytes of each document's wanted fragments, a document at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "key", "at", "n", "text", "hot"]
         for batch in batches:
             keys, texts, lists = (batch.column(c) for c in ("key", "text", "list"))
             for i in range(batch.num_rows):
-                raw, key = texts[i].as_py().encode(), keys[i].as_py()
-                out, hot = [], []
-                for x in lists[i].as_py():
-                    part = raw[x["at"] : x["at"] + x["n"] - 1 + length]
-                    if x["nf"] <= GROUP:
-                        out.append((x["h"], key, x["at"], x["n"], part, False))
-                    else:
-                        sums, unit = _hash_sums(np.frombuffer(part, np.uint8))
-                        h = mix((sums[length:] - sums[:-length]) * unit[: len(part) - length + 1]).view(np.int64)
-                        hot.append((h, x["at"] + np.arange(len(h))))
-                if out:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                if hot:
-                    h, at = (np.concatenate(c) for c in zip(*hot))
-                    n = len(h)
-                    filled = [np.full(n, key), at, np.ones(n, np.int64), pa.array([b""] * n, pa.binary()), np.ones(n, bool)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, *filled)], names)
+                raw, rows = texts[i].as_py().encode(), lists[i].values
+                h, f, at, n = (rows.field(c).to_numpy() for c in ("h", "f", "at", "n"))
+                parts = [raw[x : x + k - 1 + length] for x, k in zip(at.tolist(), n.tolist())]
+                columns = [h, f, np.full(len(h), keys[i].as_py()), at, n, at, pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _TEXT_NAMES)
 
     return small_batches(wanted).mapInArrow(run, _TEXTS)
 
 
+def _deeper(crowded: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Fragments cut into those of a longer anchor; equal strings still share their anchor's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text").cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            h, f, row, at, n = fragments(data, offsets - offsets[0], length, anchor)
+            old_h, key, start, root = (batch.column(c).to_numpy()[row] for c in ("h", "key", "at", "root"))
+            h = mix(h + np.uint64(anchor) * _BASE ^ old_h.view(np.uint64))  # parts of one crowded anchor stay apart from others
+            raw, begin = data.tobytes(), (offsets - offsets[0])[:-1][row] + at
+            parts = [raw[x : x + k - 1 + length] for x, k in zip(begin.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, start + at, n, root)] + [pa.array(parts, pa.binary())], _TEXT_NAMES)
+
+    return small_batches(crowded.select(*_TEXT_NAMES)).mapInArrow(run, _TEXTS)
+
+
 def _groups(texts: list[bytes], key: np.ndarray, at: np.ndarray, n: np.ndarray, length: int):
     """Maximal repeats of gathered fragments as (length, members, whether each is not the first occurrence)."""
     _, base, suffix, of, found = repeats_in(texts, n, length)
@@ -142,8 +148,8 @@ def _groups(texts: list[bytes], key: np.ndarray, at: np.ndarray, n: np.ndarray,
 
 
 def _gathered(frags: DataFrame, schema: str, length: int, make) -> DataFrame:
-    """Run make(texts, key, at, n) over whole anchor groups, GATHER fragments or more at a time."""
-    columns = ["h", "key", "at", "n", "text"]
+    """Run make(texts, key, at, n, root) over whole anchor groups, GATHER fragments or more at a time."""
+    columns = ["h", "key", "at", "n", "root", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -151,7 +157,7 @@ def _gathered(frags: DataFrame, schema: str, length: int, make) -> DataFrame:
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if t.num_rows > 1:
-                yield from make(t["text"].to_pylist(), *(t[c].to_numpy() for c in ("key", "at", "n")))
+                yield from make(t["text"].to_pylist(), *(t[c].to_numpy() for c in ("key", "at", "n", "root")))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, GATHER):
@@ -171,7 +177,7 @@ def _gathered(frags: DataFrame, schema: str, length: int, make) -> DataFrame:
 
 
 def _mark(length: int):
-    def make(texts, key, at, n) -> Iterator[pa.RecordBatch]:
+    def make(texts, key, at, n, _) -> Iterator[pa.RecordBatch]:
         base, suffix, of, _, long, _, member, later = _groups(texts, key, at, n, length)
         edge = np.zeros(base[-1] + 1, np.int64)
         np.add.at(edge, suffix[member[later]], 1)
@@ -188,48 +194,108 @@ def _mark(length: int):
 
 
 def _list(length: int):
-    def make(texts, key, at, n) -> Iterator[pa.RecordBatch]:
+    def make(texts, key, at, n, root) -> Iterator[pa.RecordBatch]:
         _, _, of, place, long, group, member, _ = _groups(texts, key, at, n, length)
-        name = mix(np.array([key[0], at[0]]).astype(np.uint64))[0] if len(key) else np.uint64(0)
-        ids = mix(group.astype(np.uint64) + name).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, long, key[of[member]], place[member])], ["repeat_id", "length", "key", "start"])
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+        name = mix(mix(key[of[member]][first].astype(np.uint64)) + place[member][first].astype(np.uint64) * _BASE + long[first].astype(np.uint64))
+        ids = name[group].view(np.int64) if len(group) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, long, key[of[member]], place[member], root[of[member]])], ["repeat_id", "length", "key", "start", "root"])
 
     return make
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """(key, id, text) with keys that order documents; ids serve unless some are null or repeat."""
+    """(key, id, text) with keys that order documents; whole numbers serve unless some are null or repeat."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    if whole and rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
         return rows.select(F.col("id").cast("long").alias("key"), "id", "text"), "id"
     ordered = rows.orderBy(F.asc_nulls_first("id"), "text").select(F.monotonically_increasing_id().alias("key"), "id", "text")
     return written(ordered, "repeat-keys"), "key"
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with k (the place among equal fragments), nf (different fragments of the anchor) and nr (its fragments)."""
+    same, anchor = W.partitionBy("h", "f").orderBy("key", "at"), W.partitionBy("h")
+    ranked = rows.withColumn("k", F.row_number().over(same))
+    return ranked.withColumn("nf", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(anchor))
+
+
+def _anchors(anchor: int, length: int) -> list[int]:
+    """Lengths of the deeper anchors; the last one is the whole string, so its equal strings are equal fragments."""
+    return [a for a in (anchor + (length - anchor) // 3, anchor + 2 * (length - anchor) // 3) if anchor < a < length] + [length]
+
+
+def _span(length: int) -> list:
+    """Columns a, b of the bytes that a fragment covers."""
+    return [F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).alias("b")]
+
+
 def _compared(keyed: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """(marks of fragments equal to an earlier one, fragments whose anchor has several different texts)."""
-    same = W.partitionBy("h", "f").orderBy("key", "at")
-    rows = _fragment_rows(keyed.select("key", "text"), length, anchor)
-    ranked = rows.withColumn("k", F.row_number().over(same)).withColumn("nf", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(W.partitionBy("h")))
-    kept = ranked.filter("n < 0 OR k > 1 OR nf > 1").select("h", "key", "at", F.abs("n").alias("n"), (F.expr("n < 0 OR k > 1")).alias("again"), "nf")
+    """(marks of fragments equal to an earlier one, different fragments of each anchor with several, at most GROUP of one)."""
+    ranked = _ranked(_fragment_rows(keyed.select("key", "text"), length, anchor, True))
+    kept = ranked.filter("n < 0 OR k > 1 OR nf > 1").select("h", "f", "key", "at", F.abs("n").alias("n"), (F.expr("n < 0 OR k > 1")).alias("again"), "nf")
     kept = written(kept, "repeat-fragments")
-    marks = kept.filter("again").select("key", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).alias("b"))
-    lists = kept.filter("NOT again").groupBy("key").agg(F.collect_list(F.struct("h", "at", "n", "nf")).alias("list"))  # of one text
-    texts = _fragment_texts(lists.join(keyed.select("key", "text"), "key"), length)
-    return marks, written(texts, "repeat-texts")
+    marks = kept.filter("again").select("key", *_span(length))
+    lists = lambda rows: rows.groupBy("key").agg(F.collect_list(F.struct("h", "f", "at", "n")).alias("list"))  # noqa: E731  of one text
+    fetch = lambda rows, name: written(_fragment_texts(lists(rows).join(keyed.select("key", "text"), "key"), length), name)
+    different = kept.filter("NOT again")
+    few = fetch(different.filter(F.col("nf") <= GROUP), "repeat-texts")
+    crowded = different.filter(F.col("nf") > GROUP)
+    if crowded.isEmpty():
+        return marks, few
+    rest = fetch(crowded, "repeat-crowded")
+    for deeper in _anchors(anchor, length):
+        ranked = written(_ranked(_deeper(rest, length, deeper)), "repeat-deeper")
+        marks = marks.unionByName(ranked.filter("k > 1").select("key", *_span(length)))
+        few = few.unionByName(ranked.filter((F.col("k") == 1) & F.col("nf").between(2, GROUP)).select(*_TEXT_NAMES))
+        rest = ranked.filter((F.col("k") == 1) & (F.col("nf") > GROUP))
+        if rest.isEmpty():
+            break
+    return marks, few
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """Maximal repeats of at least length bytes with all their occurrences among different surroundings.
+    """Maximal repeats of at least length bytes with all their occurrences.
 
     Returns repeat_id, length, id_col, start. Repeats are seen within the fragment of one anchor, so a
-    repeat of many hundred bytes shows up as several overlapping groups; fragments equal to an
-    earlier one are represented by it. Null, empty and short texts have no repeats.
+    repeat of many hundred bytes shows up as several overlapping groups. Of equal fragments the first two enter the suffix
+    array; occurrences in the others follow from theirs. Anchors with more than GROUP such fragments are parted by deeper
+    ones; where even whole strings are that crowded, their groups have exactly length bytes.
+
+    Defined cases: null, empty and short texts have no repeats; ids of any type may be null or repeat, and each row
+    counts as a document; repeated rows repeat each other; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     keyed, _ = _keyed(docs, id_col, text_col)
-    _, texts = _compared(keyed, length, anchor)
-    found = _gathered(texts.filter("NOT hot"), "repeat_id long, length long, key long, start long", length, _list(length))
-    return found.join(keyed.select("key", "id"), "key").select("repeat_id", "length", F.col("id").alias(id_col), "start")
+    rows = _fragment_rows(keyed.select("key", "text"), length, anchor, False)
+    copies, in_anchor = W.partitionBy("h", "f").orderBy("key", "at"), W.partitionBy("h")
+    ranked = rows.withColumn("k", F.row_number().over(copies)).withColumn("rep", F.first(F.struct("key", "at")).over(copies))
+    ranked = ranked.withColumn("nr", F.sum(F.when(F.col("k") <= 2, 1).otherwise(0)).over(in_anchor)).filter("nr > 1")
+    ranked = written(ranked, "repeat-fragments")
+    lists = lambda part: part.groupBy("key").agg(F.collect_list(F.struct("h", "f", "at", "n")).alias("list"))  # noqa: E731  of one text
+    fetch = lambda part, name: written(_fragment_texts(lists(part).join(keyed.select("key", "text"), "key"), length), name)
+    few = fetch(ranked.filter((F.col("k") <= 2) & (F.col("nr") <= GROUP)), "repeat-texts")
+    listed = "repeat_id long, length long, key long, start long, root long"
+    found = None
+    crowded = ranked.filter((F.col("k") <= 2) & (F.col("nr") > GROUP))
+    if not crowded.isEmpty():
+        rest = fetch(crowded, "repeat-crowded")
+        for deeper in _anchors(anchor, length):
+            parts = _deeper(rest, length, deeper).withColumn("nr", F.count(F.lit(1)).over(in_anchor)).filter("nr > 1")
+            parts = written(parts, "repeat-deeper")
+            few = few.unionByName(parts.filter(F.col("nr") <= GROUP).select(*_TEXT_NAMES))
+            rest = parts.filter(F.col("nr") > GROUP)
+            if rest.isEmpty():
+                break
+        else:
+            found = rest.select(F.col("h").alias("repeat_id"), F.lit(length).cast("long").alias("length"), "key", F.col("at").alias("start"), "root")
+    groups = _gathered(few, listed, length, _list(length))
+    found = written(groups if found is None else groups.unionByName(found), "repeat-groups")
+    others = ranked.filter("k > 2").select(F.col("rep.key").alias("key"), F.col("rep.at").alias("root"), F.col("key").alias("other"), F.col("at").alias("other_at"))
+    more = found.join(others, ["key", "root"]).select("repeat_id", "length", F.col("other").alias("key"), (F.col("start") - F.col("root") + F.col("other_at")).alias("start"))
+    every = found.select("repeat_id", "length", "key", "start").unionByName(more).distinct()
+    return every.join(keyed.select("key", "id"), "key").select("repeat_id", "length", F.col("id").alias(id_col), "start")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -239,25 +305,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs, in bytes of UTF-8) and kept (binary).
 
     Every length-byte string has an anchor chosen by content; runs of strings with one anchor are
-    fragments. Equal fragments are settled by their hash, in each batch before the shuffle and then per
-    anchor; only fragments whose anchor has different texts around it are fetched. Their suffixes
+    fragments. Of equal fragments (by two 64-bit hashes), the first stands in the suffix array for all, and the others are
+    marked whole; only fragments whose anchor has different texts around it are fetched. Their suffixes
     are sorted, common-prefix intervals found by a stack scan, and in each left-diverse interval
-    all occurrences but the first are marked. Anchors with more than GROUP different fragments
-    are settled string by string, by hash, without gathering them.
+    all occurrences but the first are marked. Fragments of anchors with more than GROUP different ones
+    are cut anew by deeper anchors, up to the whole string, and go the same way.
 
     Defined cases: earlier means a smaller id, or an earlier start in the same text; null ids come
-    first, rows that repeat an id follow each other by text; null, empty and short texts lose
-    nothing; longer texts are cut into overlapping strips, never truncated; an empty table gives an
+    first, rows that repeat an id follow each other by text, ids that are no numbers are in their own order; null, empty and
+    short texts lose nothing; longer texts are cut into overlapping strips, never truncated; an empty table gives an
     empty result; other columns are ignored, whatever their names.
     """
     keyed, _ = _keyed(docs, id_col, text_col)
     marks, texts = _compared(keyed, length, anchor)
-    marks = marks.unionByName(_gathered(texts.filter("NOT hot"), _MARKS, length, _mark(length)))
-    crowded = texts.filter("hot").select("h", "key", "at")
-    if not crowded.isEmpty():
-        least = crowded.groupBy("h").agg(F.min(F.struct("key", "at")).alias("least"))
-        later = crowded.join(least, "h").filter(F.struct("key", "at") != F.col("least"))
-        marks = marks.unionByName(later.select("key", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
+    marks = marks.unionByName(_gathered(texts, _MARKS, length, _mark(length)))
     lists = marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("list"))  # of one text
     joined = keyed.join(lists, "key", "left").select("id", "text", "list")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

@@ -58,12 +58,23 @@ def test_against_brute_force(spark, seed):
     compare(spark, made(seed), 30, 8)
 
 
-def test_crowded_anchors_and_strips(spark, monkeypatch):
-    monkeypatch.setattr(sd, "GROUP", 2)
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_crowded_anchors_and_strips(spark, monkeypatch, group):
+    monkeypatch.setattr(sd, "GROUP", group)
     monkeypatch.setattr(sd, "_STRIDE", 64)
     compare(spark, made(3), 30, 8)
 
 
+def test_crowded_passage_in_different_surroundings(spark, monkeypatch):
+    """One passage in every document, so that its anchors have as many fragments as documents."""
+    monkeypatch.setattr(sd, "GROUP", 8)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9)))
+    passage = " ".join(word() for _ in range(9))
+    rows = [(k, " ".join([*(word() for _ in range(k % 5)), passage[: rng.randint(35, len(passage))], *(word() for _ in range(4))])) for k in range(80)]
+    compare(spark, rows, 30, 8)
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_documents_that_end_inside_a_repeat(spark, seed):
     rng = random.Random(seed)
@@ -105,3 +116,45 @@ def test_groups_hold_all_occurrences(spark):
     for r in sd.repeat_groups(frame, length=40, anchor=10).collect():
         groups.setdefault(r["repeat_id"], set()).add(r["doc_id"])
     assert {0, 1, 2, 3, 4} in groups.values()
+
+
+def occurrences(texts, part):
+    found = []
+    for i, t in texts:
+        at = t.find(part)
+        while at >= 0:
+            found.append((i, at))
+            at = t.find(part, at + 1)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("group", [2048, 2])
+def test_groups_list_every_occurrence(spark, monkeypatch, group):
+    """Identical documents, a passage in many surroundings and one inside a document twice."""
+    monkeypatch.setattr(sd, "GROUP", group)
+    rng = random.Random(31)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copy, passage = line(120), line(60)
+    texts = [(k, copy) for k in range(6)] + [(10 + k, line(20) + passage + line(25)) for k in range(7)] + [(30, passage + line(9) + passage)]
+    byte_of = dict(texts)
+    groups = {}
+    for r in sd.repeat_groups(spark.createDataFrame(texts, "doc_id long, text string"), length=40, anchor=10).collect():
+        assert r["start"] + r["length"] <= len(byte_of[r["doc_id"]])
+        groups.setdefault((r["repeat_id"], r["length"]), []).append((r["doc_id"], r["start"]))
+    covered = {k: set() for k, _ in texts}
+    for (_, length), found in groups.items():
+        i, at = found[0]
+        assert sorted(found) == occurrences(texts, byte_of[i][at : at + length])  # all of them, and nothing else
+        for i, at in found:
+            covered[i].update(range(at, at + length))
+    assert all(covered[k] == set(range(120)) for k in range(6))
+    assert all(set(range(20, 80)) <= covered[10 + k] for k in range(7)) and len(covered[30]) >= 120
+
+
+def test_ids_that_are_no_numbers(spark):
+    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(50))
+    frame = spark.createDataFrame([("b", text), ("a", text), (None, "y")], "doc_id string, text string")
+    got = {r["doc_id"]: len(r["kept"]) for r in sd.remove_repeats(frame, length=40, anchor=10).collect()}
+    assert got == {"a": 50, "b": 0, None: 1}
+    assert {r["doc_id"] for r in sd.repeat_groups(frame, length=40, anchor=10).collect()} == {"a", "b"}
+    assert sd.repeat_groups(frame.limit(0), length=40, anchor=10).count() == 0
