@@ -8,6 +8,8 @@ import numpy as np
 _SLACK = 1e-6
 #: Node pairs of at most so many row pairs are decided at once instead of descending further.
 _DIRECT = 1 << 14
+#: Rows of the other tree that one product takes.
+_WIDE = 1 << 13
 
 
 class CoverTree:
@@ -67,29 +69,35 @@ class CoverTree:
 
 
 def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray, weight_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of a, links of b, edges): the weight of the other tree's rows linked with each row, and row pairs (a, b) that span the links.
+    """(links of a, links of b, groups): the weight of the other tree's rows linked with each row, and which rows are connected.
 
     Node pairs further apart than threshold and covering radii allow are pruned; pairs that lie
-    wholly within the threshold count at once and give spanning edges only. a and b may be one tree;
-    then both counts are the same, and a row's link with itself is among its links.
+    wholly within the threshold count at once. groups has an entry for each row of a, then of b, equal where links
+    connect. a and b may be one tree; then both counts are the same, a row's link with itself is
+    among its links, and groups is about a alone.
     """
     links_a, links_b = np.zeros(len(a.x)), np.zeros(len(b.x))
-    edges: list[np.ndarray] = []
+    shift = 0 if a is b else len(a.x)
+    groups = np.arange(len(a.x) + (0 if a is b else len(b.x)))
+
+    def joined(*rows: np.ndarray) -> None:
+        old = np.unique(np.concatenate([groups[r] for r in rows]))
+        if len(old) > 1:
+            groups[np.isin(groups, old)] = old[0]
 
     def whole(ma: np.ndarray, mb: np.ndarray) -> None:
         links_a[ma] += weight_b[mb].sum()
         links_b[mb] += weight_a[ma].sum()
-        edges.append(np.column_stack((ma, np.full(len(ma), mb[0]))))
-        edges.append(np.column_stack((np.full(len(mb), ma[0]), mb)))
+        joined(ma, mb + shift)
 
     def some(ma: np.ndarray, mb: np.ndarray, exact: np.ndarray) -> None:
         links_a[ma] += exact @ weight_b[mb]
         links_b[mb] += weight_a[ma] @ exact
-        k, m = np.nonzero(exact)
-        edges.append(np.column_stack((ma[k], mb[m])))
+        for k in np.flatnonzero(exact.any(axis=1)):
+            joined(ma[k : k + 1], mb[exact[k]] + shift)
 
     if a.root < 0 or b.root < 0:
-        return links_a, links_b, np.zeros((0, 2), np.int64)
+        return links_a, links_b, groups
     reach = float(np.sqrt(2 - 2 * cosine))
     todo = [(a.root, b.root)]
     while todo:
@@ -102,32 +110,35 @@ def dual_links(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray,
         near = d <= reach + both + _SLACK
         single = both == 0
         hit = near & single & (g >= cosine)
+        inside = near & ~single & (d + both <= reach - _SLACK)
+        open_ = near & ~single & ~inside
         if hit.any():
             if (a.sizes[ca] > 1).any() or (b.sizes[cb] > 1).any():  # identical vectors in one leaf
-                for i, j in np.argwhere(hit):
-                    whole(a.members[ca[i]], b.members[cb[j]])
+                inside |= hit
             else:
                 some(a.centers[ca], b.centers[cb], hit)
-        inside = near & ~single & (d + both <= reach - _SLACK)
-        for i, j in np.argwhere(inside):
-            whole(a.members[ca[i]], b.members[cb[j]])
-        for i, j in np.argwhere(near & ~single & ~inside):
-            ma, mb = a.members[ca[i]], b.members[cb[j]]
-            if len(ma) * len(mb) > _DIRECT and (a.children[ca[i]] or b.children[cb[j]]):
-                todo.append((ca[i], cb[j]))
-            else:  # few rows, or leaves of (nearly) identical vectors: every pair is decided
-                some(ma, mb, a.x[ma] @ b.x[mb].T >= cosine)
-    return links_a, links_b, (np.concatenate(edges) if edges else np.zeros((0, 2), np.int64))
-
-
-def least_reachable(n: int, edges: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The least name in the component of each of n nodes."""
-    label = names.copy()
-    while len(edges):
-        before = label.copy()
-        low = np.minimum(label[edges[:, 0]], label[edges[:, 1]])
-        np.minimum.at(label, edges[:, 0], low)
-        np.minimum.at(label, edges[:, 1], low)
-        if (label == before).all():
-            break
-    return label
+        if not (inside.any() or open_.any()):
+            continue
+        below, owner = np.concatenate([b.members[m] for m in cb]), np.repeat(np.arange(len(cb)), b.sizes[cb])
+        for i in np.flatnonzero(inside.any(axis=1)):
+            whole(a.members[ca[i]], below[inside[i][owner]])
+        splits_b = np.array([bool(b.children[m]) for m in cb])
+        for i in np.flatnonzero(open_.any(axis=1)):
+            ma = a.members[ca[i]]
+            descend = open_[i] & (len(ma) * b.sizes[cb] > _DIRECT) & (splits_b | bool(a.children[ca[i]]))
+            todo += [(ca[i], m) for m in cb[descend]]
+            few = open_[i] & ~descend  # few rows, or leaves of (nearly) identical vectors: every pair is decided
+            if few.any():
+                mb = below[few[owner]]
+                for lo in range(0, len(mb), _WIDE):
+                    part = mb[lo : lo + _WIDE]
+                    some(ma, part, a.x[ma] @ b.x[part].T >= cosine)
+    return links_a, links_b, groups
+
+
+def least_reachable(groups: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The least name of each row's group."""
+    _, place = np.unique(groups, return_inverse=True)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, names)
+    return least[place]

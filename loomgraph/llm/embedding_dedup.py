@@ -139,13 +139,12 @@ def near_embeddings(
         mine, others = np.flatnonzero(block_of == first), np.flatnonzero(block_of == second)
         tree = CoverTree(x[mine])
         if first == second:
-            links, _, edges = dual_links(tree, tree, cosine, w[mine], w[mine])
+            links, _, groups = dual_links(tree, tree, cosine, w[mine], w[mine])
             names = ids[mine]
         else:
-            left, right, edges = dual_links(tree, CoverTree(x[others]), cosine, w[mine], w[others])
+            left, right, groups = dual_links(tree, CoverTree(x[others]), cosine, w[mine], w[others])
             links, names = np.concatenate((left, right)), np.concatenate((ids[mine], ids[others]))
-            edges = edges + np.array([[0, len(mine)]])
-        least = least_reachable(len(names), edges, names)
+        least = least_reachable(groups, names)
         found = links > 0
         return pa.table({"id": names[found], "n": np.rint(links[found]).astype(np.int64), "least": least[found]})
 

@@ -152,7 +152,7 @@ def test_groups_list_every_occurrence(spark, monkeypatch, group):
 
 
 def test_ids_that_are_no_numbers(spark):
-    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(50))
+    text = "".join(random.Random(5).choices("abcdefgh", k=50))
     frame = spark.createDataFrame([("b", text), ("a", text), (None, "y")], "doc_id string, text string")
     got = {r["doc_id"]: len(r["kept"]) for r in sd.remove_repeats(frame, length=40, anchor=10).collect()}
     assert got == {"a": 50, "b": 0, None: 1}
