@@ -9,18 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+#: step(state, columns of a stretch of one key's rows) -> (next state, rows to keep or None for all, added columns)
+Step = Callable[[Any, list[np.ndarray]], tuple[Any, np.ndarray | None, list]]
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], out: dict[str, str], step: Callable[[Any, dict], tuple[Any, tuple | None]]) -> DataFrame:
-    """df along order within each key, with the values of step(state, row) added.
 
-    step returns the next state and the values of the out columns, or None to drop the row; the state of a
-    key begins as None.
+def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], out: dict[str, str], step: Step) -> DataFrame:
+    """df along order within each key, with the out columns that step makes of the input columns.
+
+    step sees each stretch of a key inside an Arrow batch at once, as arrays; the state of a key begins as None.
     """
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()])
     schema = T.StructType([*df.schema.fields, *added.fields])
@@ -28,44 +31,70 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], out: dict[str, str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
         for batch in batches:
-            keep, values = [], []
-            for i, row in enumerate(batch.to_pylist()):
-                if row[key] != last:
-                    last, state = row[key], None
-                state, made = step(state, row)
-                if made is not None:
-                    keep.append(i)
-                    values.append(made)
-            if keep:
-                part = batch.take(pa.array(keep))
-                columns = [pa.array(c) for c in zip(*values)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], schema.names)
+            if not batch.num_rows:
+                continue
+            codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in inputs]
+            kept, made = [], []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                name = batch.column(key)[lo].as_py()
+                if name != last:
+                    last, state = name, None
+                state, keep, values = step(state, [c[lo:hi] for c in columns])
+                kept.append(np.arange(lo, hi) if keep is None else lo + keep)
+                made.append(values)
+            rows = np.concatenate(kept)
+            if len(rows):
+                new = [pa.array(np.concatenate(c)) for c in zip(*made)] if out else []
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *new], schema.names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def _first_beyond(rows: np.ndarray, start: int, sent: np.ndarray, bands: list[tuple[slice, float]]) -> int:
+    """The first row from start on that is further than a band from sent; windows double while none is found."""
+    size = 8
+    while start < len(rows):
+        part = rows[start : start + size] - sent
+        hit = np.zeros(len(part), bool)
+        for columns, band in bands:
+            hit |= (part[:, columns] ** 2).sum(axis=1) > band * band
+        if hit.any():
+            return start + int(hit.argmax())
+        start, size = start + len(part), 2 * size
+    return len(rows)
+
+
 def deadband(updates: DataFrame, key: str, order: list[str], position: list[str], velocity: list[str], position_band: float = 0.01, velocity_band: float = 0.005) -> DataFrame:
     """Updates that differ from the last one *sent* by more than a band; position and velocity are stored together."""
+    bands = [(slice(0, len(position)), position_band), (slice(len(position), None), velocity_band)]
 
-    def step(sent, row):
-        now = [row[c] for c in position], [row[c] for c in velocity]
-        far = lambda a, b, band: sum((x - y) ** 2 for x, y in zip(a, b)) > band * band
-        if sent is None or far(now[0], sent[0], position_band) or far(now[1], sent[1], velocity_band):
-            return now, (True,)
-        return sent, None
+    def step(sent, columns):
+        rows = np.column_stack(columns).astype(float)
+        keep, at = [], 0 if sent is None else _first_beyond(rows, 0, sent, bands)
+        while at < len(rows):
+            keep.append(at)
+            sent = rows[at]
+            at = _first_beyond(rows, at + 1, sent, bands)
+        return sent, np.array(keep, np.int64), []
 
-    return ordered_fold(updates, key, order, {"sent": "boolean"}, step).drop("sent")
+    return ordered_fold(updates, key, order, [*position, *velocity], {}, step)
 
 
 def throttle(events: DataFrame, key: str, order: list[str], at: str, least: float) -> DataFrame:
-    """Events at least `least` after the last one accepted."""
+    """Events at least `least` after the last one accepted; order begins with the time `at`."""
 
-    def step(accepted, row):
-        if accepted is None or row[at] - accepted >= least:
-            return row[at], (True,)
-        return accepted, None
+    def step(accepted, columns):
+        times, keep = columns[0], []
+        i = 0 if accepted is None else int(np.searchsorted(times, accepted + least))
+        while i < len(times):
+            keep.append(i)
+            accepted = times[i]
+            i = max(i + 1, int(np.searchsorted(times, accepted + least)))
+        return accepted, np.array(keep, np.int64), []
 
-    return ordered_fold(events, key, order, {"accepted": "boolean"}, step).drop("accepted")
+    return ordered_fold(events, key, order, [at], {}, step)
 
 
 def debounce(events: DataFrame, key: str, order: list[str], at: str, quiet: float) -> DataFrame:
@@ -76,48 +105,63 @@ def debounce(events: DataFrame, key: str, order: list[str], at: str, quiet: floa
 
 def adaptive_rate(motions: DataFrame, key: str, order: list[str], motion: str, threshold: float = 0.05, low: int = 5, high: int = 60, damping: float = 0.9) -> DataFrame:
     """The update rate after each measurement: damped towards high or low, cut to whole numbers and clamped."""
+    follow = [[min(max(int(rate * damping + target * (1.0 - damping)), low), high) for rate in range(high + 1)] for target in (low, high)]
 
-    def step(rate, row):
-        rate = low if rate is None else rate
-        target = high if row[motion] > threshold else low
-        rate = min(max(int(rate * damping + target * (1.0 - damping)), low), high)
-        return rate, (rate,)
+    def step(rate, columns):
+        rate, rates = low if rate is None else rate, []
+        for fast in (columns[0] > threshold).tolist():
+            rate = follow[fast][rate]
+            rates.append(rate)
+        return rate, None, [np.array(rates, np.int64)]
 
-    return ordered_fold(motions, key, order, {"rate": "long"}, step)
+    return ordered_fold(motions, key, order, [motion], {"rate": "long"}, step)
 
 
 def smoothed(levels: DataFrame, key: str, order: list[str], value: str, weight: float = 0.8, gain: float = 10.0) -> DataFrame:
     """Exponential smoothing from 0, and the level shown: min(gain * smoothed, 1)."""
+    block = 64
+    fade = weight ** np.arange(1, block + 1)
+    mix = (1.0 - weight) * np.tril(weight ** np.maximum(np.subtract.outer(np.arange(block), np.arange(block)), 0))
 
-    def step(level, row):
-        level = weight * (level or 0.0) + (1.0 - weight) * row[value]
-        return level, (level, min(gain * level, 1.0))
+    def step(level, columns):
+        level, values, out = level or 0.0, columns[0].astype(float), []
+        for lo in range(0, len(values), block):
+            part = values[lo : lo + block]
+            out.append(fade[: len(part)] * level + mix[: len(part), : len(part)] @ part)
+            level = float(out[-1][-1])
+        found = np.concatenate(out)
+        return level, None, [found, np.minimum(gain * found, 1.0)]
 
-    return ordered_fold(levels, key, order, {"level": "double", "shown": "double"}, step)
+    return ordered_fold(levels, key, order, [value], {"level": "double", "shown": "double"}, step)
 
 
 def hysteresis(rows: DataFrame, key: str, order: list[str], confidence: str, active: str, on: float = 0.8, off: float = 0.5) -> DataFrame:
     """A switch that needs more than `on` to turn on and stays while active or above `off`."""
 
-    def step(state, row):
-        state = (row[active] or row[confidence] > off) if state else (row[confidence] > on and row[active])
-        return state, (bool(state),)
+    def step(state, columns):
+        sure, pressed = columns[0], columns[1].astype(bool)
+        turn = np.where((sure > on) & pressed, 1, np.where(pressed | (sure > off), 0, -1))
+        latest = np.maximum.accumulate(np.where(turn != 0, np.arange(len(turn)), -1))
+        held = np.where(latest >= 0, turn[latest] == 1, bool(state))
+        return bool(held[-1]), None, [held]
 
-    return ordered_fold(rows, key, order, {"state": "boolean"}, step)
+    return ordered_fold(rows, key, order, [confidence, active], {"state": "boolean"}, step)
 
 
 def selection(toggles: DataFrame, key: str, order: list[str], item: str, most: int = 2) -> DataFrame:
     """The selected items after each toggle: a second toggle removes, a new one evicts the oldest beyond most."""
 
-    def step(chosen, row):
-        chosen = list(chosen or [])
-        if row[item] in chosen:
-            chosen.remove(row[item])
-        else:
-            chosen = [*(chosen[1:] if len(chosen) >= most else chosen), row[item]]
-        return chosen, (",".join(map(str, chosen)),)
-
-    return ordered_fold(toggles, key, order, {"chosen": "string"}, step)
+    def step(chosen, columns):
+        chosen, shown = list(chosen or []), []
+        for one in columns[0].tolist():
+            if one in chosen:
+                chosen.remove(one)
+            else:
+                chosen = [*(chosen[1:] if len(chosen) >= most else chosen), one]
+            shown.append(",".join(map(str, chosen)))
+        return chosen, None, [np.array(shown, object)]
+
+    return ordered_fold(toggles, key, order, [item], {"chosen": "string"}, step)
 
 
 def history_tail(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
+from loomgraph.operators.ranking import numbered
 
 
 def undirected_edges(counts: DataFrame, source: str = "source", target: str = "target", weight: str = "weight") -> DataFrame:
@@ -39,15 +40,20 @@ def node_metadata(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("metadata", F.map_filter(built, lambda _, v: v.isNotNull()))
 
 
-def page(nodes: DataFrame, number: int, page_size: int = 100, order: str = "id") -> tuple[DataFrame, dict]:
-    """(rows of the 1-based page, {total, total_pages, page}); an empty graph has page 1 of 0 pages."""
+def page(nodes: DataFrame, number: int, page_size: int = 100, order: str = "id", first: int = 1) -> tuple[DataFrame, dict]:
+    """(rows of the page, {total, total_pages, page}); pages count from first; an empty graph has one page of none.
+
+    Rows are numbered by ranges of the order column, so a deep page costs no more than the first one.
+    """
     if page_size <= 0:
         raise ValueError("page_size must be positive")
-    total = nodes.count()
-    pages = -(-total // page_size)
-    if number < 1 or (pages and number > pages):
+    rows = numbered(nodes, order, name="_row")
+    total = rows.count()
+    pages, at = -(-total // page_size), number - first
+    if at < 0 or (pages and at >= pages):
         raise ValueError(f"page {number} is not among {pages} pages")
-    return nodes.orderBy(order).offset((number - 1) * page_size).limit(page_size), {"total": total, "total_pages": pages, "page": number}
+    shown = rows.filter(F.col("_row").between(at * page_size, (at + 1) * page_size - 1)).drop("_row")
+    return shown, {"total": total, "total_pages": pages, "page": number}
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:

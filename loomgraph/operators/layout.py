@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import exprs as X
 from loomgraph.operators.ranking import numbered
-from loomgraph.sources.tables import settled
+from loomgraph.sources.tables import discarded, settled
 
 AXES = ["x", "y", "z"]
 #: Nodes of one tile side.
@@ -53,42 +54,97 @@ def on_sphere(nodes: DataFrame, order: str = "metadata_id", radius: float = 3.0,
     return rows.select(*nodes.columns, *((p * r).alias(c) for c, p in points.items()), *(F.lit(0.0).alias(f"v{c}") for c in AXES))
 
 
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: kernel(distance, mass of the target, mass of the source) of pairs -> factor of their difference
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Pairs that are held as arrays at once, and rows gathered before they are paired.
+_PAIRS, _GATHER = 1 << 19, 4096
 
 
 def _dealt(targets: DataFrame, sources: DataFrame, keys: list[str], cols: list[str], tile: int) -> DataFrame:
-    """Targets and sources of each group dealt to its tiles (a, b): about tile rows of either."""
-    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-    sizes = blocks(targets, "nt").join(blocks(sources, "ns"), keys)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = targets.join(sizes, keys).select(*keys, own("nt").alias("a"), every("ns").alias("b"), F.lit(True).alias("target"), *cols)
-    right = sources.join(sizes, keys).select(*keys, every("nt").alias("a"), own("ns").alias("b"), F.lit(False).alias("target"), *cols)
-    return left.unionAll(right)
+    """Targets and sources of each group dealt to its tiles (a, b): about tile rows of either; tiles are keys of the shuffle."""
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    if keys:
+        blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+        sizes = blocks(targets, "nt").join(blocks(sources, "ns"), keys)
+        targets, sources, nt, ns = targets.join(sizes, keys), sources.join(sizes, keys), F.col("nt"), F.col("ns")
+    else:  # one group: its numbers of tiles are plain values
+        nt, ns = (F.lit(max(1, -(-df.count() // tile))) for df in (targets, sources))
+    left = targets.select(*keys, own(nt).alias("a"), every(ns).alias("b"), F.lit(True).alias("target"), *cols)
+    right = sources.select(*keys, every(nt).alias("a"), own(ns).alias("b"), F.lit(False).alias("target"), *cols)
+    return left.unionAll(right).repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b", "target")
+
+
+def _pairs(group: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(target rows, source rows) of all pairs inside each group, a bounded number at a time; rows are sorted by group, sources first."""
+    t, s = np.flatnonzero(target), np.flatnonzero(~target)
+    counts = np.bincount(group[s], minlength=int(group[-1]) + 1)
+    begins = np.cumsum(counts) - counts
+    many, first = counts[group[t]], begins[group[t]]
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(t):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, side="right")))
+        own = many[at:end]
+        shift = np.repeat(first[at:end] - (np.cumsum(own) - own), own)
+        yield np.repeat(t[at:end], own), s[shift + np.arange(len(shift))]
+        at = end
+
+
+def _per_target(tiles: DataFrame, keys: list[str], schema: str, kernel: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """(id, sums over its pairs) of each target of each tile; many small tiles are paired in one go, a large one in parts."""
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = {c: rows[c].to_numpy() for c in rows.column_names}
+            target, n = columns["target"].astype(bool), rows.num_rows
+            sums = None
+            for i, j in _pairs(_numbers(columns), target):
+                parts = [np.bincount(i, v, n) for v in kernel(columns, i, j)]
+                sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
+            if sums is not None:
+                ids = columns["id"][target]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v[target]) for v in sums)], names)
+
+        def _numbers(columns: dict[str, np.ndarray]) -> np.ndarray:
+            change = np.zeros(len(columns["a"]), bool)
+            for c in (*keys, "a", "b"):
+                change[1:] |= columns[c][1:] != columns[c][:-1]
+            return np.cumsum(change)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _GATHER:
+                rows = pa.Table.from_batches(held)
+                number = _numbers({c: rows[c].to_numpy() for c in (*keys, "a", "b")})
+                cut = int(np.searchsorted(number, number[-1]))  # the last tile may go on
+                if cut:
+                    yield from work(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+        if any(b.num_rows for b in held):
+            yield from work(pa.Table.from_batches(held))
+
+    return tiles.mapInArrow(run, schema)
 
 
 def _tiled(targets: DataFrame, sources: DataFrame, keys: list[str], kernel: Kernel, tile: int) -> DataFrame:
-    """Sum of kernel(target positions, masses, source positions, masses) over all sources of each target's keys.
+    """Sum of kernel(distance, mass, mass) times the difference, over all sources of each target's keys but itself.
 
     Groups are cut into tiles of about tile targets by tile sources, so that a crowded group is many
-    tasks and pairs exist only inside a tile's arrays.
+    tasks and pairs exist only as bounded arrays inside one.
     """
-    tiles = _dealt(targets, sources, keys, ["id", *AXES, "m"], tile)
 
-    def run(group: pa.Table) -> pa.Table:
-        is_target = group["target"].to_numpy()
-        xyz = np.column_stack([group[c].to_numpy() for c in AXES])
-        ids, m = group["id"].to_numpy(), group["m"].to_numpy()
-        t, s = np.flatnonzero(is_target), np.flatnonzero(~is_target)
-        out = np.zeros((len(t), 3))
-        for at in range(0, len(t), 256):
-            part = t[at : at + 256]
-            d = xyz[s][None, :, :] - xyz[part][:, None, :]
-            f = kernel(np.sqrt((d * d).sum(axis=2)), m[part], m[s], ids[part][:, None] == ids[s][None, :])
-            out[at : at + 256] = (d * f[:, :, None]).sum(axis=1)
-        return pa.table({"id": ids[t], "fx": out[:, 0], "fy": out[:, 1], "fz": out[:, 2]})
-
-    parts = tiles.groupBy(*keys, "a", "b").applyInArrow(run, "id long, fx double, fy double, fz double")
+    def forces(columns: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        d = [columns[c][j] - columns[c][i] for c in AXES]
+        f = kernel(np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), columns["m"][i], columns["m"][j])
+        f = np.where(columns["id"][i] == columns["id"][j], 0.0, f)
+        return [x * f for x in d]
+
+    tiles = _dealt(targets, sources, keys, ["id", *AXES, "m"], tile)
+    parts = _per_target(tiles, keys, "id long, fx double, fy double, fz double", forces)
     return parts.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
 
 
@@ -125,10 +181,10 @@ def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TI
     m = F.col("mass") / F.lit(255.0) * 10.0 * params.mass_scale
     slim = nodes.select("id", *AXES, m.alias("m"))
 
-    def push(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray, same: np.ndarray) -> np.ndarray:
-        near = (distance * distance >= 0.0001) & (distance <= params.reach) & ~same
+    def push(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray) -> np.ndarray:
+        near = (distance * distance >= 0.0001) & (distance <= params.reach)
         cube = np.where(near, distance, 1.0) ** 3
-        return np.where(near, -params.repulsion * mt[:, None] * ms[None, :] / cube, 0.0)
+        return np.where(near, -params.repulsion * mt * ms / cube, 0.0)
 
     targets, sources = _in_cells(slim, params.reach)
     repelled = _tiled(targets, sources, ["cx", "cy", "cz"], push, tile)
@@ -141,9 +197,12 @@ def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TI
 
 
 def run_steps(nodes: DataFrame, edges: DataFrame, params: Params, steps: int) -> DataFrame:
-    """Several steps; each is written to the shared folder, so the plan doesn't grow."""
+    """Several steps; each is written to the shared folder, so the plan doesn't grow, and the step before it removed."""
+    before = None
     for _ in range(steps - 1):
         nodes = settled(edge_step(nodes, edges, params), "layout")
+        discarded(before)
+        before = nodes
     return edge_step(nodes, edges, params) if steps else nodes
 
 
@@ -160,18 +219,18 @@ def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int =
     ramp = 0.01 + 0.99 * iteration / WARMUP if iteration < WARMUP else 1.0
     damping = max(params.damping, 0.9 - 0.4 * warm) if iteration < WARMUP else params.damping
     m = X.mass_unit(F.col("mass"))
-    slim = nodes.select("id", *AXES, m.alias("m"), F.lit(0).alias("k"))
+    slim = nodes.select("id", *AXES, m.alias("m"))
 
-    def act(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray, same: np.ndarray) -> np.ndarray:
-        on = (distance > MIN_DISTANCE) & ~same
+    def act(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray) -> np.ndarray:
+        on = distance > MIN_DISTANCE
         d = np.where(on, distance, 1.0)
-        product = mt[:, None] * ms[None, :]
+        product = mt * ms
         repel = np.minimum(params.repulsion * product / np.maximum(d * d, MIN_DISTANCE), params.repulsion * product * 2.0)
         spring = -params.spring * ramp * (d - 1.0)
         spring = np.where(d > 3.0, spring * (1.0 + (d - 3.0) * 0.1), spring) * product
         return np.where(on, -np.where(d < params.reach, repel, spring) / d, 0.0)
 
-    rows = nodes.join(_tiled(slim, slim, ["k"], act, tile), "id", "left")
+    rows = nodes.join(_tiled(slim, slim, [], act, tile), "id", "left")
     norm = lambda a, b, c: F.sqrt(a * a + b * b + c * c)
     far = norm(*(F.col(c) for c in AXES))
     centre = F.when(far > 3.0, F.lit(0.015) * m * ramp * (far - 3.0) / far).otherwise(0.0)
@@ -246,18 +305,10 @@ def neighbour_counts(nodes: DataFrame, radius: float, tile: int = TILE) -> DataF
     slim = nodes.select("id", *AXES, F.lit(1.0).alias("m"))
     targets, sources = _in_cells(slim, radius)
     keys = ["cx", "cy", "cz"]
-    tiles = _dealt(targets, sources, keys, ["id", *AXES], tile)
-
-    def run(group: pa.Table) -> pa.Table:
-        is_target = group["target"].to_numpy()
-        xyz, ids = np.column_stack([group[c].to_numpy() for c in AXES]), group["id"].to_numpy()
-        t, s = np.flatnonzero(is_target), np.flatnonzero(~is_target)
-        n = np.zeros(len(t), np.int64)
-        for at in range(0, len(t), 256):
-            part = t[at : at + 256]
-            d = xyz[s][None, :, :] - xyz[part][:, None, :]
-            n[at : at + 256] = (((d * d).sum(axis=2) <= radius * radius) & (ids[part][:, None] != ids[s][None, :])).sum(axis=1)
-        return pa.table({"id": ids[t], "n": n})
-
-    parts = tiles.groupBy(*keys, "a", "b").applyInArrow(run, "id long, n long")
-    return parts.groupBy("id").agg(F.sum("n").alias("n"))
+
+    def close(columns: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        d = [columns[c][j] - columns[c][i] for c in AXES]
+        return [((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= radius * radius) & (columns["id"][i] != columns["id"][j])).astype(float)]
+
+    parts = _per_target(_dealt(targets, sources, keys, ["id", *AXES], tile), keys, "id long, n double", close)
+    return parts.groupBy("id").agg(F.sum("n").cast("long").alias("n"))

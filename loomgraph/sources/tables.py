@@ -84,3 +84,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame | None) -> None:
+    """Remove the files of a settled table that nothing reads any more."""
+    for path in df.inputFiles() if df is not None else []:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        return
