@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.functions import exprs as X
+
 RECORD = np.dtype([("id", "<u4"), ("p", "<f4", 3), ("v", "<f4", 3)])
 NODE = "frame_id long, id long, x float, y float, z float, vx float, vy float, vz float, mass short, flags short"
 
@@ -70,3 +72,8 @@ def inflate(raw: pd.Series) -> pd.Series:
 
 def frame_size(count: Column) -> Column:
     return count * 28
+
+
+def position_array(updates: DataFrame) -> DataFrame:
+    """(id, x, y, z) of every update, of unknown ids too; a component that is missing or no number is 0."""
+    return updates.select("id", *(X.or_zero(F.col(c).cast("double")).alias(c) for c in ("x", "y", "z")))

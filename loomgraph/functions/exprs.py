@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 HREF = r'href="([^"]+)"'
-WORD_BREAK = r"[^\p{L}\p{N}_]+"
 FEATURES = ["perplexity", "openai", "ragflow", "settings_sync", "power_user"]
 
 
@@ -82,8 +81,8 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def camel(text: Column) -> Column:
-    """snake_case to camelCase."""
-    words = F.split(text, "_")
+    """snake_case to camelCase: an underscore goes where a small letter from a to z follows."""
+    words = F.split(text, "_(?=[a-z])")
     rest = F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30)))
     return F.concat(F.element_at(words, 1), F.array_join(rest, ""))
 
@@ -168,3 +167,48 @@ def wav_header(raw: Column) -> Column:
 def is_deflated(raw: Column) -> Column:
     """Whether bytes begin like a zlib stream."""
     return F.hex(F.substring(raw, 1, 2)).isin("7801", "785E", "789C", "78DA")
+
+
+def or_zero(component: Column) -> Column:
+    """A position's component, 0 where it is missing or no number."""
+    return F.coalesce(F.nanvl(component, F.lit(0.0)), F.lit(0.0))
+
+
+def full_path(base: Column, path: Column) -> Column:
+    """base and path without outer slashes, decoded, joined and encoded as one form value."""
+    plain = lambda c: F.url_decode(F.regexp_replace(c, "^/+|/+$", ""))
+    return F.url_encode(F.concat_ws("/", *(F.when(p != "", p) for p in (plain(base), plain(path)))))
+
+
+#: Log levels in rising order; fixed values.
+LEVELS = ["debug", "info", "warn", "error"]
+
+
+def level_rank(level: Column) -> Column:
+    """0 for the lowest level upwards; unknown levels are null."""
+    return F.when(F.array_contains(F.array(*map(F.lit, LEVELS)), level), F.array_position(F.array(*map(F.lit, LEVELS)), level) - 1)
+
+
+def at_least(level: Column, least: str) -> Column:
+    """Whether a log entry of this level is shown."""
+    return F.coalesce(level_rank(level) >= LEVELS.index(least), F.lit(False))
+
+
+def closeness(distance: Column, threshold: float) -> Column:
+    """A gesture's confidence: 1 at distance 0, 0 from the threshold on."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - distance / F.lit(float(threshold))))
+
+
+def extension(finger: Column, palm: Column) -> Column:
+    """How far a finger reaches beyond the palm, 0 to 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), finger - palm))
+
+
+def mean_square_root(values: Column) -> Column:
+    """Aggregate: the root of the mean square."""
+    return F.sqrt(F.avg(values * values))
+
+
+def session_or(requested: Column, default: str) -> Column:
+    """The session a request names, else the application's."""
+    return F.coalesce(requested, F.lit(default))

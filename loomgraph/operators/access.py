@@ -60,3 +60,8 @@ def live_presence(updates: DataFrame, now: Column, most: float, local: int | Non
     rows = latest.select("user_id", "u.*")
     fresh = (now - F.col("ts")) < most
     return rows.filter(fresh | (F.col("user_id") == local) if local is not None else fresh)
+
+
+def recent_sessions(users: DataFrame, now: Column, hours: int) -> DataFrame:
+    """users seen less than so many hours ago."""
+    return users.filter(now - F.col("last_seen") < hours * 3600)

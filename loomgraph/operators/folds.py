@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from loomgraph.functions import exprs as X
+
 #: step(state, columns of a stretch of one key's rows) -> (next state, rows to keep or None for all, added columns)
 Step = Callable[[Any, list[np.ndarray]], tuple[Any, np.ndarray | None, list]]
 
@@ -170,17 +172,58 @@ def history_tail(rows: DataFrame, key: str, order: list[str], most: int) -> Data
     return rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= most).drop("_n")
 
 
-def answers(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """The ordered concatenation of a conversation's chunks, which are bounded by the answer's own length."""
+def log_tail(entries: DataFrame, order: list[str], most: int = 1000) -> DataFrame:
+    """The latest `most` log entries."""
+    return entries.orderBy(*(F.desc(c) for c in order)).limit(most)
+
+
+def transcripts(turns: DataFrame, text: str = "text") -> DataFrame:
+    """Turns with something other than white space."""
+    return turns.filter(F.coalesce(F.trim(text) != "", F.lit(False)))
+
+
+def answers(chunks: DataFrame, key: str, order: str, text: str, end: Column | None = None) -> DataFrame:
+    """The ordered concatenation of a conversation's chunks, which are bounded by the answer's own length.
+
+    end tells the marker that ends an answer; it and what follows it don't count.
+    """
+    if end is not None:
+        last = F.min(F.when(end, F.col(order))).over(W.partitionBy(key))
+        chunks = chunks.withColumn("_end", last).filter(F.col("_end").isNull() | (F.col(order) < F.col("_end"))).drop("_end")
     parts = F.array_sort(F.collect_list(F.struct(order, text)))
     return chunks.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p[text]), "").alias("answer"), F.count(F.lit(1)).alias("n"))
 
 
 def stream_answers(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Server-sent lines to answers: data lines with a non-empty data.answer or answer; the end marker has none."""
+    """Server-sent lines to answers: data lines with a non-empty data.answer or answer; the end marker has none, errors are rejected."""
     data = lines.filter(F.col(column).startswith("data:")).withColumn("json", F.trim(F.substring(column, 6, 1 << 30)))
     answer = F.coalesce(F.get_json_object("json", "$.data.answer"), F.get_json_object("json", "$.answer"))
-    return data.withColumn("answer", answer).filter(F.coalesce(F.length("answer"), F.lit(0)) > 0).drop("json")
+    good = F.get_json_object("json", "$.error").isNull() & (F.coalesce(F.length("answer"), F.lit(0)) > 0)
+    return data.withColumn("answer", answer).filter(good).drop("json")
+
+
+def audio_answers(responses: DataFrame, column: str = "json") -> DataFrame:
+    """responses with status, answer, audio and header (channels, rate, bits) of a JSON answer with sound.
+
+    answer and audio come from data, else from the top. status is "ok", or what is wrong: "error", "no answer",
+    "no audio", "bad base64", "too short" or "bad header"; then answer, audio and header are null.
+    """
+    field = lambda name: F.coalesce(F.get_json_object(column, f"$.data.{name}"), F.get_json_object(column, f"$.{name}"))
+    # Fixed value: Base64 text.
+    encoded = F.when(field("audio").rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), field("audio"))
+    rows = responses.withColumns({"answer": field("answer"), "audio": F.unbase64(encoded)})
+    status = (
+        F.when(F.get_json_object(column, "$.error").isNotNull(), "error")
+        .when(F.col("answer").isNull(), "no answer")
+        .when(field("audio").isNull(), "no audio")
+        .when(F.col("audio").isNull(), "bad base64")
+        .when(F.octet_length("audio") < 44, "too short")
+        .when(X.wav_header(F.col("audio")).isNull(), "bad header")
+        .otherwise("ok")
+    )
+    rows = rows.withColumn("status", status)
+    right = lambda c: F.when(F.col("status") == "ok", c)
+    return rows.withColumns({"answer": right(F.col("answer")), "audio": right(F.col("audio")), "header": right(X.wav_header(F.col("audio")))})
 
 
 def component_metrics(renders: DataFrame, slow: float = 16.67) -> DataFrame:

@@ -25,7 +25,7 @@ def resolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_metadata(nodes: DataFrame) -> DataFrame:
-    """nodes with their string map: eight fixed entries, without those that are null."""
+    """nodes with their string map: ten fixed entries, without those that are null, and without an empty link."""
     entries = {
         "fileName": F.col("file_name"),
         "name": X.stem_once(F.col("file_name")),
@@ -36,6 +36,10 @@ def node_metadata(nodes: DataFrame) -> DataFrame:
         "sha1": F.col("sha1"),
         "lastModified": F.date_format("last_modified", "yyyy-MM-dd'T'HH:mm:ssXXX"),
     }
+    if "perplexity_link" in nodes.columns:
+        entries["perplexityLink"] = F.when(F.col("perplexity_link") != "", F.col("perplexity_link"))
+    if "last_perplexity_process" in nodes.columns:
+        entries["lastPerplexityProcess"] = F.date_format("last_perplexity_process", "yyyy-MM-dd'T'HH:mm:ssXXX")
     built = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
     return nodes.withColumn("metadata", F.map_filter(built, lambda _, v: v.isNotNull()))
 
@@ -113,3 +117,25 @@ def not_empty(nodes: DataFrame, least: int = 1) -> DataFrame:
     if nodes.limit(least).count() < least:
         raise ValueError(f"the graph has fewer than {least} nodes")
     return nodes
+
+
+def with_metadata(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """nodes (id) with the metadata of the file named after their id, null where there is none."""
+    named = metadata.withColumnRenamed("file_name", "_file")
+    return nodes.join(named, F.concat(F.col("id").cast("string"), F.lit(".md")) == F.col("_file"), "left").drop("_file")
+
+
+def coloured(users: DataFrame, local: int | None = None, order: str = "id") -> DataFrame:
+    """users with the colour of their place in order, five colours in turn; the local user is left out."""
+    # Fixed values of the palette.
+    colours = F.array(*map(F.lit, ["#ff0000", "#00ff00", "#0000ff", "#ffff00", "#ff00ff"]))
+    rows = numbered(users, order, name="_row")
+    shown = rows if local is None else rows.filter(F.col(order) != local)
+    return shown.withColumn("colour", F.element_at(colours, (F.col("_row") % 5 + 1).cast("int"))).drop("_row")
+
+
+def moving_share(nodes: DataFrame, least: float = 0.001) -> DataFrame:
+    """(moving, total, fraction): nodes of which a velocity component exceeds least."""
+    fast = F.greatest(*(F.abs(F.col(c)) for c in ("vx", "vy", "vz"))) > least
+    counted = nodes.agg(F.count_if(fast).alias("moving"), F.count(F.lit(1)).alias("total"))
+    return counted.withColumn("fraction", F.when(F.col("total") > 0, F.col("moving") / F.col("total")).otherwise(0.0))

@@ -282,6 +282,17 @@ def jittered(nodes: DataFrame, amplitude: float = 0.05, seed: int = 0) -> DataFr
     return nodes.withColumns({c: F.col(c) + shift(c) for c in AXES})
 
 
+def off_origin(nodes: DataFrame, radius: float = 10.0, seed: int = 0) -> DataFrame:
+    """Nodes at the origin or without a position go to a seeded place on a sphere."""
+    luck = lambda k: F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    tilt, turn = F.acos(F.lit(1.0) - luck("tilt") * 2.0), luck("turn") * (2.0 * np.pi)
+    place = {"x": F.sin(tilt) * F.cos(turn), "y": F.sin(tilt) * F.sin(turn), "z": F.cos(tilt)}
+    lost = F.lit(True)
+    for c in AXES:
+        lost = lost & (F.coalesce(F.col(c), F.lit(0.0)) == 0.0)
+    return nodes.withColumns({c: F.when(lost, place[c] * radius).otherwise(F.col(c)) for c in AXES})
+
+
 def bounding_box(nodes: DataFrame) -> DataFrame:
     """Centre and extent of all nodes; the size is at least 1, and 50 without nodes."""
     box = nodes.agg(*(f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))))

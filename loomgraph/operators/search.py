@@ -54,8 +54,8 @@ def in_category(items: DataFrame, category: str) -> DataFrame:
 
 
 def by_category(items: DataFrame, priorities: DataFrame) -> DataFrame:
-    """(category, priority, n, first title) ordered by priority, 0 where it is missing."""
-    grouped = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"))
+    """(category, priority, n, first title, ids) ordered by priority, 0 where it is missing; a category's items are those of a menu."""
+    grouped = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("title").alias("first_title"), F.array_sort(F.collect_list("id")).alias("ids"))
     ranked = grouped.join(priorities, "category", "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
     return ranked.orderBy("priority", "category")
 

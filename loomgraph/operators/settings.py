@@ -11,9 +11,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def get_path(settings: Column, path: str) -> Column:
-    """The value at a path such as a.b[0]; null where it is missing."""
-    return F.get_json_object(settings, "$." + path if path else "$")
+def get_path(settings: Column, path: str, default: Column | None = None, strict: bool = False) -> Column:
+    """The value at a path such as a.b[0]; where it is missing the default, an error if strict, else null. A JSON null counts as missing."""
+    found = F.get_json_object(settings, "$." + path if path else "$")
+    if strict:
+        return F.coalesce(found, F.raise_error(F.lit(f"setting path '{path}' not found")).cast("string"))
+    return found if default is None else F.coalesce(found, default)
+
+
+def get_setting(settings: Column, category: str, setting: str, strict: bool = False) -> Column:
+    """A setting of a category; the parts of a.b and the setting may be written in kebab-case or camelCase."""
+    return get_path(settings, ".".join(_snake(part) for part in [*category.split("."), setting]), strict=strict)
+
+
+def get_category(settings: Column, category: str, strict: bool = False) -> Column:
+    """All settings of a category, as JSON."""
+    return get_path(settings, category, strict=strict)
+
+
+def _snake(name: str) -> str:
+    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.replace("-", "_")).lower()
+
+
+def keys_converted(documents: Column, to: str) -> Column:
+    """JSON documents with all keys, at any depth, in camelCase (to = "camel") or snake_case ("snake")."""
+    change = {
+        "camel": lambda k: re.sub(r"_([a-z])", lambda m: m.group(1).upper(), k),
+        "snake": lambda k: re.sub(r"[A-Z]", lambda m: "_" + m.group().lower(), k),
+    }[to]
+
+    @F.pandas_udf(T.StringType())
+    def convert(texts: pd.Series) -> pd.Series:
+        named = lambda pairs: {change(k): v for k, v in pairs}
+        return texts.map(lambda t: t if t is None else json.dumps(json.loads(t, object_pairs_hook=named), separators=(",", ":"), ensure_ascii=False))
+
+    return convert(documents)
 
 
 def set_path(settings: Column, path: str, value: Column) -> Column:

@@ -9,6 +9,7 @@ from loomgraph.functions import exprs as X
 from loomgraph.operators import corpus as C
 from loomgraph.operators import graph as G
 from loomgraph.operators.ranking import numbered
+from loomgraph.sources import tables as T
 from loomgraph.sources.tables import table
 
 _FILES = "SELECT doc_id, 'doc_' || doc_id || '.md' AS file_name, coalesce(text, '') AS content FROM documents"
@@ -18,7 +19,14 @@ _META = f"""SELECT file_name, regexp_replace(file_name, '(\\.md)+$', '') AS meta
   len(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)')) AS hyperlink_count, sha1(content) AS sha1,
   greatest(1, {_MASS}) AS mass, {_MASS} AS wire_mass FROM f"""
 _HREFS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]+)\"', 1)) AS target FROM pages"
-_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+_WORD = "[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+"
+
+
+# Two marks stand at each border of a word; a name between borders has one of them at either end.
+def _marked(text: str) -> str:
+    return f"regexp_replace(lower({text}), '({_WORD})', chr(31) || chr(31) || '\\1' || chr(31) || chr(31), 'g')"
+
+
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -60,17 +68,21 @@ def topic_counts_map(spark: SparkSession, d: str) -> DataFrame:
     return maps.select("doc_id", F.size("topic_counts").cast("long").alias("topics"), F.aggregate(F.map_values("topic_counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("mentions"))
 
 
-_TOPICS = f"""v AS (SELECT DISTINCT array_to_string(w, ' ') AS name FROM (SELECT {_WORDS.format('target')} AS w FROM ({_HREFS})) WHERE len(w) > 0),
-t AS (SELECT doc_id, unnest({_WORDS.format("coalesce(text, '')")}) AS name FROM documents),
-c AS (SELECT doc_id, name, count(*) AS n FROM t GROUP BY doc_id, name),
-m AS (SELECT c.doc_id, c.name, c.n FROM c JOIN v ON c.name = v.name)"""
+def _mentions_sql(names: str) -> str:
+    """CTE m (doc_id, name, n): whole-word mentions without overlap of the names that a query gives."""
+    return f"""v AS (SELECT DISTINCT name, chr(31) || trim({_marked('name')}, chr(31)) || chr(31) AS w FROM ({names}) WHERE name <> ''),
+d AS (SELECT doc_id, {_marked('text')} AS t FROM documents WHERE text IS NOT NULL),
+m AS (SELECT * FROM (SELECT doc_id, name, CAST((length(t) - length(replace(t, w, ''))) // length(w) AS BIGINT) AS n FROM d, v WHERE contains(t, w)) WHERE n > 0)"""
+
+
+_TOPICS = _mentions_sql(f"SELECT target AS name FROM ({_HREFS})")
 
 
 def phrase_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Two-word names: the first two words of each benchmark item."""
-    words = F.filter(F.split(F.lower("text"), X.WORD_BREAK), lambda w: w != "")
-    phrases = table(spark, d, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"))
-    return C.mentions(_files(spark, d), C.vocabulary(phrases, "phrase"), "doc_id", longest=2)
+    """Names as they are written: the first two words of each benchmark item and every one of them with its signs."""
+    words = F.split(F.trim("text"), r"\s+")
+    phrases = table(spark, d, "benchmark").select(F.explode(F.array_append(words, F.array_join(F.slice(words, 1, 2), " "))).alias("phrase"))
+    return C.mentions(_files(spark, d), C.vocabulary(phrases, "phrase"), "doc_id")
 
 
 def mention_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +124,27 @@ def page_list_modified(spark: SparkSession, d: str) -> DataFrame:
     return C.page_list(files.select("file_name"), modified)
 
 
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    return T.file_names(_files(spark, d))
+
+
+def file_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return T.named_file(_files(spark, d), "doc_7.md").select("file_name", "content")
+
+
+def metadata_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata saved as JSON lines and loaded with its defaults."""
+    path = T.scratch_path(spark, "metadata")
+    meta = C.file_metadata(_files(spark, d)).withColumn("node_id", F.lit("3"))
+    T.save_metadata(meta, path)
+    loaded = T.load_metadata(spark, path)
+    return loaded.select("file_name", "file_size", "node_size", "hyperlink_count", "sha1", "node_id", "perplexity_link")
+
+
 CATALOG = {
+    "file_names": (file_names, f"SELECT file_name FROM ({_FILES})"),
+    "file_by_name": (file_by_name, f"SELECT file_name, content FROM ({_FILES}) WHERE file_name = 'doc_7.md'"),
+    "metadata_roundtrip": (metadata_roundtrip, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT file_name, file_size, node_size, hyperlink_count, sha1, '3' AS node_id, '' AS perplexity_link FROM m"),
     "file_metadata": (file_metadata, f"WITH f AS ({_FILES}) {_META}"),
     "public_files": (public_files, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT m.file_name, m.file_size, m.sha1 FROM m JOIN f USING (file_name) WHERE starts_with(regexp_replace(substring(f.content, 1, 101), '^\\s+', ''), 'The')"),
     "markdown_listing": (markdown_listing, """SELECT count(*) AS total, count(*) FILTER (doc_id % 7 <> 0) AS files,
@@ -120,10 +152,8 @@ CATALOG = {
     "page_hyperlinks": (page_hyperlinks, """SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"')) AS links, len(regexp_extract_all(html, '\\[([^\\]]+)\\]\\(([^)]+)\\)')) AS markdown_links FROM pages"""),
     "topic_counts": (topic_counts, f"WITH {_TOPICS} SELECT doc_id, name, n FROM m"),
     "topic_counts_map": (topic_counts_map, f"WITH {_TOPICS} SELECT doc_id, count(*) AS topics, CAST(sum(n) AS BIGINT) AS mentions FROM m GROUP BY doc_id"),
-    "phrase_mentions": (phrase_mentions, f"""WITH b AS (SELECT {_WORDS.format('text')} AS w FROM benchmark), v AS (SELECT DISTINCT array_to_string(w[1:2], ' ') AS name FROM b),
-      t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-      g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS name FROM t UNION ALL SELECT doc_id, unnest(w) FROM t)
-      SELECT g.doc_id, g.name, count(*) AS n FROM g JOIN v ON g.name = v.name GROUP BY g.doc_id, g.name"""),
+    "phrase_mentions": (phrase_mentions, f"""WITH b AS (SELECT regexp_split_to_array(trim(text), '\\s+') AS w FROM benchmark),
+      {_mentions_sql("SELECT array_to_string(w[1:2], ' ') AS name FROM b UNION ALL SELECT unnest(w) FROM b")} SELECT doc_id, name, n FROM m"""),
     "mention_edges": (mention_edges, f"""WITH t AS ({_HREFS}), f AS (SELECT page_id, regexp_extract(html, 'href="/([^"]+)"', 1) AS s FROM pages),
       n AS (SELECT target AS name, row_number() OVER (ORDER BY target) AS id FROM (SELECT DISTINCT target FROM t)),
       e AS (SELECT a.id AS x, b.id AS y FROM t JOIN f USING (page_id) JOIN n a ON a.name = f.s JOIN n b ON b.name = t.target WHERE f.s <> t.target)

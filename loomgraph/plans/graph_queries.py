@@ -42,6 +42,37 @@ def graph_page_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.touching(edge_weights(spark, d), rows)
 
 
+def first_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that count from 0: the third one."""
+    rows, about = G.page(_parts(spark, d), 2, 40, first=0)
+    return rows.select("id", F.lit(about["page"]).alias("page"))
+
+
+def node_files(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes by number with the metadata of the file of that number; every third file is missing."""
+    docs = table(spark, d, "documents")
+    files = docs.filter("doc_id % 3 != 0").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("file_size"))
+    return G.with_metadata(docs.select(F.col("doc_id").alias("id")), files)
+
+
+def node_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The whole string map of nodes made of customers; some have links, some were processed."""
+    rows = table(spark, d, "customer").select(
+        F.concat("c_name", F.lit(".md")).alias("file_name"), F.col("c_name").alias("metadata_id"), F.col("c_custkey").alias("file_size"), F.lit(1.5).alias("node_size"), (F.col("c_custkey") % 4).alias("hyperlink_count"),
+        F.sha1(F.col("c_name").cast("binary")).alias("sha1"), F.timestamp_seconds(F.col("c_custkey") * 86400).alias("last_modified"),
+        F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("https://x.org/"), "c_name")).otherwise("").alias("perplexity_link"),
+        F.when(F.col("c_custkey") % 5 == 0, F.timestamp_seconds(F.lit(0))).alias("last_perplexity_process"),
+    )
+    built = G.node_metadata(rows)
+    pairs = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return built.select("metadata_id", F.array_join(pairs, ";").alias("entries"))
+
+
+def whole_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes of a graph that must not be empty."""
+    return G.not_empty(_parts(spark, d)).select("id")
+
+
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     """A fifth of the parts with a new price, and as many new ones."""
     some = _parts(spark, d).filter("id % 5 = 0")
@@ -127,7 +158,7 @@ def settings_search(spark: SparkSession, d: str) -> DataFrame:
 
 def category_groups(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "part").filter("p_type != 'ECONOMY'").groupBy(F.col("p_type").alias("category")).agg(F.min("p_size").alias("priority"))
-    return S.by_category(_commands(spark, d), sizes)
+    return S.by_category(_commands(spark, d), sizes).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
 def category_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -169,6 +200,12 @@ CATALOG = {
     "graph_health": (graph_health, f"WITH {_EDGES} SELECT 'metadata' AS name, count(*) AS n FROM documents UNION ALL SELECT 'nodes', count(*) FROM part UNION ALL SELECT 'edges', count(*) FROM w"),
     "graph_page": (graph_page, "SELECT p_partkey AS id, p_name AS label, (SELECT count(*) FROM part) AS total, CAST(ceil((SELECT count(*) FROM part) / 75.0) AS BIGINT) AS total_pages FROM part ORDER BY p_partkey LIMIT 75 OFFSET 75"),
     "graph_page_edges": (graph_page_edges, f"WITH {_EDGES}, p AS (SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 75 OFFSET 75) SELECT id, source, target, weight FROM w WHERE source IN (SELECT * FROM p) OR target IN (SELECT * FROM p)"),
+    "first_pages": (first_pages, "SELECT p_partkey AS id, 2 AS page FROM part ORDER BY p_partkey LIMIT 40 OFFSET 80"),
+    "node_files": (node_files, "SELECT doc_id AS id, CASE WHEN doc_id % 3 <> 0 THEN strlen(coalesce(text, '')) END AS file_size FROM documents"),
+    "node_maps": (node_maps, """SELECT c_name AS metadata_id, array_to_string(list_sort(list_filter(['fileName=' || c_name || '.md', 'name=' || c_name, 'metadataId=' || c_name, 'fileSize=' || c_custkey, 'nodeSize=1.5',
+      'hyperlinkCount=' || c_custkey % 4, 'sha1=' || sha1(c_name), 'lastModified=' || strftime(make_timestamp(c_custkey * 86400000000), '%Y-%m-%dT%H:%M:%SZ'),
+      CASE WHEN c_custkey % 3 = 0 THEN 'perplexityLink=https://x.org/' || c_name END, CASE WHEN c_custkey % 5 = 0 THEN 'lastPerplexityProcess=1970-01-01T00:00:00Z' END], lambda e: e IS NOT NULL)), ';') AS entries FROM customer"""),
+    "whole_graph": (whole_graph, "SELECT p_partkey AS id FROM part"),
     "node_upsert": (node_upsert, f"WITH {_CHANGES} SELECT * FROM p WHERE id NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c"),
     "node_merge_upsert": (node_merge_upsert, f"WITH {_CHANGES} SELECT id, coalesce(c.label, p.label) AS label, coalesce(c.weight, p.weight) AS weight FROM p FULL JOIN c USING (id)"),
     "node_delete_cascade": (node_delete_cascade, f"WITH {_EDGES} SELECT id, source, target, weight FROM w WHERE source % 4 <> 1 AND target % 4 <> 1"),
@@ -185,7 +222,7 @@ CATALOG = {
     "fuzzy_search": (fuzzy_search, f"WITH {_FUZZY.format(q='rdg')} SELECT id, round(score, 6) AS score FROM z"),
     "help_search": (help_search, "SELECT p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_type), 'brand#1') OR contains(lower(p_brand), 'brand#1')"),
     "settings_search": (settings_search, "SELECT 'group ' || p_partkey // 10 AS title, count(*) AS n FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') GROUP BY 1"),
-    "category_groups": (category_groups, "SELECT p_type AS category, CASE WHEN p_type <> 'ECONOMY' THEN min(p_size) ELSE 0 END AS priority, count(*) AS n, min(p_name) AS first_title FROM part GROUP BY p_type"),
+    "category_groups": (category_groups, "SELECT p_type AS category, CASE WHEN p_type <> 'ECONOMY' THEN min(p_size) ELSE 0 END AS priority, count(*) AS n, min(p_name) AS first_title, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM part GROUP BY p_type"),
     "category_filter": (category_filter, "SELECT p_partkey AS id, p_name AS title FROM part WHERE p_type = 'SMALL'"),
     "rbac_features": (rbac_features, """SELECT c_name AS pubkey, concat_ws(',', CASE WHEN c_mktsegment = 'BUILDING' THEN 'perplexity' END, CASE WHEN c_custkey % 2 = 0 THEN 'openai' END,
       CASE WHEN c_custkey % 3 = 0 THEN 'ragflow' END, CASE WHEN c_mktsegment = 'MACHINERY' OR c_custkey % 11 = 0 THEN 'settings_sync' END, CASE WHEN c_custkey % 11 = 0 THEN 'power_user' END) AS features,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.functions import codec, exprs as X
+from loomgraph.operators import graph as G
 from loomgraph.operators import layout as L
 from loomgraph.operators.folds import transfer_statistics
 from loomgraph.sources.tables import table
@@ -40,11 +41,10 @@ _BASE = f"""n0 AS (SELECT vec_id AS id, {', '.join(f'CAST(embedding[{i + 1}] AS
 edges AS (SELECT * FROM (SELECT vec_id AS source, lead(vec_id) OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) AS target, {_d(1.0)} + label % 3 AS weight FROM embeddings) WHERE target IS NOT NULL)"""
 
 
-def _edge_step_sql(before: str, after: str) -> str:
+def _edge_step_sql(before: str, after: str, p: L.Params = L.Params()) -> str:
     """One step of the edge model over relation `before`."""
-    p = L.Params()
     d2 = "(b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)"
-    mass = lambda t: f"({t}.mass / {_d(255.0)} * {_d(10.0)})"
+    mass = lambda t: f"({t}.mass / {_d(255.0)} * {_d(10.0)} * {_d(p.mass_scale)})"
     parts = ", ".join(f"sum(-(b.{c} - a.{c}) * {_d(p.repulsion)} * {mass('a')} * {mass('b')} / (sqrt({d2}) * sqrt({d2}) * sqrt({d2}))) AS f{c}" for c in "xyz")
     pull = lambda s, t: ", ".join(f"(t.{c} - s.{c}) * {_d(p.spring)} * weight * {s} AS f{c}" for c in "xyz")
     e2 = "(t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z) >= 0.0001"
@@ -75,9 +75,27 @@ def layout_gpu_step(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.all_pairs_step(_nodes(spark, d, 8.0), L.Params(bounds=4.0), 40), "mass")
 
 
-def _all_pairs_sql() -> str:
-    p, warm = L.Params(bounds=4.0), 0.4
-    ramp, damping = 0.01 + 0.99 * 40 / 100, max(p.damping, 0.9 - 0.4 * warm)
+def layout_gpu_start(spark: SparkSession, d: str) -> DataFrame:
+    """The fourth step: nodes rest before it and nothing bounds them yet."""
+    return _rounded(L.all_pairs_step(_nodes(spark, d, 8.0), L.Params(bounds=4.0), 3), "mass")
+
+
+def layout_gpu_unbounded(spark: SparkSession, d: str) -> DataFrame:
+    """A step after the warm-up, without bounds."""
+    return _rounded(L.all_pairs_step(_nodes(spark, d, 8.0), L.Params(bounds=None), 120), "mass")
+
+
+def layout_final_phase(spark: SparkSession, d: str) -> DataFrame:
+    """One step with the parameters of the last phase, in which every node reaches every other."""
+    return _rounded(L.edge_step(_nodes(spark, d), _edges(spark, d), L.Params.phase("finalize")), "mass")
+
+
+def _all_pairs_sql(iteration: int = 40, bounds: float | None = 4.0) -> str:
+    p, warm = L.Params(bounds=bounds), min(iteration, 100) / 100
+    ramp = 0.01 + 0.99 * iteration / 100 if iteration < 100 else 1.0
+    damping = max(p.damping, 0.9 - 0.4 * warm) if iteration < 100 else p.damping
+    rest = 0.0 if iteration < 5 else 1.0
+    out = lambda c: f"abs({c}) > {_d(0.7 * bounds)}" if bounds and iteration > 10 else "false"
     unit = lambda t: f"(CASE WHEN {t}.mass = 0 THEN {_d(0.5)} ELSE ({t}.mass + {_d(1.0)}) / {_d(256.0)} END)"
     mm = f"{unit('a')} * {unit('b')}"
     repel = f"least({_d(p.repulsion)} * {mm} / greatest(d * d, {_d(0.15)}), {_d(p.repulsion)} * {mm} * {_d(2.0)})"
@@ -92,10 +110,10 @@ def _all_pairs_sql() -> str:
       pairs AS (SELECT a.id, {sums} FROM n a JOIN (SELECT *, 1 AS one FROM n) b ON a.id <> b.id, LATERAL (SELECT {dist} AS d) WHERE d > {_d(0.15)} GROUP BY a.id),
       f AS (SELECT n.*, {', '.join(f'coalesce(f{c}, {_d(0.0)}) - n.{c} * ({centre}) AS f{c}' for c in 'xyz')} FROM n LEFT JOIN pairs p ON p.id = n.id),
       g AS (SELECT *, CASE WHEN sqrt(fx * fx + fy * fy + fz * fz) > 3 THEN 3 / sqrt(fx * fx + fy * fy + fz * fz) ELSE {_d(1.0)} END AS k FROM f),
-      v AS (SELECT id, x, y, z, mass, {', '.join(f'v{c} * ({_d(1.0)} - {_d(damping)}) + least({_d(3.0)}, greatest({_d(-3.0)}, f{c} * k)) * {_d(p.time_step)} AS v{c}' for c in 'xyz')} FROM g),
+      v AS (SELECT id, x, y, z, mass, {', '.join(f'v{c} * {_d(rest)} * ({_d(1.0)} - {_d(damping)}) + least({_d(3.0)}, greatest({_d(-3.0)}, f{c} * k)) * {_d(p.time_step)} AS v{c}' for c in 'xyz')} FROM g),
       s AS (SELECT *, CASE WHEN sqrt(vx * vx + vy * vy + vz * vz) > {_d(0.02)} THEN {_d(0.02)} / sqrt(vx * vx + vy * vy + vz * vz) ELSE {_d(1.0)} END AS k FROM v),
       m AS (SELECT id, mass, {', '.join(f'{c} + v{c} * k * {_d(p.time_step)} AS {c}, v{c} * k AS v{c}' for c in 'xyz')} FROM s)
-      SELECT id, mass, {', '.join(f'round(CASE WHEN abs({c}) > {_d(0.7 * 4.0)} THEN {c} * {_d(0.92)} ELSE {c} END, 6) AS {c}, round(CASE WHEN abs({c}) > {_d(0.7 * 4.0)} THEN v{c} * {_d(0.85)} ELSE v{c} END, 6) AS v{c}' for c in 'xyz')} FROM m"""
+      SELECT id, mass, {', '.join(f'round(CASE WHEN {out(c)} THEN {c} * {_d(0.92)} ELSE {c} END, 6) AS {c}, round(CASE WHEN {out(c)} THEN v{c} * {_d(0.85)} ELSE v{c} END, 6) AS v{c}' for c in 'xyz')} FROM m"""
 
 
 def fibonacci_init(spark: SparkSession, d: str) -> DataFrame:
@@ -137,9 +155,44 @@ def frame_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def moving_fraction(spark: SparkSession, d: str) -> DataFrame:
-    moving = F.greatest(*(F.abs(F.col(c)) for c in _STATE[3:])) > 0.001
-    agg = _nodes(spark, d).agg(F.count_if(moving).alias("moving"), F.count(F.lit(1)).alias("total"))
-    return agg.select("moving", "total", F.when(F.col("total") > 0, F.round(F.col("moving") / F.col("total"), 6)).otherwise(0.0).alias("fraction"))
+    return G.moving_share(_nodes(spark, d)).withColumn("fraction", F.round("fraction", 6))
+
+
+def pinned_tick(spark: SparkSession, d: str) -> DataFrame:
+    """One node is held at a place while the others ease towards twice their position."""
+    nodes = _nodes(spark, d).withColumns({f"t{c}": F.col(c) * 2.0 for c in "xyz"} | {"pinned": F.lit(False)})
+    return _rounded(L.easing_tick(L.pinned(nodes, 11, 1.0, 2.0, 3.0), 5.0, 0.9, 0.05, 0.016))
+
+
+def jitter_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """How far seeded jitter moves each node at most, and whether it moves it at all."""
+    nodes = _nodes(spark, d).select("id", "x", "y", "z")
+    moved = L.jittered(nodes, 0.05, 7).select("id", *(F.col(c).alias(f"{c}2") for c in "xyz"))
+    far = F.greatest(*(F.abs(F.col(f"{c}2") - F.col(c)) for c in "xyz"))
+    return nodes.join(moved, "id").select("id", (far <= 0.05 + 1e-9).alias("within"), (far > 0).alias("moved"))
+
+
+def origin_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth node starts at the origin, every seventh has no position: both land on the sphere."""
+    lost = F.when(F.col("id") % 7 == 0, F.lit(None).cast("double")).when(F.col("id") % 4 == 0, 0.0)
+    kept = (F.col("id") % 7 != 0) & (F.col("id") % 4 != 0)
+    nodes = _nodes(spark, d).select("id", *(F.when(kept, F.col(c)).otherwise(lost).alias(c) for c in "xyz"))
+    placed = L.off_origin(nodes)
+    return placed.select("id", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 6).alias("radius"))
+
+
+def position_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Updates of which some components are missing or no number."""
+    odd = F.when(F.col("id") % 3 == 0, F.lit(None).cast("double")).when(F.col("id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("x"))
+    updates = _nodes(spark, d).select("id", odd.alias("x"), F.when(F.col("id") % 2 == 0, F.col("y")).alias("y"), "z")
+    return codec.position_array(updates).select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+def lenient_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with a few bytes too many, in which some nodes have a velocity that is no number."""
+    broken = _nodes(spark, d, 1.0).withColumn("vx", F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("vx")))
+    packed = codec.frames(broken).withColumn("payload", F.concat("payload", F.unhex(F.lit("0102"))))
+    return codec.decode_frames(packed, strict=False).select("frame_id", "id", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def transfer_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -163,6 +216,16 @@ CATALOG = {
     "layout_cpu_step": (layout_cpu_step, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')} {_OUT.format('n1')}"),
     "layout_cpu_3steps": (layout_cpu_3steps, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')}, {_edge_step_sql('n2', 'n3')} {_OUT.format('n3')}"),
     "layout_gpu_step": (layout_gpu_step, _all_pairs_sql()),
+    "layout_gpu_start": (layout_gpu_start, _all_pairs_sql(3)),
+    "layout_gpu_unbounded": (layout_gpu_unbounded, _all_pairs_sql(120, None)),
+    "layout_final_phase": (layout_final_phase, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1', L.Params.phase('finalize'))} {_OUT.format('n1')}"),
+    "pinned_tick": (pinned_tick, f"""WITH {_BASE}, s AS (SELECT *, (x * x + y * y + z * z) < {_d(0.05 * 0.05)} AS still FROM n0)
+      SELECT id, {', '.join(f'round(CASE WHEN id = 11 THEN {k} WHEN still THEN {c} ELSE {c} + (v{c} + {c} * {_d(5.0)} * {_d(0.016)}) * {_d(0.9)} * {_d(0.016)} END, 6) AS {c}' for k, c in enumerate('xyz', 1))},
+      {', '.join(f'round(CASE WHEN id = 11 OR still THEN 0 ELSE (v{c} + {c} * {_d(5.0)} * {_d(0.016)}) * {_d(0.9)} END, 6) AS v{c}' for c in 'xyz')} FROM s"""),
+    "jitter_bounds": (jitter_bounds, "SELECT vec_id AS id, true AS within, true AS moved FROM embeddings"),
+    "origin_fallback": (origin_fallback, _N + "SELECT id, round(CASE WHEN id % 7 = 0 OR id % 4 = 0 THEN 10 ELSE sqrt(x * x + y * y + z * z) END, 6) AS radius FROM n0"),
+    "position_defaults": (position_defaults, _N + "SELECT id, CASE WHEN id % 3 < 2 THEN 0 ELSE round(x, 6) END AS x, CASE WHEN id % 2 = 0 THEN round(y, 6) ELSE 0 END AS y, round(z, 6) AS z FROM n0"),
+    "lenient_decode": (lenient_decode, "SELECT vec_id // 1024 AS frame_id, vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS x FROM embeddings WHERE vec_id % 5 <> 0"),
     "fibonacci_init": (fibonacci_init, f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
       a AS (SELECT doc_id, 2 * pi() * i / ((1 + sqrt(5)) / 2) AS turn, acos(1 - 2 * (i + {_d(0.5)}) / n) AS tilt FROM r)
       SELECT doc_id, round(3 * sin(tilt) * cos(turn), 6) AS x, round(3 * sin(tilt) * sin(turn), 6) AS y, round(3 * cos(tilt), 6) AS z FROM a"""),

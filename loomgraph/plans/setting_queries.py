@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
+from loomgraph.operators import graph as G
 from loomgraph.operators import settings as N
 from loomgraph.sources.tables import table
 
@@ -23,9 +24,10 @@ def settings_path_set(spark: SparkSession, d: str) -> DataFrame:
 def settings_deep_merge(spark: SparkSession, d: str) -> DataFrame:
     """props below a view section, overlaid with one that changes part of it."""
     first = F.concat(F.lit('{"view":'), F.col("props"), F.lit(',"name":"a"}'))
-    second = F.concat(F.lit('{"view":{"size":'), F.col("event_id").cast("string"), F.lit('},"name":"b"}'))
+    size = F.concat(F.lit('{"view":{"size":'), F.col("value").cast("string"))
+    second = F.when(F.col("event_id") % 2 == 0, F.concat(size, F.lit('},"name":"'), "event_type", F.lit('"}'))).otherwise(F.concat(size, F.lit("}}")))
     merged = N.deep_merged(first, second)
-    return table(spark, d, "events").select("event_id", N.get_path(merged, "view.k").cast("long").alias("k"), N.get_path(merged, "view.size").cast("long").alias("size"), N.get_path(merged, "name").alias("name"))
+    return table(spark, d, "events").select("event_id", N.get_path(merged, "view.k").cast("long").alias("k"), N.get_path(merged, "view.size").cast("double").alias("size"), N.get_path(merged, "name").alias("name"))
 
 
 def partial_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +44,9 @@ def section_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def visible_settings(spark: SparkSession, d: str) -> DataFrame:
-    shown = N.visible(F.col("props"), ["k", "other"])
-    return table(spark, d, "events").select("event_id", F.size(shown).cast("long").alias("n"), shown["k"].alias("k"))
+    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"other":"'), "event_type", F.lit('","hidden":1}'))).otherwise(F.col("props"))
+    shown = N.visible(props, ["k", "other"])
+    return table(spark, d, "events").select("event_id", F.array_join(F.map_keys(shown), ",").alias("names"), shown["k"].alias("k"), shown["other"].alias("other"))
 
 
 def case_convert(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +78,7 @@ def encoded_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_lists(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" , ", "c_name", F.lit(""), "c_mktsegment")
+    text = F.concat_ws(" , ", "c_name", F.lit(""), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.lit(" x ")))
     return table(spark, d, "customer").select("c_custkey", F.array_join(X.csv_list(text), "|").alias("entries"), F.size(X.csv_list(text)).cast("long").alias("n"))
 
 
@@ -86,14 +89,45 @@ def backoff_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def palette(spark: SparkSession, d: str) -> DataFrame:
-    """Five colours in turn by key; customer 0 is the local user and has none."""
-    colours = F.array(*map(F.lit, ["#ff0000", "#00ff00", "#0000ff", "#ffff00", "#ff00ff"]))
-    return table(spark, d, "customer").filter("c_custkey != 0").select("c_custkey", F.element_at(colours, (F.col("c_custkey") % 5 + 1).cast("int")).alias("colour"))
+    """The colours of the customers of nation 3 in order of their keys; the one with the least key above 100 is the local user."""
+    users = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
+    local = users.filter("id > 100").agg(F.min("id")).first()[0]
+    return G.coloured(users, local)
 
 
 def gesture_confidence(spark: SparkSession, d: str) -> DataFrame:
-    near = F.lit(1.0) - F.col("value") / 50.0
-    return table(spark, d, "events").select("event_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)), 6).alias("confidence"))
+    events = table(spark, d, "events")
+    return events.select("event_id", F.round(X.closeness(F.col("value"), 50.0), 6).alias("confidence"), F.round(X.extension(F.col("value") / 40.0, F.lit(0.25)), 6).alias("extension"))
+
+
+def setting_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Settings by category, in kebab-case and camelCase; null where there is none."""
+    tree = F.to_json(F.struct(F.struct(F.struct(F.col("p_size").alias("base_size"), F.col("p_name").alias("label_text")).alias("node_style")).alias("visual")))
+    lookup = lambda c, s: N.get_setting(tree, c, s)
+    category = N.get_category(tree, "visual.node_style")
+    return table(spark, d, "part").select(
+        "p_partkey", lookup("visual.node-style", "baseSize").cast("int").alias("size"), lookup("visual.nodeStyle", "label-text").alias("label"),
+        lookup("visual", "missing").alias("missing"), N.get_path(category, "label_text").alias("by_category"), N.get_path(tree, "visual.none", default=F.lit("none")).alias("fallback"),
+    )
+
+
+def nested_case(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of nested documents to camelCase and back."""
+    tree = F.to_json(F.struct(F.struct(F.col("p_name").alias("base_color"), F.array(F.struct(F.col("p_size").alias("edge_size_px"))).alias("some_items")).alias("node_style")))
+    camel = N.keys_converted(tree, "camel")
+    return table(spark, d, "part").select("p_partkey", camel.alias("camel"), (N.keys_converted(camel, "snake") == tree).alias("same"))
+
+
+def full_paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/"), F.when(F.col("p_partkey") % 2 == 0, F.url_encode("p_name")).otherwise(F.col("p_name")), F.lit("/"))
+    base = F.when(F.col("p_partkey") % 3 == 0, "").otherwise("//main dir/")
+    return table(spark, d, "part").select("p_partkey", X.full_path(base, path).alias("path"))
+
+
+def default_sessions(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("s"), F.col("conv_id").cast("string")))
+    turns = table(spark, d, "conversations").select(X.session_or(asked, "main").alias("session"))
+    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
 
 
 _P = "p_partkey"
@@ -102,17 +136,22 @@ _CAMEL = "split_part(p_name, ' ', 1) || upper(substring(split_part(p_name, ' ',
 CATALOG = {
     "settings_path_get": (settings_path_get, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "settings_path_set": (settings_path_set, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS size, CAST(NULL AS VARCHAR) AS through FROM events"),
-    "settings_deep_merge": (settings_deep_merge, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id AS size, 'b' AS name FROM events"),
+    "settings_deep_merge": (settings_deep_merge, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS size, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'a' END AS name FROM events"),
     "partial_merge": (partial_merge, "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'renamed' ELSE c_name END AS c_name, c_acctbal FROM customer"),
     "section_merge": (section_merge, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CAST(NULL AS DOUBLE) AS size FROM events"),
-    "visible_settings": (visible_settings, "SELECT event_id, 1 AS n, json_extract_string(props, '$.k') AS k FROM events"),
+    "visible_settings": (visible_settings, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'k' END AS names, CASE WHEN event_id % 3 <> 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 3 = 0 THEN event_type END AS other FROM events"),
     "case_convert": (case_convert, f"SELECT {_P}, {_CAMEL} AS camel, replace(p_name, ' ', '_') AS snake, upper(substring(p_name, 1, 1)) || substring(split_part(p_name, ' ', 1), 2) || ' ' || upper(substring(split_part(p_name, ' ', 2), 1, 1)) || substring(split_part(p_name, ' ', 2), 2) AS title FROM part"),
     "label_formats": (label_formats, f"SELECT {_P}, replace(lower(p_name), ' ', '%20') AS slug, CASE WHEN length(p_name) > 6 THEN substring(p_name, 1, 6) || '...' ELSE p_name END AS short, printf('%.1f', p_size * 512 / CAST(1024 AS DOUBLE)) || ' KB' AS size_label FROM part"),
     "client_ids": (client_ids, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey + 1 END AS client_id FROM customer"),
     "path_prefixes": (path_prefixes, "WITH p AS (SELECT p_type AS a, replace(p_brand, '#', '') AS b, CAST(p_size AS VARCHAR) AS c FROM part) SELECT path, count(*) AS n FROM (SELECT unnest(['', a, a || '.' || b, a || '.' || b || '.' || c]) AS path FROM p) GROUP BY path"),
     "encoded_paths": (encoded_paths, f"SELECT {_P}, '/pages/' || replace(p_name, ' ', '+') AS path, to_base64(encode(p_name)) AS content FROM part"),
-    "csv_lists": (csv_lists, "SELECT c_custkey, c_name || '|' || c_mktsegment AS entries, 2 AS n FROM customer"),
+    "csv_lists": (csv_lists, "SELECT c_custkey, array_to_string(e, '|') AS entries, len(e) AS n FROM (SELECT c_custkey, list_filter([c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'x' END], lambda v: v IS NOT NULL) AS e FROM customer)"),
     "backoff_series": (backoff_series, "WITH n AS (SELECT o_custkey, least(count(*), 5) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, a AS attempt, round(2000 * pow(1.5, a - 1), 6) AS delay FROM (SELECT o_custkey, CAST(unnest(range(1, n + 1)) AS INTEGER) AS a FROM n)"),
-    "palette": (palette, "SELECT c_custkey, ['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'][c_custkey % 5 + 1] AS colour FROM customer WHERE c_custkey <> 0"),
-    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence FROM events"),
+    "palette": (palette, """WITH u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_nationkey = 3)
+      SELECT id, ['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'][i % 5 + 1] AS colour FROM u WHERE id IS DISTINCT FROM (SELECT min(id) FROM u WHERE id > 100)"""),
+    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence, round(greatest(0, least(1, value / CAST(40 AS DOUBLE) - CAST(0.25 AS DOUBLE))), 6) AS extension FROM events"),
+    "setting_lookup": (setting_lookup, f"SELECT {_P}, p_size AS size, p_name AS label, CAST(NULL AS VARCHAR) AS missing, p_name AS by_category, 'none' AS fallback FROM part"),
+    "nested_case": (nested_case, f"""SELECT {_P}, '{{"nodeStyle":{{"baseColor":"' || p_name || '","someItems":[{{"edgeSizePx":' || p_size || '}}]}}}}' AS camel, true AS same FROM part"""),
+    "full_paths": (full_paths, f"SELECT {_P}, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'main+dir%2F' END || replace(p_name, ' ', '+') AS path FROM part"),
+    "default_sessions": (default_sessions, "SELECT CASE WHEN conv_id % 3 <> 0 THEN 's' || conv_id ELSE 'main' END AS session, count(*) AS n FROM conversations GROUP BY 1"),
 }

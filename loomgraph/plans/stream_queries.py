@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import exprs as X
 from loomgraph.operators import access as A
 from loomgraph.operators import folds as D
 from loomgraph.operators import search as S
@@ -80,18 +81,61 @@ def history_tail(spark: SparkSession, d: str) -> DataFrame:
     return D.history_tail(_events(spark, d), "user_id", _ORDER, 5).select("event_id", "user_id")
 
 
+_LEVEL = {"view": "debug", "click": "info", "purchase": "warn", "error": "error"}
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Events as log entries."""
+    level = F.create_map(*[F.lit(x) for kv in _LEVEL.items() for x in kv])[F.col("event_type")]
+    return _events(spark, d).withColumn("level", level)
+
+
 def log_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Events as log entries by level; those of at least the level of a purchase count."""
-    level = F.element_at(F.create_map(*[F.lit(x) for kv in (("view", 0), ("click", 1), ("purchase", 2), ("error", 3)) for x in kv]), F.col("event_type"))
-    rows = _events(spark, d).withColumn("level", F.coalesce(level, F.lit(0)))
-    return rows.filter("level >= 2").groupBy("event_type", "level").agg(F.count(F.lit(1)).alias("n"))
+    """Log entries that are shown from the level of warnings on."""
+    rows = _log(spark, d).filter(X.at_least(F.col("level"), "warn"))
+    return rows.groupBy("event_type", X.level_rank(F.col("level")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The log as it is kept: its latest thousand entries."""
+    return D.log_tail(_log(spark, d), _ORDER).select("event_id", "level")
 
 
 def rms_levels(spark: SparkSession, d: str) -> DataFrame:
-    out = _events(spark, d).groupBy("user_id").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), (F.avg("value") / 255.0).alias("mean_level"))
+    out = _events(spark, d).groupBy("user_id").agg(X.mean_square_root(F.col("value")).alias("rms"), (F.avg("value") / 255.0).alias("mean_level"))
     return out.select("user_id", F.round("rms", 6).alias("rms"), F.round("mean_level", 6).alias("mean_level"))
 
 
+def session_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Users seen in the last 36 hours of the month."""
+    users = _events(spark, d).groupBy("user_id").agg(F.floor(F.max("ts") / 1_000_000).alias("last_seen"))
+    return A.recent_sessions(users, F.lit(_NOW), 36)
+
+
+def chat_answer_end(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as chunks; the first one whose number leaves 5 of 6 ends the answer."""
+    return D.answers(table(spark, d, "conversations"), "conv_id", "turn", "text", end=F.col("turn") % 6 == 5)
+
+
+def audio_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as spoken answers: a header and as many bytes as the text has; some with faults."""
+    header = F.unhex(F.lit("52494646" + "24000000" + "57415645" + "666D7420" + "10000000" + "0100" + "0100" + "44AC0000" + "88580100" + "0200" + "1000" + "64617461" + "00000000"))
+    kind = (F.col("conv_id") * 7 + F.col("turn")) % 7
+    sound = F.when(kind == 0, F.unhex(F.repeat(F.lit("00"), 44))).when(kind == 1, F.substring(header, 1, 20)).otherwise(F.concat(header, F.col("text").cast("binary")))
+    body = F.struct(F.col("text").alias("answer"), F.when(kind == 2, F.lit("%%%")).when(kind != 3, F.translate(F.base64(sound), "\r\n", "")).alias("audio"))
+    json = F.when(kind == 4, F.to_json(F.struct(F.lit("down").alias("error"), body.alias("data")))).when(kind == 5, F.to_json(body)).otherwise(F.to_json(F.struct(body.alias("data"))))
+    rows = table(spark, d, "conversations").filter("length(text) > 0").select("conv_id", "turn", json.alias("json"))
+    out = D.audio_answers(rows)
+    return out.select("conv_id", "turn", "status", "answer", F.octet_length("audio").cast("long").alias("bytes"), F.col("header.rate").alias("rate"))
+
+
+def deflate_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads whose first byte is x in some levels of compression, and others."""
+    second = F.element_at(F.array(*map(F.lit, ["01", "5E", "9C", "DA", "9D"])), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.unhex(F.concat(F.when(F.col("user_id") % 2 == 0, "78").otherwise("79"), second, F.lit("AB")))
+    return _events(spark, d).select("event_id", X.is_deflated(raw).alias("deflated"))
+
+
 def chat_answer_fold(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "conversations").filter("role = 'assistant'")
     return D.answers(chunks, "conv_id", "turn", "text")
@@ -107,7 +151,7 @@ def sse_answers(spark: SparkSession, d: str) -> DataFrame:
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Turns with something other than white space."""
-    return table(spark, d, "conversations").filter(F.col("text").isNotNull() & (F.trim("text") != "")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return D.transcripts(table(spark, d, "conversations")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
 def user_events_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +197,14 @@ CATALOG = {
     "recent_entries": (recent_entries, f"WITH {_LAST} SELECT user_id AS id, epoch_us(ts) AS ts FROM l WHERE b = 1 ORDER BY ts DESC, event_id DESC LIMIT 10"),
     "history_tail": (history_tail, f"WITH {_LAST} SELECT event_id, user_id FROM l WHERE b <= 5"),
     "log_levels": (log_levels, "SELECT event_type, CASE event_type WHEN 'purchase' THEN 2 ELSE 3 END AS level, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error') GROUP BY event_type"),
+    "log_tail": (log_tail, "SELECT event_id, CASE event_type WHEN 'view' THEN 'debug' WHEN 'click' THEN 'info' WHEN 'purchase' THEN 'warn' WHEN 'error' THEN 'error' END AS level FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000"),
+    "session_cleanup": (session_cleanup, f"WITH {_LAST} SELECT user_id, epoch_us(ts) // 1000000 AS last_seen FROM l WHERE b = 1 AND {_NOW} - epoch_us(ts) // 1000000 < 36 * 3600"),
+    "chat_answer_end": (chat_answer_end, """WITH e AS (SELECT conv_id, min(turn) AS z FROM conversations WHERE turn % 6 = 5 GROUP BY conv_id)
+      SELECT c.conv_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS n FROM conversations c LEFT JOIN e ON e.conv_id = c.conv_id WHERE z IS NULL OR turn < z GROUP BY c.conv_id"""),
+    "audio_answers": (audio_answers, """WITH k AS (SELECT *, (conv_id * 7 + turn) % 7 AS k FROM conversations WHERE length(text) > 0)
+      SELECT conv_id, turn, CASE k WHEN 0 THEN 'bad header' WHEN 1 THEN 'too short' WHEN 2 THEN 'bad base64' WHEN 3 THEN 'no audio' WHEN 4 THEN 'error' ELSE 'ok' END AS status,
+      CASE WHEN k > 4 THEN text END AS answer, CASE WHEN k > 4 THEN 44 + strlen(text) END AS bytes, CASE WHEN k > 4 THEN 44100 END AS rate FROM k"""),
+    "deflate_marks": (deflate_marks, "SELECT event_id, user_id % 2 = 0 AND event_id % 5 < 4 AS deflated FROM events"),
     "rms_levels": (rms_levels, f"SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms, round(avg(value) / {_d(255.0)}, 6) AS mean_level FROM events GROUP BY user_id"),
     "chat_answer_fold": (chat_answer_fold, "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "sse_answers": (sse_answers, "SELECT conv_id, turn, text AS answer FROM conversations WHERE role <> 'user' AND turn % 5 <> 4 AND length(text) > 0"),

@@ -19,6 +19,8 @@ METADATA = T.StructType(
         T.StructField("sha1", T.StringType()),
         T.StructField("node_id", T.StringType()),
         T.StructField("last_modified", T.TimestampType()),
+        T.StructField("perplexity_link", T.StringType()),
+        T.StructField("last_perplexity_process", T.TimestampType()),
         T.StructField("topic_counts", T.MapType(T.StringType(), T.LongType())),
     ]
 )
@@ -49,12 +51,22 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], METADATA)
-    return rows.fillna({"file_size": 0, "node_size": 0.0, "hyperlink_count": 0, "sha1": "", "node_id": "0"})
+    return rows.fillna({"file_size": 0, "node_size": 0.0, "hyperlink_count": 0, "sha1": "", "node_id": "0", "perplexity_link": ""})
 
 
 def save_metadata(files: DataFrame, path: str) -> None:
     """Metadata rows as JSON lines, in place of what was there."""
-    files.select(*METADATA.names).write.mode("overwrite").json(path)
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA if f.name not in files.columns]
+    files.select("*", *absent).select(*METADATA.names).write.mode("overwrite").json(path)
+
+
+def file_names(files: DataFrame) -> DataFrame:
+    return files.select("file_name")
+
+
+def named_file(files: DataFrame, name: str) -> DataFrame:
+    """The file of a name, pushed down to the scan."""
+    return files.filter(F.col("file_name") == name)
 
 
 def layout_snapshot(spark: SparkSession, path: str) -> DataFrame:

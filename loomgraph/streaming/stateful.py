@@ -30,7 +30,36 @@ def deadband_stream(updates: DataFrame, band: float) -> DataFrame:
     return stated.applyInPandasWithState(step, UPDATE, "x double, y double, z double", "append", GroupStateTimeout.NoTimeout)
 
 
-def presence_stream(updates: DataFrame, stale: str = "30 seconds") -> DataFrame:
+def presence_stream(updates: DataFrame, stale: str = "30 seconds", late: str = "10 seconds") -> DataFrame:
+    """Presence (user_id, ts, seq, value) as keyed state with a time to live.
+
+    Each update gives (user_id, ts, seq, value, present = true) with the latest of its micro-batch and the state;
+    a user of whom nothing came for `stale` of event time gives one row with present = false and is forgotten.
+    """
+    # Milliseconds of the interval.
+    wait = int(pd.Timedelta(stale).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            micros, seq, value = held
+            yield pd.DataFrame({"user_id": [key[0]], "ts": [pd.Timestamp(micros, unit="us")], "seq": [seq], "value": [value], "present": [False]})
+            return
+        for rows in batches:
+            newest = rows.sort_values(["ts", "seq"]).iloc[-1]
+            now = (int(newest["ts"].value // 1000), int(newest["seq"]), float(newest["value"]))
+            held = now if held is None or now[:2] > tuple(held[:2]) else held
+        state.update(held)
+        state.setTimeoutTimestamp(max(held[0] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "ts": [pd.Timestamp(held[0], unit="us")], "seq": [held[1]], "value": [held[2]], "present": [True]})
+
+    out = "user_id long, ts timestamp, seq long, value double, present boolean"
+    rows = updates.select("user_id", "ts", "seq", "value").withWatermark("ts", late).groupBy("user_id")
+    return rows.applyInPandasWithState(step, out, "micros long, seq long, value double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def presence_sessions(updates: DataFrame, stale: str = "30 seconds") -> DataFrame:
     """Sessions of presence per user (user_id, ts): a session ends when nothing came for `stale`."""
     return (
         updates.withWatermark("ts", stale)

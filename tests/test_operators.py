@@ -88,10 +88,21 @@ def test_new_ids(spark):
     assert {r["metadata_id"]: r["id"] for r in found.collect()} == {"a": 7, "d": 3, "b": 8, "c": 9}
 
 
+def mentioned(spark, content, *names):
+    files = spark.createDataFrame([(1, content), (2, None)], "k long, content string")
+    vocabulary = corpus.vocabulary(spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    return {r["name"]: r["n"] for r in corpus.mentions(files, vocabulary, "k").collect()}
+
+
 def test_mentions_of_words_and_phrases(spark):
-    files = spark.createDataFrame([(1, "Naïve na NAÏVE, old road. old-road"), (2, "")], "k long, content string")
-    names = corpus.vocabulary(spark.createDataFrame([("naïve",), ("Old Road",), ("absent",)], "n string"), "n")
-    assert {(r["name"], r["n"]) for r in corpus.mentions(files, names, "k", longest=2).collect()} == {("naïve", 2), ("old road", 2)}
+    assert mentioned(spark, "Naïve na NAÏVE, old road. old-road", "naïve", "Old Road", "absent") == {"naïve": 2, "Old Road": 1}
+    assert mentioned(spark, "foo-bar, foo bar; xfoo-bar", "foo-bar", "foo bar") == {"foo-bar": 1, "foo bar": 1}
+    assert mentioned(spark, "na na na na", "na na", "na") == {"na na": 2, "na": 4}  # without overlap
+    assert mentioned(spark, "c++x and c++ and c", "c++", "c") == {"c++": 1, "c": 3}  # a border follows only where a word does
+    assert mentioned(spark, "a++b ++ c", "++", "One Two") == {"++": 1}
+    assert mentioned(spark, "one two three four five six", "One Two Three four", "TWO") == {"One Two Three four": 1, "TWO": 1}
+    assert mentioned(spark, "e\u0301t e\u0301 e", "e") == {"e": 1}  # combining marks belong to words
+    assert mentioned(spark, r"a\Eb a\Eb", r"a\Eb") == {r"a\Eb": 2}
 
 
 def test_page_errors(spark):
@@ -164,6 +175,57 @@ def test_search_ranks(spark):
     assert one(spark, X.fuzzy_score("zz", F.col("t")), t="open") == 0.0
 
 
+def test_tiles_are_keys_of_the_shuffle(spark):
+    """With broadcasts off a crowded cell is dealt by its tiles, and all pairs need no join by a constant."""
+    _, nodes = made_nodes(spark, 60)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [layout.neighbour_counts(nodes, 0.8, tile=8), layout.all_pairs_step(nodes, layout.Params(), 3, tile=8)]
+        cells, pairs = (p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    exchange = lambda p: p[p.index("MapInArrow") :][p[p.index("MapInArrow") :].index("Exchange") :].split("\n")[0]
+    assert all(f"{c}#" in exchange(cells) for c in ("cx", "cy", "cz", "a", "b"))
+    assert "a#" in exchange(pairs) and "b#" in exchange(pairs)
+    assert "CartesianProduct" not in pairs and "NestedLoop" not in pairs
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_folds_equal_loops(spark, batch):
+    rng = random.Random(4)
+    rows = [(k % 3, k, rng.random(), rng.random() < 0.4) for k in range(300)]
+    frame = spark.createDataFrame(rows, "u long, ts long, v double, on boolean").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        level = {r["ts"]: r["level"] for r in folds.smoothed(frame, "u", ["ts"], "v").collect()}
+        state = {r["ts"]: r["state"] for r in folds.hysteresis(frame, "u", ["ts"], "v", "on").collect()}
+        sent = {r["ts"] for r in folds.deadband(frame, "u", ["ts"], ["v"], ["v"], 0.3, 0.6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in range(3):
+        at, on, last = 0.0, False, None
+        for k, (_, ts, v, active) in ((i, r) for i, r in enumerate(rows) if r[0] == u):
+            at = 0.8 * at + (1.0 - 0.8) * v
+            on = (active or v > 0.5) if on else (v > 0.8 and active)
+            assert abs(level[ts] - at) < 1e-12 and state[ts] == on
+            if last is None or abs(v - last) > 0.3:
+                last = v
+                assert ts in sent
+            else:
+                assert ts not in sent
+
+
+def test_settings_paths_with_defaults_and_errors(spark):
+    doc = '{"a":{"b_c":[{"d":1}]}}'
+    assert one(spark, settings.get_path(F.col("s"), "a.b_c[0].d"), s=doc) == "1"
+    assert one(spark, settings.get_path(F.col("s"), "a.x", default=F.lit("none")), s=doc) == "none"
+    assert one(spark, settings.get_setting(F.col("s"), "a", "bC"), s=doc) == '[{"d":1}]'
+    with pytest.raises(Exception, match="not found"):
+        one(spark, settings.get_path(F.col("s"), "a.x", strict=True), s=doc)
+    assert one(spark, settings.keys_converted(F.col("s"), "camel"), s='{"a_b":[{"c_d":"x_y"}],"e_1":null}') == '{"aB":[{"cD":"x_y"}],"e_1":null}'
+
+
 def test_folds_cross_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:

@@ -52,5 +52,18 @@ def test_windows_and_presence(spark, tmp_path):
     source = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("ts", F.col("t").cast("timestamp"))
     counted = finished(stateful.windowed_counts(source), "windows").filter("event_type = 'view'").agg(F.sum("n")).first()[0]
     assert counted == 25
-    sessions = finished(stateful.presence_stream(source, "3 minutes"), "sessions").collect()
+    sessions = finished(stateful.presence_sessions(source, "3 minutes"), "sessions").collect()
     assert sum(r["updates"] for r in sessions) == 25 and {r["user_id"] for r in sessions} == {0}
+
+
+def test_presence_has_a_time_to_live(spark, tmp_path):
+    """User 1 falls silent and is forgotten; user 2 keeps the latest update although an older one comes later."""
+    batches = [[(0, 1, 1), (0, 2, 2)], [(20, 2, 4), (15, 2, 3)], [(100, 2, 5)], [(101, 2, 6)]]
+    for k, rows in enumerate(batches):
+        made = [(f"2024-01-01 00:{t // 60:02d}:{t % 60:02d}", u, s, float(s)) for t, u, s in rows]
+        spark.createDataFrame(made, "t string, user_id long, seq long, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
+    source = spark.readStream.schema("t string, user_id long, seq long, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = finished(stateful.presence_stream(source.withColumn("ts", F.col("t").cast("timestamp")), "30 seconds", "1 second"), "presence", "append").collect()
+    gone = [(r["user_id"], r["seq"]) for r in seen if not r["present"]]
+    assert (1, 1) in gone and (2, 2) not in gone
+    assert [r["seq"] for r in seen if r["user_id"] == 2 and r["present"]] == [2, 4, 5, 6]
