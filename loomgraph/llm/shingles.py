@@ -50,9 +50,14 @@ def text_parts(column: pa.Array, stride: int = STRIDE) -> Iterator[tuple[int, np
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (A-Z lowered, parted by white space) and the row of each."""
+    return sized_words(data, offsets)[:2]
+
+
+def sized_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, the row of each, and its bytes."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[data]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[offsets] = True
@@ -64,7 +69,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_LETTER[_LOWER[data]] * powers(_BASE, n), out=total[1:])
     hashes = (total[ends] - total[starts]) * powers(_UNBASE, n)[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, side="right") - 1
+    return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, side="right") - 1, ends - starts
 
 
 def shingle_sets(column: pa.Array, words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
