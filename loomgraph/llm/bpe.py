@@ -170,6 +170,8 @@ def tokenizer(path: str) -> WordBpe:
 
 def _by_row(df: DataFrame, column: str, out: str, kind: T.DataType, make) -> DataFrame:
     """df with column replaced by out = make()(value), in Arrow batches of few rows."""
+    if out in df.columns and out != column:
+        raise ValueError(f"{out} is a column already")
     schema = T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(out, kind)])
     arrow = pa.large_binary() if isinstance(kind, T.BinaryType) else pa.large_string()
 
@@ -192,14 +194,18 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path
 
     All other columns stay. Null text counts as empty and gives empty ids; texts of any length
     are encoded whole; special-token strings in a text become their ids, as in the public library.
-    ids_col must not name another column. Each worker keeps a bounded cache of words.
+    ids_col must not name another column; repeated rows are encoded alike; an empty table gives an empty result. Each worker keeps a bounded cache of words.
     """
     path = path or public_path()
     return _by_row(df, text_col, ids_col, T.BinaryType(), lambda: lambda v, t=tokenizer(path): t.encode(v or ""))
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """Replace ids_col by text_col: the decoded text. Null or empty ids give the empty text."""
+    """Replace ids_col by text_col: the decoded text. Null or empty ids give the empty text.
+
+    All other columns stay, and text_col must not name one of them; repeated rows are decoded alike; an empty table
+    gives an empty result.
+    """
     path = path or public_path()
     return _by_row(df, ids_col, text_col, T.StringType(), lambda: lambda v, t=tokenizer(path): t.decode(v or b""))
 

@@ -52,7 +52,8 @@ _TAG = re.compile(
 )
 _OPENING = re.compile(r"<[A-Za-z/!?]")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!important\s*)?(?=;|$)", re.I)
 #: Levels of indentation shown, and the widest column that others are aligned beside.
 _LEVELS, _WIDEST = 40, 120
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -168,6 +169,25 @@ def shown(node: Node) -> bool:
     return not (a.get("style") and _NOT_SHOWN.search(a["style"]))
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text can be seen: the last visibility of its style, else that of its parent."""
+    style = node.attributes.get("style")
+    found = _VISIBILITY.findall(style) if style else []
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def _shows_again(node: Node) -> bool:
+    """Whether something inside a hidden element is visible."""
+    todo = list(node.children)
+    while todo:
+        one = todo.pop()
+        if isinstance(one, Node):
+            if visible(one, False):
+                return True
+            todo += one.children
+    return False
+
+
 class _Flow:
     """Lines of one block context: the page, or a table cell."""
 
@@ -271,10 +291,13 @@ def render(root: Node) -> str:
     flows, tables = [], []  # enclosing flows; rows of the open tables
     counters: list[int | None] = []
     kept = 0
+    seen = [True]  # of the open elements, whether their text is visible
     todo: list = [root]
     while todo:
         node = todo.pop()
         if isinstance(node, str):
+            if not seen[-1]:
+                continue
             if tables and tables[-1][1] is flow:
                 if node.strip():  # text of a table outside of its cells comes before it
                     tables[-1][2].text(node, False)
@@ -290,6 +313,10 @@ def render(root: Node) -> str:
                 if tag == "hr" and shown(node):
                     flow.gap()
                 continue
+            now = visible(node, seen[-1])
+            if seen[-1] and not now and not _shows_again(node):
+                continue
+            seen.append(now)
             todo.append((node, tag))
             todo.extend(reversed(node.children))
             if tag == "table":
@@ -334,6 +361,7 @@ def render(root: Node) -> str:
                 flow.text('"', True)
             continue
         node, tag = node
+        seen.pop()
         if tag == "table":
             rows, _, outer = tables.pop()
             flow = flows.pop()
@@ -376,7 +404,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
     A tree with implied tags is built and rendered: hidden elements, comments and scripts show nothing; blocks
     stand on lines of their own, paragraphs and headings apart; lists have markers and indents; cells of
-    a table are padded to columns; preformatted text keeps its spaces.
+    a table are padded to columns; preformatted text keeps its spaces. No text is ever cut, but beyond 40 levels
+    the innermost 40 indents are shown, and cells wider than 120 characters no longer move the columns beside them.
 
     Defined cases: null and empty pages give the empty text; pages of any length and nesting are
     rendered whole, without recursion; plain text is a page; repeated rows render alike; an empty

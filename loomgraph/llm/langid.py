@@ -245,8 +245,10 @@ def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_
     model explains as well as calibration texts. Null, empty and letterless texts are `und`
     with score 0 and no cross-entropy; texts of any length are scored whole; ties go to the
     first language by name; rows that repeat are predicted alike; an empty table gives an empty
-    result; without a fitted identifier every text is `und`.
+    result; without a fitted identifier every text is `und`; keep must not name a column of the result.
     """
+    if taken := {id_col, "lang_pred", "score", "cross_entropy", "rejected"} & set(keep or []):
+        raise ValueError(f"{sorted(taken)} are columns of the result")
     model = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the training sample
     names = [id_col, *(keep or [])]
     again = text_col not in names  # the text travels once

@@ -62,3 +62,11 @@ def test_frame_cases(spark, library):
     assert sorted(r["decoded"] for r in out) == sorted(expected)
     empty = bpe_decode(bpe_encode(spark.createDataFrame([], "doc_id long, text string")))
     assert empty.count() == 0
+
+
+def test_clashing_columns_are_refused(spark):
+    frame = spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, ids string")
+    with pytest.raises(ValueError):
+        bpe_encode(frame)
+    with pytest.raises(ValueError):
+        bpe_decode(frame.withColumnRenamed("text", "decoded"))

@@ -20,6 +20,8 @@ CASES = {
     "<head><title>T</title>Hello <b>you</b>": "Hello you",
     "<html><head> <title>T</title>\n<style>x</style> Hello<style>y</style> all": "Hello all",
     "": "",
+    '<p style="visibility:hidden">no <b style="visibility: visible">yes</b> no</p><p style="visibility:hidden">gone</p>end': "yes\n\nend",
+    '<div style="display:none"><b style="visibility:visible">no</b></div>x': "x",
 }
 
 

@@ -76,3 +76,14 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_further_columns_are_left_out(spark):
+    """Columns named like those that operators make, and a long text, change nothing."""
+    text = "the cat sat on the mat and the dog ran to the house with a ball " * 3000
+    rows = [(k, f"{text} {k * k}" if k == 3 else f"the word number {k} of this text is here and it is new {k * 7}", "en", "s", 1, "x", True, 7) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, kept boolean, keep_id int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == corpus_pipeline.COLUMNS
+    assert {r["doc_id"]: r["text"] for r in docs.collect()}[3].startswith(text)
