@@ -48,12 +48,26 @@ def keys_converted(documents: Column, to: str) -> Column:
     return convert(documents)
 
 
+def _put(document: Column, steps: list[str], value: Column) -> Column:
+    """A JSON object with a JSON value below some names; null if one of them holds something else than an object."""
+    held, name = F.from_json(document, "map<string,variant>"), F.lit(steps[0])
+    new = value
+    if len(steps) > 1:
+        below = F.to_json(held[steps[0]])
+        new = _put(F.when(below.isNull() | (below == "null"), "{}").otherwise(below), steps[1:], value)
+    changed = F.map_concat(F.map_filter(held, lambda k, _: k != name), F.create_map(name, F.parse_json(new)))
+    return F.when(held.isNotNull() & new.isNotNull(), F.to_json(changed))
+
+
 def set_path(settings: Column, path: str, value: Column) -> Column:
-    """settings with a JSON value at a path; missing objects and array places are made.
+    """settings with a JSON value at a path; missing objects and array places are made; keys may change their order.
 
-    Null if the path leads through something that is neither object nor array.
+    Null if the path leads through something that is neither object nor array. Paths of names alone are
+    expressions over maps of variants; those with array places run over Arrow batches.
     """
     steps: list[str | int] = [int(i) if i else n for n, i in re.findall(r"([^.\[\]]+)|\[(\d+)\]", path)]
+    if all(isinstance(s, str) for s in steps):
+        return _put(F.coalesce(settings, F.lit("{}")), steps, F.coalesce(value, F.lit("null")))
 
     @F.pandas_udf(T.StringType())
     def put(documents: pd.Series, values: pd.Series) -> pd.Series:

@@ -18,7 +18,7 @@ def settings_path_get(spark: SparkSession, d: str) -> DataFrame:
 def settings_path_set(spark: SparkSession, d: str) -> DataFrame:
     """A new nested value beside the old one, read back by its path."""
     changed = N.set_path(F.col("props"), "view.sizes[1]", F.col("value").cast("string"))
-    return table(spark, d, "events").select("event_id", N.get_path(changed, "k").cast("long").alias("k"), N.get_path(changed, "view.sizes[1]").cast("double").alias("size"), N.set_path(F.col("props"), "k.deep", F.lit("1")).alias("through"))
+    return table(spark, d, "events").select("event_id", N.get_path(changed, "k").cast("long").alias("k"), N.get_path(changed, "view.sizes[1]").cast("double").alias("size"), N.set_path(F.col("props"), "k.deep", F.lit("1")).alias("through"), N.get_path(N.set_path(F.col("props"), "view.size", F.col("value").cast("string")), "view.size").cast("double").alias("named"))
 
 
 def settings_deep_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ _CAMEL = "split_part(p_name, ' ', 1) || upper(substring(split_part(p_name, ' ',
 
 CATALOG = {
     "settings_path_get": (settings_path_get, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events"),
-    "settings_path_set": (settings_path_set, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS size, CAST(NULL AS VARCHAR) AS through FROM events"),
+    "settings_path_set": (settings_path_set, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS size, CAST(NULL AS VARCHAR) AS through, value AS named FROM events"),
     "settings_deep_merge": (settings_deep_merge, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value AS size, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'a' END AS name FROM events"),
     "partial_merge": (partial_merge, "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'renamed' ELSE c_name END AS c_name, c_acctbal FROM customer"),
     "section_merge": (section_merge, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CAST(NULL AS DOUBLE) AS size FROM events"),

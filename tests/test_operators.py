@@ -242,5 +242,9 @@ def test_settings_documents(spark):
     assert put('{"a":{"b":1}}', "a.c", "[1]") == '{"a":{"b":1,"c":[1]}}'
     assert put("{}", "a[1].b", "2") == '{"a":[null,{"b":2}]}'
     assert put('{"a":1}', "a.b", "2") is None
+    assert put('{"a":{"b":null},"z":"x"}', "a.b.c", '"y"') == '{"z":"x","a":{"b":{"c":"y"}}}'
+    nothing = spark.createDataFrame([(None, None)], "d string, v string")
+    assert nothing.select(settings.set_path(F.col("d"), "a", F.col("v"))).first()[0] == '{"a":null}'
+    assert put('{"a":[1]}', "a.b", "2") is None
     merged = one(spark, settings.deep_merged(F.col("a"), F.col("b")), a='{"x":{"y":1,"z":[1]},"k":1}', b='{"x":{"z":[2]},"n":null}')
     assert merged == '{"k":1,"n":null,"x":{"y":1,"z":[2]}}'
