@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +20,9 @@ LENGTH = 100
 #: Bytes of an anchor: of the anchors in each LENGTH-byte string, the one with the least hash names its task.
 ANCHOR = 20
 #: Different fragments of one anchor that one suffix array takes; those of a more crowded anchor are dealt anew by deeper anchors.
-GROUP = 2048
+GROUP = 8192
 #: Fragments gathered before a suffix array is built.
-GATHER = 4096
+GATHER = 8192
 _STRIDE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -79,6 +80,13 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -
     return h[anchors[first]], f, row[begin], begin - offsets[row[begin]], count
 
 
+def _first_of_batch(h: np.ndarray, f: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, again): rows sorted by fragment and place, and which of them follow an equal fragment."""
+    order = np.lexsort((at, key, f, h))
+    h, f = h[order], f[order]
+    return order, np.concatenate(([False], (h[1:] == h[:-1]) & (f[1:] == f[:-1])))[: len(h)]
+
+
 def _fragment_rows(docs: DataFrame, length: int, anchor: int, combine: bool) -> DataFrame:
     """Fragments (n > 0); with combine those that follow an equal one of the same batch have n < 0 and an h of their own."""
 
@@ -90,9 +98,8 @@ def _fragment_rows(docs: DataFrame, length: int, anchor: int, combine: bool) ->
                     h, f, row, at, n = fragments(part, bounds, length, anchor)
                     key, at = keys[first + row], at + skip
                     if combine and len(h):
-                        order = np.lexsort((at, key, f, h))
+                        order, again = _first_of_batch(h, f, key, at)
                         h, f, key, at, n = h[order], f[order], key[order], at[order], n[order]
-                        again = np.concatenate(([False], (h[1:] == h[:-1]) & (f[1:] == f[:-1])))
                         h = np.where(again, mix(f + at.astype(np.uint64)), h)
                         n = np.where(again, -n, n)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), f.view(np.int64), key, at, n)], ["h", "f", "key", "at", "n"])
@@ -104,20 +111,25 @@ def _fragment_texts(wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of each document's wanted fragments, a document at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keys, texts, lists = (batch.column(c) for c in ("key", "text", "list"))
             for i in range(batch.num_rows):
-                raw, rows = texts[i].as_py().encode(), lists[i].values
-                h, f, at, n = (rows.field(c).to_numpy() for c in ("h", "f", "at", "n"))
+                raw, rows = unpack(texts[i].as_py()), lists[i].values
+                h, f, at, n, hot = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "f", "at", "n", "hot"))
                 parts = [raw[x : x + k - 1 + length] for x, k in zip(at.tolist(), n.tolist())]
-                columns = [h, f, np.full(len(h), keys[i].as_py()), at, n, at, pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _TEXT_NAMES)
+                columns = [h, f, np.full(len(h), keys[i].as_py()), at, n, at, pa.array(parts, pa.binary()), hot]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [*_TEXT_NAMES, "hot"])
 
-    return small_batches(wanted).mapInArrow(run, _TEXTS)
+    return small_batches(wanted).mapInArrow(run, _TEXTS + ", hot boolean")
 
 
-def _deeper(crowded: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Fragments cut into those of a longer anchor; equal strings still share their anchor's hash."""
+def _deeper(crowded: DataFrame, length: int, anchor: int, combine: bool) -> DataFrame:
+    """Fragments cut into those of a longer anchor; equal strings still share their anchor's hash.
+
+    With combine, fragments that follow an equal one of the same batch have n < 0, no text and an h of their own.
+    Where the anchor is the whole string, equal strings are equal fragments and need no text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +139,13 @@ def _deeper(crowded: DataFrame, length: int, anchor: int) -> DataFrame:
             h, f, row, at, n = fragments(data, offsets - offsets[0], length, anchor)
             old_h, key, start, root = (batch.column(c).to_numpy()[row] for c in ("h", "key", "at", "root"))
             h = mix(h + np.uint64(anchor) * _BASE ^ old_h.view(np.uint64))  # parts of one crowded anchor stay apart from others
-            raw, begin = data.tobytes(), (offsets - offsets[0])[:-1][row] + at
-            parts = [raw[x : x + k - 1 + length] for x, k in zip(begin.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, start + at, n, root)] + [pa.array(parts, pa.binary())], _TEXT_NAMES)
+            raw, begin, at = data.tobytes(), (offsets - offsets[0])[:-1][row] + at, start + at
+            if combine:
+                order, again = _first_of_batch(h, f, key, at)
+                h, f, key, at, n, root, begin = (c[order] for c in (h, f, key, at, n, root, begin))
+                h, n = np.where(again, mix(f + at.astype(np.uint64)), h), np.where(again, -n, n)
+            parts = [raw[x : x + k - 1 + length] if k > 0 and anchor < length else b"" for x, k in zip(begin.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), f.view(np.int64), key, at, n, root)] + [pa.array(parts, pa.binary())], _TEXT_NAMES)
 
     return small_batches(crowded.select(*_TEXT_NAMES)).mapInArrow(run, _TEXTS)
 
@@ -231,27 +247,42 @@ def _span(length: int) -> list:
     return [F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).alias("b")]
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """keyed with its texts compressed one by one, which shuffles fewer bytes than blocks of rows do."""
+    schema = T.StructType([keyed.schema["key"], keyed.schema["id"], T.StructField("text", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(map(pack, texts), pa.binary())], schema.names)
+
+    return small_batches(keyed.select("key", "id", "text")).mapInArrow(run, schema)
+
+
+def _texts_of(wanted: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
+    """The fragments (h, f, key, at, n, hot) with their bytes; each text is fetched once."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "f", "at", "n", "hot")).alias("list"))  # of one text
+    return _fragment_texts(lists.join(_packed(keyed).select("key", "text"), "key"), length)
+
+
 def _compared(keyed: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """(marks of fragments equal to an earlier one, different fragments of each anchor with several, at most GROUP of one)."""
     ranked = _ranked(_fragment_rows(keyed.select("key", "text"), length, anchor, True))
     kept = ranked.filter("n < 0 OR k > 1 OR nf > 1").select("h", "f", "key", "at", F.abs("n").alias("n"), (F.expr("n < 0 OR k > 1")).alias("again"), "nf")
     kept = written(kept, "repeat-fragments")
     marks = kept.filter("again").select("key", *_span(length))
-    lists = lambda rows: rows.groupBy("key").agg(F.collect_list(F.struct("h", "f", "at", "n")).alias("list"))  # noqa: E731  of one text
-    fetch = lambda rows, name: written(_fragment_texts(lists(rows).join(keyed.select("key", "text"), "key"), length), name)
-    different = kept.filter("NOT again")
-    few = fetch(different.filter(F.col("nf") <= GROUP), "repeat-texts")
-    crowded = different.filter(F.col("nf") > GROUP)
-    if crowded.isEmpty():
-        return marks, few
-    rest = fetch(crowded, "repeat-crowded")
+    texts = written(_texts_of(kept.filter("NOT again").withColumn("hot", F.col("nf") > GROUP), keyed, length), "repeat-texts")
+    few, rest = texts.filter("NOT hot").drop("hot"), texts.filter("hot").drop("hot")
     for deeper in _anchors(anchor, length):
-        ranked = written(_ranked(_deeper(rest, length, deeper)), "repeat-deeper")
-        marks = marks.unionByName(ranked.filter("k > 1").select("key", *_span(length)))
-        few = few.unionByName(ranked.filter((F.col("k") == 1) & F.col("nf").between(2, GROUP)).select(*_TEXT_NAMES))
-        rest = ranked.filter((F.col("k") == 1) & (F.col("nf") > GROUP))
         if rest.isEmpty():
             break
+        ranked = written(_ranked(_deeper(rest, length, deeper, True)), "repeat-deeper")
+        marks = marks.unionByName(ranked.filter("n < 0 OR k > 1").withColumn("n", F.abs("n")).select("key", *_span(length)))
+        if deeper == length:
+            break
+        few = few.unionByName(ranked.filter((F.col("n") > 0) & (F.col("k") == 1) & F.col("nf").between(2, GROUP)).select(*_TEXT_NAMES))
+        rest = ranked.filter((F.col("k") == 1) & (F.col("nf") > GROUP))
     return marks, few
 
 
@@ -273,23 +304,20 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = rows.withColumn("k", F.row_number().over(copies)).withColumn("rep", F.first(F.struct("key", "at")).over(copies))
     ranked = ranked.withColumn("nr", F.sum(F.when(F.col("k") <= 2, 1).otherwise(0)).over(in_anchor)).filter("nr > 1")
     ranked = written(ranked, "repeat-fragments")
-    lists = lambda part: part.groupBy("key").agg(F.collect_list(F.struct("h", "f", "at", "n")).alias("list"))  # noqa: E731  of one text
-    fetch = lambda part, name: written(_fragment_texts(lists(part).join(keyed.select("key", "text"), "key"), length), name)
-    few = fetch(ranked.filter((F.col("k") <= 2) & (F.col("nr") <= GROUP)), "repeat-texts")
+    texts = written(_texts_of(ranked.filter("k <= 2").withColumn("hot", F.col("nr") > GROUP), keyed, length), "repeat-texts")
+    few, rest = texts.filter("NOT hot").drop("hot"), texts.filter("hot").drop("hot")
     listed = "repeat_id long, length long, key long, start long, root long"
     found = None
-    crowded = ranked.filter((F.col("k") <= 2) & (F.col("nr") > GROUP))
-    if not crowded.isEmpty():
-        rest = fetch(crowded, "repeat-crowded")
-        for deeper in _anchors(anchor, length):
-            parts = _deeper(rest, length, deeper).withColumn("nr", F.count(F.lit(1)).over(in_anchor)).filter("nr > 1")
-            parts = written(parts, "repeat-deeper")
-            few = few.unionByName(parts.filter(F.col("nr") <= GROUP).select(*_TEXT_NAMES))
-            rest = parts.filter(F.col("nr") > GROUP)
-            if rest.isEmpty():
-                break
-        else:
-            found = rest.select(F.col("h").alias("repeat_id"), F.lit(length).cast("long").alias("length"), "key", F.col("at").alias("start"), "root")
+    for deeper in _anchors(anchor, length):
+        if rest.isEmpty():
+            break
+        parts = _deeper(rest, length, deeper, False).withColumn("nr", F.count(F.lit(1)).over(in_anchor)).filter("nr > 1")
+        parts = written(parts, "repeat-deeper")
+        if deeper == length:
+            found = parts.select(F.col("h").alias("repeat_id"), F.lit(length).cast("long").alias("length"), "key", F.col("at").alias("start"), "root")
+            break
+        few = few.unionByName(parts.filter(F.col("nr") <= GROUP).select(*_TEXT_NAMES))
+        rest = parts.filter(F.col("nr") > GROUP)
     groups = _gathered(few, listed, length, _list(length))
     found = written(groups if found is None else groups.unionByName(found), "repeat-groups")
     others = ranked.filter("k > 2").select(F.col("rep.key").alias("key"), F.col("rep.at").alias("root"), F.col("key").alias("other"), F.col("at").alias("other_at"))
@@ -320,17 +348,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks, texts = _compared(keyed, length, anchor)
     marks = marks.unionByName(_gathered(texts, _MARKS, length, _mark(length)))
     lists = marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("list"))  # of one text
-    joined = keyed.join(lists, "key", "left").select("id", "text", "list")
+    joined = _packed(keyed).join(lists, "key", "left").select("id", "text", "list")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField(id_col, keyed.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sizes, spans, kept = [], [], []
                 for text, marked in zip(part.column("text").to_pylist(), part.column("list").to_pylist()):
-                    raw, runs, out, end = text.encode(), [], [], 0
+                    raw, runs, out, end = unpack(text), [], [], 0
                     for a, b in sorted((m["a"], m["b"]) for m in marked or []):
                         if runs and a <= runs[-1]["end"]:
                             runs[-1]["end"] = max(b, runs[-1]["end"])
