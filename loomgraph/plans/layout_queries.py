@@ -56,11 +56,12 @@ def _edge_step_sql(before: str, after: str, p: L.Params = L.Params()) -> str:
         UNION ALL {ends}) GROUP BY id) f ON f.id = n.id)"""
 
 
-_OUT = "SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _STATE) + ", mass FROM {}"
+def _out(relation: str, digits: int = 6) -> str:
+    return f"SELECT id, {', '.join(f'round({c}, {digits}) AS {c}' for c in _STATE)}, mass FROM {relation}"
 
 
-def _rounded(nodes: DataFrame, *others: str) -> DataFrame:
-    return nodes.select("id", *(F.round(c, 6).alias(c) for c in _STATE), *others)
+def _rounded(nodes: DataFrame, *others: str, digits: int = 6) -> DataFrame:
+    return nodes.select("id", *(F.round(c, digits).alias(c) for c in _STATE), *others)
 
 
 def layout_cpu_step(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +88,7 @@ def layout_gpu_unbounded(spark: SparkSession, d: str) -> DataFrame:
 
 def layout_final_phase(spark: SparkSession, d: str) -> DataFrame:
     """One step with the parameters of the last phase, in which every node reaches every other."""
-    return _rounded(L.edge_step(_nodes(spark, d), _edges(spark, d), L.Params.phase("finalize")), "mass")
+    return _rounded(L.edge_step(_nodes(spark, d), _edges(spark, d), L.Params.phase("finalize")), "mass", digits=2)
 
 
 def _all_pairs_sql(iteration: int = 40, bounds: float | None = 4.0) -> str:
@@ -213,12 +214,12 @@ _V = {c: f"(v{c} + (t{c} - {c}) * {_d(5.0)} * {_d(0.016)}) * {_d(0.9)}" for c in
 _REST = f"(tx - x) * (tx - x) + (ty - y) * (ty - y) + (tz - z) * (tz - z) < {_d(0.05 * 0.05)}"
 
 CATALOG = {
-    "layout_cpu_step": (layout_cpu_step, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')} {_OUT.format('n1')}"),
-    "layout_cpu_3steps": (layout_cpu_3steps, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')}, {_edge_step_sql('n2', 'n3')} {_OUT.format('n3')}"),
+    "layout_cpu_step": (layout_cpu_step, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')} {_out('n1')}"),
+    "layout_cpu_3steps": (layout_cpu_3steps, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')}, {_edge_step_sql('n2', 'n3')} {_out('n3')}"),
     "layout_gpu_step": (layout_gpu_step, _all_pairs_sql()),
     "layout_gpu_start": (layout_gpu_start, _all_pairs_sql(3)),
     "layout_gpu_unbounded": (layout_gpu_unbounded, _all_pairs_sql(120, None)),
-    "layout_final_phase": (layout_final_phase, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1', L.Params.phase('finalize'))} {_OUT.format('n1')}"),
+    "layout_final_phase": (layout_final_phase, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1', L.Params.phase('finalize'))} {_out('n1', 2)}"),
     "pinned_tick": (pinned_tick, f"""WITH {_BASE}, s AS (SELECT *, (x * x + y * y + z * z) < {_d(0.05 * 0.05)} AS still FROM n0)
       SELECT id, {', '.join(f'round(CASE WHEN id = 11 THEN {k} WHEN still THEN {c} ELSE {c} + (v{c} + {c} * {_d(5.0)} * {_d(0.016)}) * {_d(0.9)} * {_d(0.016)} END, 6) AS {c}' for k, c in enumerate('xyz', 1))},
       {', '.join(f'round(CASE WHEN id = 11 OR still THEN 0 ELSE (v{c} + {c} * {_d(5.0)} * {_d(0.016)}) * {_d(0.9)} END, 6) AS v{c}' for c in 'xyz')} FROM s"""),
