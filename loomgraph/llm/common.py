@@ -88,3 +88,9 @@ def looked_up(rows: DataFrame, values: DataFrame, key: Column, size: str, fields
     dealt = F.when(F.col("_hot").isNotNull() | F.col("_key").isNull(), spread).otherwise(F.col("_key"))
     found = seen.withColumn("_key", dealt).join(rest, F.col("_key") == F.col("_rest_key"), "left")
     return found.select(*(c for c in rows.columns if c != "_key"), *(F.coalesce(F.col("_hot")[f], F.col("_rest")[f]).alias(f) for f in fields))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of an ASCII text."""
+    bits = "list_reduce(list_concat([xor(a, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {bits}))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import bpe, embedding_dedup, exact_dedup, html_text, langid, lm_score, minhash, packing, pii, substring_dedup
+from loomgraph.llm import bpe, embedding_dedup, exact_dedup, fuzzy_hash, html_text, langid, lm_score, merkle, minhash, packing, pii, prefix_trie, substring_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,15 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_suffix_dedup": substring_dedup.op7_suffix_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_fuzzy_hash": fuzzy_hash.op12_fuzzy_hash,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES = {
     "op10_cover_tree": embedding_dedup.ORACLE,
     "op3_minhash": minhash.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
