@@ -22,7 +22,7 @@ from loomgraph.llm.common import crc32_sql, looked_up, table, written
 from loomgraph.llm.ranks import numbered, ranked
 
 #: Rows of a block; bytes of a turn's digest.
-BLOCK, KEY = 4096, 16
+BLOCK, KEY = 512, 16
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
