@@ -22,6 +22,8 @@ ADDED = ["secret", "account", "contact"]
 #: Generated spans the trees are fitted on, and the precision thresholds are calibrated to.
 TRAIN_SPANS = 12000
 PRECISION = 0.99
+#: Share of the held-out values behind key names that must be found, and the highest threshold for them.
+KEYED_RECALL, MOST_KEYED = 0.9995, 0.2
 _ROWS = 256
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -293,6 +295,8 @@ def _generated(rng: np.random.Generator, rows: int) -> Iterator[tuple[str, int,
         lambda: ("", f"{key()}{pick('=', ' = ', ': ', ':', ' := ')}{value()}"),
         lambda: ("", f"{key()}{pick('=', ' = ', ': ')}{pick(chr(34), chr(39))}{value()}"),
         lambda: ("", f'{key()}": "{value()}'),
+        lambda: ("", f"{key()}{pick('=', ' = ', ': ', ':')}{chars(pick(low + num, num, low + num + up) + int(rng.integers(1, 40)) * '!#$%&*+/-_@?', int(rng.integers(4, 13)))}"),
+        lambda: ("", f"{key()}{pick('=', ' = ', ': ')}{pick(chr(34), chr(39))}{chars(pick(low + num, num, low + num + up, '') + int(rng.integers(1, 40)) * '!#$%&*+/-_@?', int(rng.integers(4, 13)))}"),
         lambda: ("", f"{key()}={chars(pick(low, low + num + up), int(rng.integers(4, 12)))}"),
         lambda: ("", f"{key()}{pick('=', ' = ')}{chars(low + num + up, int(rng.integers(4, 8)))}"),
         lambda: ("", f"{pick('api_key', 'access_key', 'client_secret', 'db_password', 'auth-token')}{pick(': ', '=', ':')}{chars(pick(low, low + num + up), int(rng.integers(4, 16)))}"),
@@ -363,9 +367,11 @@ class PiiModel:
             order = np.argsort(-own)
             right = np.cumsum(truth[order]) / np.arange(1, len(own) + 1)
             good = np.flatnonzero(right >= precision)
-            least = 0.2 if kind[0] == "keyed" else 0.5  # a key name announces its value
-            reached = least if len(good) == len(own) else float(own[order][good[-1]]) if len(good) else 2.0
-            self.thresholds[kind] = max(least, reached)
+            if kind[0] == "keyed":  # a key name announces its value: recall comes first
+                self.thresholds[kind] = min(MOST_KEYED, float(np.quantile(own[truth > 0], 1 - KEYED_RECALL))) if truth.any() else MOST_KEYED
+                continue
+            reached = 0.5 if len(good) == len(own) else float(own[order][good[-1]]) if len(good) else 2.0
+            self.thresholds[kind] = max(0.5, reached)
 
     def spans(self, text: str) -> list[Span]:
         return self.spans_of([text])[0]
