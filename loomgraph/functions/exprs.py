@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
@@ -13,8 +14,9 @@ FEATURES = ["perplexity", "openai", "ragflow", "settings_sync", "power_user"]
 
 
 def is_public(content: Column, marker: str = "public:: true", head: int = 101) -> Column:
-    """Whether the trimmed first bytes begin with the marker."""
-    return F.regexp_replace(F.substring(content, 1, head), r"^\s+", "").startswith(marker)
+    """Whether the first bytes, without white space of any kind before them, begin with the marker; a character cut in two counts as another."""
+    first = F.make_valid_utf8(F.substring(content.cast("binary"), 1, head).cast("string"))
+    return F.regexp_replace(first, r"(?U)^\s+", "").startswith(marker)
 
 
 def stem(name: Column) -> Column:
@@ -68,6 +70,11 @@ def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+def finite_rows(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of which all fields are numbers and finite."""
+    return rows.filter(reduce(lambda a, b: a & b, (is_finite(F.col(f)) for f in fields)))
+
+
 def size_label(size: Column) -> Column:
     return F.concat(F.format_string("%.1f", size / F.lit(1024.0)), F.lit(" KB"))
 
@@ -88,8 +95,9 @@ def camel(text: Column) -> Column:
 
 
 def snake(text: Column) -> Column:
-    """camelCase or kebab-case to snake_case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, "-", "_"), "([a-z0-9])([A-Z])", "$1_$2"))
+    """camelCase or kebab-case to snake_case: an underscore before each capital from A to Z but a leading one."""
+    apart = F.regexp_replace(F.replace(text, F.lit("-"), F.lit("_")), "(?s)(?<=.)([A-Z])", "_$1")
+    return F.translate(apart, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def spaced_title(text: Column) -> Column:
@@ -113,8 +121,8 @@ def features_of(access: dict[str, Column]) -> Column:
 
 
 def csv_list(text: Column) -> Column:
-    """Comma-separated entries, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Comma-separated entries without white space of any kind around them and without empty ones."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def path_prefixes(path: Column) -> Column:
@@ -199,9 +207,39 @@ def closeness(distance: Column, threshold: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - distance / F.lit(float(threshold))))
 
 
-def extension(finger: Column, palm: Column) -> Column:
-    """How far a finger reaches beyond the palm, 0 to 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), finger - palm))
+#: Metres within which finger tips pinch, and the mean distance from the wrist of a fist; fixed values.
+PINCH, FIST = 0.025, 0.04
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.sqrt(sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"), F.lit(0.0)))
+
+
+def gestures(tip: dict[str, Column], base: dict[str, Column], wrist: Column) -> dict[str, Column]:
+    """pinch, point and grip of a hand: whether each is made, and (with _confidence) how surely; all null without thumb, index finger and wrist.
+
+    tip and base hold joints (x, y, z), null where untracked, of thumb, index, middle, ring and pinky. A point needs all bases but the
+    thumb's; a missing tip counts as curled. A grip needs all tips and the thumb's base.
+    """
+    others = ["middle", "ring", "pinky"]
+    tracked = tip["thumb"].isNotNull() & tip["index"].isNotNull() & wrist.isNotNull()
+    pinch = _far(tip["thumb"], tip["index"])
+    sure = closeness(pinch, PINCH)
+    curls = [F.when(tip[f].isNotNull(), _far(tip[f], base[f])).otherwise(0.0) for f in others]
+    bases = base["index"].isNotNull() & base["middle"].isNotNull() & base["ring"].isNotNull() & base["pinky"].isNotNull()
+    point = bases & (_far(tip["index"], wrist) > 0.08) & (sum(curls[1:], curls[0]) / 3 < 0.04)
+    reach = [_far(tip[f], wrist) for f in ["thumb", "index", *others]]
+    mean = sum(reach[1:], reach[0]) / 5
+    grip = tip["middle"].isNotNull() & tip["ring"].isNotNull() & tip["pinky"].isNotNull() & base["thumb"].isNotNull() & (mean < FIST)
+    out = {
+        "pinch": (pinch < PINCH) & (sure > 0.7),
+        "pinch_confidence": sure,
+        "point": point,
+        "point_confidence": F.when(point, 0.8).otherwise(0.0),
+        "grip": grip,
+        "grip_confidence": F.when(grip, closeness(mean, FIST)).otherwise(0.0),
+    }
+    return {name: F.when(tracked, F.coalesce(c, F.lit(False)) if "_" not in name else c) for name, c in out.items()}
 
 
 def mean_square_root(values: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
+from loomgraph.operators.mentions import MOST_SHARDS, joined_mentions, scanned_mentions, shards_needed
 from loomgraph.operators.ranking import numbered
+from loomgraph.sources.tables import settled
 
 
 def as_files(documents: DataFrame) -> DataFrame:
@@ -43,44 +45,26 @@ def listing_statistics(listing: DataFrame) -> DataFrame:
     )
 
 
-#: Java's pattern flag (?U) makes words of letters, marks, digits, connectors and joiners of any script.
-_APART, _WORDS = r"(?U)\W+", r"(?U)\w+"
-
-
 def vocabulary(names: DataFrame, column: str) -> DataFrame:
-    """Distinct names (name, low, token, kind): as they are, lowered, and the run of word characters by which a file can be a candidate.
-
-    token is the longest run of a name, or all of a name without word characters. kind is "word" for
-    names that are one run, "phrase" for others with a run and "signs" without one.
-    """
-    low = F.lower("name")
-    runs = F.filter(F.split(low, _APART), lambda w: w != "")
-    longest = F.array_max(F.transform(runs, lambda w: F.struct(F.length(w).alias("size"), w.alias("run"))))["run"]
-    kind = F.when(F.size(runs) == 0, "signs").when(longest == low, "word").otherwise("phrase")
+    """Distinct names (name, low), as they are and lowered; null and empty ones are no names."""
     distinct = names.select(F.col(column).alias("name")).filter("name IS NOT NULL AND name != ''").distinct()
-    return distinct.select("name", low.alias("low"), F.coalesce(longest, low).alias("token"), kind.alias("kind"))
+    return distinct.select("name", F.lower("name").alias("low"))
 
 
 def mentions(files: DataFrame, names: DataFrame, key: str, content: str = "content") -> DataFrame:
     """(key, name, n): how often each name of a vocabulary stands in each file as a whole, ignoring case and without overlap.
 
-    Both ends of a name must be word boundaries, so every run of word characters in a name is a whole run of the
-    file. Names of one run are counted by an equi-join with the runs; for others that join gives the candidates,
-    and the name itself is counted in their contents.
+    Both ends of a name must be word borders. Files are scanned once per shard of the vocabulary; one of more than
+    MOST_SHARDS shards goes through a join of the files' words instead.
     """
-    low = F.lower(F.col(content))
-    runs = files.select(key, F.split(low, _APART).alias("runs"))
-    words = names.filter("kind = 'word'").select("token", "name")
-    counted = runs.select(key, F.explode("runs").alias("token")).join(words, "token").groupBy(key, "name").agg(F.count(F.lit(1)).alias("n"))
-    rest = names.filter("kind != 'word'").select("kind", "token", "name", "low")
-    tokens = runs.select(key, F.explode(F.array_distinct("runs")).alias("token")).withColumn("kind", F.lit("phrase"))
-    if not names.filter("kind = 'signs'").isEmpty():
-        signs = files.select(key, F.explode(F.array_distinct(F.split(low, _WORDS))).alias("token")).withColumn("kind", F.lit("signs"))
-        tokens = tokens.unionAll(signs)
-    likely = tokens.join(rest, ["kind", "token"]).select(key, "name", "low")
-    literal = F.concat(F.lit(r"(?U)\b\Q"), F.replace("low", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
-    found = likely.join(files.select(key, low.alias("_text")), key).select(key, "name", F.regexp_count("_text", literal).cast("long").alias("n"))
-    return counted.unionAll(found.filter("n > 0"))
+    names = settled(names, "vocabulary")
+    shards = shards_needed(names)
+    if shards > MOST_SHARDS:
+        return joined_mentions(files, names, key, content)
+    found = scanned_mentions(files, names, key, content, shards)
+    if found is None:
+        return files.select(key, F.lit("").alias("name"), F.lit(0).cast("long").alias("n")).limit(0)
+    return found
 
 
 def topic_maps(counts: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgraph.functions import exprs as X
 
@@ -28,7 +29,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], o
     step sees each stretch of a key inside an Arrow batch at once, as arrays; the state of a key begins as None.
     """
     added = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in out.items()])
-    schema = T.StructType([*df.schema.fields, *added.fields])
+    schema, types = T.StructType([*df.schema.fields, *added.fields]), [to_arrow_type(f.dataType) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
@@ -48,7 +49,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], o
                 made.append(values)
             rows = np.concatenate(kept)
             if len(rows):
-                new = [pa.array(np.concatenate(c)) for c in zip(*made)] if out else []
+                new = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*made), types)] if out else []
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *new], schema.names)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
@@ -166,6 +167,49 @@ def selection(toggles: DataFrame, key: str, order: list[str], item: str, most: i
     return ordered_fold(toggles, key, order, [item], {"chosen": "string"}, step)
 
 
+def undo_history(events: DataFrame, key: str, order: list[str], action: str, value: str, most: int = 50) -> DataFrame:
+    """The undo history after each event: current (its entry at the cursor), position (from 1, 0 if empty), entries, can_undo, can_redo.
+
+    Actions: "set" cuts off what was undone and appends value, dropping the oldest beyond `most`; it is passed over if value equals
+    the last one appended. "undo" and "redo" move the cursor if they can; "clear" empties the history. Others change nothing.
+    A key's state is the `most` entries and the cursor; a stretch of equal actions is handled at once.
+    """
+    empty = ([], -1, None)
+
+    def step(state, columns):
+        entries, cursor, last = state or empty
+        actions, values = columns
+        cuts = [0, *(np.flatnonzero(actions[1:] != actions[:-1]) + 1).tolist(), len(actions)]
+        shown, places, sizes = [], [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            kind, n = actions[lo], hi - lo
+            if kind == "set":
+                for v in values[lo:hi].tolist():
+                    if v != last or (cursor < 0 and not entries):
+                        entries, last = [*entries[: cursor + 1], v][-most:], v
+                        cursor = len(entries) - 1
+                    shown.append(entries[cursor])
+                    places.append(cursor + 1)
+                    sizes.append(len(entries))
+                continue
+            if kind == "undo" and entries:
+                at = np.maximum(cursor - np.arange(1, n + 1), 0)
+            elif kind == "redo" and entries:
+                at = np.minimum(cursor + np.arange(1, n + 1), len(entries) - 1)
+            else:
+                if kind == "clear":
+                    entries, cursor, last = empty
+                at = np.full(n, cursor)
+            cursor = int(at[-1])
+            shown += [entries[i] if i >= 0 else None for i in at.tolist()]
+            places += (at + 1).tolist()
+            sizes += [len(entries)] * n
+        return (entries, cursor, last), None, [np.array(shown, object), np.array(places, np.int64), np.array(sizes, np.int64)]
+
+    folded = ordered_fold(events, key, order, [action, value], {"current": "string", "position": "long", "entries": "long"}, step)
+    return folded.withColumns({"can_undo": F.col("position") > 1, "can_redo": F.col("position") < F.col("entries")})
+
+
 def history_tail(rows: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
     """The latest `most` rows of each key."""
     newest = W.partitionBy(key).orderBy(*(F.desc(c) for c in order))
@@ -178,8 +222,8 @@ def log_tail(entries: DataFrame, order: list[str], most: int = 1000) -> DataFram
 
 
 def transcripts(turns: DataFrame, text: str = "text") -> DataFrame:
-    """Turns with something other than white space."""
-    return turns.filter(F.coalesce(F.trim(text) != "", F.lit(False)))
+    """Turns with something other than white space of any kind."""
+    return turns.filter(F.coalesce(F.col(text).rlike(r"(?U)\S"), F.lit(False)))
 
 
 def answers(chunks: DataFrame, key: str, order: str, text: str, end: Column | None = None) -> DataFrame:

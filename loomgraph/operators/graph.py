@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
+from loomgraph.operators.paging import PageIndex
 from loomgraph.operators.ranking import numbered
 
 
@@ -45,19 +46,8 @@ def node_metadata(nodes: DataFrame) -> DataFrame:
 
 
 def page(nodes: DataFrame, number: int, page_size: int = 100, order: str = "id", first: int = 1) -> tuple[DataFrame, dict]:
-    """(rows of the page, {total, total_pages, page}); pages count from first; an empty graph has one page of none.
-
-    Rows are numbered by ranges of the order column, so a deep page costs no more than the first one.
-    """
-    if page_size <= 0:
-        raise ValueError("page_size must be positive")
-    rows = numbered(nodes, order, name="_row")
-    total = rows.count()
-    pages, at = -(-total // page_size), number - first
-    if at < 0 or (pages and at >= pages):
-        raise ValueError(f"page {number} is not among {pages} pages")
-    shown = rows.filter(F.col("_row").between(at * page_size, (at + 1) * page_size - 1)).drop("_row")
-    return shown, {"total": total, "total_pages": pages, "page": number}
+    """One page of nodes without an index at hand; whoever reads more than one page keeps the PageIndex."""
+    return PageIndex.build(nodes, order).page(number, page_size, first)
 
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:

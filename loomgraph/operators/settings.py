@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from loomgraph.functions import exprs as X
+from loomgraph.operators import documents as J
 
 
 def get_path(settings: Column, path: str, default: Column | None = None, strict: bool = False) -> Column:
@@ -30,83 +30,63 @@ def get_category(settings: Column, category: str, strict: bool = False) -> Colum
 
 
 def _snake(name: str) -> str:
-    return re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.replace("-", "_")).lower()
+    """An underscore before each capital but a leading one, all in small letters; dashes are underscores, too."""
+    return re.sub(r"(?s)(?<=.)([A-Z])", r"_\1", name.replace("-", "_")).translate(_SMALL)
+
+
+_SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def keys_converted(documents: Column, to: str) -> Column:
-    """JSON documents with all keys, at any depth, in camelCase (to = "camel") or snake_case ("snake")."""
-    change = {
-        "camel": lambda k: re.sub(r"_([a-z])", lambda m: m.group(1).upper(), k),
-        "snake": lambda k: re.sub(r"[A-Z]", lambda m: "_" + m.group().lower(), k),
-    }[to]
+    """JSON documents with all keys, at any depth, in camelCase (to = "camel") or snake_case ("snake"); keys come in order of their names."""
+    change = {"camel": X.camel, "snake": lambda k: F.lower(F.regexp_replace(k, "([A-Z])", "_$1"))}[to]
+    return J.written(J.renamed(J.leaves(documents), change))
 
-    @F.pandas_udf(T.StringType())
-    def convert(texts: pd.Series) -> pd.Series:
-        named = lambda pairs: {change(k): v for k, v in pairs}
-        return texts.map(lambda t: t if t is None else json.dumps(json.loads(t, object_pairs_hook=named), separators=(",", ":"), ensure_ascii=False))
 
-    return convert(documents)
+def set_path(settings: Column, path: str, value: Column) -> Column:
+    """settings with a JSON value at a path such as a.b[0]; missing objects and array places are made; keys come in order of their names.
 
+    Null if the path leads through something that is neither object nor array; null settings are an empty object, a null value is JSON's null.
+    """
+    steps: list[str | int] = [int(i) if i else n for n, i in re.findall(r"([^.\[\]]+)|\[(\d+)\]", path)]
+    return J.written(J.put(J.leaves(F.coalesce(settings, F.lit("{}"))), steps, F.coalesce(value, F.lit("null"))))
 
-def _put(document: Column, steps: list[str], value: Column) -> Column:
-    """A JSON object with a JSON value below some names; null if one of them holds something else than an object."""
-    held, name = F.from_json(document, "map<string,variant>"), F.lit(steps[0])
-    new = value
-    if len(steps) > 1:
-        below = F.to_json(held[steps[0]])
-        new = _put(F.when(below.isNull() | (below == "null"), "{}").otherwise(below), steps[1:], value)
-    changed = F.map_concat(F.map_filter(held, lambda k, _: k != name), F.create_map(name, F.parse_json(new)))
-    return F.when(held.isNotNull() & new.isNotNull(), F.to_json(changed))
 
+def deep_merged(first: Column, second: Column) -> Column:
+    """Objects merged key by key, the second winning; arrays and scalars are replaced. A null document leaves the other one."""
+    both = J.written(J.merged(J.leaves(first, arrays=False), J.leaves(second, arrays=False)))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(both)
 
-def set_path(settings: Column, path: str, value: Column) -> Column:
-    """settings with a JSON value at a path; missing objects and array places are made; keys may change their order.
 
-    Null if the path leads through something that is neither object nor array. Paths of names alone are
-    expressions over maps of variants; those with array places run over Arrow batches.
+def checked_set(settings: Column, path: str, value: Column, types: dict[str, str]) -> Column:
+    """struct(settings, error): settings with a JSON value at a dotted path, if every object on the way is one and all typed paths keep their type.
+
+    A name that is missing becomes an object; anything else on the way, null included, is the error "not an object: <name>". types maps
+    dotted paths to string, number, whole, boolean or object; the first that no longer holds is "wrong type: <path>". With an error settings
+    stay as they were.
     """
-    steps: list[str | int] = [int(i) if i else n for n, i in re.findall(r"([^.\[\]]+)|\[(\d+)\]", path)]
-    if all(isinstance(s, str) for s in steps):
-        return _put(F.coalesce(settings, F.lit("{}")), steps, F.coalesce(value, F.lit("null")))
-
-    @F.pandas_udf(T.StringType())
-    def put(documents: pd.Series, values: pd.Series) -> pd.Series:
-        def one(document: str | None, new: str | None) -> str | None:
-            root = at = json.loads(document) if document else {}
-            for step, following in zip(steps, [*steps[1:], None]):
-                if isinstance(step, int) != isinstance(at, list) or not isinstance(at, (dict, list)):
-                    return None
-                if isinstance(step, int):
-                    at.extend([None] * (step + 1 - len(at)))
-                if following is None:
-                    at[step] = json.loads(new) if new is not None else None
-                else:
-                    held = at[step] if isinstance(step, int) else at.get(step)
-                    if held is None:
-                        at[step] = [] if isinstance(following, int) else {}
-                    at = at[step]
-            return json.dumps(root, separators=(",", ":"))
-
-        return pd.Series([one(d, v) for d, v in zip(documents, values)], dtype=object)
-
-    return put(settings, value)
-
-
-@F.pandas_udf(T.StringType())
-def deep_merged(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Objects merged key by key, the second winning; arrays and scalars are replaced."""
-
-    def merged(a, b):
-        if isinstance(a, dict) and isinstance(b, dict):
-            return a | {k: merged(a[k], v) if k in a else v for k, v in b.items()}
-        return b
-
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return a if b is None else b
-        return json.dumps(merged(json.loads(a), json.loads(b)), separators=(",", ":"), sort_keys=True)
-
-    return pd.Series([one(a, b) for a, b in zip(first, second)], dtype=object)
+    names = path.split(".")
+    if not all(names):
+        raise ValueError("the path has an empty name")
+    at = lambda parts: "$" + "".join(f"['{p}']" for p in parts)
+    kind = lambda v, where: F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, where, "variant")), "^[A-Z]+", 0), F.lit("MISSING"))
+    held = {"string": ["STRING"], "number": ["BIGINT", "DECIMAL", "DOUBLE"], "whole": ["BIGINT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"]}
+
+    def way(v: Column) -> Column:
+        error = F.when(kind(v, "$") != "OBJECT", F.lit(f"not an object: {names[0]}"))
+        for n in range(1, len(names)):
+            error = F.coalesce(error, F.when(~kind(v, at(names[:n])).isin("OBJECT", "MISSING"), F.lit(f"not an object: {names[n - 1]}")))
+        return error
+
+    def typed(v: Column) -> Column:
+        return F.coalesce(*(F.when(~kind(v, at(p.split("."))).isin(held[t]), F.lit(f"wrong type: {p}")) for p, t in types.items()), F.lit(None).cast("string"))
+
+    def judged(d: Column) -> Column:
+        error = F.coalesce(d["error"], F.when(d["new"].isNotNull(), J.let(F.parse_json(d["new"]), typed)))
+        return J.let(F.struct(d["new"].alias("new"), error.alias("error")), lambda e: F.struct(F.when(e["error"].isNull(), e["new"]).otherwise(settings).alias("settings"), e["error"].alias("error")))
+
+    made = J.let(J.let(F.parse_json(F.coalesce(settings, F.lit("{}"))), way), lambda error: F.struct(F.when(error.isNull(), set_path(settings, path, value)).alias("new"), error.alias("error")))
+    return J.let(made, judged)
 
 
 def partial_merge(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:

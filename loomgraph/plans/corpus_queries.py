@@ -28,7 +28,6 @@ def _marked(text: str) -> str:
 
 
 
-
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return C.as_files(table(spark, d, "documents"))
 
@@ -46,6 +45,13 @@ def public_files(spark: SparkSession, d: str) -> DataFrame:
     return C.ingest(_files(spark, d), "The").select("file_name", "file_size", "sha1")
 
 
+def public_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Files that begin with wide blanks of three bytes, then blanks: the marker must end within the first 101 bytes."""
+    lead = F.concat(F.repeat(F.lit("\u3000"), (F.col("doc_id") % 40).cast("int")), F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")))
+    content = F.concat(lead, F.lit("public:: true\n"), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", X.is_public(content).alias("public"))
+
+
 def markdown_listing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     ending = F.when(F.col("doc_id") % 3 == 0, ".txt").otherwise(".md")
@@ -147,6 +153,7 @@ CATALOG = {
     "metadata_roundtrip": (metadata_roundtrip, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT file_name, file_size, node_size, hyperlink_count, sha1, '3' AS node_id, '' AS perplexity_link FROM m"),
     "file_metadata": (file_metadata, f"WITH f AS ({_FILES}) {_META}"),
     "public_files": (public_files, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT m.file_name, m.file_size, m.sha1 FROM m JOIN f USING (file_name) WHERE starts_with(regexp_replace(substring(f.content, 1, 101), '^\\s+', ''), 'The')"),
+    "public_prefix": (public_prefix, "SELECT doc_id, 3 * (doc_id % 40) + doc_id % 5 + 13 <= 101 AS public FROM documents"),
     "markdown_listing": (markdown_listing, """SELECT count(*) AS total, count(*) FILTER (doc_id % 7 <> 0) AS files,
       count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 3 <> 0) AS markdown FROM documents"""),
     "page_hyperlinks": (page_hyperlinks, """SELECT page_id, len(regexp_extract_all(html, 'href="([^"]+)"')) AS links, len(regexp_extract_all(html, '\\[([^\\]]+)\\]\\(([^)]+)\\)')) AS markdown_links FROM pages"""),

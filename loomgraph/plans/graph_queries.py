@@ -9,6 +9,7 @@ from loomgraph.functions import exprs as X
 from loomgraph.operators import access as A
 from loomgraph.operators import graph as G
 from loomgraph.operators import search as S
+from loomgraph.operators.paging import PageIndex
 from loomgraph.sources.tables import table
 
 _EDGES = """e AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a
@@ -32,19 +33,30 @@ def graph_health(spark: SparkSession, d: str) -> DataFrame:
     return G.health(metadata=table(spark, d, "documents"), nodes=table(spark, d, "part"), edges=edge_weights(spark, d))
 
 
+_indexes: dict[tuple[str, str], PageIndex] = {}
+
+
+def _paged_parts(spark: SparkSession, d: str) -> PageIndex:
+    """The parts' page index: built by the first query of a session that asks for a page of a folder's table."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        _indexes[key] = PageIndex.build(_parts(spark, d), "id")
+    return _indexes[key]
+
+
 def graph_page(spark: SparkSession, d: str) -> DataFrame:
-    rows, about = G.page(_parts(spark, d), 2, 75)
+    rows, about = _paged_parts(spark, d).page(2, 75)
     return rows.select("id", "label", F.lit(about["total"]).cast("long").alias("total"), F.lit(about["total_pages"]).cast("long").alias("total_pages"))
 
 
 def graph_page_edges(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = G.page(_parts(spark, d), 2, 75)
+    rows, _ = _paged_parts(spark, d).page(2, 75)
     return G.touching(edge_weights(spark, d), rows)
 
 
 def first_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages that count from 0: the third one."""
-    rows, about = G.page(_parts(spark, d), 2, 40, first=0)
+    rows, about = _paged_parts(spark, d).page(2, 40, first=0)
     return rows.select("id", F.lit(about["page"]).alias("page"))
 
 

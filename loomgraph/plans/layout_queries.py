@@ -202,6 +202,13 @@ def transfer_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("client", "updates", "total_bytes", F.round("mean_bytes", 6).alias("mean_bytes"), "longest_pause")
 
 
+def finite_motion(spark: SparkSession, d: str) -> DataFrame:
+    """Positions and velocities of which one of six fields is not a number or infinite in six rows of nine."""
+    odd = F.element_at(F.array(*(F.lit(float(v)) for v in ("nan", "inf", "-inf"))), (F.floor(F.col("event_id") / 9) % 3 + 1).cast("int"))
+    fields = [F.when(F.col("event_id") % 9 == k, odd).otherwise(F.col("value") + k).alias(c) for k, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))]
+    return X.finite_rows(table(spark, d, "events").select("event_id", *fields), ["x", "y", "z", "vx", "vy", "vz"]).select("event_id", F.round("vz", 6).alias("vz"))
+
+
 def finite_positions(spark: SparkSession, d: str) -> DataFrame:
     """Components divided by a value that is sometimes 0: rows with a value that is not finite drop out."""
     x = F.try_divide(F.col("x"), (F.col("id") % 3).cast("double"))
@@ -242,5 +249,6 @@ CATALOG = {
     "moving_fraction": (moving_fraction, _N + "SELECT count(*) FILTER (m) AS moving, count(*) AS total, round(count(*) FILTER (m) / count(*), 6) AS fraction FROM (SELECT greatest(abs(vx), abs(vy), abs(vz)) > 0.001 AS m FROM n0)"),
     "transfer_stats": (transfer_stats, """SELECT client, count(*) AS updates, CAST(sum(b) AS BIGINT) AS total_bytes, round(avg(b), 6) AS mean_bytes, max(gap) AS longest_pause FROM (
       SELECT user_id AS client, CAST(floor(value) AS BIGINT) * 28 AS b, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY client"""),
+    "finite_motion": (finite_motion, "SELECT event_id, round(value + 5, 6) AS vz FROM events WHERE event_id % 9 > 5"),
     "finite_positions": (finite_positions, _N + "SELECT id, round(x / CAST(id % 3 AS DOUBLE), 6) AS x FROM n0 WHERE id % 3 <> 0"),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
@@ -78,7 +78,7 @@ def encoded_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_lists(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat_ws(" , ", "c_name", F.lit(""), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.lit(" x ")))
+    text = F.concat_ws(" ,\t\u3000", "c_name", F.lit("\n"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, F.lit("\u00a0x\r\n")))
     return table(spark, d, "customer").select("c_custkey", F.array_join(X.csv_list(text), "|").alias("entries"), F.size(X.csv_list(text)).cast("long").alias("n"))
 
 
@@ -96,18 +96,42 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gesture_confidence(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events")
-    return events.select("event_id", F.round(X.closeness(F.col("value"), 50.0), 6).alias("confidence"), F.round(X.extension(F.col("value") / 40.0, F.lit(0.25)), 6).alias("extension"))
+    return table(spark, d, "events").select("event_id", F.round(X.closeness(F.col("value"), 50.0), 6).alias("confidence"))
+
+
+def hand_gestures(spark: SparkSession, d: str) -> DataFrame:
+    """Hands whose joints lie on the axes, some of them untracked, told as pinch, point and grip."""
+    v, n = F.col("value") / 1000.0, F.col("event_id")
+    joint = lambda x=0.0, y=0.0, z=0.0, seen=F.lit(True): F.when(seen, F.struct(F.lit(x).cast("double").alias("x"), (y if isinstance(y, Column) else F.lit(y)).alias("y"), (z if isinstance(z, Column) else F.lit(z)).alias("z")))
+    tip = {"thumb": joint(), "index": joint(y=v / 2.0), "middle": joint(y=v / 3.0, seen=n % 11 != 0), "ring": joint(y=v / 4.0), "pinky": joint(y=v / 5.0)}
+    base = {"thumb": joint(seen=n % 5 != 0), "index": joint(seen=n % 7 != 0), "middle": joint(), "ring": joint(), "pinky": joint()}
+    wrist = joint(z=(n % 4) * F.lit(0.02), seen=n % 13 != 0)
+    made = X.gestures(tip, base, wrist)
+    return table(spark, d, "events").select("event_id", *((F.round(c, 6) if "_" in name else c).alias(name) for name, c in made.items()))
+
+
+def settings_checked_set(spark: SparkSession, d: str) -> DataFrame:
+    """Values set in typed settings: some lead through a number or a null, some have the wrong type, some make objects."""
+    path = F.col("event_id") % 5
+    tree = F.concat(F.lit('{"view":{"size":1.5,"name":"n"},"flag":true,"none":null,"count":'), F.col("user_id").cast("string"), F.lit("}"))
+    types = {"view.size": "number", "view.name": "string", "flag": "boolean", "count": "whole"}
+    put = lambda where, value: N.checked_set(tree, where, value, types)
+    number, word = F.col("event_id").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"'))
+    done = F.when(path == 0, put("view.size", number)).when(path == 1, put("view.size", word)).when(path == 2, put("count.deep.er", number)).when(path == 3, put("none.deep", number)).otherwise(put("view.new.part", word))
+    rows = table(spark, d, "events").select("event_id", done.alias("r"))
+    read = lambda where: N.get_path(F.col("r.settings"), where)
+    return rows.select("event_id", F.col("r.error").alias("error"), read("view.size").cast("double").alias("size"), read("view.new.part").alias("part"), read("view.name").alias("name"))
 
 
 def setting_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Settings by category, in kebab-case and camelCase; null where there is none."""
-    tree = F.to_json(F.struct(F.struct(F.struct(F.col("p_size").alias("base_size"), F.col("p_name").alias("label_text")).alias("node_style")).alias("visual")))
+    fields = [F.col("p_size").alias("base_size"), F.col("p_name").alias("label_text"), F.col("p_brand").alias("enable_s_s_a_o"), F.col("p_type").alias("enable_ssao")]
+    tree = F.to_json(F.struct(F.struct(F.struct(*fields).alias("node_style")).alias("visual")))
     lookup = lambda c, s: N.get_setting(tree, c, s)
     category = N.get_category(tree, "visual.node_style")
     return table(spark, d, "part").select(
         "p_partkey", lookup("visual.node-style", "baseSize").cast("int").alias("size"), lookup("visual.nodeStyle", "label-text").alias("label"),
-        lookup("visual", "missing").alias("missing"), N.get_path(category, "label_text").alias("by_category"), N.get_path(tree, "visual.none", default=F.lit("none")).alias("fallback"),
+        lookup("visual", "missing").alias("missing"), lookup("visual.NodeStyle", "enableSSAO").alias("capitals"), N.get_path(category, "label_text").alias("by_category"), N.get_path(tree, "visual.none", default=F.lit("none")).alias("fallback"),
     )
 
 
@@ -149,8 +173,18 @@ CATALOG = {
     "backoff_series": (backoff_series, "WITH n AS (SELECT o_custkey, least(count(*), 5) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, a AS attempt, round(2000 * pow(1.5, a - 1), 6) AS delay FROM (SELECT o_custkey, CAST(unnest(range(1, n + 1)) AS INTEGER) AS a FROM n)"),
     "palette": (palette, """WITH u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_nationkey = 3)
       SELECT id, ['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'][i % 5 + 1] AS colour FROM u WHERE id IS DISTINCT FROM (SELECT min(id) FROM u WHERE id > 100)"""),
-    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence, round(greatest(0, least(1, value / CAST(40 AS DOUBLE) - CAST(0.25 AS DOUBLE))), 6) AS extension FROM events"),
-    "setting_lookup": (setting_lookup, f"SELECT {_P}, p_size AS size, p_name AS label, CAST(NULL AS VARCHAR) AS missing, p_name AS by_category, 'none' AS fallback FROM part"),
+    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence FROM events"),
+    "hand_gestures": (hand_gestures, """WITH v AS (SELECT event_id, value / 1000.0::DOUBLE AS v, (event_id % 4) * 0.02::DOUBLE AS w FROM events),
+      d AS (SELECT *, v / 2::DOUBLE AS p, event_id % 13 <> 0 AS seen,
+        event_id % 7 <> 0 AND sqrt((v / 2) ** 2 + w ** 2) > 0.08::DOUBLE AND ((CASE WHEN event_id % 11 = 0 THEN 0 ELSE v / 3 END) + v / 4 + v / 5) / 3 < 0.04::DOUBLE AS pt,
+        (w + sqrt((v / 2) ** 2 + w ** 2) + sqrt((v / 3) ** 2 + w ** 2) + sqrt((v / 4) ** 2 + w ** 2) + sqrt((v / 5) ** 2 + w ** 2)) / 5 AS m FROM v),
+      g AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, 1 - p / 0.025::DOUBLE)) AS pc, event_id % 11 <> 0 AND event_id % 5 <> 0 AND m < 0.04::DOUBLE AS gr FROM d)
+      SELECT event_id, CASE WHEN seen THEN p < 0.025::DOUBLE AND pc > 0.7::DOUBLE END AS pinch, CASE WHEN seen THEN round(pc, 6) END AS pinch_confidence,
+      CASE WHEN seen THEN pt END AS point, CASE WHEN seen THEN CASE WHEN pt THEN 0.8::DOUBLE ELSE 0 END END AS point_confidence,
+      CASE WHEN seen THEN gr END AS grip, CASE WHEN seen THEN CASE WHEN gr THEN round(greatest(0::DOUBLE, least(1::DOUBLE, 1 - m / 0.04::DOUBLE)), 6) ELSE 0 END END AS grip_confidence FROM g"""),
+    "settings_checked_set": (settings_checked_set, """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'wrong type: view.size' WHEN 2 THEN 'not an object: count' WHEN 3 THEN 'not an object: none' END AS error,
+      CASE WHEN event_id % 5 = 0 THEN CAST(event_id AS DOUBLE) ELSE 1.5::DOUBLE END AS size, CASE WHEN event_id % 5 = 4 THEN event_type END AS part, 'n' AS name FROM events"""),
+    "setting_lookup": (setting_lookup, f"SELECT {_P}, p_size AS size, p_name AS label, CAST(NULL AS VARCHAR) AS missing, p_brand AS capitals, p_name AS by_category, 'none' AS fallback FROM part"),
     "nested_case": (nested_case, f"""SELECT {_P}, '{{"nodeStyle":{{"baseColor":"' || p_name || '","someItems":[{{"edgeSizePx":' || p_size || '}}]}}}}' AS camel, true AS same FROM part"""),
     "full_paths": (full_paths, f"SELECT {_P}, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'main+dir%2F' END || replace(p_name, ' ', '+') AS path FROM part"),
     "default_sessions": (default_sessions, "SELECT CASE WHEN conv_id % 3 <> 0 THEN 's' || conv_id ELSE 'main' END AS session, count(*) AS n FROM conversations GROUP BY 1"),

@@ -81,6 +81,16 @@ def history_tail(spark: SparkSession, d: str) -> DataFrame:
     return D.history_tail(_events(spark, d), "user_id", _ORDER, 5).select("event_id", "user_id")
 
 
+_ACTION = {"view": "set", "signup": "set", "click": "undo", "purchase": "redo", "error": "set"}
+
+
+def undo_history(spark: SparkSession, d: str) -> DataFrame:
+    """Events as steps of a settings editor: views and errors set a value, clicks undo, purchases redo; 4 entries are kept."""
+    action = F.when(F.col("event_id") % 97 == 0, "clear").otherwise(F.create_map(*[F.lit(x) for kv in _ACTION.items() for x in kv])[F.col("event_type")])
+    steps = _events(spark, d).withColumns({"action": action, "setting": (F.col("event_id") % 3).cast("string")})
+    return D.undo_history(steps, "user_id", _ORDER, "action", "setting", 4).select("event_id", "current", "position", "entries", "can_undo", "can_redo")
+
+
 _LEVEL = {"view": "debug", "click": "info", "purchase": "warn", "error": "error"}
 
 
@@ -150,8 +160,10 @@ def sse_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Turns with something other than white space."""
-    return D.transcripts(table(spark, d, "conversations")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    """Turns with something other than white space; some are blanks, tabs, line feeds or wide blanks alone."""
+    blank = F.element_at(F.array(*map(F.lit, ["  ", "\n\t", "\u3000", "\u00a0 x", ""])), (F.col("conv_id") % 5 + 1).cast("int"))
+    turns = table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, blank).otherwise(F.col("text")))
+    return D.transcripts(turns).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
 def user_events_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -196,6 +208,13 @@ CATALOG = {
       arg_max(value, row(ts, event_id)) AS last, count(*) FILTER (value > 16.67) AS slow FROM events GROUP BY event_type"""),
     "recent_entries": (recent_entries, f"WITH {_LAST} SELECT user_id AS id, epoch_us(ts) AS ts FROM l WHERE b = 1 ORDER BY ts DESC, event_id DESC LIMIT 10"),
     "history_tail": (history_tail, f"WITH {_LAST} SELECT event_id, user_id FROM l WHERE b <= 5"),
+    "undo_history": (undo_history, f"""WITH RECURSIVE {_SEQ}, a AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_type = 'click' THEN 'undo' WHEN event_type = 'purchase' THEN 'redo' ELSE 'set' END AS act,
+      CAST(event_id % 3 AS VARCHAR) AS v FROM e), f AS (SELECT event_id, user_id, r, h, CASE WHEN len(h) = 1 THEN 1 ELSE 0 END AS c, h[1] AS last
+      FROM (SELECT *, CASE WHEN act = 'set' THEN [v] ELSE CAST([] AS VARCHAR[]) END AS h FROM a WHERE r = 1) UNION ALL
+      SELECT a.event_id, a.user_id, a.r, CASE WHEN act = 'clear' THEN CAST([] AS VARCHAR[]) WHEN act = 'set' AND f.last IS DISTINCT FROM v THEN list_append(f.h[greatest(f.c - 2, 1):f.c], v) ELSE f.h END,
+      CASE act WHEN 'clear' THEN 0 WHEN 'undo' THEN least(greatest(f.c - 1, 1), f.c) WHEN 'redo' THEN least(f.c + 1, len(f.h)) ELSE CASE WHEN f.last IS DISTINCT FROM v THEN least(f.c + 1, 4) ELSE f.c END END,
+      CASE act WHEN 'clear' THEN NULL WHEN 'set' THEN v ELSE f.last END FROM f JOIN a ON a.user_id = f.user_id AND a.r = f.r + 1)
+      SELECT event_id, h[c] AS current, CAST(c AS BIGINT) AS position, len(h) AS entries, c > 1 AS can_undo, c < len(h) AS can_redo FROM f"""),
     "log_levels": (log_levels, "SELECT event_type, CASE event_type WHEN 'purchase' THEN 2 ELSE 3 END AS level, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error') GROUP BY event_type"),
     "log_tail": (log_tail, "SELECT event_id, CASE event_type WHEN 'view' THEN 'debug' WHEN 'click' THEN 'info' WHEN 'purchase' THEN 'warn' WHEN 'error' THEN 'error' END AS level FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000"),
     "session_cleanup": (session_cleanup, f"WITH {_LAST} SELECT user_id, epoch_us(ts) // 1000000 AS last_seen FROM l WHERE b = 1 AND {_NOW} - epoch_us(ts) // 1000000 < 36 * 3600"),
@@ -208,6 +227,6 @@ CATALOG = {
     "rms_levels": (rms_levels, f"SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms, round(avg(value) / {_d(255.0)}, 6) AS mean_level FROM events GROUP BY user_id"),
     "chat_answer_fold": (chat_answer_fold, "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id"),
     "sse_answers": (sse_answers, "SELECT conv_id, turn, text AS answer FROM conversations WHERE role <> 'user' AND turn % 5 <> 4 AND length(text) > 0"),
-    "transcripts": (transcripts, "SELECT role, count(*) AS n FROM conversations WHERE text IS NOT NULL AND trim(text) <> '' GROUP BY role"),
+    "transcripts": (transcripts, "SELECT role, count(*) AS n FROM conversations WHERE CASE WHEN turn % 3 = 1 THEN conv_id % 5 = 3 ELSE text IS NOT NULL AND regexp_replace(text, '\\s', '', 'g') <> '' END GROUP BY role"),
     "user_events_windows": (user_events_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
 }

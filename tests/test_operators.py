@@ -1,7 +1,10 @@
 """Golden values and properties of single operators."""
 
+import json
 import random
+import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -11,7 +14,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import codec
 from loomgraph.functions import exprs as X
-from loomgraph.operators import access, corpus, folds, graph, layout, ranking, search, settings
+from loomgraph.operators import access, corpus, documents, folds, graph, layout, ranking, search, settings
+from loomgraph.operators import corpus as C
+from loomgraph.operators import mentions as M
+from loomgraph.operators.paging import PageIndex
 
 
 def one(spark, column, **values):
@@ -242,9 +248,167 @@ def test_settings_documents(spark):
     assert put('{"a":{"b":1}}', "a.c", "[1]") == '{"a":{"b":1,"c":[1]}}'
     assert put("{}", "a[1].b", "2") == '{"a":[null,{"b":2}]}'
     assert put('{"a":1}', "a.b", "2") is None
-    assert put('{"a":{"b":null},"z":"x"}', "a.b.c", '"y"') == '{"z":"x","a":{"b":{"c":"y"}}}'
+    assert put('{"a":{"b":null},"z":"x"}', "a.b.c", '"y"') == '{"a":{"b":{"c":"y"}},"z":"x"}'
     nothing = spark.createDataFrame([(None, None)], "d string, v string")
     assert nothing.select(settings.set_path(F.col("d"), "a", F.col("v"))).first()[0] == '{"a":null}'
     assert put('{"a":[1]}', "a.b", "2") is None
     merged = one(spark, settings.deep_merged(F.col("a"), F.col("b")), a='{"x":{"y":1,"z":[1]},"k":1}', b='{"x":{"z":[2]},"n":null}')
     assert merged == '{"k":1,"n":null,"x":{"y":1,"z":[2]}}'
+
+
+def _plain_mentions(texts, names):
+    word = lambda c: unicodedata.category(c) in {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "Pc"}
+    out = {}
+    for i, text in enumerate(texts):
+        inside = [False, *map(word, text), False]
+        for k, name in enumerate(names):
+            at = n = 0
+            while (p := text.find(name, at)) >= 0:
+                end = p + len(name)
+                whole = inside[p] != inside[p + 1] and inside[end] != inside[end + 1]
+                n, at = (n + 1, end) if whole else (n, p + 1)
+            if n:
+                out[i, k] = n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_automaton_counts_like_plain_search(seed, monkeypatch):
+    rng = random.Random(seed)
+    letters = rng.choice(["ab ", "ab#. ", "aäß 中!", "ab_\n-"])
+    names = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 15))})
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 60, 300]))) for _ in range(6)]
+    monkeypatch.setattr(M, "_STRETCH", rng.choice([4, 16, 1024]))
+    text, name, n = M.Automaton(names).counts(texts)
+    assert dict(zip(zip(text.tolist(), name.tolist()), n.tolist())) == _plain_mentions(texts, names)
+
+
+def test_mentions_by_shards_and_by_join_agree(spark):
+    rng = random.Random(4)
+    words = ["The", "the", "a-b", "Straße", "C++", "#tag", "x y", "\\E", "naïve", "中文", "a", "a a"]
+    rows = [(i, " ".join(rng.choice(words) + rng.choice(["", ".", "\n"]) for _ in range(40))) for i in range(30)] + [(100, None), (101, "")]
+    files = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    names = C.vocabulary(spark.createDataFrame([(w,) for w in [*words, None, "", "unseen"]], "w string"), "w")
+    low = [(i, (t or "").lower()) for i, t in rows]
+    want = {(low[i][0], w, n) for w in words for (i, _), n in _plain_mentions([t for _, t in low], [w.lower()]).items()}
+    for found in (M.scanned_mentions(files, names, "id", "content", 1), M.scanned_mentions(files, names, "id", "content", 5), M.joined_mentions(files, names, "id", "content"), C.mentions(files, names, "id")):
+        assert {tuple(r) for r in found.collect()} == want
+    assert C.mentions(files, names.limit(0), "id").count() == 0
+
+
+def test_page_index_reads_few_files_and_survives(spark, tmp_path):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"), F.lit("x").alias("_label"))
+    index = PageIndex.build(rows, "id", f"file://{tmp_path}/pages")
+    again = PageIndex.open(spark, f"file://{tmp_path}/pages")
+    assert again.parts == index.parts and again.total == 1000
+    for number in (1, 2, 37, 50):
+        page, about = again.page(number, 20)
+        assert sorted(r["id"] for r in page.collect()) == list(range(20 * number - 20, 20 * number))
+        assert about == {"total": 1000, "total_pages": 50, "page": number}
+        touched = page.select(F.input_file_name().alias("f")).distinct().count()
+        assert touched <= 2
+        assert "PartitionFilters: [" in page._jdf.queryExecution().toString()
+    nothing = PageIndex.build(rows.limit(0), "id", f"file://{tmp_path}/none")
+    assert nothing.page(1, 20)[0].count() == 0 and nothing.page(1, 20)[1]["total_pages"] == 0
+    with pytest.raises(ValueError):
+        again.page(51, 20)
+
+
+def _random_json(rng, level=0):
+    kind = rng.random()
+    if level < 6 and kind < 0.45:
+        return {rng.choice(["a", "b_c", "dE", 'x"y', "q.r", ""]): _random_json(rng, level + 1) for _ in range(rng.randint(0, 3))}
+    if level < 6 and kind < 0.65:
+        return [_random_json(rng, level + 1) for _ in range(rng.randint(0, 3))]
+    return rng.choice([1, -2, 0.5, True, None, "s", "{[", '"', "\\", "ü", "]"])
+
+
+def _plain_merge(a, b):
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a | {k: _plain_merge(a[k], v) if k in a else v for k, v in b.items()}
+    return b
+
+
+def _plain_put(root, steps, value):
+    root = at = {} if root is None else root
+    for step, following in zip(steps, [*steps[1:], None]):
+        if isinstance(step, int) != isinstance(at, list) or not isinstance(at, (dict, list)):
+            return None
+        if isinstance(step, int):
+            at.extend([None] * (step + 1 - len(at)))
+        if following is None:
+            at[step] = value
+        else:
+            held = at[step] if isinstance(step, int) else at.get(step)
+            if held is None:
+                at[step] = [] if isinstance(following, int) else {}
+            at = at[step]
+    return root
+
+
+def _plain_snake(v):
+    if isinstance(v, dict):
+        return {re.sub("[A-Z]", lambda m: "_" + m.group().lower(), k): _plain_snake(x) for k, x in v.items()}
+    return [_plain_snake(x) for x in v] if isinstance(v, list) else v
+
+
+def test_documents_of_any_depth(spark):
+    """Written again, merged, set at a path and with other keys, against plain Python."""
+    docs = [tuple(json.dumps(_random_json(random.Random(i + k))) for k in (0, 10_000)) for i in range(300)]
+    docs.append(('{"a":{"b":{"c":{"d":{"e":[]}}}}}', '{"a":{"b":{"c":{"d":{"f":{}}}}}}'))
+    frame = spark.createDataFrame(docs, "a string, b string")
+    value = F.lit('{"k":[1]}')
+    rows = frame.select(
+        "a", "b",
+        documents.written(documents.leaves(F.col("a"))).alias("same"),
+        settings.deep_merged(F.col("a"), F.col("b")).alias("merged"),
+        settings.set_path(F.col("a"), "a.b_c[2].z", value).alias("set"),
+        settings.keys_converted(F.col("a"), "snake").alias("snake"),
+    ).collect()
+    for r in rows:
+        a, b = json.loads(r["a"]), json.loads(r["b"])
+        assert json.loads(r["same"]) == a
+        assert json.loads(r["merged"]) == _plain_merge(a, b)
+        assert json.loads(r["snake"]) == _plain_snake(a)
+        want = _plain_put(json.loads(r["a"]), ["a", "b_c", 2, "z"], {"k": [1]})
+        assert (None if r["set"] is None else json.loads(r["set"])) == want
+
+
+def test_undo_history_against_a_plain_stack(spark):
+    rng = random.Random(9)
+    events = [(k, i, rng.choice(["set", "set", "set", "undo", "undo", "redo", "clear" if i % 40 == 0 else "redo"]), str(rng.randint(0, 3))) for k in (1, 2, None) for i in range(200)]
+    frame = spark.createDataFrame(events, "k long, i long, action string, v string").repartition(4)
+    got = {(r["k"], r["i"]): (r["current"], r["position"], r["entries"], r["can_undo"], r["can_redo"]) for r in folds.undo_history(frame, "k", ["i"], "action", "v", 5).collect()}
+    for k in (1, 2, None):
+        entries, cursor, last = [], -1, None
+        for _, i, action, v in (e for e in events if e[0] == k):
+            if action == "set" and v != last:
+                entries = (entries[: cursor + 1] + [v])[-5:]
+                cursor, last = len(entries) - 1, v
+            elif action == "undo" and cursor > 0:
+                cursor -= 1
+            elif action == "redo" and cursor < len(entries) - 1:
+                cursor += 1
+            elif action == "clear":
+                entries, cursor, last = [], -1, None
+            assert got[k, i] == (entries[cursor] if entries else None, cursor + 1, len(entries), cursor > 0, cursor < len(entries) - 1)
+
+
+def test_white_space_of_any_kind(spark):
+    turns = spark.createDataFrame([("\n\t",), ("  ",), ("\u3000\u00a0",), (None,), ("",), (" a",)], "text string")
+    assert [r["text"] for r in folds.transcripts(turns).collect()] == [" a"]
+    assert one(spark, X.csv_list(F.col("c")), c="a,\tb\n, \t ,\u00a0c") == ["a", "b", "c"]
+    assert one(spark, X.is_public(F.col("c")), c="\u3000" * 29 + "public:: true") is True
+    assert one(spark, X.is_public(F.col("c")), c="\u3000" * 30 + "public:: true") is False
+    assert one(spark, X.is_public(F.col("c")), c="public:: true" + "\u3000" * 30) is True
+    assert one(spark, X.snake(F.col("c")), c="enableSSAO-x") == "enable_s_s_a_o_x"
+
+
+def test_checked_set_says_what_is_wrong(spark):
+    types = {"a.n": "number", "a.s": "string"}
+    doc = '{"a":{"n":1,"s":"x"},"b":null,"c":[1]}'
+    put = lambda path, v: one(spark, settings.checked_set(F.col("d"), path, F.col("v"), types), d=doc, v=v)
+    assert put("a.n", "2.5")["error"] is None and json.loads(put("a.n", "2.5")["settings"])["a"]["n"] == 2.5
+    assert json.loads(put("x.y.z", "1")["settings"])["x"] == {"y": {"z": 1}}
+    for path, value, error in [("a.n", '"w"', "wrong type: a.n"), ("a", "{}", "wrong type: a.n"), ("a.n.q", "1", "not an object: n"), ("b.q", "1", "not an object: b"), ("c.q", "1", "not an object: c")]:
+        assert put(path, value) == (doc, error)
