@@ -63,7 +63,7 @@ def leaves(document: Column, arrays: bool = True) -> Column:
 def _quoted(name: Column) -> Column:
     """A name as a JSON string."""
     text = F.to_json(F.array(name))
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(name.rlike(r"^[A-Za-z0-9_ .-]*$"), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
 
 
 def _close(path: Column, least: Column) -> Column:
@@ -108,8 +108,9 @@ def renamed(parts: Column, change) -> Column:
 
 
 def _key(path: Column) -> Column:
-    """A path as a text in which a level's text never ends early."""
-    return F.array_join(F.transform(path, lambda s: F.coalesce(_quoted(s["name"]), s["pos"].cast("string"))), ".")
+    """A path as a text that no other path has: a mark of its own before each level."""
+    mark = "\u0001"
+    return F.array_join(F.transform(path, lambda s: F.coalesce(F.concat(F.lit(mark), F.replace(s["name"], F.lit(mark), F.lit(mark + "1"))), F.concat(F.lit(mark + "0"), s["pos"].cast("string")))), "")
 
 
 def _prefixes(path: Column, whole: bool) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.functions import codec, exprs as X
+from loomgraph.operators import block_layout as B
 from loomgraph.operators import graph as G
 from loomgraph.operators import layout as L
 from loomgraph.operators.folds import transfer_statistics
@@ -72,6 +73,29 @@ def layout_cpu_3steps(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.run_steps(_nodes(spark, d), _edges(spark, d), L.Params(), 3), "mass")
 
 
+def layout_block_3steps(spark: SparkSession, d: str) -> DataFrame:
+    """The three steps again, by blocks that keep their nodes and exchange border nodes."""
+    return _rounded(B.run_in_blocks(_nodes(spark, d), _edges(spark, d), L.Params(), 3, block=256), "mass")
+
+
+def _order_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as nodes near the points of a grid, each linked to its customer's next order."""
+    key = F.col("o_orderkey")
+    off = F.pmod(F.col("o_totalprice"), F.lit(1.0)) * 0.3
+    orders = table(spark, d, "orders")
+    nodes = orders.select(
+        key.alias("id"), ((key % 40) + off).alias("x"), (F.floor(key / 40) % 40 - off).alias("y"), (F.floor(key / 1600) + off * 0.5).alias("z"),
+        *(F.lit(0.0).alias(f"v{c}") for c in "xyz"), (F.col("o_custkey") % 256).cast("int").alias("mass"),
+    )
+    following = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return nodes, orders.select(key.alias("source"), following.alias("target"), F.lit(1.0).alias("weight")).filter("target IS NOT NULL")
+
+
+def layout_large_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Two steps of all orders as nodes, by blocks."""
+    return _rounded(B.run_in_blocks(*_order_nodes(spark, d), L.Params(), 2), "mass")
+
+
 def layout_gpu_step(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.all_pairs_step(_nodes(spark, d, 8.0), L.Params(bounds=4.0), 40), "mass")
 
@@ -223,6 +247,11 @@ _REST = f"(tx - x) * (tx - x) + (ty - y) * (ty - y) + (tz - z) * (tz - z) < {_d(
 CATALOG = {
     "layout_cpu_step": (layout_cpu_step, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')} {_out('n1')}"),
     "layout_cpu_3steps": (layout_cpu_3steps, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')}, {_edge_step_sql('n2', 'n3')} {_out('n3')}"),
+    "layout_block_3steps": (layout_block_3steps, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')}, {_edge_step_sql('n2', 'n3')} {_out('n3')}"),
+    "layout_large_steps": (layout_large_steps, f"""WITH n0 AS (SELECT o_orderkey AS id, o_orderkey % 40 + k AS x, o_orderkey // 40 % 40 - k AS y, o_orderkey // 1600 + k * {_d(0.5)} AS z, {_d(0.0)} AS vx, {_d(0.0)} AS vy, {_d(0.0)} AS vz,
+      CAST(o_custkey % 256 AS INTEGER) AS mass FROM (SELECT *, (o_totalprice % {_d(1.0)}) * {_d(0.3)} AS k FROM orders)),
+      edges AS (SELECT * FROM (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target, {_d(1.0)} AS weight FROM orders) WHERE target IS NOT NULL),
+      {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')} {_out('n2')}"""),
     "layout_gpu_step": (layout_gpu_step, _all_pairs_sql()),
     "layout_gpu_start": (layout_gpu_start, _all_pairs_sql(3)),
     "layout_gpu_unbounded": (layout_gpu_unbounded, _all_pairs_sql(120, None)),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import codec
 from loomgraph.functions import exprs as X
-from loomgraph.operators import access, corpus, documents, folds, graph, layout, ranking, search, settings
+from loomgraph.operators import access, block_layout, corpus, documents, folds, graph, layout, ranking, search, settings
 from loomgraph.operators import corpus as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators.paging import PageIndex
@@ -412,3 +412,32 @@ def test_checked_set_says_what_is_wrong(spark):
     assert json.loads(put("x.y.z", "1")["settings"])["x"] == {"y": {"z": 1}}
     for path, value, error in [("a.n", '"w"', "wrong type: a.n"), ("a", "{}", "wrong type: a.n"), ("a.n.q", "1", "not an object: n"), ("b.q", "1", "not an object: b"), ("c.q", "1", "not an object: c")]:
         assert put(path, value) == (doc, error)
+
+
+def _cloud(spark, seed, n=400):
+    rng = np.random.default_rng(seed)
+    nodes = [(int(i), *map(float, rng.normal(0, 3, 3)), *map(float, rng.normal(0, 0.1, 3)), int(rng.integers(1, 40)), "kept") for i in range(n)]
+    edges = [(int(a), int(b), 1.5) for a, b in rng.integers(0, n, (n, 2)) if a != b] + [(0, 9999, 1.0)] + [(0, int(b), 0.5) for b in range(1, 60)]
+    return spark.createDataFrame(nodes, "id long, x double, y double, z double, vx double, vy double, vz double, mass int, label string"), spark.createDataFrame(edges, "source long, target long, weight double")
+
+
+@pytest.mark.parametrize("options", [{"block": 20}, {"block": 2000, "skin": 0.0}, {"block": 7, "side": 9.0, "skin": 0.4}])
+def test_blocks_step_like_single_steps(spark, options):
+    nodes, edges = _cloud(spark, 5)
+    params = layout.Params()
+    want = {r["id"]: r for r in layout.run_steps(nodes, edges, params, 3).collect()}
+    got = block_layout.run_in_blocks(nodes, edges, params, 3, **options)
+    assert got.columns == nodes.columns
+    rows = got.collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert all(abs(r[c] - want[r["id"]][c]) < 1e-9 for c in ("x", "y", "z", "vx", "vy", "vz")) and r["label"] == "kept"
+
+
+def test_a_step_of_blocks_shuffles_lists_only(spark):
+    nodes, edges = _cloud(spark, 6)
+    run = block_layout.BlockLayout(nodes, edges, layout.Params(), block=30)
+    assert run.advance(2).dealt >= 1
+    state = run.now.filter("to IS NULL").drop("to", "drift").join(run.fixed, "block")
+    assert "Exchange hashpartitioning" not in state._jdf.queryExecution().executedPlan().toString()
+    assert block_layout.run_in_blocks(nodes.limit(0), edges, layout.Params(), 2).count() == 0
