@@ -6,7 +6,9 @@ the rows of a key. The state runs across batches, so keys of any length fit.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -23,6 +25,43 @@ from loomgraph.functions import exprs as X
 Step = Callable[[Any, list[np.ndarray]], tuple[Any, np.ndarray | None, list]]
 
 
+@dataclass(frozen=True)
+class Fold:
+    """A step with the columns it reads and those it adds; the same fold runs over tables and over streams."""
+
+    inputs: list[str]
+    out: dict[str, str]
+    step: Step
+
+    def over(self, df: DataFrame, key: str, order: list[str]) -> DataFrame:
+        return ordered_fold(df, key, order, self.inputs, self.out, self.step)
+
+    def states(self, df: DataFrame, key: str, order: list[str]) -> DataFrame:
+        """(key, state): where the fold stands after all rows of each key, for a stream that goes on from there."""
+        schema = T.StructType([df.schema[key], T.StructField("state", T.BinaryType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, state, begun = None, None, False
+            made = lambda: pa.RecordBatch.from_arrays([pa.array([last], to_arrow_type(schema[0].dataType)), pa.array([pickle.dumps(state)], pa.binary())], schema.names)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                cuts = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]))
+                columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in self.inputs]
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    name = batch.column(key)[lo].as_py()
+                    if not begun or name != last:
+                        if begun:
+                            yield made()
+                        last, state, begun = name, None, True
+                    state = self.step(state, [c[lo:hi] for c in columns])[0]
+            if begun:
+                yield made()
+
+        return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def ordered_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], out: dict[str, str], step: Step) -> DataFrame:
     """df along order within each key, with the out columns that step makes of the input columns.
 
@@ -69,7 +108,7 @@ def _first_beyond(rows: np.ndarray, start: int, sent: np.ndarray, bands: list[tu
     return len(rows)
 
 
-def deadband(updates: DataFrame, key: str, order: list[str], position: list[str], velocity: list[str], position_band: float = 0.01, velocity_band: float = 0.005) -> DataFrame:
+def deadband_fold(position: list[str], velocity: list[str], position_band: float = 0.01, velocity_band: float = 0.005) -> Fold:
     """Updates that differ from the last one *sent* by more than a band; position and velocity are stored together."""
     bands = [(slice(0, len(position)), position_band), (slice(len(position), None), velocity_band)]
 
@@ -82,10 +121,15 @@ def deadband(updates: DataFrame, key: str, order: list[str], position: list[str]
             at = _first_beyond(rows, at + 1, sent, bands)
         return sent, np.array(keep, np.int64), []
 
-    return ordered_fold(updates, key, order, [*position, *velocity], {}, step)
+    return Fold([*position, *velocity], {}, step)
 
 
-def throttle(events: DataFrame, key: str, order: list[str], at: str, least: float) -> DataFrame:
+def deadband(updates: DataFrame, key: str, order: list[str], position: list[str], velocity: list[str], position_band: float = 0.01, velocity_band: float = 0.005) -> DataFrame:
+    """deadband_fold over a table."""
+    return deadband_fold(position, velocity, position_band, velocity_band).over(updates, key, order)
+
+
+def throttle_fold(at: str, least: float) -> Fold:
     """Events at least `least` after the last one accepted; order begins with the time `at`."""
 
     def step(accepted, columns):
@@ -97,7 +141,12 @@ def throttle(events: DataFrame, key: str, order: list[str], at: str, least: floa
             i = max(i + 1, int(np.searchsorted(times, accepted + least)))
         return accepted, np.array(keep, np.int64), []
 
-    return ordered_fold(events, key, order, [at], {}, step)
+    return Fold([at], {}, step)
+
+
+def throttle(events: DataFrame, key: str, order: list[str], at: str, least: float) -> DataFrame:
+    """throttle_fold over a table."""
+    return throttle_fold(at, least).over(events, key, order)
 
 
 def debounce(events: DataFrame, key: str, order: list[str], at: str, quiet: float) -> DataFrame:
@@ -106,21 +155,37 @@ def debounce(events: DataFrame, key: str, order: list[str], at: str, quiet: floa
     return events.withColumn("_next", following).filter(F.col("_next").isNull() | (F.col("_next") - F.col(at) >= quiet)).drop("_next")
 
 
-def adaptive_rate(motions: DataFrame, key: str, order: list[str], motion: str, threshold: float = 0.05, low: int = 5, high: int = 60, damping: float = 0.9) -> DataFrame:
+def adaptive_rate_fold(motion: str, threshold: float = 0.05, low: int = 5, high: int = 60, damping: float = 0.9) -> Fold:
     """The update rate after each measurement: damped towards high or low, cut to whole numbers and clamped."""
     follow = [[min(max(int(rate * damping + target * (1.0 - damping)), low), high) for rate in range(high + 1)] for target in (low, high)]
 
+    # Eight measurements at once: bits tell which were fast; eight[bits, rate] holds the rates after each of them.
+    eight = np.zeros((256, high + 1, 8), np.int64)
+    flags = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    table, now = np.array(follow), np.tile(np.arange(high + 1), (256, 1))
+    for k in range(8):
+        now = eight[:, :, k] = table[flags[:, k : k + 1], now]
+    after = eight[:, :, 7].tolist()
+
     def step(rate, columns):
-        rate, rates = low if rate is None else rate, []
-        for fast in (columns[0] > threshold).tolist():
-            rate = follow[fast][rate]
-            rates.append(rate)
-        return rate, None, [np.array(rates, np.int64)]
+        rate, fast = low if rate is None else rate, columns[0] > threshold
+        bits = np.packbits(fast)  # the last byte is filled up with slow ones, whose rates are cut off
+        starts = []
+        for byte in bits.tolist():
+            starts.append(rate)
+            rate = after[byte][rate]
+        rates = eight[bits, starts].ravel()[: len(fast)]
+        return int(rates[-1]), None, [rates]
 
-    return ordered_fold(motions, key, order, [motion], {"rate": "long"}, step)
+    return Fold([motion], {"rate": "long"}, step)
 
 
-def smoothed(levels: DataFrame, key: str, order: list[str], value: str, weight: float = 0.8, gain: float = 10.0) -> DataFrame:
+def adaptive_rate(motions: DataFrame, key: str, order: list[str], motion: str, threshold: float = 0.05, low: int = 5, high: int = 60, damping: float = 0.9) -> DataFrame:
+    """adaptive_rate_fold over a table."""
+    return adaptive_rate_fold(motion, threshold, low, high, damping).over(motions, key, order)
+
+
+def smoothed_fold(value: str, weight: float = 0.8, gain: float = 10.0) -> Fold:
     """Exponential smoothing from 0, and the level shown: min(gain * smoothed, 1)."""
     block = 64
     fade = weight ** np.arange(1, block + 1)
@@ -135,10 +200,15 @@ def smoothed(levels: DataFrame, key: str, order: list[str], value: str, weight:
         found = np.concatenate(out)
         return level, None, [found, np.minimum(gain * found, 1.0)]
 
-    return ordered_fold(levels, key, order, [value], {"level": "double", "shown": "double"}, step)
+    return Fold([value], {"level": "double", "shown": "double"}, step)
 
 
-def hysteresis(rows: DataFrame, key: str, order: list[str], confidence: str, active: str, on: float = 0.8, off: float = 0.5) -> DataFrame:
+def smoothed(levels: DataFrame, key: str, order: list[str], value: str, weight: float = 0.8, gain: float = 10.0) -> DataFrame:
+    """smoothed_fold over a table."""
+    return smoothed_fold(value, weight, gain).over(levels, key, order)
+
+
+def hysteresis_fold(confidence: str, active: str, on: float = 0.8, off: float = 0.5) -> Fold:
     """A switch that needs more than `on` to turn on and stays while active or above `off`."""
 
     def step(state, columns):
@@ -148,10 +218,15 @@ def hysteresis(rows: DataFrame, key: str, order: list[str], confidence: str, act
         held = np.where(latest >= 0, turn[latest] == 1, bool(state))
         return bool(held[-1]), None, [held]
 
-    return ordered_fold(rows, key, order, [confidence, active], {"state": "boolean"}, step)
+    return Fold([confidence, active], {"state": "boolean"}, step)
 
 
-def selection(toggles: DataFrame, key: str, order: list[str], item: str, most: int = 2) -> DataFrame:
+def hysteresis(rows: DataFrame, key: str, order: list[str], confidence: str, active: str, on: float = 0.8, off: float = 0.5) -> DataFrame:
+    """hysteresis_fold over a table."""
+    return hysteresis_fold(confidence, active, on, off).over(rows, key, order)
+
+
+def selection_fold(item: str, most: int = 2) -> Fold:
     """The selected items after each toggle: a second toggle removes, a new one evicts the oldest beyond most."""
 
     def step(chosen, columns):
@@ -164,11 +239,16 @@ def selection(toggles: DataFrame, key: str, order: list[str], item: str, most: i
             shown.append(",".join(map(str, chosen)))
         return chosen, None, [np.array(shown, object)]
 
-    return ordered_fold(toggles, key, order, [item], {"chosen": "string"}, step)
+    return Fold([item], {"chosen": "string"}, step)
 
 
-def undo_history(events: DataFrame, key: str, order: list[str], action: str, value: str, most: int = 50) -> DataFrame:
-    """The undo history after each event: current (its entry at the cursor), position (from 1, 0 if empty), entries, can_undo, can_redo.
+def selection(toggles: DataFrame, key: str, order: list[str], item: str, most: int = 2) -> DataFrame:
+    """selection_fold over a table."""
+    return selection_fold(item, most).over(toggles, key, order)
+
+
+def undo_history_fold(action: str, value: str, most: int = 50) -> Fold:
+    """The undo history after each event: current (its entry at the cursor), position (from 1, 0 if empty), entries.
 
     Actions: "set" cuts off what was undone and appends value, dropping the oldest beyond `most`; it is passed over if value equals
     the last one appended. "undo" and "redo" move the cursor if they can; "clear" empties the history. Others change nothing.
@@ -206,7 +286,12 @@ def undo_history(events: DataFrame, key: str, order: list[str], action: str, val
             sizes += [len(entries)] * n
         return (entries, cursor, last), None, [np.array(shown, object), np.array(places, np.int64), np.array(sizes, np.int64)]
 
-    folded = ordered_fold(events, key, order, [action, value], {"current": "string", "position": "long", "entries": "long"}, step)
+    return Fold([action, value], {"current": "string", "position": "long", "entries": "long"}, step)
+
+
+def undo_history(events: DataFrame, key: str, order: list[str], action: str, value: str, most: int = 50) -> DataFrame:
+    """undo_history_fold over a table, with can_undo and can_redo."""
+    folded = undo_history_fold(action, value, most).over(events, key, order)
     return folded.withColumns({"can_undo": F.col("position") > 1, "can_redo": F.col("position") < F.col("entries")})
 
 

@@ -138,6 +138,27 @@ def file_by_name(spark: SparkSession, d: str) -> DataFrame:
     return T.named_file(_files(spark, d), "doc_7.md").select("file_name", "content")
 
 
+def file_listing(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of files per source, listed with their sizes: some end as wanted, others don't."""
+    path = T.scratch_path(spark, "listing")
+    docs = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 3 == 0, "other").otherwise("wanted").alias("kind"), F.col("doc_id").cast("string"))
+    for kind, compressed in (("wanted", "none"), ("other", "gzip")):  # .txt and .txt.gz
+        docs.filter(F.col("kind") == kind).drop("kind").write.mode("append").partitionBy("source").option("compression", compressed).text(path)
+    found = T.listing(spark, path, ".txt")
+    return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum("file_size").alias("bytes"))
+
+
+def layout_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Positions saved as JSON arrays of a thousand nodes each, and loaded again."""
+    path = T.scratch_path(spark, "snapshot")
+    part = lambda i: F.col("embedding")[i].cast("double")
+    nodes = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 1000).alias("part"), F.array(F.concat(F.lit('"'), F.col("vec_id").cast("string"), F.lit('"')), *(F.format_string("%.6f", part(i)) for i in range(3))).alias("row"))
+    lines = nodes.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: F.concat(F.lit("["), F.array_join(r, ", "), F.lit("]"))), ", ").alias("rows"))
+    lines.select("part", F.concat(F.lit("["), "rows", F.lit("]"))).repartition("part").write.partitionBy("part").text(path)
+    loaded = T.layout_snapshot(spark, path)
+    return loaded.select(F.col("id").cast("long").alias("id"), *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
 def metadata_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Metadata saved as JSON lines and loaded with its defaults."""
     path = T.scratch_path(spark, "metadata")
@@ -150,6 +171,8 @@ def metadata_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 CATALOG = {
     "file_names": (file_names, f"SELECT file_name FROM ({_FILES})"),
     "file_by_name": (file_by_name, f"SELECT file_name, content FROM ({_FILES}) WHERE file_name = 'doc_7.md'"),
+    "file_listing": (file_listing, "SELECT source, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM documents WHERE doc_id % 3 <> 0 GROUP BY source"),
+    "layout_snapshot": (layout_snapshot, f"SELECT vec_id AS id, {', '.join(f'round(CAST(embedding[{i}] AS DOUBLE), 6) AS {c}' for i, c in enumerate('xyz', 1))} FROM embeddings"),
     "metadata_roundtrip": (metadata_roundtrip, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT file_name, file_size, node_size, hyperlink_count, sha1, '3' AS node_id, '' AS perplexity_link FROM m"),
     "file_metadata": (file_metadata, f"WITH f AS ({_FILES}) {_META}"),
     "public_files": (public_files, f"WITH f AS ({_FILES}), m AS ({_META}) SELECT m.file_name, m.file_size, m.sha1 FROM m JOIN f USING (file_name) WHERE starts_with(regexp_replace(substring(f.content, 1, 101), '^\\s+', ''), 'The')"),
