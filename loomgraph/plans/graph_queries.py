@@ -10,7 +10,9 @@ from loomgraph.operators import access as A
 from loomgraph.operators import graph as G
 from loomgraph.operators import search as S
 from loomgraph.operators.paging import PageIndex
-from loomgraph.sources.tables import table
+from loomgraph.operators.search_index import SearchIndex
+from loomgraph.sources.stores import GraphStore
+from loomgraph.sources.tables import scratch_path, table
 
 _EDGES = """e AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a
   JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
@@ -145,6 +147,22 @@ def command_search(spark: SparkSession, d: str) -> DataFrame:
     return S.command_search(_commands(spark, d), "red").select("id", "title", F.round("score", 6).alias("score"))
 
 
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The command search by an index of letter runs and letter sets."""
+    found, _ = SearchIndex.build(_commands(spark, d), buckets=8).search("red")
+    return found.select("id", "title", F.round("score", 6).alias("score"))
+
+
+def stored_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and their edges kept in buckets: some parts replaced or added, then some deleted with their edges; what is left, counted per part."""
+    nodes = _parts(spark, d)
+    store = GraphStore.create(nodes, edge_weights(spark, d), scratch_path(spark, "graph-store"), 8)
+    store.nodes.upsert(nodes.filter("id % 10 = 3").withColumns({"id": F.when(F.col("id") % 20 == 3, F.col("id")).otherwise(-F.col("id")), "label": F.lit("changed")}))
+    store.delete_nodes(nodes.filter("id % 7 = 0").select("id"))
+    ends = store.by_source.rows().select(F.col("source").alias("id")).unionAll(store.by_target.rows().select(F.col("target").alias("id")))
+    return store.nodes.rows().join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("edges")), "id", "left").select("id", "label", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
     return _commands(spark, d).select("id", F.round(X.fuzzy_score("rdg", F.lower("title")), 6).alias("score"))
 
@@ -231,6 +249,13 @@ CATALOG = {
     "command_search": (command_search, f"""WITH {_FUZZY.format(q='red')} SELECT p_partkey AS id, p_name AS title, round(s, 6) AS score FROM (
       SELECT p.*, CASE WHEN lower(p_name) = 'red' THEN CAST(1 AS DOUBLE) WHEN starts_with(lower(p_name), 'red') THEN 0.8 WHEN contains(lower(p_name), 'red') THEN 0.6
       WHEN contains(lower(p_type), 'red') THEN 0.4 WHEN contains(lower(p_brand), 'red') THEN 0.3 ELSE z.score END AS s FROM part p JOIN z ON z.id = p.p_partkey WHERE p_size > 3) WHERE s > 0.3"""),
+    "indexed_search": (indexed_search, f"""WITH {_FUZZY.format(q='red')} SELECT p_partkey AS id, p_name AS title, round(s, 6) AS score FROM (
+      SELECT p.*, CASE WHEN lower(p_name) = 'red' THEN CAST(1 AS DOUBLE) WHEN starts_with(lower(p_name), 'red') THEN 0.8 WHEN contains(lower(p_name), 'red') THEN 0.6
+      WHEN contains(lower(p_type), 'red') THEN 0.4 WHEN contains(lower(p_brand), 'red') THEN 0.3 ELSE z.score END AS s FROM part p JOIN z ON z.id = p.p_partkey WHERE p_size > 3) WHERE s > 0.3"""),
+    "stored_updates": (stored_updates, f"""WITH {_EDGES}, n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 20 = 3 THEN 'changed' ELSE p_name END AS label FROM part WHERE p_partkey % 7 <> 0
+        UNION ALL SELECT -p_partkey, 'changed' FROM part WHERE p_partkey % 20 = 13),
+      k AS (SELECT source, target FROM w WHERE source % 7 <> 0 AND target % 7 <> 0), x AS (SELECT source AS id FROM k UNION ALL SELECT target FROM k), c AS (SELECT id, count(*) AS edges FROM x GROUP BY id)
+      SELECT n.id, n.label, coalesce(c.edges, 0) AS edges FROM n LEFT JOIN c ON c.id = n.id"""),
     "fuzzy_search": (fuzzy_search, f"WITH {_FUZZY.format(q='rdg')} SELECT id, round(score, 6) AS score FROM z"),
     "help_search": (help_search, "SELECT p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_type), 'brand#1') OR contains(lower(p_brand), 'brand#1')"),
     "settings_search": (settings_search, "SELECT 'group ' || p_partkey // 10 AS title, count(*) AS n FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') GROUP BY 1"),

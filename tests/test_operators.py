@@ -18,6 +18,7 @@ from loomgraph.operators import access, block_layout, corpus, documents, folds,
 from loomgraph.operators import corpus as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators.paging import PageIndex
+from loomgraph.operators.search_index import SearchIndex
 
 
 def one(spark, column, **values):
@@ -441,3 +442,17 @@ def test_a_step_of_blocks_shuffles_lists_only(spark):
     state = run.now.filter("to IS NULL").drop("to", "drift").join(run.fixed, "block")
     assert "Exchange hashpartitioning" not in state._jdf.queryExecution().executedPlan().toString()
     assert block_layout.run_in_blocks(nodes.limit(0), edges, layout.Params(), 2).count() == 0
+
+
+def test_index_finds_what_the_scan_finds(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéX ") for _ in range(rng.randint(0, 8)))
+    rows = [(i, word(), rng.choice([None, word()]), rng.choice([None, [word(), word()], []]), rng.choice([True, False, None])) for i in range(300)]
+    commands = spark.createDataFrame(rows, "id long, title string, description string, keywords array<string>, enabled boolean")
+    index = SearchIndex.build(commands, f"file://{tmp_path}/index", 8)
+    key = lambda df: [(r["id"], r["title"], round(r["score"], 9)) for r in df.collect()]
+    for query in ("a", "ab", "abc", "Xa", "é", "bcde", "d b", "  ", "zz"):
+        found, scored = index.search(query)
+        assert sorted(key(found)) == sorted(key(search.command_search(commands, query)))
+        assert scored < 300
+    assert index.search("zz")[1] == 0
