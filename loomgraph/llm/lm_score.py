@@ -34,6 +34,8 @@ _ROWS = 2048
 _POSITIONS = 1 << 15
 #: Parts of the parameter vector that are averaged apart from each other.
 _PARTS = 32
+#: Shards whose changes are averaged in one group.
+FAN = 64
 
 
 class WindowNetwork:
@@ -301,34 +303,49 @@ def _examples(encoded: DataFrame, share: int, rounds: int, shards: int) -> DataF
     return encoded.select("mark", "words").mapInArrow(run, "round int, shard int, place long, word short, near long")
 
 
-def _round(examples: DataFrame, vector: np.ndarray) -> np.ndarray:
-    """Train one network on each shard of the examples; average their changes by the shards' positions, in a fixed order."""
-    start = examples.sparkSession.sparkContext.broadcast(vector)  # of the network's fixed size
-    schema = "part int, shard int, n long, v binary"
+_CHANGES = "part int, shard int, n long, v binary"
 
-    def change(group: pa.Table) -> pa.Table:
-        place, words, near = (group[c].to_numpy() for c in ("place", "word", "near"))
-        order = np.lexsort((near, words, place))
-        net = WindowNetwork(start.value.copy())
-        net.train(words[order].astype(np.int64), near[order][:, None] // _PLACES % (1 << 15))
-        parts = np.array_split((net.vector - start.value).astype(np.float16), _PARTS)
-        return table_of(range(_PARTS), [group["shard"][0].as_py()] * _PARTS, [len(words)] * _PARTS, parts)
 
-    def table_of(part, shard, n, v) -> pa.Table:
-        return pa.table({"part": pa.array(part, pa.int32()), "shard": pa.array(shard, pa.int32()), "n": pa.array(n, pa.int64()), "v": pa.array([x.tobytes() for x in v], pa.binary())})
+def _change_table(part, shard, n, v) -> pa.Table:
+    return pa.table({"part": pa.array(part, pa.int32()), "shard": pa.array(shard, pa.int32()), "n": pa.array(n, pa.int64()), "v": pa.array([x.tobytes() for x in v], pa.binary())})
+
+
+def _averaged(changes: DataFrame, shards: int) -> DataFrame:
+    """One row per part: the mean of the shards' changes (part, shard, n, v as 16-bit numbers), by n, as 32-bit numbers.
+
+    Neighbouring shards are averaged FAN at a time, in as many levels as their number asks for, so a group is never larger.
+    """
 
     def mean(kind: type):
         def run(group: pa.Table) -> pa.Table:
             group = group.sort_by("shard")
             n = group["n"].to_numpy()
             total = sum(np.frombuffer(x, kind).astype(np.float64) * k for x, k in zip(group["v"].to_pylist(), n / n.sum()))
-            return table_of([group["part"][0].as_py()], [group["shard"][0].as_py()], [int(n.sum())], [total.astype(np.float32)])
+            return _change_table([group["part"][0].as_py()], [group["shard"][0].as_py() // FAN], [int(n.sum())], [total.astype(np.float32)])
 
         return run
 
-    changes = examples.groupBy("shard").applyInArrow(change, schema)
-    some = changes.groupBy("part", F.pmod("shard", F.lit(64))).applyInArrow(mean(np.float16), schema)
-    rows = some.groupBy("part").applyInArrow(mean(np.float32), schema).orderBy("part").collect()  # the network's fixed size
+    kind, left = np.float16, shards
+    while kind is np.float16 or left > 1:
+        changes = changes.groupBy("part", F.floor(F.col("shard") / FAN)).applyInArrow(mean(kind), _CHANGES)
+        kind, left = np.float32, -(-left // FAN)
+    return changes
+
+
+def _round(examples: DataFrame, vector: np.ndarray, shards: int) -> np.ndarray:
+    """Train one network on each shard of the examples; average their changes by the shards' positions, in a fixed order."""
+    start = examples.sparkSession.sparkContext.broadcast(vector)  # of the network's fixed size
+
+    def change(group: pa.Table) -> pa.Table:
+        place, words, near = (group[c].to_numpy() for c in ("place", "word", "near"))
+        order = np.lexsort((near, words, place))
+        net = WindowNetwork(start.value.copy())
+        net.train(words[order].astype(np.int64), near[order][:, None] // _PLACES % (1 << 15))
+        parts = np.array_split((net.vector - start.value).astype(np.float16), _PARTS)
+        return _change_table(range(_PARTS), [group["shard"][0].as_py()] * _PARTS, [len(words)] * _PARTS, parts)
+
+    changes = examples.groupBy("shard").applyInArrow(change, _CHANGES)
+    rows = _averaged(changes, shards).orderBy("part").collect()  # the network's fixed size
     return vector + np.frombuffer(b"".join(r["v"] for r in rows), np.float32) if rows else vector
 
 
@@ -364,7 +381,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, int(-(-types.sum() // (share * SHARD))))
     examples = written(_examples(encoded, share, rounds, shards), "lm-examples") if rounds else None
     for number in range(rounds):
-        net = WindowNetwork(_round(examples.filter(F.col("round") == number), net.vector))
+        net = WindowNetwork(_round(examples.filter(F.col("round") == number), net.vector, shards))
     discarded(examples)
     final = docs.sparkSession.sparkContext.broadcast(net.vector)
     schema = T.StructType([T.StructField("key", source.schema["key"].dataType), T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("sum", T.DoubleType())])

@@ -101,3 +101,20 @@ def test_buckets_hold_all_rarer_words(spark):
             expected[int(_buckets(np.array([r["word"]]).view(np.uint64))[0]) - (TYPES - BUCKETS)] += r["n"]
     assert list(sizes) == [expected[b] for b in range(BUCKETS)]
     assert different.sum() == sum(r["n"] < 60 for r in rows)
+
+
+def test_many_shards_are_averaged_in_bounded_groups(spark, monkeypatch):
+    """Five levels of at most four; the mean is that over all shards."""
+    monkeypatch.setattr(lm_score, "FAN", 4)
+    rng = np.random.default_rng(4)
+    shards, sizes = 600, []
+    weights, changes = rng.integers(1, 50, shards), rng.normal(0, 0.1, (shards, 2, 8)).astype(np.float16)
+    rows = [(p, s, int(weights[s]), changes[s, p].tobytes()) for s in range(shards) for p in range(2) if s != 77]
+    frame = spark.createDataFrame(rows, lm_score._CHANGES).repartition(7)
+    got = {r["part"]: (r["n"], np.frombuffer(r["v"], np.float32)) for r in lm_score._averaged(frame, shards).collect()}
+    keep = np.arange(shards) != 77
+    for p in range(2):
+        assert got[p][0] == weights[keep].sum()
+        np.testing.assert_allclose(got[p][1], np.average(changes[keep, p].astype(float), axis=0, weights=weights[keep]), atol=1e-5)
+    plan = lm_score._averaged(frame, shards)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 5
