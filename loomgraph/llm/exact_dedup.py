@@ -34,7 +34,8 @@ def exact_dedup(
 
     Defined cases: null text equals the empty text; a null id loses against any other id, and
     keep_id is null if all ids of a group are null; rows that repeat id and text all
-    carry the winner's mark and each counts in group_size; an empty table gives an empty result; other columns are ignored,
+    carry the winner's mark and each counts in group_size; texts of any length are compared and hashed whole, and one is a row in
+    the shuffle of its digest's group; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
     if taken := {id_col, "keep_id", "group_size", "kept", "text_sha256"} & set(keep or []):

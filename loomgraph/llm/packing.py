@@ -181,7 +181,8 @@ def pack(
     if the stream is too short, some others have padding. capacity must be a multiple of width.
 
     Defined cases: null and empty text is the end token alone; documents of any length are cut;
-    null or repeated ids and repeated rows are packed row by row; an empty table gives an empty
+    null or repeated ids and repeated rows are packed row by row; pieces of one length class are ordered by
+    where their rows stand, which decides their sequence and nothing else; an empty table gives an empty
     result; other columns are ignored, whatever their names.
     """
     if capacity % width:

@@ -442,6 +442,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_span
     ones as their hull. Candidates and spans have no longest length. Spans are ordered by kind,
     then start. With redact the text is replaced by its redaction.
 
+    Behind a key name (password, passwd, pwd, secret, token, api key, access key, credential and their compounds) and a sign a value is
+    taken whole if quoted, else up to the first blank: of a pass phrase without quotes only the first word is. A value that follows a key
+    name without a sign, "is" or "was" is found only by its own form.
+
     Defined cases: null text has no spans and stays null; texts of any length are read whole, in
     linear time; rows that repeat are treated alike; of equally likely overlapping candidates
     the earlier names the kind; an empty table gives an empty result; all columns stay, and spans_col

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomgraph.llm import langid
 from loomgraph.llm.langid import KneserNey, fit, fit_documents, folded, held_out, identify, letters_in
@@ -72,3 +73,8 @@ def test_probabilities_sum_to_one_and_equal_the_formula():
     assert np.allclose(got, want, atol=1e-4)
     seen = {g[-1] for g in levels[1]}
     assert abs(sum(p((97, 98), c, order) for c in seen) + (alphabet - len(seen)) * p((97, 98), 1, order) - 1) < 1e-9
+
+
+def test_kept_columns_must_not_clash(spark):
+    with pytest.raises(ValueError):
+        langid.identify(spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, score double"), None, keep=["score"])

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from loomgraph.llm import pii
@@ -90,14 +90,30 @@ def test_each_number_of_a_long_line_is_a_candidate(one):
     assert {n.lstrip("(") for n in numbers} <= {n.lstrip("(") for n in got}
 
 
-@settings(max_examples=150, deadline=None)
-@given(
-    st.sampled_from(["password=", 'token = "', "api_key: ", "secret='", "client_secret="]),
-    st.one_of(st.integers(8, 60), st.integers(8, 3000), st.just(100_000)),
-    st.sampled_from(["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ019!#$%&*+/"]),
-    st.integers(0, 10**9),
-)
+LEADS = ["password=", 'token = "', "api_key: ", "secret='", "client_secret="]
+ALPHABETS = ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcXYZ019!#$%&*+/", "!#$%&*+/-_@?"]
+
+
+@settings(max_examples=5000, deadline=None)
+@given(st.sampled_from(LEADS), st.one_of(st.integers(8, 14), st.integers(8, 60), st.integers(8, 400)), st.sampled_from(ALPHABETS), st.integers(0, 10**9))
+@example("password=", 8, "abcXYZ019!#$%&*+/", 7031)
 def test_no_planted_secret_survives(lead, size, letters, seed):
+    survives_not(lead, size, letters, seed)
+
+
+@pytest.mark.parametrize("size", [3000, 20_000, 100_000])
+@pytest.mark.parametrize("letters", ALPHABETS)
+def test_no_long_planted_secret_survives(size, letters):
+    for lead in LEADS:
+        survives_not(lead, size, letters, size)
+
+
+def test_a_short_value_of_many_signs():
+    text = "Mer thanti erin password=#aca&c%* ond tha"
+    assert "a&c" not in pii.redacted(text, pii.model().spans(text))
+
+
+def survives_not(lead, size, letters, seed):
     import random
 
     rng = random.Random(seed)
