@@ -37,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lowered) the document with the largest id; rows that repeat id and text stay once.
 
-    Null text equals the empty text; a null id loses against any other.
+    Null text equals the empty text; a null id loses against any other. Equal texts under one id are a tie: any one row stays.
     """
     found = exact_dedup(docs, keep=COLUMNS[1:]).filter("kept")
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
@@ -48,7 +48,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group linked by shingle similarity.
 
-    Null ids stay; null and blank texts are linked with nothing; rows that repeat an id stay or go together.
+    Null ids stay; null and blank texts are linked with nothing; rows that repeat an id stay or go together. There are no ties, since the least id stays.
     """
     kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi").select(*COLUMNS)
@@ -66,7 +66,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens, with their token ids.
 
-    Null and empty texts are the end token alone; rows that repeat are packed one by one.
+    Null and empty texts are the end token alone; rows that repeat are packed one by one. Pieces of equal length are ordered by where
+    they stand in the table; which sequence takes which of them has no meaning.
     """
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
