@@ -210,16 +210,9 @@ def run_steps(nodes: DataFrame, edges: DataFrame, params: Params, steps: int) ->
 MAX_FORCE, MAX_VELOCITY, MIN_DISTANCE, WARMUP = 3.0, 0.02, 0.15, 100
 
 
-def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
-    """One step of the all-pairs model: repulsion below reach, attraction beyond it, pull to the centre, caps and bounds.
-
-    nodes: id, x, y, z, vx, vy, vz, mass. Every node acts on every other, in tiles.
-    """
-    warm = min(iteration, WARMUP) / WARMUP
+def all_pairs_act(params: Params, iteration: int) -> tuple[float, Kernel]:
+    """(how much of the spring is on, the force between two nodes): repulsion below reach, attraction beyond it."""
     ramp = 0.01 + 0.99 * iteration / WARMUP if iteration < WARMUP else 1.0
-    damping = max(params.damping, 0.9 - 0.4 * warm) if iteration < WARMUP else params.damping
-    m = X.mass_unit(F.col("mass"))
-    slim = nodes.select("id", *AXES, m.alias("m"))
 
     def act(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray) -> np.ndarray:
         on = distance > MIN_DISTANCE
@@ -230,7 +223,25 @@ def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int =
         spring = np.where(d > 3.0, spring * (1.0 + (d - 3.0) * 0.1), spring) * product
         return np.where(on, -np.where(d < params.reach, repel, spring) / d, 0.0)
 
-    rows = nodes.join(_tiled(slim, slim, [], act, tile), "id", "left")
+    return ramp, act
+
+
+def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
+    """One step of the all-pairs model: repulsion below reach, attraction beyond it, pull to the centre, caps and bounds.
+
+    nodes: id, x, y, z, vx, vy, vz, mass. Every node acts on every other, in tiles.
+    """
+    slim = nodes.select("id", *AXES, X.mass_unit(F.col("mass")).alias("m"))
+    return all_pairs_move(nodes, _tiled(slim, slim, [], all_pairs_act(params, iteration)[1], tile), params, iteration)
+
+
+def all_pairs_move(nodes: DataFrame, forces: DataFrame, params: Params, iteration: int) -> DataFrame:
+    """nodes moved by the forces (id, fx, fy, fz) of all others."""
+    warm = min(iteration, WARMUP) / WARMUP
+    ramp, _ = all_pairs_act(params, iteration)
+    damping = max(params.damping, 0.9 - 0.4 * warm) if iteration < WARMUP else params.damping
+    m = X.mass_unit(F.col("mass"))
+    rows = nodes.join(forces, "id", "left")
     norm = lambda a, b, c: F.sqrt(a * a + b * b + c * c)
     far = norm(*(F.col(c) for c in AXES))
     centre = F.when(far > 3.0, F.lit(0.015) * m * ramp * (far - 3.0) / far).otherwise(0.0)

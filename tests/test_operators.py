@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import codec
 from loomgraph.functions import exprs as X
-from loomgraph.operators import access, block_layout, corpus, documents, folds, graph, layout, ranking, search, settings
+from loomgraph.operators import access, block_layout, corpus, documents, far_field, folds, graph, layout, ranking, search, settings
 from loomgraph.operators import corpus as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators.paging import PageIndex
@@ -456,3 +456,26 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path):
         assert sorted(key(found)) == sorted(key(search.command_search(commands, query)))
         assert scored < 300
     assert index.search("zz")[1] == 0
+
+
+@pytest.mark.parametrize("n, box", [(1, 5.0), (300, 4.0), (1200, 40.0)])
+def test_tree_forces_are_within_their_bound(spark, n, box):
+    rng = np.random.default_rng(n)
+    rows = [(int(i), *map(float, rng.uniform(-box, box, 3)), float(rng.uniform(0.1, 1.0))) for i in range(n)]
+    nodes, params = spark.createDataFrame(rows, "id long, x double, y double, z double, m double"), layout.Params()
+    exact = {r["id"]: np.array([r["fx"], r["fy"], r["fz"]]) for r in layout._tiled(nodes, nodes, [], layout.all_pairs_act(params, 40)[1], 256).collect()}
+    got = far_field.tree_forces(nodes, params, 40, tile=200).collect()
+    assert {r["id"] for r in got} == set(exact)
+    for r in got:
+        off = np.linalg.norm(np.array([r["fx"], r["fy"], r["fz"]]) - exact[r["id"]])
+        assert off <= r["bound"] + 1e-9 and off <= 0.002 * np.linalg.norm(exact[r["id"]]) + 1e-6
+    with pytest.raises(ValueError):
+        far_field.tree_forces(nodes, params, 40, side=1.0)
+
+
+def test_tree_step_moves_like_all_pairs(spark):
+    nodes, _ = _cloud(spark, 8, 200)
+    nodes = nodes.withColumns({c: F.col(c) * 6.0 for c in "xyz"})
+    want = {r["id"]: r for r in layout.all_pairs_step(nodes, layout.Params(), 40).collect()}
+    for r in far_field.tree_step(nodes, layout.Params(), 40).collect():
+        assert all(abs(r[c] - want[r["id"]][c]) < 1e-3 for c in ("x", "y", "z", "vx", "vy", "vz"))
