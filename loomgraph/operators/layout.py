@@ -232,7 +232,12 @@ def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int =
     nodes: id, x, y, z, vx, vy, vz, mass. Every node acts on every other, in tiles.
     """
     slim = nodes.select("id", *AXES, X.mass_unit(F.col("mass")).alias("m"))
-    return all_pairs_move(nodes, _tiled(slim, slim, [], all_pairs_act(params, iteration)[1], tile), params, iteration)
+    return all_pairs_move(nodes, all_pairs_forces(slim, params, iteration, tile), params, iteration)
+
+
+def all_pairs_forces(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
+    """(id, fx, fy, fz) for nodes (id, x, y, z, m): the exact sums over all others."""
+    return _tiled(nodes, nodes, [], all_pairs_act(params, iteration)[1], tile)
 
 
 def all_pairs_move(nodes: DataFrame, forces: DataFrame, params: Params, iteration: int) -> DataFrame:

@@ -187,7 +187,7 @@ def settings_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_groups(spark: SparkSession, d: str) -> DataFrame:
-    sizes = table(spark, d, "part").filter("p_type != 'ECONOMY'").groupBy(F.col("p_type").alias("category")).agg(F.min("p_size").alias("priority"))
+    sizes = table(spark, d, "part").groupBy(F.col("p_type").alias("category")).agg(F.min(F.when(F.col("p_type") != "ECONOMY", F.col("p_size"))).alias("priority"))
     return S.by_category(_commands(spark, d), sizes).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 

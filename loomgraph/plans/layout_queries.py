@@ -102,9 +102,9 @@ def layout_gpu_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layout_tree_bound(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as nodes of the all-pairs model with far ones taken together: whether each force is within its bound of the exact one, and the bound small."""
-    nodes = _order_nodes(spark, d)[0].filter("id % 16 = 1").select("id", *"xyz", X.mass_unit(F.col("mass")).alias("m"))
-    exact = L._tiled(nodes, nodes, [], L.all_pairs_act(L.Params(), 40)[1], L.TILE).select("id", *(F.col(f"f{c}").alias(f"e{c}") for c in "xyz"))
+    """The all-pairs forces of widely spread nodes with far ones taken together: whether each is within its bound of the exact one, and near it."""
+    nodes = _nodes(spark, d, 60.0).select("id", *"xyz", X.mass_unit(F.col("mass")).alias("m"))
+    exact = L.all_pairs_forces(nodes, L.Params(), 40).select("id", *(F.col(f"f{c}").alias(f"e{c}") for c in "xyz"))
     both = T.tree_forces(nodes, L.Params(), 40).join(exact, "id")
     off = F.sqrt(sum(((F.col(f"f{c}") - F.col(f"e{c}")) * (F.col(f"f{c}") - F.col(f"e{c}")) for c in "xyz"), F.lit(0.0)))
     size = F.sqrt(sum((F.col(f"e{c}") * F.col(f"e{c}") for c in "xyz"), F.lit(0.0)))
@@ -264,7 +264,7 @@ CATALOG = {
       edges AS (SELECT * FROM (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS target, {_d(1.0)} AS weight FROM orders) WHERE target IS NOT NULL),
       {_edge_step_sql('n0', 'n1')}, {_edge_step_sql('n1', 'n2')} {_out('n2')}"""),
     "layout_gpu_step": (layout_gpu_step, _all_pairs_sql()),
-    "layout_tree_bound": (layout_tree_bound, "SELECT o_orderkey AS id, true AS within, true AS close FROM orders WHERE o_orderkey % 16 = 1"),
+    "layout_tree_bound": (layout_tree_bound, "SELECT vec_id AS id, true AS within, true AS close FROM embeddings"),
     "layout_gpu_start": (layout_gpu_start, _all_pairs_sql(3)),
     "layout_gpu_unbounded": (layout_gpu_unbounded, _all_pairs_sql(120, None)),
     "layout_final_phase": (layout_final_phase, f"WITH {_BASE}, {_edge_step_sql('n0', 'n1', L.Params.phase('finalize'))} {_out('n1', 2)}"),

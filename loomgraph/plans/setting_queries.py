@@ -89,8 +89,8 @@ def backoff_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def palette(spark: SparkSession, d: str) -> DataFrame:
-    """The colours of the customers of nation 3 in order of their keys; the one with the least key above 100 is the local user."""
-    users = table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
+    """The colours of all customers in order of their keys; the one with the least key above 100 is the local user."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     local = users.filter("id > 100").agg(F.min("id")).first()[0]
     return G.coloured(users, local)
 
@@ -171,7 +171,7 @@ CATALOG = {
     "encoded_paths": (encoded_paths, f"SELECT {_P}, '/pages/' || replace(p_name, ' ', '+') AS path, to_base64(encode(p_name)) AS content FROM part"),
     "csv_lists": (csv_lists, "SELECT c_custkey, array_to_string(e, '|') AS entries, len(e) AS n FROM (SELECT c_custkey, list_filter([c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN 'x' END], lambda v: v IS NOT NULL) AS e FROM customer)"),
     "backoff_series": (backoff_series, "WITH n AS (SELECT o_custkey, least(count(*), 5) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, a AS attempt, round(2000 * pow(1.5, a - 1), 6) AS delay FROM (SELECT o_custkey, CAST(unnest(range(1, n + 1)) AS INTEGER) AS a FROM n)"),
-    "palette": (palette, """WITH u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer WHERE c_nationkey = 3)
+    "palette": (palette, """WITH u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)
       SELECT id, ['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'][i % 5 + 1] AS colour FROM u WHERE id IS DISTINCT FROM (SELECT min(id) FROM u WHERE id > 100)"""),
     "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence FROM events"),
     "hand_gestures": (hand_gestures, """WITH v AS (SELECT event_id, value / 1000.0::DOUBLE AS v, (event_id % 4) * 0.02::DOUBLE AS w FROM events),

@@ -463,7 +463,7 @@ def test_tree_forces_are_within_their_bound(spark, n, box):
     rng = np.random.default_rng(n)
     rows = [(int(i), *map(float, rng.uniform(-box, box, 3)), float(rng.uniform(0.1, 1.0))) for i in range(n)]
     nodes, params = spark.createDataFrame(rows, "id long, x double, y double, z double, m double"), layout.Params()
-    exact = {r["id"]: np.array([r["fx"], r["fy"], r["fz"]]) for r in layout._tiled(nodes, nodes, [], layout.all_pairs_act(params, 40)[1], 256).collect()}
+    exact = {r["id"]: np.array([r["fx"], r["fy"], r["fz"]]) for r in layout.all_pairs_forces(nodes, params, 40, 256).collect()}
     got = far_field.tree_forces(nodes, params, 40, tile=200).collect()
     assert {r["id"] for r in got} == set(exact)
     for r in got:
