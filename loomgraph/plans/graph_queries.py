@@ -144,13 +144,13 @@ def _commands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def command_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.command_search(_commands(spark, d), "red").select("id", "title", F.round("score", 6).alias("score"))
+    return S.command_search(_commands(spark, d), "red").select("id", "title", X.rounded("score", 6).alias("score"))
 
 
 def indexed_search(spark: SparkSession, d: str) -> DataFrame:
     """The command search by an index of letter runs and letter sets."""
     found, _ = SearchIndex.build(_commands(spark, d), buckets=8).search("red")
-    return found.select("id", "title", F.round("score", 6).alias("score"))
+    return found.select("id", "title", X.rounded("score", 6).alias("score"))
 
 
 def stored_updates(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def stored_updates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_search(spark: SparkSession, d: str) -> DataFrame:
-    return _commands(spark, d).select("id", F.round(X.fuzzy_score("rdg", F.lower("title")), 6).alias("score"))
+    return _commands(spark, d).select("id", X.rounded(X.fuzzy_score("rdg", F.lower("title")), 6).alias("score"))
 
 
 _FUZZY = """RECURSIVE f AS (SELECT p_partkey AS id, lower(p_name) AS s, 1 AS i, 0 AS hit, 0 AS run, CAST(0 AS DOUBLE) AS score FROM part

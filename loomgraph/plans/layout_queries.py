@@ -63,7 +63,7 @@ def _out(relation: str, digits: int = 6) -> str:
 
 
 def _rounded(nodes: DataFrame, *others: str, digits: int = 6) -> DataFrame:
-    return nodes.select("id", *(F.round(c, digits).alias(c) for c in _STATE), *others)
+    return nodes.select("id", *(X.rounded(c, digits).alias(c) for c in _STATE), *others)
 
 
 def layout_cpu_step(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ def _all_pairs_sql(iteration: int = 40, bounds: float | None = 4.0) -> str:
 
 def fibonacci_init(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id")
-    return L.on_sphere(docs, "doc_id").select("doc_id", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return L.on_sphere(docs, "doc_id").select("doc_id", *(X.rounded(c, 6).alias(c) for c in "xyz"))
 
 
 def easing_tick(spark: SparkSession, d: str) -> DataFrame:
@@ -169,11 +169,11 @@ def bounding_box(spark: SparkSession, d: str) -> DataFrame:
 
 def distance_fade(spark: SparkSession, d: str) -> DataFrame:
     far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    return _nodes(spark, d).select("id", F.round(X.distance_fade(far, 0.5, 1.5), 6).alias("opacity"))
+    return _nodes(spark, d).select("id", X.rounded(X.distance_fade(far, 0.5, 1.5), 6).alias("opacity"))
 
 
 def edge_geometry(spark: SparkSession, d: str) -> DataFrame:
-    return L.edge_geometry(_nodes(spark, d), _edges(spark, d)).select("source", "target", F.round("length", 6).alias("length"))
+    return L.edge_geometry(_nodes(spark, d), _edges(spark, d)).select("source", "target", X.rounded("length", 6).alias("length"))
 
 
 def radius_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def radius_neighbors(spark: SparkSession, d: str) -> DataFrame:
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes packed into frames and read again."""
     decoded = codec.decode_frames(codec.frames(_nodes(spark, d, 1.0)))
-    return decoded.select("frame_id", "id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in _STATE), F.col("mass").cast("int").alias("mass"), F.col("flags").cast("int").alias("flags"))
+    return decoded.select("frame_id", "id", *(X.rounded(F.col(c).cast("double"), 6).alias(c) for c in _STATE), F.col("mass").cast("int").alias("mass"), F.col("flags").cast("int").alias("flags"))
 
 
 def frame_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ def frame_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def moving_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return G.moving_share(_nodes(spark, d)).withColumn("fraction", F.round("fraction", 6))
+    return G.moving_share(_nodes(spark, d)).withColumn("fraction", X.rounded("fraction", 6))
 
 
 def pinned_tick(spark: SparkSession, d: str) -> DataFrame:
@@ -214,40 +214,40 @@ def origin_fallback(spark: SparkSession, d: str) -> DataFrame:
     kept = (F.col("id") % 7 != 0) & (F.col("id") % 4 != 0)
     nodes = _nodes(spark, d).select("id", *(F.when(kept, F.col(c)).otherwise(lost).alias(c) for c in "xyz"))
     placed = L.off_origin(nodes)
-    return placed.select("id", F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 6).alias("radius"))
+    return placed.select("id", X.rounded(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 6).alias("radius"))
 
 
 def position_defaults(spark: SparkSession, d: str) -> DataFrame:
     """Updates of which some components are missing or no number."""
     odd = F.when(F.col("id") % 3 == 0, F.lit(None).cast("double")).when(F.col("id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("x"))
     updates = _nodes(spark, d).select("id", odd.alias("x"), F.when(F.col("id") % 2 == 0, F.col("y")).alias("y"), "z")
-    return codec.position_array(updates).select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return codec.position_array(updates).select("id", *(X.rounded(c, 6).alias(c) for c in "xyz"))
 
 
 def lenient_decode(spark: SparkSession, d: str) -> DataFrame:
     """Frames with a few bytes too many, in which some nodes have a velocity that is no number."""
     broken = _nodes(spark, d, 1.0).withColumn("vx", F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("vx")))
     packed = codec.frames(broken).withColumn("payload", F.concat("payload", F.unhex(F.lit("0102"))))
-    return codec.decode_frames(packed, strict=False).select("frame_id", "id", F.round(F.col("x").cast("double"), 6).alias("x"))
+    return codec.decode_frames(packed, strict=False).select("frame_id", "id", X.rounded(F.col("x").cast("double"), 6).alias("x"))
 
 
 def transfer_stats(spark: SparkSession, d: str) -> DataFrame:
     sent = table(spark, d, "events").select(F.col("user_id").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"), codec.frame_size(F.floor("value").cast("long")).alias("bytes"))
     out = transfer_statistics(sent)
-    return out.select("client", "updates", "total_bytes", F.round("mean_bytes", 6).alias("mean_bytes"), "longest_pause")
+    return out.select("client", "updates", "total_bytes", X.rounded("mean_bytes", 6).alias("mean_bytes"), "longest_pause")
 
 
 def finite_motion(spark: SparkSession, d: str) -> DataFrame:
     """Positions and velocities of which one of six fields is not a number or infinite in six rows of nine."""
     odd = F.element_at(F.array(*(F.lit(float(v)) for v in ("nan", "inf", "-inf"))), (F.floor(F.col("event_id") / 9) % 3 + 1).cast("int"))
     fields = [F.when(F.col("event_id") % 9 == k, odd).otherwise(F.col("value") + k).alias(c) for k, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))]
-    return X.finite_rows(table(spark, d, "events").select("event_id", *fields), ["x", "y", "z", "vx", "vy", "vz"]).select("event_id", F.round("vz", 6).alias("vz"))
+    return X.finite_rows(table(spark, d, "events").select("event_id", *fields), ["x", "y", "z", "vx", "vy", "vz"]).select("event_id", X.rounded("vz", 6).alias("vz"))
 
 
 def finite_positions(spark: SparkSession, d: str) -> DataFrame:
     """Components divided by a value that is sometimes 0: rows with a value that is not finite drop out."""
     x = F.try_divide(F.col("x"), (F.col("id") % 3).cast("double"))
-    return _nodes(spark, d).select("id", x.alias("x")).filter(X.is_finite(F.col("x"))).select("id", F.round("x", 6).alias("x"))
+    return _nodes(spark, d).select("id", x.alias("x")).filter(X.is_finite(F.col("x"))).select("id", X.rounded("x", 6).alias("x"))
 
 
 _N = f"WITH {_BASE} "

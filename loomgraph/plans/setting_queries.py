@@ -85,7 +85,7 @@ def csv_lists(spark: SparkSession, d: str) -> DataFrame:
 def backoff_series(spark: SparkSession, d: str) -> DataFrame:
     """Reconnect delays for each customer's number of orders, five attempts at most."""
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("n"))
-    return n.select("o_custkey", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("attempt")).withColumn("delay", F.round(X.backoff(F.col("attempt")), 6))
+    return n.select("o_custkey", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("attempt")).withColumn("delay", X.rounded(X.backoff(F.col("attempt")), 6))
 
 
 def palette(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gesture_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.round(X.closeness(F.col("value"), 50.0), 6).alias("confidence"))
+    return table(spark, d, "events").select("event_id", X.rounded(X.closeness(F.col("value"), 50.0), 6).alias("confidence"))
 
 
 def hand_gestures(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ def hand_gestures(spark: SparkSession, d: str) -> DataFrame:
     base = {"thumb": joint(seen=n % 5 != 0), "index": joint(seen=n % 7 != 0), "middle": joint(), "ring": joint(), "pinky": joint()}
     wrist = joint(z=(n % 4) * F.lit(0.02), seen=n % 13 != 0)
     made = X.gestures(tip, base, wrist)
-    return table(spark, d, "events").select("event_id", *((F.round(c, 6) if "_" in name else c).alias(name) for name, c in made.items()))
+    return table(spark, d, "events").select("event_id", *((X.rounded(c, 6) if "_" in name else c).alias(name) for name, c in made.items()))
 
 
 def settings_checked_set(spark: SparkSession, d: str) -> DataFrame:

@@ -42,7 +42,7 @@ def adaptive_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def ema_level(spark: SparkSession, d: str) -> DataFrame:
     levels = D.smoothed(_events(spark, d).withColumn("rms", F.col("value") / 1000.0), "user_id", _ORDER, "rms")
-    return levels.select("event_id", F.round("level", 6).alias("level"), F.round("shown", 6).alias("shown"))
+    return levels.select("event_id", X.rounded("level", 6).alias("level"), X.rounded("shown", 6).alias("shown"))
 
 
 def hysteresis(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def session_valid(spark: SparkSession, d: str) -> DataFrame:
 def component_metrics(spark: SparkSession, d: str) -> DataFrame:
     renders = _events(spark, d).select(F.col("event_type").alias("component"), F.col("value").alias("ms"), "ts", F.col("event_id").alias("seq"))
     out = D.component_metrics(renders)
-    return out.select("component", "renders", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), "peak", "last", "slow")
+    return out.select("component", "renders", X.rounded("total", 4).alias("total"), X.rounded("mean", 6).alias("mean"), "peak", "last", "slow")
 
 
 def recent_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
 
 def rms_levels(spark: SparkSession, d: str) -> DataFrame:
     out = _events(spark, d).groupBy("user_id").agg(X.mean_square_root(F.col("value")).alias("rms"), (F.avg("value") / 255.0).alias("mean_level"))
-    return out.select("user_id", F.round("rms", 6).alias("rms"), F.round("mean_level", 6).alias("mean_level"))
+    return out.select("user_id", X.rounded("rms", 6).alias("rms"), X.rounded("mean_level", 6).alias("mean_level"))
 
 
 def session_cleanup(spark: SparkSession, d: str) -> DataFrame:

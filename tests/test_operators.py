@@ -47,6 +47,11 @@ def test_names(spark):
     assert one(spark, X.csv_list(F.col("c")), c=" a, ,b,") == ["a", "b"]
 
 
+def test_rounding_scales_first(spark):
+    assert one(spark, X.rounded(F.col("v"), 6), v=0.7965274999999999) == 0.796528
+    assert [one(spark, X.rounded(F.col("v"), 2), v=v) for v in (-1.125, 1.124, 0.0)] == [-1.13, 1.12, 0.0]
+
+
 def test_wav_header(spark):
     raw = b"RIFF" + struct.pack("<I", 36) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 44100, 88200, 2, 16) + b"data" + struct.pack("<I", 0)
     assert tuple(one(spark, X.wav_header(F.col("r")), r=bytearray(raw))) == (1, 44100, 16)
