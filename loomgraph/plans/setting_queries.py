@@ -96,7 +96,8 @@ def palette(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gesture_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", X.rounded(X.closeness(F.col("value"), 50.0), 6).alias("confidence"))
+    events = table(spark, d, "events")
+    return events.select("event_id", X.rounded(X.closeness(F.col("value"), 50.0), 6).alias("confidence"), X.rounded(X.extension(F.col("value") / 40.0, F.lit(0.25)), 6).alias("extension"))
 
 
 def hand_gestures(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +174,7 @@ CATALOG = {
     "backoff_series": (backoff_series, "WITH n AS (SELECT o_custkey, least(count(*), 5) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, a AS attempt, round(2000 * pow(1.5, a - 1), 6) AS delay FROM (SELECT o_custkey, CAST(unnest(range(1, n + 1)) AS INTEGER) AS a FROM n)"),
     "palette": (palette, """WITH u AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)
       SELECT id, ['#ff0000', '#00ff00', '#0000ff', '#ffff00', '#ff00ff'][i % 5 + 1] AS colour FROM u WHERE id IS DISTINCT FROM (SELECT min(id) FROM u WHERE id > 100)"""),
-    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence FROM events"),
+    "gesture_confidence": (gesture_confidence, "SELECT event_id, round(greatest(0, least(1, CAST(1 AS DOUBLE) - value / CAST(50 AS DOUBLE))), 6) AS confidence, round(greatest(0, least(1, value / CAST(40 AS DOUBLE) - CAST(0.25 AS DOUBLE))), 6) AS extension FROM events"),
     "hand_gestures": (hand_gestures, """WITH v AS (SELECT event_id, value / 1000.0::DOUBLE AS v, (event_id % 4) * 0.02::DOUBLE AS w FROM events),
       d AS (SELECT *, v / 2::DOUBLE AS p, event_id % 13 <> 0 AS seen,
         event_id % 7 <> 0 AND sqrt((v / 2) ** 2 + w ** 2) > 0.08::DOUBLE AND ((CASE WHEN event_id % 11 = 0 THEN 0 ELSE v / 3 END) + v / 4 + v / 5) / 3 < 0.04::DOUBLE AS pt,

@@ -52,6 +52,14 @@ def test_rounding_scales_first(spark):
     assert [one(spark, X.rounded(F.col("v"), 2), v=v) for v in (-1.125, 1.124, 0.0)] == [-1.13, 1.12, 0.0]
 
 
+def test_gesture_confidence_keeps_its_extension(spark):
+    from loomgraph import plans
+
+    row = plans.QUERIES["gesture_confidence"](spark, "/root/testdata/sf0.001")
+    assert row.columns == ["event_id", "confidence", "extension"]
+    assert [one(spark, X.extension(F.col("f"), F.lit(0.25)), f=f) for f in (0.0, 0.75, 2.0)] == [0.0, 0.5, 1.0]
+
+
 def test_wav_header(spark):
     raw = b"RIFF" + struct.pack("<I", 36) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 44100, 88200, 2, 16) + b"data" + struct.pack("<I", 0)
     assert tuple(one(spark, X.wav_header(F.col("r")), r=bytearray(raw))) == (1, 44100, 16)
