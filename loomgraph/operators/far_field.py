@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import exprs as X
-from loomgraph.operators.layout import AXES, TILE, Params, _dealt, _in_cells, _per_target, _tiled, all_pairs_act, all_pairs_move
+from loomgraph.operators.layout import AXES, TILE, Params, _dealt, _per_target, _tiled, all_pairs_act, all_pairs_move
 from loomgraph.sources.tables import settled
 
 #: Least side of a leaf cell: up to here the force has kinks.
@@ -74,7 +74,7 @@ def tree_forces(nodes: DataFrame, params: Params, iteration: int, side: float =
     if side < max(KINK, params.reach):
         raise ValueError("cells must not be smaller than where the force is smooth")
     ramp, _ = all_pairs_act(params, iteration)
-    near = _tiled(*_in_cells(nodes, side), [f"c{c}" for c in AXES], all_pairs_act(params, iteration)[1], tile).withColumn("bound", F.lit(0.0))
+    near = _tiled(nodes, all_pairs_act(params, iteration)[1], tile, side).withColumn("bound", F.lit(0.0))
     total = near.select("id", "fx", "fy", "fz", "bound")
     keys = [f"p{c}" for c in AXES]
     cols = ["id", *AXES, *(f"o{c}" for c in AXES), *_SUMS]

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,25 +54,34 @@ def on_sphere(nodes: DataFrame, order: str = "metadata_id", radius: float = 3.0,
     return rows.select(*nodes.columns, *((p * r).alias(c) for c, p in points.items()), *(F.lit(0.0).alias(f"v{c}") for c in AXES))
 
 
-#: kernel(distance, mass of the target, mass of the source) of pairs -> factor of their difference
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: kernel(squared distance, distance) of pairs -> factor of their difference for masses of 1; nothing at distance 0. Both arrays are free to be overwritten.
+Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Pairs that are held as arrays at once, and rows gathered before they are paired.
 _PAIRS, _GATHER = 1 << 19, 4096
+#: Tiles of at least so many pairs are matrices, of which so many entries are held at once.
+_DENSE, _ENTRIES = 1 << 12, 1 << 15
+#: A group has at most so many tiles on a side, so that no node is copied more often than that. Pairs of one task, and the most tasks.
+MOST_TILES, _TASK_PAIRS, _MOST_TASKS = 64, 1 << 25, 1024
 
 
 def _dealt(targets: DataFrame, sources: DataFrame, keys: list[str], cols: list[str], tile: int) -> DataFrame:
     """Targets and sources of each group dealt to its tiles (a, b): about tile rows of either; tiles are keys of the shuffle."""
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    if keys:
-        blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
-        sizes = blocks(targets, "nt").join(blocks(sources, "ns"), keys)
-        targets, sources, nt, ns = targets.join(sizes, keys), sources.join(sizes, keys), F.col("nt"), F.col("ns")
-    else:  # one group: its numbers of tiles are plain values
-        nt, ns = (F.lit(max(1, -(-df.count() // tile))) for df in (targets, sources))
-    left = targets.select(*keys, own(nt).alias("a"), every(ns).alias("b"), F.lit(True).alias("target"), *cols)
-    right = sources.select(*keys, every(nt).alias("a"), own(ns).alias("b"), F.lit(False).alias("target"), *cols)
-    return left.unionAll(right).repartition(*keys, "a", "b").sortWithinPartitions(*keys, "a", "b", "target")
+    blocks = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name))
+    side = F.greatest(F.lit(float(tile)), F.sqrt(F.col("_t") * F.col("_s")) / (MOST_TILES / 4))  # at most (MOST_TILES / 4) ** 2 tiles and some
+    sizes = blocks(targets, "_t").join(blocks(sources, "_s"), keys)
+    parts = _parts(targets.sparkSession, sizes.agg(F.sum(F.col("_t") * F.col("_s"))).first()[0] or 0.0)
+    sizes = sizes.select(*keys, *(F.ceil(F.col(c) / side).cast("int").alias(n) for c, n in (("_t", "nt"), ("_s", "ns"))))
+    left = targets.join(sizes, keys).select(*keys, own(F.col("nt")).alias("a"), every(F.col("ns")).alias("b"), F.lit(True).alias("target"), *cols)
+    right = sources.join(sizes, keys).select(*keys, every(F.col("nt")).alias("a"), own(F.col("ns")).alias("b"), F.lit(False).alias("target"), *cols)
+    return left.unionAll(right).repartition(*parts, *keys, "a", "b").sortWithinPartitions(*keys, "a", "b", "target")
+
+
+def _parts(spark: SparkSession, pairs: float) -> list[int]:
+    """The number of partitions where the pairs need more than the session's; tiles are small next to the work in them, so sizes in bytes say little."""
+    wanted = int(min(pairs / _TASK_PAIRS, _MOST_TASKS))
+    return [wanted] if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
 
 
 def _pairs(group: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -91,61 +100,165 @@ def _pairs(group: np.ndarray, target: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = end
 
 
-def _per_target(tiles: DataFrame, keys: list[str], schema: str, kernel: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """(id, sums over its pairs) of each target of each tile; many small tiles are paired in one go, a large one in parts."""
+def _per_group(tiles: DataFrame, keys: list[str], schema: str, work: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[list[np.ndarray]]]) -> DataFrame:
+    """What work(columns, number of each row's group) gives for whole groups of rows with equal keys; many small groups are handed over in one go."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
+    def numbers(columns: dict[str, np.ndarray]) -> np.ndarray:
+        change = np.zeros(len(columns[keys[0]]), bool)
+        for c in keys:
+            change[1:] |= columns[c][1:] != columns[c][:-1]
+        return np.cumsum(change)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = {c: rows[c].to_numpy() for c in rows.column_names}
-            target, n = columns["target"].astype(bool), rows.num_rows
-            sums = None
-            for i, j in _pairs(_numbers(columns), target):
-                parts = [np.bincount(i, v, n) for v in kernel(columns, i, j)]
-                sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
-            if sums is not None:
-                ids = columns["id"][target]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(v[target]) for v in sums)], names)
-
-        def _numbers(columns: dict[str, np.ndarray]) -> np.ndarray:
-            change = np.zeros(len(columns["a"]), bool)
-            for c in (*keys, "a", "b"):
-                change[1:] |= columns[c][1:] != columns[c][:-1]
-            return np.cumsum(change)
+            for out in work(columns, numbers(columns)):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names)
 
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) >= _GATHER:
                 rows = pa.Table.from_batches(held)
-                number = _numbers({c: rows[c].to_numpy() for c in (*keys, "a", "b")})
-                cut = int(np.searchsorted(number, number[-1]))  # the last tile may go on
+                number = numbers({c: rows[c].to_numpy() for c in keys})
+                cut = int(np.searchsorted(number, number[-1]))  # the last group may go on
                 if cut:
-                    yield from work(rows.slice(0, cut))
+                    yield from done(rows.slice(0, cut))
                     held = rows.slice(cut).to_batches()
         if any(b.num_rows for b in held):
-            yield from work(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
     return tiles.mapInArrow(run, schema)
 
 
-def _tiled(targets: DataFrame, sources: DataFrame, keys: list[str], kernel: Kernel, tile: int) -> DataFrame:
-    """Sum of kernel(distance, mass, mass) times the difference, over all sources of each target's keys but itself.
+def _per_target(tiles: DataFrame, keys: list[str], schema: str, kernel: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """(id, sums over its pairs) of each target of each tile; many small tiles are paired in one go, a large one in parts."""
 
-    Groups are cut into tiles of about tile targets by tile sources, so that a crowded group is many
-    tasks and pairs exist only as bounded arrays inside one.
-    """
+    def work(columns: dict[str, np.ndarray], number: np.ndarray) -> Iterator[list[np.ndarray]]:
+        target, n = columns["target"].astype(bool), len(number)
+        sums = None
+        for i, j in _pairs(number, target):
+            parts = [np.bincount(i, v, n) for v in kernel(columns, i, j)]
+            sums = parts if sums is None else [a + b for a, b in zip(sums, parts)]
+        if sums is not None:
+            yield [columns["id"][target], *(v[target] for v in sums)]
 
-    def forces(columns: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
-        d = [columns[c][j] - columns[c][i] for c in AXES]
-        f = kernel(np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), columns["m"][i], columns["m"][j])
-        f = np.where(columns["id"][i] == columns["id"][j], 0.0, f)
-        return [x * f for x in d]
+    return _per_group(tiles, [*keys, "a", "b"], schema, work)
 
-    tiles = _dealt(targets, sources, keys, ["id", *AXES, "m"], tile)
-    parts = _per_target(tiles, keys, "id long, fx double, fy double, fz double", forces)
-    return parts.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
+
+def dense_forces(kernel: Kernel, targets: np.ndarray, sources: np.ndarray, both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """(force on each target from all sources, if both the force on each source from all targets): 3 rows each, for rows x, y, z and mass.
+
+    Pairs are entries of a matrix, a bounded number at a time; sums over them are products of matrices.
+    """
+
+    def moments(side: np.ndarray) -> np.ndarray:
+        place = np.nan_to_num(side[:3] - start, nan=0.0, posinf=0.0, neginf=0.0)  # a node without a place exerts nothing
+        return np.concatenate([place * side[3], side[3:4]]).T
+
+    start = np.nan_to_num(targets[:3, :1])  # near the origin sums lose least
+    right, left = moments(sources), moments(targets)
+    out = np.empty((targets.shape[1], 4))
+    back = np.zeros((sources.shape[1], 4)) if both else None
+    step = max(1, _ENTRIES // max(sources.shape[1], 1))
+    for low in range(0, len(out), step):
+        own = targets[:, low : low + step, None]
+        square = sources[0] - own[0]
+        square *= square
+        other = sources[1] - own[1]
+        other *= other
+        square += other
+        np.subtract(sources[2], own[2], out=other)
+        other *= other
+        square += other
+        factor = kernel(square, np.sqrt(square, out=other))
+        np.dot(factor, right, out=out[low : low + step])
+        if back is not None:
+            back += factor.T @ left[low : low + step]
+
+    def forces(sums: np.ndarray, side: np.ndarray) -> np.ndarray:
+        place = np.nan_to_num(side[:3] - start, nan=0.0, posinf=0.0, neginf=0.0)
+        return (sums[:, :3].T - place * sums[:, 3]) * side[3]
+
+    return forces(out, targets), None if back is None else forces(back, sources)
+
+
+def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = None) -> DataFrame:
+    """(id, fx, fy, fz): sum of kernel(distance) times both masses times the difference, over all other nodes, or those of the 27 grid cells of side reach around.
+
+    Forces are opposite and equal, so each pair is met once: inside a cell, or from a cell to the 13 cells that come after it.
+    Groups are cut into tiles, so that a crowded group is many tasks, and no node has more than about MOST_TILES copies of a kind.
+    """
+    cols = ["id", *AXES, "m"]
+    keys = [f"c{c}" for c in AXES]
+    if reach:
+        cells = nodes.select(*cols, *(F.floor(F.col(c) / reach).alias(k) for c, k in zip(AXES, keys)))
+        count = cells.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        parts = _parts(nodes.sparkSession, count.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0.0)
+        placed, tiles = cells.join(count, keys), F.least(F.ceil(F.col("_n") / tile), F.lit(MOST_TILES)).cast("int")
+    else:  # one group: its number of tiles is a plain value
+        keys, cells, n = [], nodes.select(*cols), nodes.count()
+        parts = _parts(nodes.sparkSession, float(n) * n)
+        placed, tiles = cells, F.lit(max(1, min(-(-n // tile), MOST_TILES)))
+    inside = placed.withColumns({"_p": F.pmod(F.xxhash64("id"), tiles).cast("int"), "_q": F.explode(F.sequence(F.lit(0), tiles - 1))})
+    inside = inside.select(*keys, F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), (F.col("_p") <= F.col("_q")).alias("target"), F.lit(True).alias("same"), *cols)
+    groups = [*keys, "same", "a", "b"]
+    dealt = inside.repartition(*parts, *groups).sortWithinPartitions(*groups, "target")
+    found = [_per_group(dealt, groups, "id long, fx double, fy double, fz double", _met(kernel))]
+    if reach:
+        after = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
+        step = F.explode(F.array(*(F.struct(*(F.lit(k).alias(c) for k, c in zip(o, AXES))) for o in after)))
+        guests = cells.withColumn("_o", step).select(*cols, *((F.col(k) - F.col("_o")[c]).alias(k) for k, c in zip(keys, AXES)))
+        across = _dealt(cells, guests, keys, [F.lit(False).alias("same"), *cols], tile)
+        found.append(_per_group(across, groups, "id long, fx double, fy double, fz double", _met(kernel)))
+    both = found[0] if len(found) == 1 else found[0].unionAll(found[1])
+    return both.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
+
+
+def _met(kernel: Kernel) -> Callable[[dict[str, np.ndarray], np.ndarray], Iterator[list[np.ndarray]]]:
+    """Forces of both sides of each tile; a tile of a cell's part with itself has one side only."""
+
+    def work(columns: dict[str, np.ndarray], number: np.ndarray) -> Iterator[list[np.ndarray]]:
+        target, n = columns["target"].astype(bool), len(number)
+        alone = columns["same"].astype(bool) & (columns["a"] == columns["b"])
+        place = np.stack([columns[c] for c in (*AXES, "m")]).astype(float)
+        begins = np.searchsorted(number, np.arange(number[-1] + 2))
+        many = np.bincount(number, target, number[-1] + 1).astype(np.int64)
+        single = alone[begins[:-1]]
+        pairs = np.where(single, many * many, many * (np.diff(begins) - many))
+        force = np.zeros((3, n))
+        for g in np.flatnonzero(pairs >= _DENSE).tolist():
+            low, middle, high = begins[g], begins[g + 1] - many[g], begins[g + 1]
+            if single[g]:
+                force[:, low:high] = dense_forces(kernel, place[:, low:high], place[:, low:high])[0]
+            else:
+                force[:, middle:high], force[:, low:middle] = dense_forces(kernel, place[:, middle:high], place[:, low:middle], both=True)
+        few = (pairs < _DENSE)[number]
+        for chosen, mirrored in ((few & single[number], False), (few & ~single[number], True)):
+            rows = np.flatnonzero(chosen)
+            if not len(rows):
+                continue
+            if mirrored:
+                met = _pairs(number[rows], target[rows])
+            else:  # every row is both sides
+                twice = np.concatenate([number[rows], number[rows]])
+                order = np.argsort(twice * 2 + (np.arange(len(twice)) >= len(rows)), kind="stable")
+                met = ((order[i] % len(rows), order[j] % len(rows)) for i, j in _pairs(twice[order], order >= len(rows)))
+            for i, j in met:
+                i, j = rows[i], rows[j]
+                d = place[:3, j] - place[:3, i]
+                square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                factor = kernel(square, np.sqrt(square)) * place[3, i] * place[3, j]
+                d = np.where(factor == 0.0, 0.0, d)  # a node without a place exerts nothing
+                for k in range(3):
+                    force[k] += np.bincount(i, d[k] * factor, n)
+                    if mirrored:
+                        force[k] -= np.bincount(j, d[k] * factor, n)
+        yield [columns["id"], *force]
+
+    return work
 
 
 def _in_cells(nodes: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
@@ -173,6 +286,18 @@ def spring_forces(nodes: DataFrame, edges: DataFrame, strength: float) -> DataFr
     return ends.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
 
 
+def push(params: Params) -> Kernel:
+    """Repulsion within reach."""
+
+    def kernel(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        off = ~((square >= 0.0001) & (distance <= params.reach))
+        square *= distance
+        np.copyto(square, np.inf, where=off)
+        return np.divide(-params.repulsion, square, out=square)
+
+    return kernel
+
+
 def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TILE) -> DataFrame:
     """One step with repulsion within reach and springs along edges; all forces precede all moves.
 
@@ -181,13 +306,7 @@ def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TI
     m = F.col("mass") / F.lit(255.0) * 10.0 * params.mass_scale
     slim = nodes.select("id", *AXES, m.alias("m"))
 
-    def push(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray) -> np.ndarray:
-        near = (distance * distance >= 0.0001) & (distance <= params.reach)
-        cube = np.where(near, distance, 1.0) ** 3
-        return np.where(near, -params.repulsion * mt * ms / cube, 0.0)
-
-    targets, sources = _in_cells(slim, params.reach)
-    repelled = _tiled(targets, sources, ["cx", "cy", "cz"], push, tile)
+    repelled = _tiled(slim, push(params), tile, params.reach)
     total = repelled.unionByName(spring_forces(nodes, edges, params.spring)).groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
     moved = nodes.join(total, "id", "left")
     for c in AXES:
@@ -211,17 +330,23 @@ MAX_FORCE, MAX_VELOCITY, MIN_DISTANCE, WARMUP = 3.0, 0.02, 0.15, 100
 
 
 def all_pairs_act(params: Params, iteration: int) -> tuple[float, Kernel]:
-    """(how much of the spring is on, the force between two nodes): repulsion below reach, attraction beyond it."""
+    """(how much of the spring is on, the force between two nodes of mass 1): repulsion below reach, attraction beyond it."""
     ramp = 0.01 + 0.99 * iteration / WARMUP if iteration < WARMUP else 1.0
 
-    def act(distance: np.ndarray, mt: np.ndarray, ms: np.ndarray) -> np.ndarray:
+    def act(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
         on = distance > MIN_DISTANCE
-        d = np.where(on, distance, 1.0)
-        product = mt * ms
-        repel = np.minimum(params.repulsion * product / np.maximum(d * d, MIN_DISTANCE), params.repulsion * product * 2.0)
-        spring = -params.spring * ramp * (d - 1.0)
-        spring = np.where(d > 3.0, spring * (1.0 + (d - 3.0) * 0.1), spring) * product
-        return np.where(on, -np.where(d < params.reach, repel, spring) / d, 0.0)
+        np.fmax(distance, MIN_DISTANCE, out=distance)
+        spring = np.maximum(distance, 3.0)
+        spring -= 3.0
+        spring *= 0.1 * params.spring * ramp
+        spring += params.spring * ramp
+        spring *= distance - 1.0
+        np.maximum(square, MIN_DISTANCE, out=square)
+        repel = np.maximum(np.divide(-params.repulsion, square, out=square), -2.0 * params.repulsion, out=square)
+        np.copyto(spring, repel, where=distance < params.reach)
+        spring /= distance
+        np.copyto(spring, 0.0, where=~on)
+        return spring
 
     return ramp, act
 
@@ -237,7 +362,7 @@ def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int =
 
 def all_pairs_forces(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
     """(id, fx, fy, fz) for nodes (id, x, y, z, m): the exact sums over all others."""
-    return _tiled(nodes, nodes, [], all_pairs_act(params, iteration)[1], tile)
+    return _tiled(nodes, all_pairs_act(params, iteration)[1], tile)
 
 
 def all_pairs_move(nodes: DataFrame, forces: DataFrame, params: Params, iteration: int) -> DataFrame:

@@ -171,6 +171,34 @@ def test_neighbours_equal_brute_force(spark):
     assert got == {k: int(near[k].sum()) - 1 for k in range(80)}
 
 
+def test_dense_forces_equal_loops():
+    rng = np.random.default_rng(5)
+    one, two = (np.concatenate([rng.normal(size=(3, n)) + 50.0, rng.random((1, n))]) for n in (37, 90))
+    kernel = layout.push(layout.Params())
+    forces, back = layout.dense_forces(kernel, one, two, both=True)
+    want, other = np.zeros((3, 37)), np.zeros((3, 90))
+    for i in range(37):
+        for j in range(90):
+            d = two[:3, j] - one[:3, i]
+            square = np.array([d @ d])
+            f = kernel(square, np.sqrt(square))[0] * one[3, i] * two[3, j] * d
+            want[:, i] += f
+            other[:, j] -= f
+    np.testing.assert_allclose(forces, want, atol=1e-9)
+    np.testing.assert_allclose(back, other, atol=1e-9)
+
+
+def test_a_node_without_a_place_does_not_spoil_the_others(spark):
+    rows = [(i, float(i % 7), float(i % 5), float(i % 3), 0.5) for i in range(200)]
+    schema = "id long, x double, y double, z double, m double"
+    forces = lambda rows, tile: {r["id"]: [r["fx"], r["fy"], r["fz"]] for r in layout.all_pairs_forces(spark.createDataFrame(rows, schema), layout.Params(), 40, tile).collect()}
+    want = forces(rows, 1024)
+    for tile in (8, 1024):
+        got = forces([*rows, (200, float("nan"), 0.0, 0.0, 0.5)], tile)
+        for i, f in want.items():
+            np.testing.assert_allclose(got[i], f, atol=1e-9)
+
+
 def test_tiles_do_not_change_all_pairs(spark):
     _, nodes = made_nodes(spark)
     order = lambda f: sorted(f.collect(), key=lambda r: r["id"])
