@@ -9,18 +9,19 @@ either side, and hold until a node has moved further than the skin; then all nod
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.operators.layout import AXES, Params, run_steps
+from loomgraph.operators.layout import AXES, Params, dense_forces, push, run_steps
 from loomgraph.sources.tables import discarded, scratch_path, settled
 
-#: Nodes of a block, about; pairs that are held as arrays at once; edges of one node that may meet in its block.
-BLOCK, _PAIRS, MOST_EDGES = 2048, 1 << 19, 1 << 17
+#: Nodes of a block, about; edges of one node that may meet in its block.
+BLOCK, MOST_EDGES = 2048, 1 << 17
+#: Nodes of a task, about.
+_TASK_NODES = 1 << 17
 _STATE = [*AXES, "vx", "vy", "vz", "m", "x0", "y0", "z0"]
 _LISTS = ", ".join(f"{c} array<double>" for c in _STATE)
 _ROWS = f"block long, to long, drift double, id array<long>, {_LISTS}"
@@ -56,6 +57,7 @@ class BlockLayout:
         """Cells are as wide as holds about a block's nodes if they fill their box evenly, but no narrower than what a node needs around it."""
         self.dealt += 1
         n, *box = nodes.agg(F.count(F.lit(1)), *(F.max(c) - F.min(c) for c in AXES)).first()
+        self.count = max(self.count, n // _TASK_NODES)
         even = (np.prod([max(b, self.around) for b in box]) * self.block / n) ** (1 / 3)
         side = max(self.around, self.side or even)
         cell = [F.floor(F.col(c) / side) for c in AXES]
@@ -135,45 +137,29 @@ def _first(rows: pa.Table) -> pa.Table:
     return _written(rows["block"][0].as_py(), _columns(rows), rows["lists"][0].as_py(), 0.0)
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, place) of all places of each row's range, a bounded number at a time."""
-    many = end - begin
-    total = np.cumsum(many)
-    at = 0
-    while at < len(many):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
-        own = many[at:stop]
-        yield np.repeat(np.arange(at, stop), own), np.repeat(begin[at:stop], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        at = stop
-
-
 def _repelled(own: dict[str, np.ndarray], near: dict[str, np.ndarray], params: Params) -> np.ndarray:
-    """Force on each own node from all near ones within reach; near ones are sorted by small cells, whose runs are searched."""
+    """Force on each own node from all near ones within reach: those of a small cell meet all of its 27 cells at once."""
     cells = np.stack([np.floor(near[a] / params.reach) for a in AXES], 1).astype(np.int64)
     low = cells.min(axis=0) - 1
     width = cells.max(axis=0) - low + 2
     number = lambda c: ((c[:, 0] - low[0]) * width[1] + c[:, 1] - low[1]) * width[2] + c[:, 2] - low[2]
     keys = number(cells)
     order = np.lexsort((near["id"], keys))
-    keys, near = keys[order], {c: v[order] for c, v in near.items()}
+    keys, around = keys[order], np.stack([near[c][order] for c in (*AXES, "m")])
     mine = np.stack([np.floor(own[a] / params.reach) for a in AXES], 1).astype(np.int64)
-    force = np.zeros((3, len(own["id"])))
-    for dx in (-1, 0, 1):
-        for dy in (-1, 0, 1):
-            row = mine + np.array([dx, dy, 0])
-            begin = np.searchsorted(keys, number(row + np.array([0, 0, -1])), "left")
-            end = np.searchsorted(keys, number(row + np.array([0, 0, 1])), "right")
-            outside = (row[:, 0] < low[0]) | (row[:, 0] > low[0] + width[0]) | (row[:, 1] <= low[1] - 1) | (row[:, 1] >= low[1] + width[1])
-            for i, j in _ranges(np.where(outside, 0, begin), np.where(outside, 0, end)):
-                d = [near[a][j] - own[a][i] for a in AXES]
-                square = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-                distance = np.sqrt(square)
-                on = (square >= 0.0001) & (distance <= params.reach) & (own["id"][i] != near["id"][j])
-                i, j, distance, d = i[on], j[on], distance[on], [x[on] for x in d]
-                push = -params.repulsion * own["m"][i] * near["m"][j] / distance**3
-                for k in range(3):
-                    force[k] += np.bincount(i, d[k] * push, len(own["id"]))
-    return force
+    sorted_by_cell = np.argsort(number(mine), kind="stable")  # own nodes are near ones, so every cell has its number
+    mine, nodes = mine[sorted_by_cell], np.stack([own[c] for c in (*AXES, "m")])[:, sorted_by_cell]
+    first = np.flatnonzero(np.r_[True, np.any(mine[1:] != mine[:-1], axis=1)])
+    rows = [mine[first] + np.array([dx, dy, 0]) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    begin = np.stack([np.searchsorted(keys, number(r + np.array([0, 0, -1])), "left") for r in rows], 1).tolist()
+    end = np.stack([np.searchsorted(keys, number(r + np.array([0, 0, 1])), "right") for r in rows], 1).tolist()
+    force, kernel = np.empty((3, len(mine))), push(params)
+    for k, (at, to) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(mine)])):
+        met = np.concatenate([around[:, b:e] for b, e in zip(begin[k], end[k]) if b < e], axis=1)
+        force[:, at:to] = dense_forces(kernel, nodes[:, at:to], met)[0]
+    out = np.empty_like(force)
+    out[:, sorted_by_cell] = force
+    return out
 
 
 def _step(own: pa.Table, other: pa.Table, params: Params) -> pa.Table:
