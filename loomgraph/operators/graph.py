@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from loomgraph.functions import exprs as X
 from loomgraph.operators.paging import PageIndex
 from loomgraph.operators.ranking import numbered
+from loomgraph.sources.tables import spread
 
 
-def undirected_edges(counts: DataFrame, source: str = "source", target: str = "target", weight: str = "weight") -> DataFrame:
-    """(id, source, target, weight): both directions of a pair summed under (least, greatest); no self-loops."""
+def undirected_edges(counts: DataFrame, source: str = "source", target: str = "target", weight: str = "weight", rows: int | None = None) -> DataFrame:
+    """(id, source, target, weight): both directions of a pair summed under (least, greatest); no self-loops.
+
+    With the number of rows of counts, if it is known, the pairs are dealt so that a task's share stays the same as they grow.
+    """
     pairs = counts.filter(F.col(source) != F.col(target))
     low, high = F.least(source, target).alias("source"), F.greatest(source, target).alias("target")
-    summed = pairs.groupBy(low, high).agg(F.sum(weight).alias("weight"))
+    pairs = pairs.select(low, high, F.col(weight).alias("weight"))
+    summed = (pairs if rows is None else spread(pairs, rows, "source", "target")).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     return summed.select(X.edge_id(F.col("source"), F.col("target")).alias("id"), "source", "target", "weight")
 
 

@@ -12,7 +12,7 @@ from loomgraph.operators import search as S
 from loomgraph.operators.paging import PageIndex
 from loomgraph.operators.search_index import SearchIndex
 from loomgraph.sources.stores import GraphStore
-from loomgraph.sources.tables import scratch_path, table
+from loomgraph.sources.tables import scratch_path, spread, table
 
 _EDGES = """e AS (SELECT a.l_partkey AS s, b.l_partkey AS t FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a
   JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey),
@@ -21,10 +21,11 @@ w AS (SELECT s || '-' || t AS id, s AS source, t AS target, count(*) AS weight F
 
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
     """Parts that share orders; an order has few lines."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    other = lines.withColumnRenamed("l_partkey", "target")
-    pairs = lines.join(other, "l_orderkey").filter("l_partkey < target").select(F.col("l_partkey").alias("source"), "target", F.lit(1).cast("long").alias("weight"))
-    return G.undirected_edges(pairs)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    rows = lines.count()
+    held = spread(lines, rows, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    pairs = held.select("parts", F.explode("parts").alias("source")).select("source", F.explode("parts").alias("target")).filter("source < target").withColumn("weight", F.lit(1).cast("long"))
+    return G.undirected_edges(pairs, rows=2 * rows)  # an order of a few lines has about twice as many pairs
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ from loomgraph.operators import corpus as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators.paging import PageIndex
 from loomgraph.operators.search_index import SearchIndex
+from loomgraph.sources import tables
 
 
 def one(spark, column, **values):
@@ -171,6 +172,13 @@ def test_neighbours_equal_brute_force(spark):
     assert got == {k: int(near[k].sum()) - 1 for k in range(80)}
 
 
+def test_edges_are_dealt_by_their_number(spark):
+    counts = spark.createDataFrame([(1, 2, 3), (2, 1, 4), (5, 5, 9), (3, 1, 1)], "source long, target long, weight long")
+    plain, dealt = graph.undirected_edges(counts), graph.undirected_edges(counts, rows=100 * tables.TASK_ROWS)
+    assert dealt.rdd.getNumPartitions() == 100
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) == [("1-2", 1, 2, 7), ("1-3", 1, 3, 1)]
+
+
 def test_dense_forces_equal_loops():
     rng = np.random.default_rng(5)
     one, two = (np.concatenate([rng.normal(size=(3, n)) + 50.0, rng.random((1, n))]) for n in (37, 90))
