@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.sources.tables import settled
+from loomgraph.sources.tables import TASK_ROWS, settled
 
 
 @dataclass
@@ -25,14 +26,21 @@ class BucketStore:
     def create(cls, rows: DataFrame, path: str, key: str = "id", buckets: int = 64) -> BucketStore:
         """Write rows for the first time; upsert, merge and delete need unique keys."""
         store = cls(rows.sparkSession, path, key, buckets, rows.schema)
-        store._write(rows, None)
+        store._write(settled(rows, "store-new"), None)  # counted before they are dealt
         return store
 
     def bucket(self, of: Column | None = None) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key) if of is None else of), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, mode: str | None) -> None:
-        dealt = rows.select(*self.schema.names, self.bucket().alias("_bucket")).repartition(self.buckets, "_bucket")
+        """Each bucket by one task, or in several files by more of them where it has more rows than a task should sort."""
+        files = -(-rows.count() // (self.buckets * TASK_ROWS))
+        dealt = rows.select(*self.schema.names, self.bucket().alias("_bucket"))
+        if files > 1:
+            hashed = [f.name for f in self.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+            dealt = dealt.repartition(self.buckets * files, "_bucket", F.pmod(F.xxhash64(*hashed), F.lit(files)))
+        else:
+            dealt = dealt.repartition(self.buckets, "_bucket")
         writer = dealt.write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic")
         (writer.mode(mode) if mode else writer).parquet(self.path)
 
@@ -92,6 +100,7 @@ class GraphStore:
     @classmethod
     def create(cls, nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> GraphStore:
         """nodes: id and more, ids unique; edges: source, target and more."""
+        edges = settled(edges, "store-edges")
         kept = lambda name, end: BucketStore.create(edges, f"{path}/{name}", end, buckets)
         return cls(BucketStore.create(nodes, f"{path}/nodes", "id", buckets), kept("by_source", "source"), kept("by_target", "target"))
 

@@ -151,6 +151,14 @@ def test_bucket_store_rewrites_touched_buckets_only(spark, tmp_path):
     assert store.upsert(changes.limit(0)) == []
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "TASK_ROWS", 100)
+    rows = spark.range(2000).select((F.col("id") % 3).alias("id"), F.col("id").alias("n"), F.create_map(F.lit("k"), F.col("id")).alias("m"))
+    store = stores.BucketStore.create(rows, f"file://{tmp_path}/s", buckets=2)
+    assert store.rows().groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 500
+    assert sorted(r["n"] for r in store.rows().collect()) == list(range(2000))
+
+
 def test_deleting_nodes_takes_their_edges(spark, tmp_path):
     edges = [(a, (a * 7 + k) % 100, float(k)) for a in range(100) for k in range(3)]
     frame = spark.createDataFrame(edges, "source long, target long, weight double")
