@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from loomgraph.functions import exprs as X
 from loomgraph.operators import graph as G
 from loomgraph.operators import settings as N
-from loomgraph.sources.tables import table
+from loomgraph.sources.tables import spread, table
+
+#: Rows of a task where documents are taken apart row by row; a Parquet file of a few megabytes holds a million of them.
+_DOCUMENTS = 1 << 14
+
+
+def _dealt(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of short rows, dealt evenly to tasks."""
+    rows = table(spark, d, name)
+    return spread(rows, rows.count(), most=_DOCUMENTS)
 
 
 def settings_path_get(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +27,7 @@ def settings_path_get(spark: SparkSession, d: str) -> DataFrame:
 def settings_path_set(spark: SparkSession, d: str) -> DataFrame:
     """A new nested value beside the old one, read back by its path."""
     changed = N.set_path(F.col("props"), "view.sizes[1]", F.col("value").cast("string"))
-    return table(spark, d, "events").select("event_id", N.get_path(changed, "k").cast("long").alias("k"), N.get_path(changed, "view.sizes[1]").cast("double").alias("size"), N.set_path(F.col("props"), "k.deep", F.lit("1")).alias("through"), N.get_path(N.set_path(F.col("props"), "view.size", F.col("value").cast("string")), "view.size").cast("double").alias("named"))
+    return _dealt(spark, d, "events").select("event_id", N.get_path(changed, "k").cast("long").alias("k"), N.get_path(changed, "view.sizes[1]").cast("double").alias("size"), N.set_path(F.col("props"), "k.deep", F.lit("1")).alias("through"), N.get_path(N.set_path(F.col("props"), "view.size", F.col("value").cast("string")), "view.size").cast("double").alias("named"))
 
 
 def settings_deep_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +36,7 @@ def settings_deep_merge(spark: SparkSession, d: str) -> DataFrame:
     size = F.concat(F.lit('{"view":{"size":'), F.col("value").cast("string"))
     second = F.when(F.col("event_id") % 2 == 0, F.concat(size, F.lit('},"name":"'), "event_type", F.lit('"}'))).otherwise(F.concat(size, F.lit("}}")))
     merged = N.deep_merged(first, second)
-    return table(spark, d, "events").select("event_id", N.get_path(merged, "view.k").cast("long").alias("k"), N.get_path(merged, "view.size").cast("double").alias("size"), N.get_path(merged, "name").alias("name"))
+    return _dealt(spark, d, "events").select("event_id", N.get_path(merged, "view.k").cast("long").alias("k"), N.get_path(merged, "view.size").cast("double").alias("size"), N.get_path(merged, "name").alias("name"))
 
 
 def partial_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +128,7 @@ def settings_checked_set(spark: SparkSession, d: str) -> DataFrame:
     put = lambda where, value: N.checked_set(tree, where, value, types)
     number, word = F.col("event_id").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"'))
     done = F.when(path == 0, put("view.size", number)).when(path == 1, put("view.size", word)).when(path == 2, put("count.deep.er", number)).when(path == 3, put("none.deep", number)).otherwise(put("view.new.part", word))
-    rows = table(spark, d, "events").select("event_id", done.alias("r"))
+    rows = _dealt(spark, d, "events").select("event_id", done.alias("r"))
     read = lambda where: N.get_path(F.col("r.settings"), where)
     return rows.select("event_id", F.col("r.error").alias("error"), read("view.size").cast("double").alias("size"), read("view.new.part").alias("part"), read("view.name").alias("name"))
 
@@ -140,7 +149,7 @@ def nested_case(spark: SparkSession, d: str) -> DataFrame:
     """Keys of nested documents to camelCase and back."""
     tree = F.to_json(F.struct(F.struct(F.col("p_name").alias("base_color"), F.array(F.struct(F.col("p_size").alias("edge_size_px"))).alias("some_items")).alias("node_style")))
     camel = N.keys_converted(tree, "camel")
-    return table(spark, d, "part").select("p_partkey", camel.alias("camel"), (N.keys_converted(camel, "snake") == tree).alias("same"))
+    return _dealt(spark, d, "part").select("p_partkey", camel.alias("camel"), (N.keys_converted(camel, "snake") == tree).alias("same"))
 
 
 def full_paths(spark: SparkSession, d: str) -> DataFrame:

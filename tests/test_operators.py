@@ -179,6 +179,13 @@ def test_edges_are_dealt_by_their_number(spark):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) == [("1-2", 1, 2, 7), ("1-3", 1, 3, 1)]
 
 
+def test_documents_are_dealt_to_many_tasks(spark):
+    from loomgraph import plans
+
+    frame = plans.QUERIES["nested_case"](spark, "/root/testdata/sf0.1")  # 20,000 rows in one small file
+    assert frame.rdd.getNumPartitions() == 2
+
+
 def test_dense_forces_equal_loops():
     rng = np.random.default_rng(5)
     one, two = (np.concatenate([rng.normal(size=(3, n)) + 50.0, rng.random((1, n))]) for n in (37, 90))
