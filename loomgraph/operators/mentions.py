@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 TABLE = 1 << 23
 #: Beyond so many shards texts are read too often: then candidates are found by a join instead.
 MOST_SHARDS = 64
-_STRETCH, _CHARS = 1024, 1 << 22
+_STRETCH, _CHARS = 1024, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -186,6 +186,10 @@ def _shard_counts(files: DataFrame, shard: list[tuple[str, str]], key: str, cont
                     yield counted(batch.column(0).slice(low, i + 1 - low), texts[low : i + 1])
                     low, size = i + 1, 0
 
+    conf = files.sparkSession.conf  # a worker holds a batch of texts; 10,000 rows of them are too many for a small executor
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     texts = files.select(key, F.lower(F.coalesce(F.col(content), F.lit(""))).alias("_text"))
     return texts.mapInArrow(run, schema)
 

@@ -186,6 +186,16 @@ def test_documents_are_dealt_to_many_tasks(spark):
     assert frame.rdd.getNumPartitions() == 2
 
 
+def test_mentions_keep_their_batches_small(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    files = spark.createDataFrame([(1, "a b")], "doc_id long, content string")
+    assert C.mentions(files, C.vocabulary(spark.createDataFrame([("b",)], "n string"), "n"), "doc_id").count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_dense_forces_equal_loops():
     rng = np.random.default_rng(5)
     one, two = (np.concatenate([rng.normal(size=(3, n)) + 50.0, rng.random((1, n))]) for n in (37, 90))
