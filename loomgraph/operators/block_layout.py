@@ -3,7 +3,8 @@
 Nodes are dealt once to blocks: grid cells, crowded ones in several parts. Each block keeps, beside its nodes, the edges of its nodes
 and the lists of its nodes that other blocks need: those near their cell, and the other ends of their edges. Blocks are buckets of a
 table, so a step reads them without a shuffle; only the lists' positions travel. Lists are drawn wider than the reach by a skin on
-either side, and hold until a node has moved further than the skin; then all nodes are dealt anew.
+either side, and hold until a node has moved further than the skin; then all nodes are dealt anew before the next step. While nodes are
+so crowded that lists would hold each of them more than MOST_TILES times, a step is a single step in tiles, and dealing is tried again after it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.operators.layout import AXES, Params, dense_forces, push, run_steps
+from loomgraph.operators.layout import AXES, MOST_TILES, Params, dense_forces, edge_mass, edge_step, push, run_steps
 from loomgraph.sources.tables import discarded, scratch_path, settled
 
 #: Nodes of a block, about; edges of one node that may meet in its block.
@@ -51,11 +52,12 @@ class BlockLayout:
         self.count = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.edges = edges
         self.dealt = 0  # how often all nodes were dealt
-        self._deal(nodes.select("id", *AXES, "vx", "vy", "vz", (F.col("mass") / F.lit(255.0) * 10.0 * params.mass_scale).alias("m")))
+        self.now = self.crowded = None  # the blocks' table, or the nodes while they are too crowded for blocks
+        self.moved = False  # whether nodes have left what the lists allow for
+        self._deal(nodes.select("id", *AXES, "vx", "vy", "vz", edge_mass(params).alias("m")))
 
     def _deal(self, nodes: DataFrame) -> None:
         """Cells are as wide as holds about a block's nodes if they fill their box evenly, but no narrower than what a node needs around it."""
-        self.dealt += 1
         n, *box = nodes.agg(F.count(F.lit(1)), *(F.max(c) - F.min(c) for c in AXES)).first()
         self.count = max(self.count, n // _TASK_NODES)
         even = (np.prod([max(b, self.around) for b in box]) * self.block / n) ** (1 / 3)
@@ -76,12 +78,18 @@ class BlockLayout:
             near = near.withColumn(f"_g{a}", gap).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_k")).drop("_k")
             far = far + F.col(f"_g{a}") * F.col(f"_g{a}")
         near = near.filter(far <= self.around * self.around).join(sizes, keys)
+        self.moved, self.crowded = False, None
+        if near.agg(F.sum("n")).first()[0] > MOST_TILES * n:
+            self.now, self.crowded = None, placed.select(*nodes.columns)
+            return
+        self.dealt += 1
         spatial = near.select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_p"), *keys).select("id", "block", block(F.col("_p")).alias("to"))
         # Lists for edges: either end needs the other one.
         home = placed.select("id", "block")
         ends = self.edges.select(F.col("source").alias("own"), F.col("target").alias("other"), "weight").unionAll(self.edges.select(F.col("target").alias("own"), F.col("source").alias("other"), "weight"))
         ends = ends.join(home.select(F.col("id").alias("own"), F.col("block").alias("to")), "own").join(home.select(F.col("id").alias("other"), "block"), "other")
         ends = settled(ends, "layout-edges")
+        spatial = spatial.join(placed.select(F.col("block").alias("to")).distinct(), "to", "left_semi").select("id", "block", "to")  # a part may have got no node
         lists = spatial.unionAll(ends.select(F.col("other").alias("id"), "block", "to")).filter("block != to").distinct()
         sent = lists.groupBy("block", "to").agg(F.collect_list("id").alias("ids")).groupBy("block").agg(F.collect_list(F.struct("to", "ids")).alias("lists"))
         springs = ends.groupBy(F.col("to").alias("block")).agg(F.collect_list(F.struct("own", "other", F.col("weight").cast("double").alias("weight"))).alias("springs"))
@@ -96,6 +104,15 @@ class BlockLayout:
         """steps more steps; each writes the blocks' state and the lists' positions, of which the latter are the next step's shuffle."""
         params = self.params
         for _ in range(steps):
+            if self.moved:
+                before = self.crowded
+                self._deal(self._rows())
+                discarded(before)
+            if self.crowded is not None:
+                before, self.moved = self.crowded, True
+                self.crowded = settled(edge_step(before, self.edges, params, m=F.col("m")), "layout-crowded")
+                discarded(before)
+                continue
             state = self.now.filter("to IS NULL").drop("to", "drift").join(self.fixed, "block")
             lists = self.now.filter("to IS NOT NULL").select(F.col("to").alias("block"), *(F.col(c).alias(c) for c in ("id", *AXES, "m")))
             made = state.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(lambda own, other: _step(own, other, params), _ROWS)
@@ -103,11 +120,12 @@ class BlockLayout:
             before, old = self.now, self.name
             self.now, self.name = _buckets(made.observe(seen, F.max("drift").alias("drift")), "layout_state", self.count)
             _dropped(before, old)
-            if (seen.get["drift"] or 0.0) > self.skin:
-                self._deal(self._rows())
+            self.moved = (seen.get["drift"] or 0.0) > self.skin
         return self
 
     def _rows(self) -> DataFrame:
+        if self.crowded is not None:
+            return self.crowded
         return self.now.filter("to IS NULL").select(F.explode(F.arrays_zip("id", *AXES, "vx", "vy", "vz", "m")).alias("n")).select("n.*")
 
     def nodes(self, before: DataFrame) -> DataFrame:

@@ -298,13 +298,17 @@ def push(params: Params) -> Kernel:
     return kernel
 
 
-def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TILE) -> DataFrame:
+def edge_mass(params: Params) -> Column:
+    """What the mass of a node counts in the edge model."""
+    return F.col("mass") / F.lit(255.0) * 10.0 * params.mass_scale
+
+
+def edge_step(nodes: DataFrame, edges: DataFrame, params: Params, tile: int = TILE, m: Column | None = None) -> DataFrame:
     """One step with repulsion within reach and springs along edges; all forces precede all moves.
 
-    nodes: id, x, y, z, vx, vy, vz, mass. Only nodes of neighbouring grid cells are compared.
+    nodes: id, x, y, z, vx, vy, vz, and mass unless m is given. Only nodes of neighbouring grid cells are compared.
     """
-    m = F.col("mass") / F.lit(255.0) * 10.0 * params.mass_scale
-    slim = nodes.select("id", *AXES, m.alias("m"))
+    slim = nodes.select("id", *AXES, (edge_mass(params) if m is None else m).alias("m"))
 
     repelled = _tiled(slim, push(params), tile, params.reach)
     total = repelled.unionByName(spring_forces(nodes, edges, params.spring)).groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))

@@ -501,6 +501,20 @@ def test_blocks_step_like_single_steps(spark, options):
         assert all(abs(r[c] - want[r["id"]][c]) < 1e-9 for c in ("x", "y", "z", "vx", "vy", "vz")) and r["label"] == "kept"
 
 
+def test_crowded_nodes_are_not_sent_to_every_block(spark):
+    nodes, edges = _cloud(spark, 7)
+    nodes = nodes.withColumns({c: F.col(c) * 0.1 for c in ("x", "y", "z")})  # all reach each other
+    params = layout.Params(repulsion=500.0)
+    run = block_layout.BlockLayout(nodes, edges, params, block=4)
+    sent = 0 if run.now is None else run.now.filter("to IS NOT NULL").agg(F.sum(F.size("id"))).first()[0]
+    assert sent <= layout.MOST_TILES * nodes.count()
+    want = {r["id"]: r for r in layout.run_steps(nodes, edges, params, 3).collect()}
+    rows = run.advance(3).nodes(nodes).collect()
+    assert run.dealt and len(rows) == len(want)  # they spread, and blocks take over
+    for r in rows:
+        assert all(abs(r[c] - want[r["id"]][c]) < 1e-9 * max(1.0, abs(want[r["id"]][c])) for c in ("x", "y", "z", "vx", "vy", "vz")) and r["label"] == "kept"
+
+
 def test_a_step_of_blocks_shuffles_lists_only(spark):
     nodes, edges = _cloud(spark, 6)
     run = block_layout.BlockLayout(nodes, edges, layout.Params(), block=30)
