@@ -73,11 +73,19 @@ def _dealt(targets: DataFrame, sources: DataFrame, keys: list[str], cols: list[s
     sizes = blocks(targets, "_t").join(blocks(sources, "_s"), keys)
     parts = _parts(targets.sparkSession, sizes.agg(F.sum(F.col("_t") * F.col("_s"))).first()[0] or 0.0)
     sizes = sizes.select(*keys, *(F.ceil(F.col(c) / side).cast("int").alias(n) for c, n in (("_t", "nt"), ("_s", "ns"))))
-    left = targets.join(sizes, keys).select(*keys, own(F.col("nt")).alias("a"), every(F.col("ns")).alias("b"), F.lit(True).alias("target"), *cols)
-    right = sources.join(sizes, keys).select(*keys, every(F.col("nt")).alias("a"), own(F.col("ns")).alias("b"), F.lit(False).alias("target"), *cols)
+    placed = lambda df: _with_crowded(df, sizes.filter("nt > 1 OR ns > 1"), keys).fillna(1, ["nt", "ns"])
+    left = placed(targets).select(*keys, own(F.col("nt")).alias("a"), every(F.col("ns")).alias("b"), F.lit(True).alias("target"), *cols)
+    right = placed(sources).select(*keys, every(F.col("nt")).alias("a"), own(F.col("ns")).alias("b"), F.lit(False).alias("target"), *cols)
     return left.unionAll(right).repartition(*parts, *keys, "a", "b").sortWithinPartitions(*keys, "a", "b", "target")
 
 
+def _with_crowded(rows: DataFrame, crowded: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the sizes of their group if it is a crowded one, null otherwise. A shuffle by group would put the rows of a crowded one into one
+    task, and copy them there; of crowded groups there are few (one per tile of nodes at most), so their sizes go to every task.
+    """
+    return rows.dropna(subset=keys).join(F.broadcast(crowded), keys, "left")
+
+
 def _parts(spark: SparkSession, pairs: float) -> list[int]:
     """The number of partitions where the pairs need more than the session's; tiles are small next to the work in them, so sizes in bytes say little."""
     wanted = int(min(pairs / _TASK_PAIRS, _MOST_TASKS))
@@ -197,7 +205,8 @@ def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = No
         cells = nodes.select(*cols, *(F.floor(F.col(c) / reach).alias(k) for c, k in zip(AXES, keys)))
         count = cells.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"))
         parts = _parts(nodes.sparkSession, count.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0.0)
-        placed, tiles = cells.join(count, keys), F.least(F.ceil(F.col("_n") / tile), F.lit(MOST_TILES)).cast("int")
+        placed = _with_crowded(cells, count.filter(F.col("_n") > tile), keys)
+        tiles = F.coalesce(F.least(F.ceil(F.col("_n") / tile), F.lit(MOST_TILES)), F.lit(1)).cast("int")
     else:  # one group: its number of tiles is a plain value
         keys, cells, n = [], nodes.select(*cols), nodes.count()
         parts = _parts(nodes.sparkSession, float(n) * n)

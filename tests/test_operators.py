@@ -224,6 +224,21 @@ def test_a_node_without_a_place_does_not_spoil_the_others(spark):
             np.testing.assert_allclose(got[i], f, atol=1e-9)
 
 
+def test_rows_of_a_crowded_cell_are_not_shuffled_by_cell(spark):
+    _, nodes = made_nodes(spark)
+    slim = nodes.select("id", "x", "y", "z", F.lit(1.0).alias("m"), F.lit(0).alias("cell"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        dealt = layout._dealt(slim, slim, ["cell"], ["id", "x", "y", "z", "m"], 8)
+        assert "SortMergeJoin [cell" not in dealt._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert dealt.groupBy("a", "b").count().count() > 1
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_tiles_do_not_change_all_pairs(spark):
     _, nodes = made_nodes(spark)
     order = lambda f: sorted(f.collect(), key=lambda r: r["id"])
