@@ -226,7 +226,7 @@ def test_a_node_without_a_place_does_not_spoil_the_others(spark):
 
 def test_rows_of_a_crowded_cell_are_not_shuffled_by_cell(spark):
     _, nodes = made_nodes(spark)
-    slim = nodes.select("id", "x", "y", "z", F.lit(1.0).alias("m"), F.lit(0).alias("cell"))
+    slim = nodes.select("id", "x", "y", "z", F.lit(1.0).alias("m"), F.floor(F.col("x") / 1e6).alias("cell"))
     kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
