@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import exprs as X
+from loomgraph.operators.pieces import Piece, forces_by_pieces
 from loomgraph.operators.ranking import numbered
 from loomgraph.sources.tables import discarded, settled
 
 AXES = ["x", "y", "z"]
-#: Nodes of one tile side.
-TILE = 1024
+#: Nodes of one tile side; where all nodes meet by blocks of space, tiles are larger, so that nodes are copied less and blocks meet more at once.
+TILE, WIDE_TILE = 1024, 6144
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,8 @@ Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 _PAIRS, _GATHER = 1 << 19, 4096
 #: Tiles of at least so many pairs are matrices, of which so many entries are held at once.
 _DENSE, _ENTRIES = 1 << 12, 1 << 15
+#: Tiles of at least so many pairs are met by blocks of space, where the force has pieces.
+_BLOCKED = 1 << 18
 #: A group has at most so many tiles on a side, so that no node is copied more often than that. Pairs of one task, and the most tasks.
 MOST_TILES, _TASK_PAIRS, _MOST_TASKS = 64, 1 << 25, 1024
 
@@ -193,11 +196,12 @@ def dense_forces(kernel: Kernel, targets: np.ndarray, sources: np.ndarray, both:
     return forces(out, targets), None if back is None else forces(back, sources)
 
 
-def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = None) -> DataFrame:
+def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = None, pieces: list[Piece] | None = None) -> DataFrame:
     """(id, fx, fy, fz): sum of kernel(distance) times both masses times the difference, over all other nodes, or those of the 27 grid cells of side reach around.
 
     Forces are opposite and equal, so each pair is met once: inside a cell, or from a cell to the 13 cells that come after it.
     Groups are cut into tiles, so that a crowded group is many tasks, and no node has more than about MOST_TILES copies of a kind.
+    With pieces (of all pairs), tiles hold nodes that lie together, so that most blocks of them have one piece between them.
     """
     cols = ["id", *AXES, "m"]
     keys = [f"c{c}" for c in AXES]
@@ -210,12 +214,18 @@ def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = No
     else:  # one group: its number of tiles is a plain value
         keys, cells, n = [], nodes.select(*cols), nodes.count()
         parts = _parts(nodes.sparkSession, float(n) * n)
-        placed, tiles = cells, F.lit(max(1, min(-(-n // tile), MOST_TILES)))
-    inside = placed.withColumns({"_p": F.pmod(F.xxhash64("id"), tiles).cast("int"), "_q": F.explode(F.sequence(F.lit(0), tiles - 1))})
+        most = max(1, min(-(-n // tile), MOST_TILES))
+        placed, tiles = cells, F.lit(most)
+    part = F.pmod(F.xxhash64("id"), tiles).cast("int")
+    if pieces and not reach and most > 1:
+        placed = numbered(cells.withColumn("_c", _curve(cells)), "_c", "id", name="_r")
+        part = F.floor(F.col("_r") * most / n).cast("int")
+        parts = [min(p, most * (most + 1) // 2) for p in parts]  # a task without a tile only costs its start
+    inside = placed.withColumns({"_p": part, "_q": F.explode(F.sequence(F.lit(0), tiles - 1))})
     inside = inside.select(*keys, F.least("_p", "_q").alias("a"), F.greatest("_p", "_q").alias("b"), (F.col("_p") <= F.col("_q")).alias("target"), F.lit(True).alias("same"), *cols)
     groups = [*keys, "same", "a", "b"]
     dealt = inside.repartition(*parts, *groups).sortWithinPartitions(*groups, "target")
-    found = [_per_group(dealt, groups, "id long, fx double, fy double, fz double", _met(kernel))]
+    found = [_per_group(dealt, groups, "id long, fx double, fy double, fz double", _met(kernel, pieces))]
     if reach:
         after = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
         step = F.explode(F.array(*(F.struct(*(F.lit(k).alias(c) for k, c in zip(o, AXES))) for o in after)))
@@ -226,9 +236,29 @@ def _tiled(nodes: DataFrame, kernel: Kernel, tile: int, reach: float | None = No
     return both.groupBy("id").agg(*(F.sum(f"f{c}").alias(f"f{c}") for c in AXES))
 
 
-def _met(kernel: Kernel) -> Callable[[dict[str, np.ndarray], np.ndarray], Iterator[list[np.ndarray]]]:
+def _curve(nodes: DataFrame) -> Column:
+    """The place of each node along a curve through space (Morton order of 1,024 steps an axis); nodes without a place are at its start."""
+    finite = lambda c: F.when(X.is_finite(F.col(c)), F.col(c))
+    box = nodes.agg(*(f(finite(c)).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    code = F.lit(0)
+    for k, c in enumerate(AXES):
+        low, high = box[f"lo{c}"] or 0.0, box[f"hi{c}"] or 0.0
+        step = F.coalesce(((finite(c) / 2.0 - low / 2.0) / max(high / 2.0 - low / 2.0, 1e-300) * 1023.0).cast("int"), F.lit(0))
+        for by, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):  # two free bits behind each
+            step = step.bitwiseOR(F.shiftleft(step, by)).bitwiseAND(F.lit(mask))
+        code = code.bitwiseOR(F.shiftleft(step, k))
+    return code
+
+
+def _met(kernel: Kernel, pieces: list[Piece] | None = None) -> Callable[[dict[str, np.ndarray], np.ndarray], Iterator[list[np.ndarray]]]:
     """Forces of both sides of each tile; a tile of a cell's part with itself has one side only."""
 
+    def plain(targets: np.ndarray, sources: np.ndarray, both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        return dense_forces(kernel, targets, sources, both)
+
+    def blocked(targets: np.ndarray, sources: np.ndarray, both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        return forces_by_pieces(pieces, plain, targets, sources, both)
+
     def work(columns: dict[str, np.ndarray], number: np.ndarray) -> Iterator[list[np.ndarray]]:
         target, n = columns["target"].astype(bool), len(number)
         alone = columns["same"].astype(bool) & (columns["a"] == columns["b"])
@@ -240,10 +270,11 @@ def _met(kernel: Kernel) -> Callable[[dict[str, np.ndarray], np.ndarray], Iterat
         force = np.zeros((3, n))
         for g in np.flatnonzero(pairs >= _DENSE).tolist():
             low, middle, high = begins[g], begins[g + 1] - many[g], begins[g + 1]
+            meet = blocked if pieces and pairs[g] >= _BLOCKED else plain
             if single[g]:
-                force[:, low:high] = dense_forces(kernel, place[:, low:high], place[:, low:high])[0]
+                force[:, low:high] = meet(place[:, low:high], place[:, low:high])[0]
             else:
-                force[:, middle:high], force[:, low:middle] = dense_forces(kernel, place[:, middle:high], place[:, low:middle], both=True)
+                force[:, middle:high], force[:, low:middle] = meet(place[:, middle:high], place[:, low:middle], both=True)
         few = (pairs < _DENSE)[number]
         for chosen, mirrored in ((few & single[number], False), (few & ~single[number], True)):
             rows = np.flatnonzero(chosen)
@@ -364,7 +395,75 @@ def all_pairs_act(params: Params, iteration: int) -> tuple[float, Kernel]:
     return ramp, act
 
 
-def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
+def all_pairs_pieces(params: Params, iteration: int) -> list[Piece]:
+    """The force of all_pairs_act where distances lie in a range that makes it simple; none for parameters that turn it round."""
+    ramp, _ = all_pairs_act(params, iteration)
+    spring, push, reach = params.spring * ramp, -params.repulsion, params.reach
+    if push > 0.0 or reach <= MIN_DISTANCE:
+        return []
+    flat = max(MIN_DISTANCE, 0.5)  # nearer than its root repulsion has its cap
+
+    def far(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        square -= 7.0
+        square /= distance
+        square += 6.0
+        return square
+
+    def middle(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        np.divide(-1.0, distance, out=square)
+        square += 1.0
+        return square
+
+    def beyond(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        middle(square, distance)
+        np.maximum(distance, 3.0, out=distance)
+        distance += 7.0
+        square *= distance
+        return square
+
+    def within(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        square *= distance
+        return np.divide(1.0, square, out=square)
+
+    def near(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        return within(np.maximum(square, flat, out=square), distance)
+
+    def either(inside: np.ndarray, pushed: np.ndarray, pulled: np.ndarray) -> np.ndarray:
+        pushed -= pulled
+        pushed *= inside
+        pushed += pulled
+        return pushed
+
+    def across_middle(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        inside = distance < reach
+        square *= distance
+        np.divide(push, square, out=square)
+        np.divide(-spring, distance, out=distance)
+        distance += spring
+        return either(inside, square, distance)
+
+    def across(square: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        inside, stretched = distance < reach, np.maximum(distance, 3.0)
+        near(square, distance)
+        square *= push
+        np.divide(-0.1 * spring, distance, out=distance)
+        distance += 0.1 * spring
+        stretched += 7.0
+        distance *= stretched
+        return either(inside, square, distance)
+
+    return [
+        Piece(max(reach, 3.0), np.inf, 0.1 * spring, far),
+        Piece(reach, 3.0, spring, middle),
+        Piece(np.sqrt(flat), reach, push, within),
+        Piece(reach, np.inf, 0.1 * spring, beyond),
+        Piece(MIN_DISTANCE, reach, push, near),
+        Piece(np.sqrt(flat), 3.0, 1.0, across_middle, reach),
+        Piece(MIN_DISTANCE, np.inf, 1.0, across, reach),
+    ]
+
+
+def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int = WIDE_TILE) -> DataFrame:
     """One step of the all-pairs model: repulsion below reach, attraction beyond it, pull to the centre, caps and bounds.
 
     nodes: id, x, y, z, vx, vy, vz, mass. Every node acts on every other, in tiles.
@@ -373,9 +472,9 @@ def all_pairs_step(nodes: DataFrame, params: Params, iteration: int, tile: int =
     return all_pairs_move(nodes, all_pairs_forces(slim, params, iteration, tile), params, iteration)
 
 
-def all_pairs_forces(nodes: DataFrame, params: Params, iteration: int, tile: int = TILE) -> DataFrame:
+def all_pairs_forces(nodes: DataFrame, params: Params, iteration: int, tile: int = WIDE_TILE) -> DataFrame:
     """(id, fx, fy, fz) for nodes (id, x, y, z, m): the exact sums over all others."""
-    return _tiled(nodes, all_pairs_act(params, iteration)[1], tile)
+    return _tiled(nodes, all_pairs_act(params, iteration)[1], tile, pieces=all_pairs_pieces(params, iteration))
 
 
 def all_pairs_move(nodes: DataFrame, forces: DataFrame, params: Params, iteration: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import codec
 from loomgraph.functions import exprs as X
-from loomgraph.operators import access, block_layout, corpus, documents, far_field, folds, graph, layout, ranking, search, settings
+from loomgraph.operators import access, block_layout, corpus, documents, far_field, folds, graph, layout, pieces, ranking, search, settings
 from loomgraph.operators import corpus as C
 from loomgraph.operators import mentions as M
 from loomgraph.operators.paging import PageIndex
@@ -213,6 +213,60 @@ def test_dense_forces_equal_loops():
     np.testing.assert_allclose(back, other, atol=1e-9)
 
 
+def _clouds():
+    """Places of nodes: scattered, wide, on a lattice (distances of exactly 2 and 3), copies of few places, far from the origin, and with one far outlier."""
+    rng = np.random.default_rng(11)
+    scattered = rng.normal(size=(3, 1500))
+    lattice = np.stack(np.meshgrid(*[np.arange(11.0)] * 3)).reshape(3, -1) / 2.0
+    yield from (scattered, scattered * 40.0, lattice, np.repeat(scattered[:, :40], 30, axis=1), scattered + 1e4)
+    yield np.concatenate([scattered, [[1e7], [0.0], [0.0]]], axis=1)
+
+
+@pytest.mark.parametrize("params, iteration", [(layout.Params(), 3), (layout.Params(), 120), (layout.Params(reach=0.5), 40), (layout.Params(reach=4.0), 40), (layout.Params(repulsion=-0.1), 40)])
+def test_pieces_give_the_forces_of_all_pairs(params, iteration):
+    kernel, forms = layout.all_pairs_act(params, iteration)[1], layout.all_pairs_pieces(params, iteration)
+    plain = lambda one, two, both: layout.dense_forces(kernel, one, two, both)
+    for place in _clouds():
+        nodes = np.concatenate([place, np.random.default_rng(1).uniform(0.1, 1.0, (1, place.shape[1]))])
+        one, two = nodes[:, ::2], nodes[:, 1::2]
+        for got, want in zip(pieces.forces_by_pieces(forms, plain, one, two, True), plain(one, two, True)):
+            np.testing.assert_allclose(got, want, rtol=0, atol=1e-11 * np.abs(want).max())
+        got, back = pieces.forces_by_pieces(forms, plain, nodes, nodes)
+        want = plain(nodes, nodes, False)[0]
+        np.testing.assert_allclose(got, want, rtol=0, atol=1e-11 * np.abs(want).max())
+        assert back is None
+
+
+def test_few_pairs_of_all_are_left_to_the_whole_formula():
+    rng = np.random.default_rng(2)
+    nodes = np.concatenate([rng.normal(size=(3, 6000)), np.ones((1, 6000))])
+    forms, left = layout.all_pairs_pieces(layout.Params(), 120), []
+
+    def rest(one, two, both):
+        left.append(one.shape[1] * two.shape[1])
+        return np.zeros((3, one.shape[1])), None
+
+    pieces.forces_by_pieces(forms, rest, nodes, nodes)
+    assert 0 < sum(left) < 0.2 * 6000**2
+    order, begins = pieces.blocks(nodes[:3])
+    assert sorted(order) == list(range(6000)) and np.diff(begins).max() <= pieces.BLOCK
+
+
+def test_tiles_of_all_pairs_lie_together_and_change_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), *map(float, p), 0.5) for i, p in enumerate(rng.normal(size=(1500, 3)))] + [(1500, float("nan"), 0.0, 0.0, 0.5), (1501, None, 0.0, 0.0, 0.5)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double, z double, m double").cache()
+    forces = lambda tile: {r["id"]: [r["fx"], r["fy"], r["fz"]] for r in layout.all_pairs_forces(nodes, layout.Params(), 120, tile).collect()}
+    want, got = forces(4096), forces(600)
+    assert set(want) == set(got) == set(range(1502))
+    for i in range(1500):
+        np.testing.assert_allclose(got[i], want[i], atol=1e-10)
+    ordered = np.array([[r["x"], r["y"], r["z"]] for r in nodes.filter("x < 9").orderBy(layout._curve(nodes)).select("x", "y", "z").collect()])
+    by_id = np.array([r[1:4] for r in rows[:1500]])
+    spread = lambda places: np.mean([np.ptp(places[i : i + 125], axis=0).prod() for i in range(0, 1500, 125)])
+    assert spread(ordered) < 0.5 * spread(by_id)
+
+
 def test_a_node_without_a_place_does_not_spoil_the_others(spark):
     rows = [(i, float(i % 7), float(i % 5), float(i % 3), 0.5) for i in range(200)]
     schema = "id long, x double, y double, z double, m double"
