@@ -105,7 +105,7 @@ def layout_tree_bound(spark: SparkSession, d: str) -> DataFrame:
     """The all-pairs forces of widely spread nodes with far ones taken together: whether each is within its bound of the exact one, and near it."""
     nodes = _nodes(spark, d, 60.0).select("id", *"xyz", X.mass_unit(F.col("mass")).alias("m"))
     exact = L.all_pairs_forces(nodes, L.Params(), 40).select("id", *(F.col(f"f{c}").alias(f"e{c}") for c in "xyz"))
-    both = T.tree_forces(nodes, L.Params(), 40).join(exact, "id")
+    both = T.tree_forces(nodes, L.Params(), 40, share=0.01).join(exact, "id")
     off = F.sqrt(sum(((F.col(f"f{c}") - F.col(f"e{c}")) * (F.col(f"f{c}") - F.col(f"e{c}")) for c in "xyz"), F.lit(0.0)))
     size = F.sqrt(sum((F.col(f"e{c}") * F.col(f"e{c}") for c in "xyz"), F.lit(0.0)))
     return both.select("id", (off <= F.col("bound") + 1e-9).alias("within"), (off <= 0.01 * size + 0.05).alias("close"))

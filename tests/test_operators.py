@@ -628,3 +628,33 @@ def test_tree_step_moves_like_all_pairs(spark):
     want = {r["id"]: r for r in layout.all_pairs_step(nodes, layout.Params(), 40).collect()}
     for r in far_field.tree_step(nodes, layout.Params(), 40).collect():
         assert all(abs(r[c] - want[r["id"]][c]) < 1e-3 for c in ("x", "y", "z", "vx", "vy", "vz"))
+
+
+def _balanced(n):
+    """Places and masses, of which the first one is where the forces of all others cancel."""
+    rng = np.random.default_rng(n)
+    place, mass = rng.normal(0, 12, (3, n)) * np.array([[1.0], [0.8], [0.6]]), rng.uniform(0.1, 1.0, n)
+    mass[0] = 1.0
+    force = lambda at: layout.dense_forces(layout.all_pairs_act(layout.Params(), 40)[1], np.r_[at, 1.0][:, None], np.r_[place, mass[None]][:, 1:])[0][:, 0]
+    at = np.array([0.5, 0.4, 0.3])
+    for _ in range(60):
+        slope = np.stack([(force(at + step) - force(at - step)) / 2e-5 for step in np.eye(3) * 1e-5], 1)
+        at = at - np.clip(np.linalg.solve(slope, force(at)), -0.5, 0.5)
+    place[:, 0] = at
+    return [(i, *map(float, p), float(m)) for i, (p, m) in enumerate(zip(place.T, mass))], np.linalg.norm(force(at))
+
+
+def test_tree_forces_are_near_where_all_forces_cancel(spark):
+    rows, least = _balanced(3000)
+    assert least < 1e-3
+    rows += [(3000, None, 1.0, 2.0, 0.5), (3001, float("nan"), 1.0, 2.0, 0.5)]
+    nodes = spark.createDataFrame(rows, "id long, x double, y double, z double, m double")
+    exact = {r["id"]: np.array([r["fx"], r["fy"], r["fz"]]) for r in layout.all_pairs_forces(nodes, layout.Params(), 40).collect()}
+    got = far_field.tree_forces(nodes, layout.Params(), 40, share=0.01).collect()
+    assert sorted(r["id"] for r in got) == sorted(exact)
+    taken = 0
+    for r in got:
+        off = np.linalg.norm(np.array([r["fx"], r["fy"], r["fz"]]) - exact[r["id"]])
+        assert off <= r["bound"] + 1e-9 and off <= 0.01 * np.linalg.norm(exact[r["id"]]) + 1e-9
+        taken += r["bound"] > 0.0
+    assert taken > 2500  # few nodes meet all others
