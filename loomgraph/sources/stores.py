@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.sources.tables import TASK_ROWS, settled
+from loomgraph.sources.tables import TASK_ROWS, discarded, settled, shuffles_removed
+
+#: Rows that are written in one go, about: what they need aside and in the shuffle is bounded thereby. A bucket is never parted.
+MOST_ROWS = 1 << 25
+#: A store is filled in goes of this many times as many rows, since each reads the whole table.
+_FILL = 8
 
 
 @dataclass
@@ -25,67 +31,108 @@ class BucketStore:
     @classmethod
     def create(cls, rows: DataFrame, path: str, key: str = "id", buckets: int = 64) -> BucketStore:
         """Write rows for the first time; upsert, merge and delete need unique keys."""
+        with shuffles_removed(rows.sparkSession):
+            aside = settled(rows, "store-new")  # counted before they are dealt
         store = cls(rows.sparkSession, path, key, buckets, rows.schema)
-        store._write(settled(rows, "store-new"), None)  # counted before they are dealt
+        store._fill(aside, aside.count())
+        discarded(aside)
         return store
 
+    def _fill(self, rows: DataFrame, count: int) -> None:
+        """The first rows, of a stored table, which is read again for each of a few groups of buckets."""
+        passes = max(1, min(-(-count // (_FILL * MOST_ROWS)), self.buckets))
+        for k in range(passes):
+            some = range(k, self.buckets, passes)
+            self._write(rows.filter(self.bucket().isin(*some)) if passes > 1 else rows, count // passes, len(some), "append" if k else None)
+
     def bucket(self, of: Column | None = None) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key) if of is None else of), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, mode: str | None) -> None:
-        """Each bucket by one task, or in several files by more of them where it has more rows than a task should sort."""
-        files = -(-rows.count() // (self.buckets * TASK_ROWS))
+    def _write(self, rows: DataFrame, count: int, buckets: int, mode: str | None) -> None:
+        """Each bucket by one task, or in several files by more of them where it has more rows than a task should sort; count: all rows, about."""
+        files = -(-count // (buckets * TASK_ROWS))
         dealt = rows.select(*self.schema.names, self.bucket().alias("_bucket"))
         if files > 1:
             hashed = [f.name for f in self.schema if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
-            dealt = dealt.repartition(self.buckets * files, "_bucket", F.pmod(F.xxhash64(*hashed), F.lit(files)))
+            dealt = dealt.repartition(buckets * files, "_bucket", F.pmod(F.xxhash64(*hashed), F.lit(files)))
         else:
-            dealt = dealt.repartition(self.buckets, "_bucket")
-        writer = dealt.write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic")
-        (writer.mode(mode) if mode else writer).parquet(self.path)
+            dealt = dealt.repartition(buckets, "_bucket")
+        writer = dealt.write.partitionBy("_bucket").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        with shuffles_removed(self.spark):
+            (writer.mode(mode) if mode else writer).parquet(self.path)
 
-    def rows(self, buckets: list[int] | None = None) -> DataFrame:
-        """All rows, or those of some buckets, whose directories alone are listed."""
+    def _stored(self, buckets: list[int] | None) -> DataFrame:
         kept = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
         found = self.spark.read.schema(kept).parquet(self.path)
-        return (found if buckets is None else found.filter(F.col("_bucket").isin(buckets))).drop("_bucket")
+        return found if buckets is None else found.filter(F.col("_bucket").isin(buckets))
+
+    def _files(self, buckets: list[int]) -> dict[int, dict[str, int]]:
+        """The files of some buckets that have rows, and how many."""
+        out: dict[int, dict[str, int]] = {}
+        for b, name, n in self._stored(buckets).groupBy("_bucket", F.input_file_name()).count().collect():
+            out.setdefault(b, {})[name] = n
+        return out
+
+    def rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets, whose directories alone are listed."""
+        return self._stored(buckets).drop("_bucket")
 
     def touched(self, keys: DataFrame) -> list[int]:
         """The buckets of some keys: at most as many as there are."""
-        return sorted(r[0] for r in keys.select(self.bucket(F.col(self.key).cast(self.schema[self.key].dataType)).alias("b")).distinct().collect())
-
-    def _replace(self, rows: DataFrame, buckets: list[int]) -> None:
-        """New contents of whole buckets. They are written aside first, since they were computed from the old ones."""
-        made = settled(rows, "store-change")
-        self._write(made, "overwrite")
-        gone = set(buckets) - {r[0] for r in made.select(self.bucket().alias("b")).distinct().collect()}
-        for b in sorted(gone):  # a bucket that lost all its rows
-            self.spark.createDataFrame([], self.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_bucket={b}")
+        with shuffles_removed(self.spark):
+            return sorted(r[0] for r in keys.select(self.bucket(F.col(self.key).cast(self.schema[self.key].dataType)).alias("b")).distinct().collect())
+
+    def _replace(self, change: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame], buckets: list[int], more: int = 0) -> None:
+        """New contents of whole buckets: what change makes of their rows and of those changes that belong to them, about `more` in all.
+
+        Spark keeps a job's files aside until it ends and exchanges the buckets' directories then, so rows may be computed from the old ones.
+        Buckets are taken in groups of about MOST_ROWS rows.
+        """
+        before = self._files(buckets)
+        groups: list[tuple[list[int], int]] = []
+        for b in buckets:
+            rows = sum(before.get(b, {}).values()) + more // len(buckets)
+            if groups and groups[-1][1] + rows <= MOST_ROWS:
+                groups[-1] = [*groups[-1][0], b], groups[-1][1] + rows
+            else:
+                groups.append(([b], rows))
+        for some, rows in groups:
+            theirs = lambda changes, some=some: changes.filter(self.bucket().isin(some))
+            self._write(change(self.rows(some), theirs), rows, len(some), "overwrite")
+        for b, left in self._files(buckets).items():
+            if left.keys() & before.get(b, {}).keys():  # a bucket that lost all its rows was not written
+                self.spark.createDataFrame([], self.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_bucket={b}")
 
     def upsert(self, changes: DataFrame) -> list[int]:
         """Rows replaced or added by key; returns the buckets that were rewritten. Of changes with one key any one is taken."""
-        changes = settled(changes.select(*self.schema.names).dropDuplicates([self.key]), "store-upsert")
+        with shuffles_removed(self.spark):
+            changes = settled(changes.select(*self.schema.names).dropDuplicates([self.key]), "store-upsert")
         buckets = self.touched(changes)
         if buckets:
-            self._replace(self.rows(buckets).join(changes.select(self.key), self.key, "left_anti").unionByName(changes), buckets)
+            self._replace(lambda old, own: old.join(changes.select(self.key), self.key, "left_anti").unionByName(own(changes)), buckets, changes.count())
+        discarded(changes)
         return buckets
 
     def merge(self, changes: DataFrame) -> list[int]:
         """Rows merged field by field: what changes hold wins where it is not null; new keys are added."""
-        changes = settled(changes.select(*self.schema.names).dropDuplicates([self.key]), "store-merge")
+        with shuffles_removed(self.spark):
+            changes = settled(changes.select(*self.schema.names).dropDuplicates([self.key]), "store-merge")
         buckets = self.touched(changes)
         if buckets:
-            new = changes.select(self.key, *(F.col(c).alias(f"_new_{c}") for c in self.schema.names if c != self.key))
-            joined = self.rows(buckets).join(new, self.key, "full_outer")
-            self._replace(joined.select(self.key, *(F.coalesce(f"_new_{c}", c).alias(c) for c in self.schema.names if c != self.key)).select(*self.schema.names), buckets)
+            new = [self.key, *(F.col(c).alias(f"_new_{c}") for c in self.schema.names if c != self.key)]
+            both = [F.coalesce(f"_new_{c}", c).alias(c) if c != self.key else c for c in self.schema.names]
+            self._replace(lambda old, own: old.join(own(changes).select(*new), self.key, "full_outer").select(*both), buckets, changes.count())
+        discarded(changes)
         return buckets
 
     def delete(self, keys: DataFrame) -> list[int]:
         """Rows without those of some keys."""
-        keys = settled(keys.select(self.key).distinct(), "store-delete")
+        with shuffles_removed(self.spark):
+            keys = settled(keys.select(self.key).distinct(), "store-delete")
         buckets = self.touched(keys)
         if buckets:
-            self._replace(self.rows(buckets).join(keys, self.key, "left_anti"), buckets)
+            self._replace(lambda old, own: old.join(own(keys), self.key, "left_anti"), buckets)
+        discarded(keys)
         return buckets
 
 
@@ -100,25 +147,28 @@ class GraphStore:
     @classmethod
     def create(cls, nodes: DataFrame, edges: DataFrame, path: str, buckets: int = 64) -> GraphStore:
         """nodes: id and more, ids unique; edges: source, target and more."""
-        edges = settled(edges, "store-edges")
-        kept = lambda name, end: BucketStore.create(edges, f"{path}/{name}", end, buckets)
-        return cls(BucketStore.create(nodes, f"{path}/nodes", "id", buckets), kept("by_source", "source"), kept("by_target", "target"))
+        by_source = BucketStore.create(edges, f"{path}/by_source", "source", buckets)
+        kept = by_source.rows()
+        by_target = BucketStore(edges.sparkSession, f"{path}/by_target", "target", buckets, edges.schema)
+        by_target._fill(kept, kept.count())
+        return cls(BucketStore.create(nodes, f"{path}/nodes", "id", buckets), by_source, by_target)
 
     def delete_nodes(self, ids: DataFrame) -> dict[str, list[int]]:
         """Nodes and all edges that touch them; only buckets of their ids and of their neighbours' are rewritten."""
-        ids = settled(ids.select("id").distinct(), "store-gone")
+        with shuffles_removed(ids.sparkSession):
+            ids = settled(ids.select("id").distinct(), "store-gone")
         # the other copy of an edge lies in the bucket of its other end
         near = {}
-        for store, end, far in ((self.by_source, "source", "target"), (self.by_target, "target", "source")):
-            own = store.touched(ids.withColumnRenamed("id", end))
+        for store, other, end, far in ((self.by_source, self.by_target, "source", "target"), (self.by_target, self.by_source, "target", "source")):
             gone = ids.withColumnRenamed("id", end)
-            near[far] = settled(store.rows(own).join(gone, end, "left_semi").select(far), "store-near") if own else ids.limit(0).select(F.col("id").alias(far))
+            own = store.touched(gone)
+            near[far] = other.touched(store.rows(own).join(gone, end, "left_semi").select(far)) if own else []
         done = {"nodes": self.nodes.delete(ids)}
         for store, end, far, name in ((self.by_source, "source", "target", "by_source"), (self.by_target, "target", "source", "by_target")):
-            buckets = sorted({*store.touched(ids.withColumnRenamed("id", end)), *store.touched(near[end])})
+            gone, beyond = (ids.withColumnRenamed("id", c) for c in (end, far))
+            buckets = sorted({*store.touched(gone), *near[end]})
             if buckets:
-                left = store.rows(buckets).join(ids.withColumnRenamed("id", end), end, "left_anti").join(ids.withColumnRenamed("id", far), far, "left_anti")
-                store._replace(left.select(*store.schema.names), buckets)
+                store._replace(lambda old, own, store=store, end=end, far=far, gone=gone, beyond=beyond: old.join(own(gone), end, "left_anti").join(beyond, far, "left_anti").select(*store.schema.names), buckets)
             done[name] = buckets
+        discarded(ids)
         return done
-

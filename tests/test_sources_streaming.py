@@ -171,6 +171,31 @@ def test_deleting_nodes_takes_their_edges(spark, tmp_path):
         assert sorted(tuple(r) for r in side.rows().collect()) == want
 
 
+def test_stores_leave_nothing_aside_and_take_few_buckets_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "MOST_ROWS", 30)
+    aside = tmp_path / "aside"
+    aside.mkdir()
+    monkeypatch.setattr(tables, "scratch_path", lambda _, name: f"file://{aside}/{name}-{len(list(aside.iterdir()))}")
+    written = []
+    write = stores.BucketStore._write
+    monkeypatch.setattr(stores.BucketStore, "_write", lambda self, rows, count, *rest: written.append(rows.count()) or write(self, rows, count, *rest))
+    edges = [(f"{a}-{b}", a, b, 1) for a in range(60) for b in range(a + 1, 60) if (a * b) % 3 == 1]
+    nodes = spark.range(60).withColumn("label", F.lit("n"))
+    store = stores.GraphStore.create(nodes, spark.createDataFrame(edges, "id string, source long, target long, weight long"), f"file://{tmp_path}/g", buckets=8)
+    assert max(written) < len(edges)  # not filled in one go
+    store.nodes.upsert(spark.createDataFrame([(5, "new"), (700, "new")], "id long, label string"))
+    written.clear()
+    store.delete_nodes(spark.range(0, 60, 7).select("id"))
+    assert max(written) <= 200 and len(written) > 8
+    left = sorted(e for e in edges if e[1] % 7 and e[2] % 7)
+    for side in (store.by_source, store.by_target):
+        assert sorted(tuple(r) for r in side.rows().collect()) == left
+    assert {r["id"]: r["label"] for r in store.nodes.rows().collect()} == {i: "new" if i in (5, 700) else "n" for i in [*range(60), 700] if i % 7 or i == 700}
+    assert not [p for p in aside.rglob("*.parquet")]
+    store.delete_nodes(nodes.select("id"))
+    assert store.by_source.rows().count() == store.by_target.rows().count() == 0 and store.nodes.rows().count() == 1
+
+
 def test_ingest_is_idempotent_and_replaces_changed_files(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
