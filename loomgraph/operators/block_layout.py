@@ -16,16 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from loomgraph.operators.layout import AXES, MOST_TILES, Params, dense_forces, edge_mass, edge_step, push, run_steps
-from loomgraph.sources.tables import discarded, scratch_path, settled
+from loomgraph.operators.layout import AXES, MOST_TILES, Params, _with_crowded, dense_forces, edge_mass, edge_step, push, run_steps
+from loomgraph.sources.tables import discarded, scratch_path, settled, shuffles_removed
 
-#: Nodes of a block, about; edges of one node that may meet in its block.
-BLOCK, MOST_EDGES = 2048, 1 << 17
+#: Nodes of a block, about, where they are few, and at most; edges of one node that may meet in its block. Larger blocks send fewer of their nodes to others.
+BLOCK, MOST_BLOCK, MOST_EDGES = 2048, 1 << 15, 1 << 17
+#: Blocks for each partition of the session, about, before they get larger than BLOCK; own nodes that meet the nodes around them at once, about.
+_SPREAD, _MEET = 4, 64
 #: Nodes of a task, about.
 _TASK_NODES = 1 << 17
 _STATE = [*AXES, "vx", "vy", "vz", "m", "x0", "y0", "z0"]
 _LISTS = ", ".join(f"{c} array<double>" for c in _STATE)
 _ROWS = f"block long, to long, drift double, id array<long>, {_LISTS}"
+#: What a block keeps: the blocks that need nodes of it, how many each, and their ids one after another; its nodes' edges.
+_FIXED = "block long, needs array<long>, many array<int>, sent array<long>, own array<long>, other array<long>, weight array<double>"
 
 
 def _buckets(df: DataFrame, name: str, count: int) -> tuple[DataFrame, str]:
@@ -44,7 +48,7 @@ def _dropped(df: DataFrame, name: str) -> None:
 class BlockLayout:
     """A layout under way. nodes: id, x, y, z, vx, vy, vz, mass; edges: source, target, weight; other columns of nodes are joined at the end."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, params: Params, skin: float | None = None, block: int = BLOCK, side: float | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, params: Params, skin: float | None = None, block: int | None = None, side: float | None = None):
         self.params, self.block = params, block
         self.skin = params.reach / 4 if skin is None else skin
         self.around = params.reach + 2 * self.skin
@@ -56,49 +60,63 @@ class BlockLayout:
         self.moved = False  # whether nodes have left what the lists allow for
         self._deal(nodes.select("id", *AXES, "vx", "vy", "vz", edge_mass(params).alias("m")))
 
+    def _sides(self, n: int, box: list[float], block: int) -> tuple[list[float], list[bool]]:
+        """Width of a cell along each axis, and whether there is more than one: axes that are short next to a cell are not cut."""
+        if self.side:
+            return [max(self.around, self.side)] * 3, [True] * 3
+        wide = [max(b, self.around) for b in box]
+        room, sides, cut = np.prod(wide) * block / n, [0.0] * 3, [False] * 3
+        for left, a in zip((3, 2, 1), sorted(range(3), key=lambda a: wide[a])):
+            even = max(room ** (1 / left), self.around)
+            count = 1 if wide[a] < 1.5 * even else int(wide[a] / even)
+            sides[a], cut[a] = wide[a] / count * (1.0 + 1e-9), count > 1
+            room /= sides[a]
+        return sides, cut
+
     def _deal(self, nodes: DataFrame) -> None:
-        """Cells are as wide as holds about a block's nodes if they fill their box evenly, but no narrower than what a node needs around it."""
-        n, *box = nodes.agg(F.count(F.lit(1)), *(F.max(c) - F.min(c) for c in AXES)).first()
+        """Cells hold about a block's nodes if they fill their box evenly, but are no narrower than what a node needs around it."""
+        n, *box = nodes.agg(F.count(F.lit(1)), *(f(c) for c in AXES for f in (F.min, F.max))).first()
+        low = dict(zip(AXES, box[::2]))
         self.count = max(self.count, n // _TASK_NODES)
-        even = (np.prod([max(b, self.around) for b in box]) * self.block / n) ** (1 / 3)
-        side = max(self.around, self.side or even)
-        cell = [F.floor(F.col(c) / side) for c in AXES]
-        parts = nodes.select("*", *(c.alias(f"c{a}") for c, a in zip(cell, AXES)))
+        size = self.block or min(max(BLOCK, n // (_SPREAD * self.count)), MOST_BLOCK)
+        sides, cut = self._sides(n, [hi - lo for lo, hi in zip(box[::2], box[1::2])], size)
         keys = [f"c{a}" for a in AXES]
-        sizes = settled(parts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / self.block).alias("n")), "layout-cells")
+        at = {a: F.col(a) - low[a] for a in AXES}
+        parts = nodes.select("*", *(F.floor(at[a] / side).alias(f"c{a}") for a, side in zip(AXES, sides)))
+        sizes = settled(parts.groupBy(*keys).agg(F.greatest(F.round(F.count(F.lit(1)) / size), F.lit(1.0)).cast("long").alias("n")), "layout-cells")  # cells somewhat fuller than others stay whole
         block = lambda n: F.xxhash64(*keys, n)
-        placed = parts.join(sizes, keys).withColumn("block", block(F.pmod(F.xxhash64("id"), F.col("n")))).drop("n")
-        placed = settled(placed.withColumns({f"{a}0": F.col(a) for a in AXES}), "layout-placed")
+        placed = _with_crowded(parts, sizes.filter("n > 1"), keys).fillna(1, ["n"])
+        placed = settled(placed.withColumn("block", block(F.pmod(F.xxhash64("id"), F.col("n")))).drop("n"), "layout-placed")
         # Lists for near cells: all parts of the cells whose box is within reach of a node, skins included.
-        near = placed.select("id", "block", *keys, *AXES)
-        far = F.lit(0.0)
-        for a in AXES:
-            near = near.withColumn("_k", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-            gap = F.when(F.col("_k") == 0, 0.0).when(F.col("_k") < 0, F.col(a) - F.col(f"c{a}") * side).otherwise((F.col(f"c{a}") + 1) * side - F.col(a))
-            near = near.withColumn(f"_g{a}", gap).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_k")).drop("_k")
-            far = far + F.col(f"_g{a}") * F.col(f"_g{a}")
-        near = near.filter(far <= self.around * self.around).join(sizes, keys)
+        near, far = placed.select("id", "block", *keys, *AXES), F.lit(0.0)
+        for a, side, several in zip(AXES, sides, cut):
+            if several:
+                near = near.withColumn("_k", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+                gap = F.when(F.col("_k") == 0, 0.0).when(F.col("_k") < 0, at[a] - F.col(f"c{a}") * side).otherwise((F.col(f"c{a}") + 1) * side - at[a])
+                near = near.withColumn(f"_g{a}", gap).withColumn(f"c{a}", F.col(f"c{a}") + F.col("_k")).drop("_k")
+                far = far + F.col(f"_g{a}") * F.col(f"_g{a}")
+                near = near.filter(far <= self.around * self.around)
+        near = settled(near.join(sizes, keys).select("id", "block", *keys, "n"), "layout-near")
         self.moved, self.crowded = False, None
         if near.agg(F.sum("n")).first()[0] > MOST_TILES * n:
             self.now, self.crowded = None, placed.select(*nodes.columns)
+            discarded(near)
             return
         self.dealt += 1
-        spatial = near.select("id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("_p"), *keys).select("id", "block", block(F.col("_p")).alias("to"))
+        spatial = near.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select("id", "block", block(F.col("_p")).alias("to")).filter("block != to")
         # Lists for edges: either end needs the other one.
         home = placed.select("id", "block")
-        ends = self.edges.select(F.col("source").alias("own"), F.col("target").alias("other"), "weight").unionAll(self.edges.select(F.col("target").alias("own"), F.col("source").alias("other"), "weight"))
-        ends = ends.join(home.select(F.col("id").alias("own"), F.col("block").alias("to")), "own").join(home.select(F.col("id").alias("other"), "block"), "other")
-        ends = settled(ends, "layout-edges")
-        spatial = spatial.join(placed.select(F.col("block").alias("to")).distinct(), "to", "left_semi").select("id", "block", "to")  # a part may have got no node
-        lists = spatial.unionAll(ends.select(F.col("other").alias("id"), "block", "to")).filter("block != to").distinct()
-        sent = lists.groupBy("block", "to").agg(F.collect_list("id").alias("ids")).groupBy("block").agg(F.collect_list(F.struct("to", "ids")).alias("lists"))
-        springs = ends.groupBy(F.col("to").alias("block")).agg(F.collect_list(F.struct("own", "other", F.col("weight").cast("double").alias("weight"))).alias("springs"))
-        blocks = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", *_STATE))).alias("nodes"))
-        kept = blocks.select("block").join(sent, "block", "left").join(springs, "block", "left")
-        self.fixed, _ = _buckets(kept.repartition(self.count, "block"), "layout_fixed", self.count)
-        state = blocks.select("block", F.lit(None).cast("long").alias("to"), F.lit(0.0).alias("drift"), F.col("nodes")["id"].alias("id"), *(F.col("nodes")[c].alias(c) for c in _STATE))
-        start = state.repartition(self.count, "block").join(self.fixed.select("block", "lists"), "block").groupBy("block").applyInArrow(_first, _ROWS)
+        ends = self.edges.select("source", "target", F.col("weight").cast("double").alias("weight"))
+        for end, at_ in (("source", "_s"), ("target", "_t")):
+            ends = ends.join(home.select(F.col("id").alias(end), F.col("block").alias(at_)), end)
+        both = F.explode(F.array(*(F.struct(F.col(b).alias("block"), F.col(t).alias("to"), F.col(o).alias("own"), F.col(x).alias("other"), "weight") for b, t, o, x in (("_s", "_t", "source", "target"), ("_t", "_s", "target", "source")))))
+        needs = ends.select(both.alias("e")).select("e.*").unionAll(spatial.select("block", "to", "id", F.lit(None).cast("long"), F.lit(None).cast("double")))
+        self.fixed, _ = _buckets(needs.repartition(self.count, "block").groupBy("block").applyInArrow(_kept, _FIXED), "layout_fixed", self.count)
+        rows = placed.select("block", "id", *AXES, "vx", "vy", "vz", "m").repartition(self.count, "block")
+        start = rows.groupBy("block").cogroup(self.fixed.groupBy("block")).applyInArrow(_first, _ROWS)
         self.now, self.name = _buckets(start, "layout_state", self.count)
+        for used in (sizes, placed, near):
+            discarded(used)
 
     def advance(self, steps: int) -> "BlockLayout":
         """steps more steps; each writes the blocks' state and the lists' positions, of which the latter are the next step's shuffle."""
@@ -113,7 +131,7 @@ class BlockLayout:
                 self.crowded = settled(edge_step(before, self.edges, params, m=F.col("m")), "layout-crowded")
                 discarded(before)
                 continue
-            state = self.now.filter("to IS NULL").drop("to", "drift").join(self.fixed, "block")
+            state = self.now.filter("to IS NULL").drop("to", "drift").join(self.fixed, "block", "left")
             lists = self.now.filter("to IS NOT NULL").select(F.col("to").alias("block"), *(F.col(c).alias(c) for c in ("id", *AXES, "m")))
             made = state.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(lambda own, other: _step(own, other, params), _ROWS)
             seen = Observation()
@@ -135,74 +153,106 @@ class BlockLayout:
         return before.join(now, F.col("id") == F.col("_id")).select(*(F.col(f"_{c}").alias(c) if c in motion else F.col(c) for c in before.columns))
 
 
-def _columns(rows: pa.Table) -> dict[str, np.ndarray]:
+_TYPES = pa.schema([("block", pa.int64()), ("to", pa.int64()), ("drift", pa.float64()), ("id", pa.list_(pa.int64())), *((c, pa.list_(pa.float64())) for c in _STATE)])
+
+
+def _values(rows: pa.Table, name: str) -> np.ndarray:
     """The lists of all rows one after another."""
-    return {c: np.concatenate([x.values.to_numpy() for x in rows[c] if x.values is not None] or [np.zeros(0)]) for c in rows.column_names if c in {"id", *_STATE}}
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in rows[name].chunks] or [np.zeros(0)])
+
 
+def _columns(rows: pa.Table) -> dict[str, np.ndarray]:
+    return {c: _values(rows, c) for c in rows.column_names if c in {"id", *_STATE}}
 
-def _written(block: int, own: dict[str, np.ndarray], lists: list, drift: float) -> pa.Table:
-    """The block's row and one row per list."""
-    order = np.argsort(own["id"])
-    rows = [(None, drift, np.arange(len(own["id"])))]
-    rows += [(x["to"], 0.0, order[np.searchsorted(own["id"][order], np.array(x["ids"]))]) for x in lists or []]
-    ids = pa.array([own["id"][i] for _, _, i in rows], pa.list_(pa.int64()))
-    values = [pa.array([own[c][i] if n == 0 or c in {*AXES, "m"} else own[c][:0] for n, (_, _, i) in enumerate(rows)], pa.list_(pa.float64())) for c in _STATE]
-    heads = [pa.array([block] * len(rows), pa.int64()), pa.array([t for t, _, _ in rows], pa.int64()), pa.array([d for _, d, _ in rows], pa.float64())]
-    return pa.Table.from_arrays([*heads, ids, *values], names=["block", "to", "drift", "id", *_STATE])
 
+def _kept(rows: pa.Table) -> pa.Table:
+    """One row of what a block keeps, of rows (block, to, own, other, weight): own is needed in block to, and has an edge if there is another."""
+    block, to, own = (rows[c].to_numpy() for c in ("block", "to", "own"))
+    away = to != block
+    to, sent = to[away], own[away]
+    order = np.lexsort((sent, to))
+    to, sent = to[order], sent[order]
+    first = np.r_[True, (to[1:] != to[:-1]) | (sent[1:] != sent[:-1])][: len(to)]
+    to, sent = to[first], sent[first]
+    needs, many = np.unique(to, return_counts=True)
+    edges = rows.filter(rows["other"].is_valid())
+    values = [needs, many.astype(np.int32), sent, *(edges[c].to_numpy() for c in ("own", "other", "weight"))]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in values]
+    return pa.Table.from_arrays([pa.array(block[:1]), *lists], names=["block", "needs", "many", "sent", "own", "other", "weight"])
 
-def _first(rows: pa.Table) -> pa.Table:
-    return _written(rows["block"][0].as_py(), _columns(rows), rows["lists"][0].as_py(), 0.0)
+
+def _written(block: int, own: dict[str, np.ndarray], fixed: pa.Table, drift: float) -> pa.Table:
+    """The block's row and one row per list. Nodes are in the order of their ids."""
+    needs, many, sent = (_values(fixed, c) for c in ("needs", "many", "sent"))
+    rows, n = 1 + len(needs), len(own["id"])
+    chosen = np.searchsorted(own["id"], sent).astype(np.int64)
+    ends = np.concatenate([[0, n], n + np.cumsum(many)]).astype(np.int32)
+    alone = np.concatenate([[0], np.full(rows, n)]).astype(np.int32)
+    heads = [pa.array(np.full(rows, block)), pa.array(np.r_[0, needs].astype(np.int64), mask=np.arange(rows) == 0), pa.array(np.r_[drift, np.zeros(rows - 1)])]
+    lists = []
+    for c in ("id", *_STATE):
+        listed = c in {"id", *AXES, "m"}
+        lists.append(pa.ListArray.from_arrays(pa.array(ends if listed else alone), pa.array(np.concatenate([own[c], own[c][chosen]]) if listed else own[c])))
+    return pa.Table.from_arrays([*heads, *lists], names=["block", "to", "drift", "id", *_STATE])
+
+
+def _first(rows: pa.Table, fixed: pa.Table) -> pa.Table:
+    if not rows.num_rows:
+        raise ValueError("lists of a block that does not exist")
+    order = np.argsort(rows["id"].to_numpy())
+    own = {c: rows[c if c[-1] != "0" else c[0]].to_numpy()[order] for c in ("id", *_STATE)}
+    return _written(rows["block"][0].as_py(), own, fixed, 0.0)
 
 
 def _repelled(own: dict[str, np.ndarray], near: dict[str, np.ndarray], params: Params) -> np.ndarray:
-    """Force on each own node from all near ones within reach: those of a small cell meet all of its 27 cells at once."""
+    """Force on each own node from all near ones within reach: those of a cube of small cells meet all nodes of its cells and of those around it at once."""
+    mine = np.stack([np.floor(own[a] / params.reach) for a in AXES], 1).astype(np.int64)
     cells = np.stack([np.floor(near[a] / params.reach) for a in AXES], 1).astype(np.int64)
-    low = cells.min(axis=0) - 1
-    width = cells.max(axis=0) - low + 2
+    cube = int(np.clip(round((_MEET * len(np.unique(mine, axis=0)) / len(mine)) ** (1 / 3)), 1, 8))
+    low = cells.min(axis=0) - cube
+    width = cells.max(axis=0) - low + cube + 1
     number = lambda c: ((c[:, 0] - low[0]) * width[1] + c[:, 1] - low[1]) * width[2] + c[:, 2] - low[2]
     keys = number(cells)
     order = np.lexsort((near["id"], keys))
     keys, around = keys[order], np.stack([near[c][order] for c in (*AXES, "m")])
-    mine = np.stack([np.floor(own[a] / params.reach) for a in AXES], 1).astype(np.int64)
-    sorted_by_cell = np.argsort(number(mine), kind="stable")  # own nodes are near ones, so every cell has its number
-    mine, nodes = mine[sorted_by_cell], np.stack([own[c] for c in (*AXES, "m")])[:, sorted_by_cell]
+    mine = (mine - low) // cube * cube + low  # the first cell of each node's cube
+    sorted_by_cube = np.argsort(number(mine), kind="stable")
+    mine, nodes = mine[sorted_by_cube], np.stack([own[c] for c in (*AXES, "m")])[:, sorted_by_cube]
     first = np.flatnonzero(np.r_[True, np.any(mine[1:] != mine[:-1], axis=1)])
-    rows = [mine[first] + np.array([dx, dy, 0]) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    rows = [mine[first] + np.array([dx, dy, 0]) for dx in range(-1, cube + 1) for dy in range(-1, cube + 1)]
     begin = np.stack([np.searchsorted(keys, number(r + np.array([0, 0, -1])), "left") for r in rows], 1).tolist()
-    end = np.stack([np.searchsorted(keys, number(r + np.array([0, 0, 1])), "right") for r in rows], 1).tolist()
+    end = np.stack([np.searchsorted(keys, number(r + np.array([0, 0, cube])), "right") for r in rows], 1).tolist()
     force, kernel = np.empty((3, len(mine))), push(params)
     for k, (at, to) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(mine)])):
         met = np.concatenate([around[:, b:e] for b, e in zip(begin[k], end[k]) if b < e], axis=1)
         force[:, at:to] = dense_forces(kernel, nodes[:, at:to], met)[0]
     out = np.empty_like(force)
-    out[:, sorted_by_cell] = force
+    out[:, sorted_by_cube] = force
     return out
 
 
 def _step(own: pa.Table, other: pa.Table, params: Params) -> pa.Table:
     """One block one step further."""
-    if not own.num_rows:
-        raise ValueError("positions for a block that does not exist")
-    mine, lists = _columns(own), own["lists"][0].as_py()
+    if not own.num_rows:  # a part of a crowded cell that got no node
+        return _TYPES.empty_table()
+    mine = _columns(own)
     guests = _columns(other) if other.num_rows else {c: mine[c][:0] for c in ("id", *AXES, "m")}
     near = {c: np.concatenate([mine[c], guests[c]]) for c in ("id", *AXES, "m")}
     force = _repelled(mine, near, params)
-    springs = own["springs"][0]
-    if springs.is_valid and len(springs.values):
-        ends = springs.values
+    ends, weight = [_values(own, c) for c in ("own", "other")], _values(own, "weight")
+    if len(weight):
         order = np.argsort(near["id"], kind="stable")
         ids = near["id"][order]
-        i, j = (order[np.searchsorted(ids, ends.field(c).to_numpy())] for c in ("own", "other"))
+        i, j = (order[np.searchsorted(ids, e)] for e in ends)
         d = [near[a][j] - near[a][i] for a in AXES]
-        pull = np.where(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] >= 0.0001, params.spring * ends.field("weight").to_numpy(), 0.0)
+        pull = np.where(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] >= 0.0001, params.spring * weight, 0.0)
         for k in range(3):
             force[k] += np.bincount(i, d[k] * pull, len(mine["id"]))[: len(mine["id"])]
     for k, a in enumerate(AXES):
         mine[f"v{a}"] = mine[f"v{a}"] * params.damping + force[k] * params.time_step
         mine[a] = mine[a] + mine[f"v{a}"] * params.time_step
     moved = np.sqrt(sum((mine[a] - mine[f"{a}0"]) ** 2 for a in AXES))
-    return _written(own["block"][0].as_py(), mine, lists, float(moved.max()))
+    return _written(own["block"][0].as_py(), mine, own, float(moved.max()))
 
 
 def run_in_blocks(nodes: DataFrame, edges: DataFrame, params: Params, steps: int, **options) -> DataFrame:
@@ -210,9 +260,11 @@ def run_in_blocks(nodes: DataFrame, edges: DataFrame, params: Params, steps: int
 
     Edges with an unknown end pull nothing; nodes without a position must have been placed before.
     """
+    edges = settled(edges.select("source", "target", "weight"), "layout-links")
     ends = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id")))
     if (ends.groupBy("id").count().agg(F.max("count")).first()[0] or 0) > MOST_EDGES:
         return run_steps(nodes, edges, params, steps)
     if not steps or nodes.isEmpty():
         return nodes
-    return BlockLayout(nodes, edges, params, **options).advance(steps).nodes(nodes)
+    with shuffles_removed(nodes.sparkSession):
+        return BlockLayout(nodes, edges, params, **options).advance(steps).nodes(nodes)

@@ -593,6 +593,19 @@ def test_a_step_of_blocks_shuffles_lists_only(spark):
     assert block_layout.run_in_blocks(nodes.limit(0), edges, layout.Params(), 2).count() == 0
 
 
+def test_blocks_of_a_long_box_send_few_of_their_nodes(spark):
+    rng = np.random.default_rng(9)
+    nodes = [(i, *map(float, rng.uniform(-2, 2, 2)), float(rng.uniform(0, 250)), 0.0, 0.0, 0.0, int(rng.integers(1, 40))) for i in range(4000)]
+    nodes = spark.createDataFrame(nodes, "id long, x double, y double, z double, vx double, vy double, vz double, mass int")
+    edges, params = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "source long, target long, weight double"), layout.Params()
+    run = block_layout.BlockLayout(nodes, edges, params, block=200)
+    sent = run.now.filter("to IS NOT NULL").agg(F.sum(F.size("id"))).first()[0]
+    assert 0 < sent < nodes.count()
+    want = {r["id"]: r for r in layout.run_steps(nodes, edges, params, 2).collect()}
+    for r in run.advance(2).nodes(nodes).collect():
+        assert all(abs(r[c] - want[r["id"]][c]) < 1e-9 * max(1.0, abs(want[r["id"]][c])) for c in ("x", "y", "z", "vx", "vy", "vz"))
+
+
 def test_index_finds_what_the_scan_finds(spark, tmp_path):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeéX ") for _ in range(rng.randint(0, 8)))
