@@ -32,7 +32,7 @@ class BucketStore:
     def create(cls, rows: DataFrame, path: str, key: str = "id", buckets: int = 64) -> BucketStore:
         """Write rows for the first time; upsert, merge and delete need unique keys."""
         with shuffles_removed(rows.sparkSession):
-            aside = settled(rows, "store-new")  # counted before they are dealt
+            aside = settled(rows, "store-new", compression="zstd")  # counted before they are dealt
         store = cls(rows.sparkSession, path, key, buckets, rows.schema)
         store._fill(aside, aside.count())
         discarded(aside)
